@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import piece_bpe
+from factloom.llm import kk_packing, piece_bpe, ring
 from factloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,3 +22,13 @@ def query(f):
 @query
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op3_consistent_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ring.shard_texts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kk_packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
