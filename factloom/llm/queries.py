@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import kk_packing, piece_bpe, ring
+from factloom.llm import kk_packing, matroska, piece_bpe, ring
 from factloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,8 @@ def op3_consistent_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kk_packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.media_features(table(spark, sf_dir, "documents"))
