@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.llm import kk_packing, matroska, piece_bpe, ring
+from factloom.llm import kk_packing, matroska, ownership_secrets, piece_bpe, ring
 from factloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +38,9 @@ def op4_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_features(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ownership_secrets.scan(docs, owner="source", repository=F.concat_ws("/", "source", "lang"))
