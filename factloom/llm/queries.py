@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import kk_packing, matroska, ownership_secrets, piece_bpe, ring
+from factloom.llm import cotraining, kk_packing, matroska, ownership_secrets, piece_bpe, ring
 from factloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,13 @@ def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return ownership_secrets.scan(docs, owner="source", repository=F.concat_ws("/", "source", "lang"))
+
+
+def good() -> Column:
+    """Of high quality and not toxic."""
+    return (F.col("quality") == 1) & (F.col("toxic") == 0)
+
+
+@query
+def op9_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), good())
