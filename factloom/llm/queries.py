@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import cotraining, kk_packing, matroska, ownership_secrets, piece_bpe, ring
+from factloom.llm import cotraining, html_layout, kk_packing, matroska, ownership_secrets, piece_bpe, ring
 from factloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,8 @@ def good() -> Column:
 @query
 def op9_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), good())
+
+
+@query
+def op8_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_layout.extract(table(spark, sf_dir, "pages"))
