@@ -15,10 +15,12 @@ Null and empty texts are the end id alone. Texts of any length, ties and repeate
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,11 +28,12 @@ from pyspark.sql import functions as F
 from factloom.llm.common import map_rows
 
 #: Words whose ids a Python worker remembers; beyond it a new memory starts and the one before stays for reading.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: ASCII marks that, at the end of a word after a letter, are a token group of their own for every pattern in use.
 MARKS = ".,*%$#&!"
 #: Letters below it keep their form under NFC and, but for U+0130, under lower-casing stay one letter.
 LATIN = "\u0250"
+LATIN_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ɏ]+").fullmatch
 #: White space for Python's split, but not for the tokenizers library.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
@@ -44,28 +47,26 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.earlier: dict[str, bytes] = {}
-        self.ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = [i for t, i in vocabulary.items() if t.endswith("</w>")]
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[self.ends] = True
 
     def words(self, words: list[str]) -> list[bytes]:
         """Ids of each word; those of Latin letters alone are one token group each and go to the library joined."""
         found: dict[str, bytes] = {}
-        letters = [w for w in words if w.isalpha() and max(w) < LATIN and "\u0130" not in w]
+        letters = [w for w in words if LATIN_LETTERS(w)]
         if self.ends and letters:
             ids = self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids
-            groups: list[list[int]] = [[]]
-            for i in ids:
-                groups[-1].append(i)
-                if i in self.ends:
-                    groups.append([])
-            if len(groups) == len(letters) + 1 and not groups[-1]:
-                found = {w: b"".join([i.to_bytes(4, "little") for i in g]) for w, g in zip(letters, groups, strict=False)}
-        rest = [w for w in words if w not in found]
+            after = self.is_end[ids].nonzero()[0] + 1
+            if len(after) == len(letters) and after[-1] == len(ids):
+                raw, at = np.asarray(ids, "<u4").tobytes(), (4 * after).tolist()
+                found = {w: raw[i:j] for w, i, j in zip(letters, [0, *at], at, strict=False)}
+        rest = [w for w in words if w not in found] if len(found) < len(words) else []
         found.update(zip(rest, self.library(rest), strict=True))
         return [found[w] for w in words]
 
     def library(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
         if not texts:
             return []
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -74,26 +75,24 @@ class WordIds:
         if len(self.known) > REMEMBERED:
             self.earlier, self.known = self.known, {}
         known, earlier = self.known, self.earlier
-        new: dict[str, None] = {}
+        new: set[str] = set()
         ends: list[tuple[str, str, str]] = []
-        for w in words:
-            if w in known:
-                continue
+        for w in set(words).difference(known):
             if (found := earlier.get(w)) is not None:
                 known[w] = found
                 continue
             stem = w.rstrip(MARKS)
-            if stem and stem != w and stem[-1] < LATIN and stem[-1].lower().isalpha():
-                mark = w[len(stem) :]
-                ends.append((w, stem, mark))
-                for x in (stem, mark):
-                    if x not in known:
-                        if (found := earlier.get(x)) is not None:
-                            known[x] = found
-                        else:
-                            new[x] = None
+            if stem != w and stem and stem[-1] < LATIN and stem[-1].lower().isalpha():
+                ends.append((w, stem, w[len(stem) :]))
             else:
-                new[w] = None
+                new.add(w)
+        for _, *parts in ends:
+            for x in parts:
+                if x not in known:
+                    if (found := earlier.get(x)) is not None:
+                        known[x] = found
+                    else:
+                        new.add(x)
         if new:
             known.update(zip(new, self.words(list(new)), strict=True))
         for w, stem, mark in ends:
@@ -129,7 +128,7 @@ def differencing(sizes: list[int], windows: int) -> list[tuple[int, list[int]]]:
         _, _, a = heapq.heappop(heap)
         _, _, b = heapq.heappop(heap)
         if (both := len(a) + len(b) - windows) <= 0:
-            bins = list(heapq.merge(a, b, key=_size, reverse=True))
+            bins = sorted(a + b, key=_size, reverse=True)
         else:
             # a's i-th largest bin meets b's i-th smallest of all `windows`, empty ones first.
             apart = len(a) - both
