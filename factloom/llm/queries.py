@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat_hmm, cotraining, html_layout, kk_packing, matroska, ownership_secrets, piece_bpe, ring
+from factloom.llm import chat_hmm, cotraining, html_layout, kk_packing, matroska, ngram_jaccard, ownership_secrets, piece_bpe, ring
 from factloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,8 @@ def op8_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_chat_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table holds turns; they are first written as raw transcripts, a quarter of them without markers."""
     return chat_hmm.format_conversations(chat_hmm.transcripts(table(spark, sf_dir, "conversations")))
+
+
+@query
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.join(table(spark, sf_dir, "documents"))
