@@ -27,6 +27,8 @@ MIXED = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{32,}"
 KINDS = ("assign", "access", "hex", "mixed")
 #: A value that so many owners have is an example that people copy.
 COPIED_OWNERS = 3
+#: Rows of documents with live secrets that may be broadcast.
+BROADCAST_ROWS = 200_000
 
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
@@ -60,7 +62,7 @@ def candidates(df: DataFrame, key: str, text: str, owner: str | Column, reposito
     """A row for each row of df: its base spans in order, its mixed tokens outside them, owner and repository."""
     content = F.coalesce(F.col(text), F.lit(""))
     named = [F.col(x) if isinstance(x, str) else x for x in (owner, repository)]
-    rows = df.select(F.col(key), content.alias("_text"), named[0].alias("owner"), named[1].alias("repository"))
+    rows = df.select(F.col(key), content.alias("_text"), F.xxhash64(content).alias("print"), named[0].alias("owner"), named[1].alias("repository"))
     t = F.col("_text")
     rows = rows.withColumns({"_assign": spans(t, ASSIGN, 0, 2, 6), "_access": spans(t, ACCESS, 1), "_hex": spans(t, HEX, 2), "_mixed": spans(t, MIXED, 3)}).drop("_text")
     base = F.array_sort(F.concat("_assign", "_access", "_hex"))
@@ -72,7 +74,7 @@ def candidates(df: DataFrame, key: str, text: str, owner: str | Column, reposito
 
     rows = rows.withColumn("mixed", F.filter("_mixed", strange))
     hashed = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.sha2(x["value"], 256).alias("hash")))
-    return rows.select(key, "owner", "repository", "n_assign", "n_access", "n_hex", hashed("base").alias("base"), hashed("mixed").alias("mixed"))
+    return rows.select(key, "print", "owner", "repository", "n_assign", "n_access", "n_hex", hashed("base").alias("base"), hashed("mixed").alias("mixed"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -82,16 +84,21 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
 
 
+def _counted(df: DataFrame, key: str, text: str, owner: str | Column, repository: str | Column) -> tuple[DataFrame, DataFrame]:
+    """The candidates of every row, numbered by _row; and _row, hash, span, owners, repositories of each candidate."""
+    rows = durable(candidates(df, key, text, owner, repository).withColumn("_row", F.monotonically_increasing_id()), "secret-candidates")
+    each = rows.filter((F.size("base") > 0) | (F.size("mixed") > 0)).select("_row", "owner", "repository", F.explode(F.concat("base", "mixed")).alias("x"))
+    each = each.select("_row", "owner", "repository", F.col("x.hash").alias("hash"), F.struct("x.start", "x.kind", "x.end").alias("span"))
+    return rows, each.select("_row", "hash", "span").join(ownership(each.select("hash", "owner", "repository")), "hash")
+
+
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", owner: str | Column = "source", repository: str | Column | None = None, copied_owners: int = COPIED_OWNERS) -> DataFrame:
     """key, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, max_owners for every row.
 
     n_live and n_copied count the row's candidates that one owner has, and that `copied_owners` or more have.
     """
     repository = owner if repository is None else repository
-    rows = durable(candidates(df, key, text, owner, repository).withColumn("_row", F.monotonically_increasing_id()), "secret-candidates")
-    each = rows.filter((F.size("base") > 0) | (F.size("mixed") > 0)).select("_row", "owner", "repository", F.explode(F.concat("base", "mixed")).alias("x"))
-    each = each.select("_row", "owner", "repository", F.col("x.hash").alias("hash"), F.struct("x.start", "x.kind", "x.end").alias("span"))
-    counted = each.select("_row", "hash", "span").join(ownership(each.select("hash", "owner", "repository")), "hash")
+    rows, counted = _counted(df, key, text, owner, repository)
     found = counted.groupBy("_row").agg(
         F.array_sort(F.collect_list(F.when((F.col("span.kind") < 3) | (F.col("owners") < copied_owners), F.col("span")))).alias("all"),
         F.count_if(F.col("owners") == 1).alias("n_live"),
@@ -105,13 +112,33 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", owner: str | Co
     )
 
 
-def redact(df: DataFrame, text: str = "text", mask: str = "[secret]") -> DataFrame:
-    """df with the values of base kinds masked in `text`, names of assignments kept. Null stays null."""
-    content = F.col(text)
-    assigned = F.regexp_replace(content, r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]{6,})""", "$1" + literal(mask))
-    return df.withColumn(text, F.regexp_replace(F.regexp_replace(assigned, ACCESS, literal(mask)), HEX, literal(mask)))
+def masked(text: Column, found: Column, mask: str) -> Column:
+    """text with each of the sorted spans, or what of it isn't masked yet, replaced by the mask."""
+
+    def step(a: Column, x: Column) -> Column:
+        gap = F.substring(text, a["at"] + 1, F.greatest(x["start"] - a["at"], F.lit(0)))
+        more = F.struct(x["end"].alias("at"), F.concat(a["done"], gap, F.when(x["start"] >= a["at"], mask).otherwise("")).alias("done"))
+        return F.when(x["end"] <= a["at"], a).otherwise(more)
+
+    return F.aggregate(found, F.struct(F.lit(0).alias("at"), F.lit("").alias("done")), step, lambda a: F.concat(a["done"], F.substring(text, a["at"] + 1, F.length(text))))
+
 
+def mask_live(
+    df: DataFrame, key: str = "doc_id", text: str = "text", owner: str | Column = "source", repository: str | Column | None = None, copied_owners: int = COPIED_OWNERS, mask: str = "[secret]", length: str | None = None
+) -> DataFrame:
+    """df, all rows and columns, with every secret that fewer than `copied_owners` owners have masked in `text`.
 
-def literal(mask: str) -> str:
-    """A replacement text that stands for itself."""
-    return mask.replace("\\", "\\\\").replace("$", "\\$")
+    length: a column to be set to the new length of the texts that change. What is masked comes back by key and a hash
+    of the text: broadcast while it is few rows (BROADCAST_ROWS), else shuffled.
+    """
+    rows, counted = _counted(df, key, text, owner, owner if repository is None else repository)
+    live = counted.filter(F.col("owners") < copied_owners).groupBy("_row").agg(F.array_sort(F.collect_set("span")).alias("_spans"))
+    live = rows.select("_row", F.col(key).alias("_key"), "print").join(live, "_row").groupBy("_key", "print").agg(F.first("_spans").alias("_spans"))
+    live = durable(live, "live-secrets")
+    if live.count() <= BROADCAST_ROWS:
+        live = F.broadcast(live)
+    joined_ = df.join(live, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(F.col(text)) == F.col("print")), "left")
+    # The new text has a name of its own: beside another expression, `text` inside a lambda would mean the new one.
+    joined_ = joined_.withColumn("_new", F.when(F.col("_spans").isNull(), F.col(text)).otherwise(masked(F.col(text), F.col("_spans"), mask)))
+    sizes = F.when(F.col("_spans").isNull(), F.col(length)).otherwise(F.length("_new").cast("bigint")) if length else None
+    return joined_.select(*(F.col("_new").alias(c) if c == text else sizes.alias(c) if c == length else F.col(c) for c in df.columns))
