@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat_hmm, cotraining, html_layout, kk_packing, matroska, ngram_jaccard, ownership_secrets, piece_bpe, ring
+from factloom.llm import chat_hmm, cotraining, html_layout, kk_packing, matroska, ngram_jaccard, nn_descent, ownership_secrets, piece_bpe, ring
 from factloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,8 @@ def op5_chat_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.join(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest(table(spark, sf_dir, "embeddings"))
