@@ -24,3 +24,13 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df cut off from its lineage by a checkpoint in the shared folder (a temporary one where none is configured)."""
+    spark = df.sparkSession
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-checkpoints-"))
+    return df.checkpoint()
