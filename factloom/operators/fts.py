@@ -27,11 +27,15 @@ def tokens(c: Column) -> Column:
 
 def postings(df: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
     """doc_id, term, positions, for every different term of a document."""
-    parts = [F.transform(tokens(F.col(c)), lambda t, i, n=n: F.struct(t.alias("term"), (i + n * COLUMN_GAP).alias("pos"))) for n, c in enumerate(columns)]
+    parts = [F.transform(tokens(F.col(c)), _placed(n * COLUMN_GAP)) for n, c in enumerate(columns)]
     each = df.select(F.col(key).alias("doc_id"), F.explode(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("t"))
     return each.groupBy("doc_id", F.col("t.term").alias("term")).agg(F.sort_array(F.collect_list("t.pos")).alias("positions"))
 
 
+def _placed(offset: int):
+    return lambda term, i: F.struct(term.alias("term"), (i + F.lit(offset).cast("bigint")).alias("pos"))
+
+
 def lengths(df: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
     """doc_id, dl: tokens over all columns."""
     return df.select(F.col(key).alias("doc_id"), reduce(Column.__add__, (F.size(tokens(F.col(c))) for c in columns)).alias("dl"))
@@ -61,11 +65,15 @@ def hits(index: DataFrame, leaves: list[Phrase]) -> DataFrame:
     for n, p in enumerate(leaves):
         at = F.col(f"p{n}_0")
         for i in range(1, len(p.terms)):
-            at = F.filter(at, lambda x, n=n, i=i: F.array_contains(F.col(f"p{n}_{i}"), x + i))
+            at = F.filter(at, _followed(f"p{n}_{i}", i))
         counts.append(F.size(at).alias(f"f{n}"))
     return found.select("doc_id", *counts)
 
 
+def _followed(places: str, distance: int):
+    return lambda x: F.array_contains(F.col(places), x + distance)
+
+
 def holds(node: Node, leaves: list[Phrase]) -> Column:
     if isinstance(node, Phrase):
         return F.col(f"f{leaves.index(node)}") > 0
