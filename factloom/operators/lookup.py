@@ -73,7 +73,7 @@ def route_pattern(path: Column) -> Column:
 def find_route(routes: DataFrame, http_method: str, path: str) -> DataFrame:
     """The route that serves a concrete path: an exact one, else a template that fits, else one that contains the path."""
     wanted = F.lit(path if path.startswith("/") else "/" + path)
-    rank = F.when(F.col("path") == wanted, 0).when(wanted.rlike(route_pattern(F.col("path"))), 1).when(F.coalesce(contains(F.col("path"), path.lstrip("/")), F.lit(False)), 2)
+    rank = F.when(F.col("path") == wanted, 0).when(F.rlike(wanted, route_pattern(F.col("path"))), 1).when(F.coalesce(contains(F.col("path"), path.lstrip("/")), F.lit(False)), 2)
     ranked = routes.filter(F.col("http_method") == http_method.upper()).withColumn("_rank", rank).filter("_rank is not null")
     return ranked.orderBy("_rank", F.length("path"), "path", "file_path", "start_line").limit(1).drop("_rank")
 

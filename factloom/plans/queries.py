@@ -229,9 +229,9 @@ def content_search(spark: S, d: str) -> D:
     return ranking.search_chunks(fact(spark, d, "chunks"), "token", None).select("id")
 
 
-@query("implementations", oracle("SELECT name, qualified_name FROM symbols WHERE kind = 'CLASS' AND (lower(interfaces_text) LIKE '%china%' OR lower(super_class) LIKE '%china%') ORDER BY qualified_name, file_path LIMIT 20", "symbols"))
+@query("implementations", oracle("SELECT name, qualified_name FROM symbols WHERE kind = 'CLASS' AND (lower(interfaces_text) LIKE '%nation_1%' OR lower(super_class) LIKE '%nation_1%') ORDER BY qualified_name, file_path LIMIT 20", "symbols"))
 def implementations(spark: S, d: str) -> D:
-    return ranking.implementations(fact(spark, d, "symbols"), "CHINA").select("name", "qualified_name")
+    return ranking.implementations(fact(spark, d, "symbols"), "NATION_1").select("name", "qualified_name")
 
 
 @query("implementations_exact", oracle("SELECT name, qualified_name FROM symbols WHERE kind = 'CLASS' AND (interfaces_text = 'Place' OR super_class = 'Place') ORDER BY qualified_name, file_path LIMIT 20", "symbols"))
@@ -270,7 +270,7 @@ def symbols_filtered_by_annotation(spark: S, d: str) -> D:
 
 @query(
     "overrides_semi",
-    oracle("SELECT qualified_name, parent_class FROM symbols WHERE kind = 'METHOD' AND name = 'small rod' AND parent_class IN (SELECT name FROM symbols WHERE kind = 'CLASS' AND (super_class = 'CHINA' OR lower(interfaces_text) LIKE '%trades%')) ORDER BY qualified_name, file_path, start_line LIMIT 20", "symbols"),
+    oracle("SELECT qualified_name, parent_class FROM symbols WHERE kind = 'METHOD' AND name = 'small rod' AND parent_class IN (SELECT name FROM symbols WHERE kind = 'CLASS' AND (super_class = 'Trades' OR lower(interfaces_text) LIKE '%trades%')) ORDER BY qualified_name, file_path, start_line LIMIT 20", "symbols"),
 )
 def overrides_semi(spark: S, d: str) -> D:
     return joins.overrides(fact(spark, d, "symbols"), "small rod", "Trades").select("qualified_name", "parent_class")
