@@ -13,6 +13,8 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Rows converted to Python objects at a time, so that a batch of long texts isn't held twice.
 ROWS = 256
+#: Bytes of an Arrow batch while intermediate results are made: two tasks and their Python workers each hold a few.
+BATCH_BYTES, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +34,12 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     """Writes df once to the shared folder and reads it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/factloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH_BYTES, None)
+    spark.conf.set(BATCH_BYTES, BATCH)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(BATCH_BYTES) if before is None else spark.conf.set(BATCH_BYTES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
