@@ -1,8 +1,8 @@
 """Full-text search: an inverted index as a DataFrame, boolean matching and BM25.
 
-The index has a row for each document and different term, with the term's positions, so that a query reads only the
-terms it names: with the index stored sorted by term, its filters reach the Parquet statistics. Positions of one
-column are apart from those of the next, so phrases never run over.
+The index has a row for each token: document, term, position. It is made where the texts are read, without a shuffle,
+and a query groups only the rows of the terms it names: with the index stored sorted by term, its filters reach the
+Parquet statistics. Positions of one column are apart from those of the next, so phrases never run over.
 """
 
 from __future__ import annotations
@@ -21,15 +21,16 @@ COLUMN_GAP = 1 << 40
 
 def tokens(c: Column) -> Column:
     """Lower-case words of letters and digits, accents removed."""
-    text = F.translate(F.lower(F.coalesce(c, F.lit(""))), *accents())
+    low = F.lower(F.coalesce(c, F.lit("")))
+    text = F.when(low.rlike(r"[^\x00-\x7f]"), F.translate(low, *accents())).otherwise(low)
     return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def postings(df: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
-    """doc_id, term, positions, for every different term of a document."""
+    """doc_id, term, pos, for every token of a document."""
     parts = [F.transform(tokens(F.col(c)), _placed(n * COLUMN_GAP)) for n, c in enumerate(columns)]
     each = df.select(F.col(key).alias("doc_id"), F.explode(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("t"))
-    return each.groupBy("doc_id", F.col("t.term").alias("term")).agg(F.sort_array(F.collect_list("t.pos")).alias("positions"))
+    return each.select("doc_id", "t.term", "t.pos")
 
 
 def _placed(offset: int):
@@ -58,11 +59,17 @@ def hits(index: DataFrame, leaves: list[Phrase]) -> DataFrame:
     used = reduce(Column.__or__, (_fits(p, i) for p in leaves for i in range(len(p.terms))))
     places = []
     for n, p in enumerate(leaves):
+        if len(p.terms) == 1:
+            places.append(F.count_if(_fits(p, 0)).alias(f"f{n}"))
+            continue
         for i in range(len(p.terms)):
-            places.append(F.flatten(F.collect_list(F.when(_fits(p, i), F.col("positions")))).alias(f"p{n}_{i}"))
+            places.append(F.collect_list(F.when(_fits(p, i), F.col("pos"))).alias(f"p{n}_{i}"))
     found = index.filter(used).groupBy("doc_id").agg(*places)
     counts = []
     for n, p in enumerate(leaves):
+        if len(p.terms) == 1:
+            counts.append(F.col(f"f{n}"))
+            continue
         at = F.col(f"p{n}_0")
         for i in range(1, len(p.terms)):
             at = F.filter(at, _followed(f"p{n}_{i}", i))
@@ -82,16 +89,49 @@ def holds(node: Node, leaves: list[Phrase]) -> Column:
 
 
 def match(index: DataFrame, lens: DataFrame, query: str) -> DataFrame:
-    """doc_id, bm25 (the more negative the better) of the documents that a parsed query matches."""
-    node = parse(query)
-    leaves = phrases(node)
-    if not all(p.terms for p in leaves):
-        raise Unsupported(query)
+    """doc_id, bm25 (the more negative the better) of the documents that a parsed query matches, by an index."""
+    node, leaves = understood(query)
     found = hits(index, leaves)
     # One row of corpus statistics: document count, mean length and documents with each phrase.
     size = lens.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     having = found.agg(*(F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(leaves))))
-    scored = found.filter(holds(node, leaves)).join(lens, "doc_id").crossJoin(F.broadcast(size.crossJoin(having)))
+    return score(found.filter(holds(node, leaves)).join(lens, "doc_id"), size.crossJoin(having), leaves)
+
+
+def match_texts(df: DataFrame, key: str, columns: tuple[str, ...], query: str) -> DataFrame:
+    """As match, for texts without an index: two passes over them, one for the statistics, and no shuffle."""
+    node, leaves = understood(query)
+    words = df.select(F.col(key).alias("doc_id"), *(tokens(F.col(c)).alias(f"t{n}") for n, c in enumerate(columns)))
+    over = range(len(columns))
+    total = lambda parts: reduce(Column.__add__, parts)
+    counts = [total(_count(F.col(f"t{n}"), p) for n in over).alias(f"f{i}") for i, p in enumerate(leaves)]
+    found = words.select("doc_id", total(F.size(f"t{n}") for n in over).alias("dl"), *counts)
+    stats = found.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(leaves))))
+    return score(found.filter(holds(node, leaves)), stats, leaves)
+
+
+def _count(words: Column, p: Phrase) -> Column:
+    """How often a phrase occurs in an array of tokens."""
+    ends = lambda x: x.startswith(p.terms[-1]) if p.prefix else x == p.terms[-1]
+    if len(p.terms) == 1:
+        return F.size(F.filter(words, ends))
+    m = len(p.terms)
+    starts = F.sequence(F.lit(0), F.size(words) - m)
+    fits = lambda i: reduce(Column.__and__, [F.get(words, i + k) == t for k, t in enumerate(p.terms[:-1])], ends(F.get(words, i + m - 1)))
+    return F.when(F.size(words) >= m, F.size(F.filter(starts, fits))).otherwise(0)
+
+
+def understood(query: str) -> tuple[Node, list[Phrase]]:
+    node = parse(query)
+    leaves = phrases(node)
+    if not all(p.terms for p in leaves):
+        raise Unsupported(query)
+    return node, leaves
+
+
+def score(found: DataFrame, stats: DataFrame, leaves: list[Phrase]) -> DataFrame:
+    """doc_id and bm25 from doc_id, dl and f0, f1, ..., and the one row of statistics n_docs, avgdl, n0, n1, ..."""
+    scored = found.crossJoin(F.broadcast(stats))
     total = F.lit(0.0)
     for i in range(len(leaves)):
         n, f = F.col(f"n{i}"), F.col(f"f{i}")

@@ -491,8 +491,7 @@ TOKENS = "(SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) AS pos, l
 
 
 def full_text(spark: S, d: str, q: str) -> D:
-    docs = table(spark, d, "documents")
-    return fts.match(fts.postings(docs, "doc_id", ("text",)), fts.lengths(docs, "doc_id", ("text",)), fts.rewrite(q))
+    return fts.match_texts(table(spark, d, "documents"), "doc_id", ("text",), fts.rewrite(q))
 
 
 def bm25(*leaves: str, where: str) -> str:
@@ -532,6 +531,12 @@ def fts_not(spark: S, d: str) -> D:
     return scored(full_text(spark, d, "licens NOT mit"))
 
 
+@query("fts_indexed", bm25("term LIKE 'mit%'", where="f0 > 0"))
+def fts_indexed(spark: S, d: str) -> D:
+    docs = table(spark, d, "documents")
+    return scored(fts.match(fts.postings(docs, "doc_id", ("text",)), fts.lengths(docs, "doc_id", ("text",)), "mit*"))
+
+
 @query("fts_phrase", f"WITH t AS {TOKENS} SELECT a.doc_id, count(*) AS n FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'mit' AND b.term = 'license' GROUP BY 1")
 def fts_phrase(spark: S, d: str) -> D:
     docs = table(spark, d, "documents")
@@ -542,7 +547,8 @@ def fts_phrase(spark: S, d: str) -> D:
 @query("fts_tokens", f"SELECT doc_id, count(*) AS n_tokens, count(DISTINCT term) AS n_terms FROM {TOKENS} GROUP BY 1")
 def fts_tokens(spark: S, d: str) -> D:
     index = fts.postings(table(spark, d, "documents"), "doc_id", ("text",))
-    return index.groupBy("doc_id").agg(F.sum(F.size("positions")).cast("bigint").alias("n_tokens"), F.count(F.lit(1)).alias("n_terms"))
+    terms = index.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    return terms.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.count(F.lit(1)).alias("n_terms"))
 
 
 @query("fts_fallback_like", oracle("SELECT id FROM chunks WHERE lower(content) LIKE '%example.com%' OR lower(name) LIKE '%example.com%' OR lower(class_name) LIKE '%example.com%' ORDER BY CASE WHEN lower(content) LIKE '%example.com%' THEN 3 ELSE 4 END, CASE type WHEN 'CLASS' THEN 0 WHEN 'METHOD' THEN 1 WHEN 'ANNOTATION' THEN 2 ELSE 3 END, file_path, start_line, name LIMIT 20", "chunks"))

@@ -20,14 +20,15 @@ def both(spark):
         pytest.skip("no FTS5")
     con.executemany("insert into t(rowid, a, b) values (?, ?, ?)", [(i, *t) for i, t in enumerate(TEXTS)])
     df = spark.createDataFrame([(i, *t) for i, t in enumerate(TEXTS)], "id bigint, a string, b string")
-    return con, fts.postings(df, "id", ("a", "b")).cache(), fts.lengths(df, "id", ("a", "b")).cache()
+    return con, df.cache(), fts.postings(df, "id", ("a", "b")).cache(), fts.lengths(df, "id", ("a", "b")).cache()
 
 
 @pytest.mark.parametrize("q", ["serv*", "order*", "order service*", "user* OR vu*", "service* NOT user*", '"user service"', "user_name*", "deja*", "the* AND name*", '"service service"', "zzz*"])
 def test_same_documents_and_scores(both, q):
-    con, index, lens = both
+    con, df, index, lens = both
     want = {i: s for i, s in con.execute("select rowid, bm25(t) from t where t match ?", (q,))}
-    got = {r["doc_id"]: r["bm25"] for r in fts.match(index, lens, q).collect()}
-    assert got.keys() == want.keys()
-    for i in want:
-        assert got[i] == pytest.approx(want[i], abs=1e-6)
+    for found in (fts.match(index, lens, q), fts.match_texts(df, "id", ("a", "b"), q)):
+        got = {r["doc_id"]: r["bm25"] for r in found.collect()}
+        assert got.keys() == want.keys()
+        for i in want:
+            assert got[i] == pytest.approx(want[i], abs=1e-6)
