@@ -40,6 +40,10 @@ def _bin(x: float, edges: tuple[float, ...]) -> int:
     return sum(x >= e for e in edges)
 
 
+#: Words from which on a text's shares and means are features.
+SHORT = 12
+#: A word tells the classes apart if its presence is so many times as frequent in one of them.
+LIFT = 3.0
 SHARES = (0.005, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9)
 
 
@@ -52,14 +56,17 @@ def text_features(text: str, vocabulary: frozenset[str]) -> list[str]:
     distinct = set(letters)
     found = [
         f"marks:{_bin(sum(text.count(c) for c in '#$%&*!|') / n, SHARES)}",
-        f"ends:{_bin(sum(not t[-1].isalnum() for t in tokens) / n, SHARES)}",
         f"upper:{_bin(sum(w.isupper() and len(w) > 1 for w in letters) / m, SHARES)}",
         f"bars:{_bin(tokens.count('|') / n, SHARES)}",
         f"repeats:{_bin(sum(a == b for a, b in zip(letters, letters[1:], strict=False)) / m, SHARES)}",
-        f"digits:{_bin(sum(map(str.isdigit, tokens)) / n, SHARES)}",
-        f"distinct:{_bin(len(distinct) / math.sqrt(m), (0.5, 1, 2, 3, 4, 6, 8, 12))}",
-        f"length:{_bin(sum(map(len, letters)) / m, (2, 3, 4, 5, 6, 7, 9, 12))}",
     ]
+    if n >= SHORT:  # of a few words these say little
+        found += [
+            f"ends:{_bin(sum(not t[-1].isalnum() for t in tokens) / n, SHARES)}",
+            f"digits:{_bin(sum(map(str.isdigit, tokens)) / n, SHARES)}",
+            f"distinct:{_bin(len(distinct) / math.sqrt(m), (0.5, 1, 2, 3, 4, 6, 8, 12))}",
+            f"length:{_bin(sum(map(len, letters)) / m, (2, 3, 4, 5, 6, 7, 9, 12))}",
+        ]
     return found + [f"word:{w}" for w in sorted({w.lower() for w in distinct} & vocabulary)]
 
 
@@ -153,7 +160,9 @@ def choose_words(df: DataFrame, labels: DataFrame, key: str, text: str, labelled
     a, b = F.col("bad") / bad, F.col("good") / good
     pooled = (F.col("bad") + F.col("good")) / (bad + good)
     z = F.abs(a - b) / F.sqrt(pooled * (1 - pooled) * (1 / bad + 1 / good) + F.lit(1e-12))
-    telling = counts.filter(F.col("word").isNotNull() & (F.col("bad") + F.col("good") >= 8)).withColumn("z", z).filter("z >= 4")
+    # Without the lift, frequent words would count: each says little, and together the same thing many times.
+    lifted = (a >= LIFT * b) | (b >= LIFT * a)
+    telling = counts.filter(F.col("word").isNotNull() & (F.col("bad") + F.col("good") >= 8) & lifted).withColumn("z", z).filter("z >= 4")
     return frozenset(r["word"] for r in telling.orderBy(F.desc("z"), "word").limit(words).collect()), (bad, good)
 
 
