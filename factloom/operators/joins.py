@@ -82,17 +82,18 @@ def bean_edges(deps: DataFrame, symbols: DataFrame) -> DataFrame:
     return deps.join(source, "bean_symbol_id").join(target, "depends_on_symbol_id", "left").filter("target is not null").select("source", "target").distinct()
 
 
-def resolve_references(named: DataFrame, symbols: DataFrame) -> DataFrame:
+def resolve_references(named: DataFrame, symbols: DataFrame, keep_open: bool = False) -> DataFrame:
     """Adds symbol_id to rows with ref_name: the symbol of that qualified name, else the best of that simple name.
 
-    Rows that no symbol fits are dropped. Among equal names classes come first, then by qualified name.
+    Rows that no symbol fits are dropped, or kept without one. Among equal names classes come first, then by qualified name.
     """
     kind = F.when(F.col("kind") == "CLASS", 0).when(F.col("kind") == "METHOD", 1).otherwise(2)
     best = F.struct(kind, "qualified_name", "file_path", "id")
     full = symbols.groupBy(F.col("qualified_name").alias("ref_name")).agg(F.min_by("id", best).alias("_full"))
     short = symbols.groupBy(F.col("name").alias("ref_name")).agg(F.min_by("id", best).alias("_short"))
     found = named.join(full, "ref_name", "left").join(short, "ref_name", "left")
-    return found.withColumn("symbol_id", F.coalesce("_full", "_short")).drop("_full", "_short").filter("symbol_id is not null")
+    found = found.withColumn("symbol_id", F.coalesce("_full", "_short")).drop("_full", "_short")
+    return found if keep_open else found.filter("symbol_id is not null")
 
 
 def resolve_callees(calls: DataFrame, symbols: DataFrame) -> DataFrame:

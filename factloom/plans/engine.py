@@ -30,6 +30,8 @@ class CodeIndex:
 
     def table(self, name: str, project: str | None = None) -> DataFrame:
         df = self.store.table(name)
+        if name == "code_references":  # those that name no symbol wait for one
+            df = df.filter("symbol_id is not null")
         return df if project is None else df.filter(F.col("project") == project)
 
     def full_text(self, name: str, q: str, limit: int, project: str | None) -> DataFrame:

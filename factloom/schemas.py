@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 #: DDL of each table. `id` is a stable hash of the natural key, never a row number.
 DDL: dict[str, str] = {
     "symbols": "id bigint, project string, file_path string, start_line int, end_line int, kind string, name string, qualified_name string, signature string, return_type string, parent_class string, modifiers int, javadoc string, super_class string, interfaces array<string>, is_data_class boolean, is_object boolean, is_sealed boolean, is_companion boolean, is_trait boolean, is_case_class boolean",
-    "code_references": "id bigint, project string, symbol_id bigint, from_file string, from_line int, context string",
+    "code_references": "id bigint, project string, symbol_id bigint, from_file string, from_line int, context string, ref_name string",
     "calls": "id bigint, project string, caller_method string, caller_file string, caller_line int, callee_method string, callee_file string",
     "chunks": "id bigint, project string, file_path string, type string, start_line int, end_line int, name string, content string, package_name string, class_name string, signature string",
     "file_meta": "project string, file_path string, size bigint, last_modified bigint, sha1 string, symbol_count int, last_indexed_at bigint",

@@ -81,37 +81,28 @@ def _columns(ddl: str) -> list[str]:
     return [*parts, ddl[at:].strip()]
 
 
-def facts_of(files: DataFrame, known_symbols: DataFrame | None = None, now_ms: int | None = None) -> dict[str, DataFrame]:
-    """The fact tables of the files. known_symbols: symbols of other files, which names may refer to as well."""
+def facts_of(files: DataFrame, now_ms: int | None = None) -> dict[str, DataFrame]:
+    """The fact tables of the files; names of other files' symbols are left open, see resolve."""
     parsed = stored(parse_files(files))
     now_ms = int(time.time() * 1000) if now_ms is None else now_ms
     each = lambda t: parsed.select("project", "file_path", F.inline(t))
     symbols = conform(each("symbols").withColumn("id", stable_id("project", "file_path", "kind", "qualified_name", "signature", "start_line")), "symbols")
-    everywhere = symbols if known_symbols is None else symbols.unionByName(conform(known_symbols, "symbols"))
-    named = everywhere.select("project", "file_path", "id", "kind", "name", "qualified_name", "start_line")
     owners = symbols.groupBy("project", "file_path", F.col("qualified_name").alias("owner")).agg(F.min("id").alias("owner_id"))
     owned = lambda df: df.join(owners, ["project", "file_path", "owner"], "left")
     tables = {"symbols": symbols}
-    references = resolve_in_projects(each("references"), named)
-    tables["code_references"] = references.select("project", "symbol_id", F.col("file_path").alias("from_file"), "from_line", "context", stable_id("project", "file_path", "from_line", "context", "symbol_id").alias("id"))
-    targets = named.groupBy("project", F.col("qualified_name").alias("callee_method")).agg(F.min("file_path").alias("callee_file"))
-    calls = each("calls").withColumnRenamed("file_path", "caller_file").join(targets, ["project", "callee_method"], "left")
+    references = each("references").withColumn("id", stable_id("project", "file_path", "from_line", "context"))
+    tables["code_references"] = references.withColumnRenamed("file_path", "from_file")
+    calls = each("calls").withColumnRenamed("file_path", "caller_file")
     tables["calls"] = calls.withColumn("id", stable_id("project", "caller_file", "caller_line", "caller_method", "callee_method"))
     by_kind = symbols.groupBy("project", "file_path", F.col("qualified_name").alias("owner"), F.col("kind").alias("owner_kind")).agg(F.min("id").alias("symbol_id"))
     marks = each("annotations").join(by_kind, ["project", "file_path", "owner", "owner_kind"], "left")
     tables["annotations"] = marks.withColumn("id", stable_id("project", "file_path", "owner", "name"))
     for table, source, key in (("api_routes", "routes", ("http_method", "path", "start_line")), ("bean_sources", "bean_sources", ("bean_name", "start_line")), ("config_bindings", "bindings", ("config_key", "field_name", "start_line"))):
         tables[table] = owned(each(source)).withColumn("symbol_id", F.col("owner_id")).withColumn("id", stable_id("project", "file_path", *key))
-    beans = owned(each("beans")).withColumns({"bean_symbol_id": F.col("owner_id"), "ref_name": F.regexp_replace("depends_on_type", "<.*", "")})
-    classes = named.filter("kind = 'CLASS'")
-    local = classes.groupBy("project", "file_path", F.col("name").alias("ref_name")).agg(F.min("id").alias("_local"))
-    anywhere = classes.groupBy("project", F.col("name").alias("ref_name")).agg(F.min_by("id", F.struct("qualified_name", "file_path")).alias("_any"))
-    beans = beans.withColumn("ref_name", simple_name(F.col("ref_name"))).join(local, ["project", "file_path", "ref_name"], "left").join(anywhere, ["project", "ref_name"], "left")
-    tables["bean_dependencies"] = beans.withColumns({"depends_on_symbol_id": F.coalesce("_local", "_any"), "same_file": F.col("_local").isNotNull(), "id": stable_id("project", "file_path", "owner", "depends_on_type", "injection_type", "field_name")})
-    tests = each("tests")
+    beans = owned(each("beans")).withColumn("bean_symbol_id", F.col("owner_id"))
+    tables["bean_dependencies"] = beans.withColumn("id", stable_id("project", "file_path", "owner", "depends_on_type", "injection_type", "field_name"))
     own_class = symbols.filter("kind = 'CLASS'").groupBy("project", "file_path", F.col("name").alias("test_class_name")).agg(F.min("id").alias("test_symbol_id"))
-    source_class = classes.groupBy("project", F.col("name").alias("source_class_name")).agg(F.min_by("id", F.struct("qualified_name", "file_path")).alias("source_symbol_id"))
-    tables["test_mappings"] = tests.join(own_class, ["project", "file_path", "test_class_name"], "left").join(source_class, ["project", "source_class_name"], "left").withColumn("id", stable_id("project", "file_path", "test_class_name"))
+    tables["test_mappings"] = each("tests").join(own_class, ["project", "file_path", "test_class_name"], "left").withColumn("id", stable_id("project", "file_path", "test_class_name"))
     chunks = each("chunks")
     tables["chunks"] = chunks.withColumn("id", stable_id("project", "file_path", "type", "class_name", "name", "start_line"))
     tables["config_entries"] = each("config").withColumn("id", stable_id("project", "file_path", "key", "line"))
@@ -129,11 +120,29 @@ def facts_of(files: DataFrame, known_symbols: DataFrame | None = None, now_ms: i
     return {t: conform(df, t) for t, df in tables.items()} | {"modules": each("modules"), "errors": parsed.select("project", "file_path", F.explode("errors").alias("error"))}
 
 
-def resolve_in_projects(rows: DataFrame, named: DataFrame) -> DataFrame:
-    """resolve_references within each project."""
+def resolve(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables with every name that refers to a symbol resolved against all symbols of its project.
+
+    References and their targets are looked up anew each time, whichever files changed, so increments and rebuilds
+    agree. A reference that names no symbol keeps a null symbol_id.
+    """
+    named = tables["symbols"].select("project", "file_path", "id", "kind", "name", "qualified_name", "start_line")
     tag = lambda c: F.concat_ws("\u0001", "project", c)
-    inside = named.withColumns({"qualified_name": tag("qualified_name"), "name": tag("name")})
-    return resolve_references(rows.withColumn("ref_name", tag("ref_name")), inside)
+    tagged = named.withColumns({"qualified_name": tag("qualified_name"), "name": tag("name")})
+    references = tables["code_references"].drop("symbol_id").withColumns({"_plain": F.col("ref_name"), "ref_name": tag("ref_name")})
+    references = resolve_references(references, tagged, keep_open=True).withColumn("ref_name", F.col("_plain"))
+    targets = named.groupBy("project", F.col("qualified_name").alias("callee_method")).agg(F.min("file_path").alias("callee_file"))
+    calls = tables["calls"].drop("callee_file").join(targets, ["project", "callee_method"], "left")
+    classes = named.filter("kind = 'CLASS'")
+    local = classes.groupBy("project", "file_path", F.col("name").alias("_name")).agg(F.min("id").alias("_local"))
+    anywhere = classes.groupBy("project", F.col("name").alias("_name")).agg(F.min_by("id", F.struct("qualified_name", "file_path")).alias("_any"))
+    beans = tables["bean_dependencies"].withColumn("_name", simple_name(F.regexp_replace("depends_on_type", "<.*", "")))
+    beans = beans.join(local, ["project", "file_path", "_name"], "left").join(anywhere, ["project", "_name"], "left")
+    beans = beans.withColumns({"depends_on_symbol_id": F.coalesce("_local", "_any"), "same_file": F.col("_local").isNotNull()})
+    sources_ = anywhere.select("project", F.col("_name").alias("source_class_name"), F.col("_any").alias("source_symbol_id"))
+    tests = tables["test_mappings"].drop("source_symbol_id").join(sources_, ["project", "source_class_name"], "left")
+    found = {"code_references": references, "calls": calls, "bean_dependencies": beans, "test_mappings": tests}
+    return tables | {t: conform(df, t) for t, df in found.items()}
 
 
 class Store:
@@ -200,15 +209,9 @@ def index(store: Store, files: DataFrame, full_listing: bool = True, now_ms: int
         column = FILE_COLUMN[name]
         keys = stale.select("project", F.col("file_path").alias(column)) if column else None
         left[name] = df if keys is None else df.join(keys, ["project", column], "left_anti")
-    new = facts_of(changed, left["symbols"], now_ms)
-    # References of unchanged files to symbols that are gone go with them; edges lose their target.
+    new = facts_of(changed, now_ms)
     tables = {name: left[name].unionByName(new[name]) for name in DDL if name != "index_metadata"}
-    alive = tables["symbols"].select("id")
-    tables["code_references"] = tables["code_references"].join(alive.withColumnRenamed("id", "symbol_id"), "symbol_id", "left_semi")
-    for name, column in (("bean_dependencies", "depends_on_symbol_id"), ("test_mappings", "source_symbol_id")):
-        columns = tables[name].columns
-        there = alive.select(F.col("id").alias(column), F.lit(True).alias("_alive"))
-        tables[name] = tables[name].join(there, column, "left").withColumn(column, F.when(F.col("_alive"), F.col(column))).select(*columns)
+    tables = resolve(tables | {"symbols": stored(tables["symbols"])})
     tables["index_metadata"] = changes.upsert(old["index_metadata"], new["index_metadata"], ("project", "key"), "updated_at")
     store.write(tables)
     return {"changed": n_changed, "deleted": n_gone, "errors": new["errors"].count()}
