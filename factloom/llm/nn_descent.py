@@ -3,7 +3,7 @@
 Equal vectors are one node. The graph starts from blocks around pivots (a bounded sample of vectors, PIVOTS of them;
 every vector goes to the blocks of its nearest pivots, blocks beyond BLOCK are split at random). Then rounds of joins
 of neighbours of neighbours improve it: at every node its neighbours and reverse neighbours meet, and each learns of
-those that are closer than what it has; pairs that met before aren't tried again. Rounds end when few lists change.
+those that are closer than what it has; pairs that met before aren't tried again. Rounds end when few lists change (SETTLED; ROUNDS only guards against never).
 
 A query starts from its nearest pivots, and from its own node if it is a row of the index, and keeps a beam of the
 nearest nodes seen. Each hop joins the best nodes not yet expanded with the graph; the search ends when the whole beam
@@ -29,7 +29,7 @@ NEIGHBOURS, REVERSE = 32, 32
 PIVOTS, PIVOTS_EACH, BLOCK = 1024, 5, 400
 #: What a node hands on to each of those that meet at it.
 OFFERS = 12
-ROUNDS, SETTLED = 8, 0.01
+ROUNDS, SETTLED = 30, 0.01
 BEAM, EXPANDED, HOPS = 200, 24, 24
 
 
