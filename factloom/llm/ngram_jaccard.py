@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import count, groupby
 
 import numpy as np
 import xxhash
@@ -147,40 +147,42 @@ def _brute(df: DataFrame, least: int) -> DataFrame:
 def candidates(records: DataFrame, threshold: float, recall: float, leaf: int) -> DataFrame:
     """Edges (a, b) that connect all records whose sketches are close in some final node."""
     least, allowed = least_equal(threshold), math.log(1 - recall)
+    threshold = min(threshold, 1 - 1e-9)
     member = F.struct("record", "low", "high")
     edges: list[DataFrame] = []
     active = records.withColumn("missed", F.lit(0.0))
-    for turn in range(8):
+    for turn in count():
         runs = range(turn * RUNS, (turn + 1) * RUNS)
         now = active.select("record", "low", "high", F.explode(F.array(*map(_paths, runs))).alias("p")).select("record", "low", "high", "p.*")
         deeper: list[DataFrame] = []
         for level in range(DEPTH):
             node = f"k{level}"
             sizes = now.groupBy(F.col(node).alias("_node")).agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1")
-            shared = now.join(sizes, F.col(node) == F.col("_node"))
+            # Written on its own: the join's hot nodes can be split, since no grouping waits for its partitioning.
+            shared = durable(now.join(sizes, F.col(node) == F.col("_node")).drop(node), "shared")
             small = shared.filter(F.col("_size") <= leaf).groupBy("_node").agg(F.collect_list(member).alias("members"))
             edges.append(durable(_brute(small, least), "close"))
             if level == DEPTH - 1:
                 edges.append(durable(_grid(shared.filter(F.col("_size") > leaf), member, leaf, least), "close-grid"))
                 break
-            now = durable(shared.filter(F.col("_size") > leaf).drop("_node", "_size"), "split")
+            now = shared.filter(F.col("_size") > leaf).drop("_node", "_size")
             if now.isEmpty():
                 break
             deeper.append(now.select("record", "run"))
         # What the runs may have missed, by the depth that each of a record's nodes reached.
-        depths = active.select("record", F.explode(F.array(*map(F.lit, runs))).alias("run"), F.lit(1).alias("d")) if not deeper else None
-        if depths is None:
+        shallow = RUNS * math.log1p(-threshold)
+        if not deeper:
+            active = active.withColumn("missed", F.col("missed") + shallow).filter(F.col("missed") > allowed)
+        else:
             more = deeper[0]
             for x in deeper[1:]:
                 more = more.unionByName(x)
             reached = more.groupBy("record", "run").agg((F.count(F.lit(1)) + 1).alias("d"))
-            miss = F.log1p(-F.pow(F.lit(threshold), F.least(F.col("d"), F.lit(DEPTH))))
-            spent = reached.groupBy("record").agg(F.sum(miss).alias("_deep"), F.count(F.lit(1)).alias("_runs"))
-            total = F.col("missed") + F.col("_deep") + (RUNS - F.col("_runs")) * math.log1p(-threshold)
-            active = durable(active.join(spent, "record").withColumn("missed", total).drop("_deep", "_runs").filter(F.col("missed") > allowed), "unsure")
-            if active.isEmpty():
-                break
-        elif RUNS * math.log1p(-threshold) * (turn + 1) <= allowed:
+            extra = F.log1p(-F.pow(F.lit(threshold), F.col("d"))) - math.log1p(-threshold)
+            spent = reached.groupBy("record").agg(F.sum(extra).alias("_deep"))
+            missed = F.col("missed") + shallow + F.coalesce("_deep", F.lit(0.0))
+            active = durable(active.join(spent, "record", "left").withColumn("missed", missed).drop("_deep").filter(F.col("missed") > allowed), "unsure")
+        if active.isEmpty():
             break
     found = edges[0]
     for e in edges[1:]:
