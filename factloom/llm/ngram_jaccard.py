@@ -158,7 +158,8 @@ def candidates(records: DataFrame, threshold: float, recall: float, leaf: int) -
         for level in range(DEPTH):
             node = f"k{level}"
             sizes = now.groupBy(F.col(node).alias("_node")).agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1")
-            # Written on its own: the join's hot nodes can be split, since no grouping waits for its partitioning.
+            # Sizes and join are written apart: hot nodes can be split where neither side is grouped by the node.
+            sizes = durable(sizes, "sizes")
             shared = durable(now.join(sizes, F.col(node) == F.col("_node")).drop(node), "shared")
             small = shared.filter(F.col("_size") <= leaf).groupBy("_node").agg(F.collect_list(member).alias("members"))
             edges.append(durable(_brute(small, least), "close"))
