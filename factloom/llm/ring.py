@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Places on the ring: 2 ** BITS.
-BITS = 16
+BITS = 14
 CELLS = 1 << BITS
 
 
