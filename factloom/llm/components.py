@@ -18,10 +18,11 @@ def connected(edges: DataFrame) -> DataFrame:
     now = durable(edges.filter("a <> b").select(high, low).distinct(), "edges")
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Least neighbours are written before they are joined: a hot node's edges can be split then.
+        least = durable(both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, F.col("a") == F.col("u")).filter("b > u").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = durable(large, "large-star")
-        first = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        first = durable(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "least")
         small = large.join(first, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
         after = durable(small.select("e.a", "e.b").filter("a <> b").distinct(), "small-star")
         # Stars are left when no node is both below and above another: then the rounds have come to rest.
