@@ -30,6 +30,10 @@ from factloom.llm.common import map_rows
 SPACE = "▁"
 #: Words whose ids a Python worker remembers; beyond it a new memory starts and the one before stays for reading.
 REMEMBERED = 400_000
+LETTER = re.compile(r"[^\W\d_]").match
+PARTS = re.compile(r"[^\W\d_]+|[\W\d_]+").findall
+#: With more pairs of letters and others inside pieces, words aren't cut at all.
+ACROSS = 64
 #: New words are checked against the library so many at a time.
 CHECKED = 4096
 
@@ -75,14 +79,23 @@ class PieceBPE:
                     self.leading.add(str(i))
         if any(SPACE in name.lstrip(SPACE) for name in self.ids):
             raise ValueError("a piece has a space inside: words can't be merged one by one")
-        apart = all(a.isalpha() == b.isalpha() or a == SPACE for name in self.ids for a, b in zip(name, name[1:], strict=False))
-        self.parts = re.compile(r"[^\W\d_]+|[\W\d_]+").findall if apart else lambda w: [w]
+        # Pairs that a piece holds across the places where words are cut: words with one of them stay whole.
+        kinds = {c: LETTER(c) is not None for name in self.ids for c in name}
+        across = {a + b for name in self.ids for a, b in zip(name, name[1:], strict=False) if kinds[a] != kinds[b] and a != SPACE}
+        self.held = re.compile("|".join(map(re.escape, sorted(across)))).search if across else None
+        self.cut = len(across) <= ACROSS
         self.check = check
         self.words: dict[str, str] = {}  # ids by word
         self.earlier: dict[str, str] = {}  # those before the memory was last full
         self.inner: dict[str, str] = {}  # ids by what stands inside a word
         self.unchecked: dict[str, str] = {}
 
+    def parts(self, word: str) -> list[str]:
+        """Runs of letters and of others, which no piece spans; the whole word if a piece might."""
+        if not self.cut or self.held is not None and self.held(word):
+            return [word] if word else []
+        return PARTS(word)
+
     def merge(self, chunk: str) -> list[int]:
         """Ids of symbols after all merges, by the agenda."""
         symbols: list[str | None] = list(chunk)

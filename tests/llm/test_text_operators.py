@@ -35,6 +35,14 @@ def test_pieces_equal_the_library(s):
     assert coder.decode(ids) == coder.library.decode(ids)
 
 
+def test_pieces_side_by_side_and_places_where_words_are_cut():
+    coder, r = piece_bpe.loaded(PIECES), random.Random(4)
+    names = list(coder.ids)
+    odd = [n for n in names if not n.strip("▁").isalpha()]
+    texts = ["².", "a².b", "², x²."] + ["".join(r.choice(odd if r.random() < 0.5 else names).replace("▁", " ") for _ in range(r.randint(1, 6))) for _ in range(5000)]
+    assert [coder.encode(t) for t in texts] == coder.library.encode(texts, add_eos=True, num_threads=1)
+
+
 @given(st.lists(st.integers(0, 31_999) | st.integers(0, 300), max_size=8))
 def test_any_ids_decode_like_the_library(ids):
     coder = piece_bpe.loaded(PIECES)
