@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from factloom.functions.like import contains
 from factloom.session import stored
 
+#: Edges up to this number are split into strongly connected components on the driver, more of them by joins.
+FEW = 100_000
+
 
 def parent_edges(symbols: DataFrame) -> DataFrame:
     """child, parent, relation: names of classes and of what they extend or implement."""
@@ -51,22 +54,90 @@ def hierarchy_down(symbols: DataFrame, name: str, limit: int = 50, recursive: bo
     return heirs.select("name", "qualified_name", F.lit(1).alias("depth"), F.when(F.col("super_class") == name, "extends").otherwise("implements").alias("relation")).orderBy("qualified_name", "name").limit(limit)
 
 
-def cycles(edges: DataFrame, max_length: int = 8, through: str | None = None) -> DataFrame:
-    """path: every simple cycle of the edges (source, target) of at most max_length steps, once, from its least node.
-
-    Paths only grow over nodes greater than their start, which keeps one rotation of each cycle and prunes the rest.
+def _least(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """node, least: the least node from which each node of the edges is reached, itself included."""
+    now = stored(edges.select(F.explode(F.array(source, target)).alias("node")).distinct().withColumn("least", F.col("node")))
+    while True:
+        own = now.withColumn("before", F.col("least"))
+        offers = edges.join(now, F.col(source) == F.col("node")).select(F.col(target).alias("node"), "least")
+        after = stored(own.unionByName(offers, allowMissingColumns=True).groupBy("node").agg(F.min("least").alias("least"), F.min("before").alias("before")))
+        now = after.select("node", "least")
+        if after.filter("least < before").isEmpty():
+            return now
+
+
+def _parts(edges: list[tuple[str, str]]) -> dict[str, int]:
+    """The strongly connected component of every node: two searches, the second one backwards."""
+    ahead: dict[str, list[str]] = {}
+    back: dict[str, list[str]] = {}
+    for a, b in edges:
+        ahead.setdefault(a, []).append(b)
+        ahead.setdefault(b, [])
+        back.setdefault(b, []).append(a)
+    done: list[str] = []
+    seen: set[str] = set()
+    for start in ahead:
+        if start in seen:
+            continue
+        seen.add(start)
+        open_nodes = [(start, iter(ahead[start]))]
+        while open_nodes:
+            node, rest = open_nodes[-1]
+            if (after := next((x for x in rest if x not in seen), None)) is None:
+                done.append(node)
+                open_nodes.pop()
+            else:
+                seen.add(after)
+                open_nodes.append((after, iter(ahead[after])))
+    part: dict[str, int] = {}
+    for n, start in enumerate(reversed(done)):
+        reached = [start] if start not in part else []
+        while reached:
+            if (node := reached.pop()) not in part:
+                part[node] = n
+                reached.extend(x for x in back.get(node, ()) if x not in part)
+    return part
+
+
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """The distinct edges (source, target) that are part of some cycle: those inside strongly connected components.
+
+    The ends of such an edge have the same least node before them, and the same least node behind them; edges whose
+    ends differ go, until none does. Then one node of each part that is left reaches all of it and is reached by all.
     """
-    steps = edges.select("source", "target").distinct()
-    paths = steps.filter("target >= source").select(F.col("source").alias("start"), F.col("target").alias("at"), F.array("source", "target").alias("path"))
-    found = None
-    for length in range(1, max_length + 1):
-        closed = paths.filter("at = start").select("path")
-        found = closed if found is None else found.unionByName(closed)
-        if length == max_length:
-            break
+    now = stored(edges.select("source", "target").filter("source is not null and target is not null").distinct())
+    before, left = -1, now.count()
+    if left <= FEW:
+        found = [tuple(r) for r in now.collect()]
+        part = _parts(found)
+        return edges.sparkSession.createDataFrame([e for e in found if part[e[0]] == part[e[1]]], now.schema).coalesce(1)
+    while left and left != before:
+        for back, ahead in (("source", "target"), ("target", "source")):
+            least = _least(now, back, ahead)
+            ends = (least.select(F.col("node").alias(c), F.col("least").alias(f"_{c}")) for c in ("source", "target"))
+            now = stored(now.join(next(ends), "source").join(next(ends), "target").filter("_source = _target").select("source", "target"))
+        before, left = left, now.count()
+    return now
+
+
+def cycles(edges: DataFrame, max_length: int | None = None, through: str | None = None) -> DataFrame:
+    """path: every simple cycle of the edges (source, target), once, from its least node; max_length: of at most so many steps.
+
+    Paths only grow over nodes greater than their start, which keeps one rotation of each cycle and prunes the rest, and
+    over edges that are part of some cycle. They grow until none is open.
+    """
+    steps = on_cycles(edges)
+    paths = stored(steps.filter("target >= source").select(F.col("source").alias("start"), F.col("target").alias("at"), F.array("source", "target").alias("path")))
+    found = paths.filter("at = start").select("path")
+    length = 1
+    while length != max_length:
         grown = paths.filter("at <> start").join(steps, F.col("at") == F.col("source"))
         fresh = (F.col("target") == F.col("start")) | ((F.col("target") > F.col("start")) & ~F.array_contains("path", F.col("target")))
-        paths = grown.filter(fresh).select("start", F.col("target").alias("at"), F.concat("path", F.array("target")).alias("path"))
+        paths = stored(grown.filter(fresh).select("start", F.col("target").alias("at"), F.concat("path", F.array("target")).alias("path")))
+        if paths.isEmpty():
+            break
+        found = found.unionByName(paths.filter("at = start").select("path"))
+        length += 1
     if through is not None:
         found = found.filter(F.array_contains("path", through))
     return found.orderBy(F.size("path"), F.concat_ws(">", "path"))

@@ -160,7 +160,7 @@ class CodeIndex:
         found = joins.dead_code(self.table("symbols", project), self.table("code_references", project), public_only)
         return found.select("name", "qualified_name", "kind", "file_path", "start_line").orderBy("qualified_name", "file_path", "start_line").limit(limit)
 
-    def find_circular_deps(self, class_name: str | None = None, limit: int = 20, max_length: int = 8, project: str | None = None) -> DataFrame:
+    def find_circular_deps(self, class_name: str | None = None, limit: int = 20, max_length: int | None = None, project: str | None = None) -> DataFrame:
         edges = joins.bean_edges(self.table("bean_dependencies", project), self.table("symbols", project))
         return graph.cycles(edges, max_length, class_name).limit(limit)
 
