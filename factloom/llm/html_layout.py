@@ -5,7 +5,8 @@ tags (a paragraph ends where a block begins, items and cells end where the next
 their parent); visibility rules drop what isn't shown (scripts, styles, templates, hidden elements, comments, closed
 details); a renderer lays out the rest. Inline text flows with white space collapsed, blocks stand on lines of their
 own, paragraphs, headings, lists and tables have a blank line around them, list items carry bullets or numbers and
-indent with their depth, preformatted text keeps its spaces, and the cells of a table are padded to aligned columns.
+indent with their depth, preformatted text keeps its spaces, and the cells of a table are padded to aligned columns. What stands in a table
+outside its cells comes before it, as in browsers; elements around cells or rows are looked through.
 
 Null and empty pages give the empty text. Pages of any length and any damage give some text: no input raises. Nesting
 deeper than DEPTH is laid out as if at that depth. Repeated rows are rendered alike; other columns are ignored.
@@ -287,6 +288,11 @@ def _span(attrs: dict[str, str], name: str) -> int:
     return max(1, min(1000, int(value))) if value.isdigit() else 1
 
 
+def _holds_cells(node: Node) -> bool:
+    """Whether the element wraps rows or cells of the table around it."""
+    return node.name not in ("table", "caption") and any(isinstance(c, Node) and (c.name in ("tr", "td", "th") or _holds_cells(c)) for c in node.children)
+
+
 def _table(node: Node, page: Page, depth: int) -> None:
     page.space()
     grid: list[dict[int, list[str]]] = []
@@ -309,16 +315,30 @@ def _table(node: Node, page: Page, depth: int) -> None:
             taken[i] -= 1
         grid.append(found)
 
+    def cells(part: Node, found: list[Node]) -> list[Node]:
+        """The cells of a row, also those that other elements wrap. What else the row holds goes before the table."""
+        for child in part.children:
+            if isinstance(child, str):
+                page.say(child)
+            elif visible(child):
+                if child.name in ("td", "th"):
+                    found.append(child)
+                elif _holds_cells(child):
+                    cells(child, found)
+                else:
+                    _block(child, page, depth + 1)
+        return found
+
     def walk(part: Node) -> None:
         for child in part.children:
             if isinstance(child, str):
                 page.say(child)
             elif visible(child):
                 if child.name == "tr":
-                    row([c for c in child.children if isinstance(c, Node) and c.name in ("td", "th") and visible(c)])
+                    row(cells(child, []))
                 elif child.name in ("td", "th"):
                     row([child])
-                elif child.name in ("thead", "tbody", "tfoot"):
+                elif child.name in ("thead", "tbody", "tfoot") or _holds_cells(child):
                     walk(child)
                 elif child.name not in ("col", "colgroup"):
                     _block(child, page, depth + 1)
