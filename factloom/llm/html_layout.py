@@ -3,7 +3,9 @@
 A tokenizer turns the page into tags and text; a tree builder opens and closes elements by the rules of HTML's implied
 tags (a paragraph ends where a block begins, items and cells end where the next begins, unclosed elements end with
 their parent); visibility rules drop what isn't shown (scripts, styles, templates, hidden elements, comments, closed
-details); a renderer lays out the rest. Inline text flows with white space collapsed, blocks stand on lines of their
+details, what aria-hidden marks, input fields, and media, frames and noscript with their fallback); a renderer lays out
+the rest. Formulas, the text of SVG drawings (not their titles and definitions), all options of a choice, the contents of
+text areas and the fallback of objects are shown. Inline text flows with white space collapsed, blocks stand on lines of their
 own, paragraphs, headings, lists and tables have a blank line around them, list items carry bullets or numbers and
 indent with their depth, preformatted text keeps its spaces, and the cells of a table are padded to aligned columns. What stands in a table
 outside its cells comes before it, as in browsers; elements around cells or rows are looked through.
@@ -28,7 +30,12 @@ from factloom.llm.common import map_rows
 #: Element names by the part they play in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("script style template head title noscript iframe object svg math canvas audio video datalist noembed noframes select textarea".split())
+HIDDEN = frozenset("script style template head title noscript iframe canvas audio video datalist noembed noframes annotation annotation-xml mphantom".split())
+#: Of SVG, text is shown where it is in a text element or is HTML, unless it is in one of these.
+SVG_TEXT = frozenset("text foreignobject".split())
+SVG_HIDDEN = frozenset("title desc defs metadata symbol clippath mask marker pattern lineargradient radialgradient filter".split())
+#: Elements of MathML whose children stand at places of their own.
+MATH_PLACES = frozenset("mfrac msub msup msubsup munder mover munderover mmultiscripts mroot mtable mtr mlabeledtr".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol p pre search section summary table ul xmp tr td th thead tbody tfoot caption".split()
 )
@@ -40,6 +47,7 @@ CLOSES = {
     "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])),
     "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])),
     "option": (frozenset(["option"]), frozenset(["select", "datalist"])),
+    "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select", "datalist"])),
     "tr": (frozenset(["tr", "td", "th", "caption", "colgroup"]), frozenset(["table"])),
     "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
@@ -55,6 +63,7 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+UNQUOTED = re.compile(r"=\s*[^\s\"'<>=`]+$")
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -125,6 +134,8 @@ def build(html: str) -> Node:
             stack.pop()
         node = Node(name, attributes(m["attrs"]) if m["attrs"].strip(" /\n\t") else {})
         stack[-1].children.append(node)
+        if m["attrs"].endswith("/") and not UNQUOTED.search(m["attrs"]) and _foreign(stack):
+            continue
         if name in RAW:
             end = re.compile(f"</{re.escape(name)}(?=[\\s/>])[^>]*>", re.I).search(html, at)
             body = html[at : end.start() if end else len(html)]
@@ -136,6 +147,12 @@ def build(html: str) -> Node:
     return root
 
 
+def _foreign(stack: list[Node]) -> bool:
+    """Whether an element opened here is one of SVG or MathML, where a closing slash ends it."""
+    inner = next((n.name for n in reversed(stack) if n.name in ("svg", "math", "foreignobject", "desc", "annotation-xml")), "")
+    return inner in ("svg", "math")
+
+
 def visible(node: Node) -> bool:
     if node.name in HIDDEN:
         return False
@@ -242,6 +259,30 @@ def _inline(node: Node, page: Page, depth: int) -> None:
     elif node.name == "img":
         if alt := node.attrs.get("alt", "").strip():
             page.say(f" {alt} ")
+    elif node.name == "svg":
+        _svg(node, page, depth)
+    elif node.name in MATH_PLACES:
+        for child in node.children:
+            page.say(" ")
+            if isinstance(child, str):
+                page.say(child)
+            elif visible(child):
+                _block(child, page, depth + 1)
+        page.say(" ")
+    elif node.name == "textarea":
+        lines = _plain(node).split("\n")
+        if len(lines) == 1:
+            page.say(f" {lines[0]} ")
+        else:
+            page.end_line()
+            for line in lines[not lines[0] :]:
+                page.put(line.rstrip())
+    elif node.name in ("optgroup", "option"):
+        label = node.attrs.get("label", "").strip()
+        page.say(f" {label} ")
+        if node.name == "optgroup" or not label:
+            _children(node, page, depth)
+        page.say(" ")
     elif node.name == "q":
         page.say("“")
         _children(node, page, depth)
@@ -250,6 +291,30 @@ def _inline(node: Node, page: Page, depth: int) -> None:
         _children(node, page, depth)
 
 
+def _drawn(node: Node) -> bool:
+    return node.name not in SVG_HIDDEN and visible(node) and node.attrs.get("display") != "none" and node.attrs.get("visibility") not in ("hidden", "collapse")
+
+
+def _svg(node: Node, page: Page, depth: int) -> None:
+    """The text of a drawing; each text element is apart from the others."""
+    for child in node.children:
+        if isinstance(child, Node) and _drawn(child):
+            if child.name in SVG_TEXT:
+                page.say(" ")
+                _svg_text(child, page, depth + 1) if child.name == "text" else _children(child, page, depth + 1)
+                page.say(" ")
+            else:
+                _svg(child, page, depth + 1)
+
+
+def _svg_text(node: Node, page: Page, depth: int) -> None:
+    for child in node.children:
+        if isinstance(child, str):
+            page.say(child)
+        elif _drawn(child):
+            _svg_text(child, page, depth + 1)
+
+
 def _list(node: Node, page: Page, depth: int) -> None:
     number = int(start) if re.fullmatch(r"-?\d{1,9}", start := node.attrs.get("start", "1")) else 1
     for child in node.children:
@@ -278,6 +343,11 @@ def _plain(node: Node) -> str:
             parts.append(child)
         elif child.name == "br":
             parts.append("\n")
+        elif child.name == "svg" and visible(child):
+            inner = Page()
+            _svg(child, inner, 0)
+            inner.end_line()
+            parts.append(" ".join(inner.lines))
         elif visible(child):
             parts.append(_plain(child))
     return "".join(parts).replace("\r\n", "\n").expandtabs(8)
