@@ -18,7 +18,8 @@ Nothing is emitted by pair: a node or block emits at most one edge and one count
 is used for candidates' ids only while they are few (BROADCAST_ROWS); beyond, the same join is shuffled.
 
 Null texts are empty; empty texts are in no pair and classes of their own; repeated rows are copies; other columns are
-ignored; the empty table gives no rows. Sets are told apart by 64-bit hashes.
+ignored; the empty table gives no rows. Sets are told apart by 64-bit hashes. Rows of one id with different texts are
+records of their own: where several classes have the same least id, one is named by it, the others by negative hashes.
 """
 
 from __future__ import annotations
@@ -103,18 +104,23 @@ def close(low: np.ndarray, high: np.ndarray, least: int) -> list[tuple[int, int]
 
 
 def signatures(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """key, record (hash of the set, null if empty), size, tokens, low, high for every row."""
+    """key, hash (of the text), record (hash of the set, null if empty), size, tokens, low, high for every row."""
 
     def rows(found: Iterator[tuple]) -> Iterator[tuple]:
-        for k, t in found:
+        for k, t, h in found:
             s = shingles(t, n)
             if len(s):
                 m = minhashes(s)
-                yield k, record(s), len(s), m.view(np.int32).tolist(), *sketch(m)
+                yield k, h, record(s), len(s), m.view(np.int32).tolist(), *sketch(m)
             else:
-                yield k, None, 0, None, None, None
+                yield k, h, None, 0, None, None, None
 
-    return map_rows(df.select(F.col(key), F.col(text)), rows, f"{key} bigint, record bigint, size int, tokens array<int>, low bigint, high bigint")
+    return map_rows(df.select(F.col(key), F.col(text), text_hash(text)), rows, f"{key} bigint, hash bigint, record bigint, size int, tokens array<int>, low bigint, high bigint")
+
+
+def text_hash(text: str) -> Column:
+    """What tells the texts of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def record(found: np.ndarray) -> int:
@@ -276,36 +282,59 @@ def _links(names: list[int], linked: np.ndarray, a: np.ndarray, b: np.ndarray) -
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999, leaf: int = 1000) -> DataFrame:
     """key, class_id, n_links for every row of df."""
+    rows, facts = _facts(df, key, text, n, threshold, recall, leaf)
+    # An id with several texts may be the least of several classes: all but the first one get names of their own.
+    firsts = durable(facts.groupBy("class_id").agg(F.min("root").alias("_first"), F.max("root").alias("_last")).filter("_first <> _last").select(F.col("class_id").alias("_named"), "_first"), "names")
+    if (names := firsts.count()) > 0:
+        facts = facts.join(F.broadcast(firsts) if names <= BROADCAST_ROWS else firsts, F.col("class_id") == F.col("_named"), "left")
+        facts = facts.withColumn("class_id", F.when(F.col("root") > F.col("_first"), _name("class_id", "root")).otherwise(F.col("class_id")))
+    found = rows.select(key, "record").join(facts.select(F.col("record").alias("_record"), "class_id", "n_links"), F.col("record") == F.col("_record"), "left")
+    # So do texts without words, of an id that a class is named by.
+    empty = durable(rows.filter("record is null").select(F.col(key).alias("_empty")).distinct().join(facts, F.col("_empty") == F.col("class_id"), "left_semi"), "empty")
+    class_id = F.coalesce("class_id", key)
+    if (empties := empty.count()) > 0:
+        found = found.join(F.broadcast(empty) if empties <= BROADCAST_ROWS else empty, F.col("record").isNull() & (F.col(key) == F.col("_empty")), "left")
+        class_id = F.coalesce("class_id", F.when(F.col("_empty").isNotNull(), _name("_empty")), key)
+    return found.select(key, class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
+def _name(*of: str) -> Column:
+    """A negative number, by hash."""
+    return -1 - F.xxhash64(*of).bitwiseAND(F.lit((1 << 63) - 1))
+
+
+def _facts(df: DataFrame, key: str, text: str, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, leaf: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """The rows' signatures; and for each record its class: record, root, class_id (least id), best (the row that stays for it: id, record, hash), n_links."""
     rows = durable(signatures(df, key, text, n), "signatures")
-    records = rows.filter("record is not null").groupBy("record").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("weight"), F.first("size").alias("size"), F.first("tokens").alias("tokens"), F.first("low").alias("low"), F.first("high").alias("high"))
+    best = F.min(F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("id"), "record", "hash"))).alias("best")
+    records = rows.filter("record is not null").groupBy("record").agg(best, F.count(F.lit(1)).alias("weight"), F.first("size").alias("size"), F.first("tokens").alias("tokens"), F.first("low").alias("low"), F.first("high").alias("high"))
     records = durable(records, "records")
     near = connected(candidates(records.select("record", "tokens", "low", "high"), threshold, recall, leaf))
     exact = durable(verify(_members(df, records, near, key, text, n), threshold), "verified")
     classes = connected(exact.select(F.col("record").alias("a"), F.col("root").alias("b")))
     linked = exact.groupBy("record").agg(F.sum("linked").alias("linked"))
-    # Least document of every class: records of classes only.
-    named = classes.join(records.select(F.col("record").alias("node"), "least"), "node")
-    least = named.groupBy("root").agg(F.min("least").alias("class_id"))
-    named = named.join(least, "root").select(F.col("node").alias("record"), "class_id")
-    facts = records.select("record", "least", "weight").join(named, "record", "left").join(linked, "record", "left")
-    facts = durable(facts.select(F.col("record").alias("_record"), F.coalesce("class_id", "least").alias("class_id"), (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "classes")
-    found = rows.select(key, "record").join(facts, F.col("record") == F.col("_record"), "left")
-    return found.select(key, F.coalesce("class_id", key).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    # Least row of every class: records of classes only.
+    named = classes.join(records.select(F.col("record").alias("node"), "best"), "node")
+    least = named.groupBy("root").agg(F.min("best").alias("_best"))
+    named = named.join(least, "root").select(F.col("node").alias("record"), "root", "_best")
+    facts = records.select("record", "best", "weight").join(named, "record", "left").join(linked, "record", "left").withColumn("best", F.coalesce("_best", "best"))
+    facts = facts.select("record", F.coalesce("root", "record").alias("root"), F.col("best.id").alias("class_id"), "best", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    return rows, durable(facts, "classes")
 
 
 def _members(df: DataFrame, records: DataFrame, near: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """Candidates with their whole sets, by pair of blocks of their component."""
-    nodes = durable(near.withColumnRenamed("node", "record").join(records.select("record", "least", "weight", "size"), "record"), "candidates")
+    nodes = durable(near.withColumnRenamed("node", "record").join(records.select("record", F.col("best.id").alias("least"), F.col("best.hash").alias("hash"), "weight", "size"), "record"), "candidates")
     sizes = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_RECORDS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
-    nodes = durable(nodes.join(sizes.select("root", blocks.alias("blocks")), "root").select("root", "record", "least", "weight", "blocks"), "blocked")
+    nodes = durable(nodes.join(sizes.select("root", blocks.alias("blocks")), "root").select("root", "record", "least", "hash", "weight", "blocks"), "blocked")
     few = nodes.count() <= BROADCAST_ROWS
-    wanted = df.select(F.col(key), F.col(text)).join(F.broadcast(nodes) if few else nodes, F.col(key) == F.col("least"))
+    wanted = df.select(F.col(key), F.col(text)).join(F.broadcast(nodes) if few else nodes, (F.col(key) == F.col("least")) & (text_hash(text) == F.col("hash")))
 
     def rows(found: Iterator[tuple]) -> Iterator[tuple]:
         for t, component, rec, weight, m in found:
             s = shingles(t, n)
-            if len(s) and record(s) == rec:  # a repeated id may have another text
+            if len(s) and record(s) == rec:  # texts of one id with equal hashes
                 yield component, rec, weight, m, s.tobytes()
 
     sets = map_rows(wanted.select(text, "root", "record", "weight", "blocks"), rows, "component bigint, record bigint, weight bigint, blocks int, shingles binary")
@@ -315,13 +344,27 @@ def _members(df: DataFrame, records: DataFrame, near: DataFrame, key: str, text:
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """df's rows, all columns, of which one of each class stays: that with the least id (of rows with that id, one)."""
-    found = durable(join(df, key, text, **settings), "near-duplicates")
-    gone = found.filter(F.col("class_id") != F.col(key)).select(key).distinct()
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    kept = df.join(gone, key, "left_anti")
-    twice = found.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key)
-    if twice.isEmpty():
-        return kept
-    single = kept.join(twice, key, "left_anti")
-    return single.unionByName(kept.join(twice, key, "left_semi").dropDuplicates([key]))
+    """df's rows, all columns, of which one of each class stays: that with the least id (then the least set, then text).
+
+    An id is not a document: of the rows of an id, only those go whose own text is in the class of another row. Texts
+    without words stay once for each id, where no other text of the id stays. Rows without an id stay.
+    """
+    rows, facts = _facts(df, key, text, **settings)
+    id_and_text = [F.col(key).alias("_id"), F.col("hash").alias("_hash")]
+    best = facts.select(F.col("record").alias("_record"), F.col("best.id").alias("_best"), F.col("best.hash").alias("_best_hash"))
+    other = (F.col(key) != F.col("_best")) | (F.col("hash") != F.col("_best_hash"))
+    gone = rows.filter("record is not null").join(best, F.col("record") == F.col("_record")).filter(other).select(*id_and_text)
+    empty = durable(rows.filter(F.col("record").isNull() & F.col(key).isNotNull()).groupBy(key, "hash").agg(F.lit(1)).select(key, "hash"), "empty")
+    first = empty.groupBy(F.col(key).alias("_key")).agg(F.min("hash").alias("_first"))
+    spoken = empty.join(best, F.col(key) == F.col("_best"), "left_semi").select(*id_and_text)
+    more = empty.join(first, F.col(key) == F.col("_key")).filter("hash > _first").select(*id_and_text)
+    gone = durable(gone.unionByName(spoken).unionByName(more).distinct(), "gone")
+    twice = durable(rows.filter(F.col(key).isNotNull()).groupBy(*id_and_text).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_id", "_hash"), "twice")
+    at = (F.col(key) == F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    marked = df.withColumn("_text_hash", text_hash(text))
+    kept = marked.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, at, "left_anti")
+    if (n := twice.count()) == 0:
+        return kept.drop("_text_hash")
+    twice = F.broadcast(twice) if n <= BROADCAST_ROWS else twice
+    single = kept.join(twice, at, "left_anti")
+    return single.unionByName(kept.join(twice, at, "left_semi").dropDuplicates([key, "_text_hash"])).drop("_text_hash")
