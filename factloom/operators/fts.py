@@ -140,7 +140,7 @@ def score(found: DataFrame, stats: DataFrame, leaves: list[Phrase]) -> DataFrame
     return scored.select("doc_id", (-total).alias("bm25"))
 
 
-def search(df: DataFrame, index: DataFrame, lens: DataFrame, q: str | None, key: str, kind: str, limit: int = 20) -> DataFrame:
+def search(df: DataFrame, index: DataFrame, lens: DataFrame, q: str | None, key: str, kind: str, limit: int | None = 20) -> DataFrame:
     """Rows of df that match, best first: symbols (exact names, kind, BM25) or chunks (type, BM25).
 
     `*` or nothing lists all; what isn't a full-text query is searched by substring.
@@ -159,4 +159,5 @@ def search(df: DataFrame, index: DataFrame, lens: DataFrame, q: str | None, key:
         order = (rank, position("kind", KIND_ORDER), "bm25", "qualified_name", key)
     else:
         order = (position("type", FULL_TEXT_CHUNK_ORDER), "bm25", "file_path", "start_line", key)
-    return joined.orderBy(*order).limit(limit).drop("bm25")
+    found = joined.orderBy(*order).drop("bm25")
+    return found if limit is None else found.limit(limit)

@@ -46,12 +46,14 @@ def search_chunks(chunks: DataFrame, q: str, limit: int | None = 20) -> DataFram
     return found if limit is None else found.limit(limit)
 
 
-def list_symbols(symbols: DataFrame, limit: int) -> DataFrame:
-    return symbols.orderBy("qualified_name", "file_path", "start_line").limit(limit)
+def list_symbols(symbols: DataFrame, limit: int | None) -> DataFrame:
+    found = symbols.orderBy("qualified_name", "file_path", "start_line")
+    return found if limit is None else found.limit(limit)
 
 
-def list_chunks(chunks: DataFrame, limit: int) -> DataFrame:
-    return chunks.orderBy("file_path", "start_line", "name").limit(limit)
+def list_chunks(chunks: DataFrame, limit: int | None) -> DataFrame:
+    found = chunks.orderBy("file_path", "start_line", "name")
+    return found if limit is None else found.limit(limit)
 
 
 def implementations(symbols: DataFrame, name: str, limit: int = 20, exact: bool = False) -> DataFrame:

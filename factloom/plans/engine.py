@@ -34,7 +34,7 @@ class CodeIndex:
             df = df.filter("symbol_id is not null")
         return df if project is None else df.filter(F.col("project") == project)
 
-    def full_text(self, name: str, q: str, limit: int, project: str | None) -> DataFrame:
+    def full_text(self, name: str, q: str, limit: int | None, project: str | None) -> DataFrame:
         kind, columns = ("symbols", SYMBOL_COLUMNS) if name == "symbols" else ("chunks", CHUNK_COLUMNS)
         df = self.table(name, project)
         return fts.search(df, fts.postings(df, "id", columns), fts.lengths(df, "id", columns), q, "id", kind, limit)
@@ -97,14 +97,14 @@ class CodeIndex:
 
     # Code and files --------------------------------------------------------------------------------------------
 
-    def search_code(self, query: str, limit: int = 20, project: str | None = None) -> DataFrame:
+    def search_code(self, query: str, limit: int | None = 20, project: str | None = None) -> DataFrame:
         symbols = self.full_text("symbols", query, limit, project).select(F.lit("symbol").alias("hit_type"), "project", "name", "qualified_name", "file_path", "start_line", F.col("name").alias("text"))
         chunks = self.full_text("chunks", query, limit, project).select(F.lit("chunk").alias("hit_type"), "project", "name", F.lit(None).cast("string").alias("qualified_name"), "file_path", "start_line", F.col("content").alias("text"))
         return symbols.unionByName(chunks).withColumn("highlights", highlights(F.col("text"), query))
 
     def search_all_projects(self, query: str, limit: int = 10) -> DataFrame:
         order = Window.partitionBy("project").orderBy("hit_type", "file_path", "start_line", "name")
-        return self.search_code(query, 1 << 20).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit)
+        return self.search_code(query, None).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit)
 
     def get_file_info(self, file_path: str, project: str | None = None) -> DataFrame:
         path = normal_path(F.lit(file_path))
