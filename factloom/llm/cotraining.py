@@ -7,11 +7,12 @@ counts (Platt's sigmoid), a logistic combination of the two calibrated views is
 documents get its probability.
 
 What is bounded: the vocabulary (the `words` words that tell the labels apart best) is chosen on at most `labelled`
-labelled documents, those with the smallest hashes. Everything else covers all documents: the pseudo-labels and counts
+labelled documents, of each class those with the smallest hashes: half of them, or more where the other class has less.
+Without telling words, the other features are trained on. Everything else covers all documents: the pseudo-labels and counts
 of every round, the calibration histograms and the scores. Only counts by feature and histograms of fixed size reach
 the driver. The texts are read twice (vocabulary, features) and never shuffled; rounds read the feature table.
 
-Labels are joined by key: a document without a label, or with a null one, is unlabelled; several labels of one key
+Labels are joined by key: labels of documents that aren't there are ignored, a document without a label, or with a null one, is unlabelled; several labels of one key
 count as one by majority (ties: bad). Null texts are empty; null metadata is a value of its own. If either class has
 no labelled document, everything is scored 1.0 (nothing is known against it). Repeated rows are scored alike; further
 columns are ignored by `score` and kept by `accept`. The empty table gives no rows.
@@ -133,10 +134,14 @@ def majority(labels: DataFrame, key: str, label: Column) -> DataFrame:
     return known.groupBy(key).agg((F.avg("_y") > 0.5).cast("int").alias("_y"))
 
 
-def choose_words(df: DataFrame, labels: DataFrame, key: str, text: str, labelled: int, words: int) -> tuple[frozenset[str], tuple[int, int]]:
-    """The words whose presence tells the classes apart best, and how many labelled documents of each class were seen."""
-    # At most `labelled` rows of a key and a bit: small enough to broadcast by its own bound.
-    sample = labels.filter(F.abs(F.xxhash64(key)) % FOLDS > 0).orderBy(F.xxhash64(F.lit("sample"), key), key).limit(labelled)
+def choose_words(df: DataFrame, labels: DataFrame, key: str, text: str, labelled: int, words: int) -> frozenset[str]:
+    """The words whose presence tells the classes apart best; labels: of documents of df."""
+    trained = labels.filter(F.abs(F.xxhash64(key)) % FOLDS > 0)
+    sizes = {r["_y"]: r["n"] for r in trained.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # At most `labelled` rows of a key and a bit: small enough to broadcast by its own bound. Each class has half of
+    # them, and what the other one leaves.
+    parts = [trained.filter(F.col("_y") == y).orderBy(F.xxhash64(F.lit("sample"), key), key).limit(max(labelled // 2, labelled - sizes.get(1 - y, 0))) for y in (0, 1)]
+    sample = parts[0].unionByName(parts[1])
     texts = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(sample), key).select("_text", "_y")
 
     def rows(found: Iterator[tuple]) -> Iterator[tuple]:
@@ -155,7 +160,7 @@ def choose_words(df: DataFrame, labels: DataFrame, key: str, text: str, labelled
     total = counts.filter(F.col("word").isNull()).select("bad", "good").collect()
     bad, good = total[0] if total else (0, 0)
     if not bad or not good:
-        return frozenset(), (bad, good)
+        return frozenset()
     # Difference of the presence rates in standard errors, for words with enough occurrences to tell.
     a, b = F.col("bad") / bad, F.col("good") / good
     pooled = (F.col("bad") + F.col("good")) / (bad + good)
@@ -163,7 +168,7 @@ def choose_words(df: DataFrame, labels: DataFrame, key: str, text: str, labelled
     # Without the lift, frequent words would count: each says little, and together the same thing many times.
     lifted = (a >= LIFT * b) | (b >= LIFT * a)
     telling = counts.filter(F.col("word").isNotNull() & (F.col("bad") + F.col("good") >= 8) & lifted).withColumn("z", z).filter("z >= 4")
-    return frozenset(r["word"] for r in telling.orderBy(F.desc("z"), "word").limit(words).collect()), (bad, good)
+    return frozenset(r["word"] for r in telling.orderBy(F.desc("z"), "word").limit(words).collect())
 
 
 def train(
@@ -179,8 +184,8 @@ def train(
     words: int = 256,
 ) -> tuple[Model | None, DataFrame]:
     """The model (None if a class has no label) and the feature table: key, _y, _fold, text and meta features."""
-    known = majority(labels, key, label)
-    vocabulary, seen = choose_words(df, known, key, text, labelled, words)
+    known = durable(majority(labels, key, label).join(df.select(key), key, "left_semi"), "quality-labels")
+    vocabulary = choose_words(df, known, key, text, labelled, words)
     width = len(metadata)
 
     def extract(found: Iterator[tuple]) -> Iterator[tuple]:
@@ -192,7 +197,7 @@ def train(
     assert width == len(metadata)
     fold = (F.abs(F.xxhash64(key)) % FOLDS).cast("int")
     features = durable(features.join(known, key, "left").withColumn("_fold", fold), "quality-features")
-    if not all(seen):
+    if known.select("_y").distinct().count() < 2:
         return None, features
     views: tuple[Bayes, Bayes] | None = None
     certain = math.log(confident / (1 - confident))
@@ -252,7 +257,7 @@ def _histogram(columns: DataFrame, text_model: Bayes, meta_model: Bayes) -> list
 
 
 def _calibrate(cells: list) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-    if not cells:
+    if len({r["y"] for r in cells}) < 2:  # nothing to calibrate on: a class so rare that none of it was held out
         return (np.array([1.0, 0.0]), np.array([1.0, 0.0])), np.array([1.0, 1.0, 0.0])
     score = lambda i: (np.array([r[i] for r in cells]) + 0.5) / BINS * 2 * LIMIT - LIMIT
     y, n = np.array([r["y"] for r in cells], float), np.array([r["n"] for r in cells], float)
