@@ -1,7 +1,8 @@
 """Secret scan by corpus-wide ownership frequency.
 
 Every text is searched for assigned values, access keys, long hexadecimal strings (the base kinds) and for other long
-mixed tokens. The hashes of all candidates are counted over the corpus by distinct repositories and owners. A value
+mixed tokens. The hashes of all candidates are counted over the corpus by distinct owners, and only these decide: the
+number of distinct repositories, counted beside them, does not, and isn't returned. A value
 that many owners have is a widely copied example; one that a single owner has looks live. Base spans always stay;
 mixed tokens become spans only where few owners have them. DataFrame functions only.
 
