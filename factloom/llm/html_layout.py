@@ -3,15 +3,20 @@
 A tokenizer turns the page into tags and text; a tree builder opens and closes elements by the rules of HTML's implied
 tags (a paragraph ends where a block begins, items and cells end where the next begins, unclosed elements end with
 their parent); visibility rules drop what isn't shown (scripts, styles, templates, hidden elements, comments, closed
-details, what aria-hidden marks, input fields, and media, frames and noscript with their fallback); a renderer lays out
-the rest. Formulas, the text of SVG drawings (not their titles and definitions), all options of a choice, the contents of
-text areas and the fallback of objects are shown. Inline text flows with white space collapsed, blocks stand on lines of their
-own, paragraphs, headings, lists and tables have a blank line around them, list items carry bullets or numbers and
-indent with their depth, preformatted text keeps its spaces, and the cells of a table are padded to aligned columns. What stands in a table
-outside its cells comes before it, as in browsers; elements around cells or rows are looked through.
-
-Null and empty pages give the empty text. Pages of any length and any damage give some text: no input raises. Nesting
-deeper than DEPTH is laid out as if at that depth. Repeated rows are rendered alike; other columns are ignored.
+details, input fields, and media, frames and noscript with their fallback; what aria-hidden marks is hidden from
+assistive technology only and stays); a renderer lays out the rest. Formulas, the text of SVG drawings (not their
+titles and definitions), all options of a choice, the contents of text areas and the fallback of objects are shown.
+Inline text flows with white space collapsed, blocks stand on lines of their own, paragraphs, headings, lists and
+tables have a blank line around them, list items carry bullets or numbers and indent with their depth, preformatted
+text keeps its spaces, and the cells of a table are padded to aligned columns. What stands in a table outside its cells
+comes before it, as in browsers; elements around cells or rows are looked through.
+
+Null and empty pages give the empty text. Pages of any length, nesting and damage give their whole text in time and
+memory that grow with their length: no input raises, and no depth ends the tree. Only spacing has bounds. Cells wider
+than WIDEST columns aren't padded to; beyond PADDING times the page's length of padding, a table's cells are joined
+without padding; lines indent by INDENT columns at most; tables nested deeper than NESTED in cells are laid out as
+blocks; beyond SPANS open row spans of a table a cell spans one row. Repeated rows are rendered alike; other columns
+are ignored, whatever their names. Tags whose quotes don't end are text; where many don't, quotes are no longer heeded.
 """
 
 from __future__ import annotations
@@ -53,14 +58,16 @@ CLOSES = {
     "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     **dict.fromkeys(("thead", "tbody", "tfoot"), (frozenset(["thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"]), frozenset(["table"]))),
 }
-#: A closing tag doesn't reach beyond these.
+#: A closing tag doesn't reach beyond these, but for those that name a part of a table or the page.
 SCOPES = frozenset("table td th caption body html".split())
-DEPTH = 200
-
-TOKEN = re.compile(
-    r"<!--(?P<comment>.*?)(?:-->|\Z)|<(?P<close>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)",
-    re.S,
-)
+BEYOND = frozenset("table tr tbody thead tfoot body html td th".split())
+#: Bounds of spacing, see above. No text depends on them.
+WIDEST, PADDING, INDENT, NESTED, SPANS = 100, 16, 80, 12, 64
+#: What unended tags may cost, in times the page's length, before quotes are no longer heeded.
+UNENDED = 50
+
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)")
+PLAIN_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^<>]*+)")
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 UNQUOTED = re.compile(r"=\s*[^\s\"'<>=`]+$")
@@ -68,11 +75,12 @@ SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("name", "attrs", "children")
+    __slots__ = ("name", "attrs", "children", "holds_cells")
 
     def __init__(self, name: str, attrs: dict[str, str]):
         self.name, self.attrs = name, attrs
         self.children: list[Node | str] = []
+        self.holds_cells = False  # wraps rows or cells of the table around it
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -83,74 +91,129 @@ def attributes(source: str) -> dict[str, str]:
     return found
 
 
+def tokens(html: str) -> Iterator[tuple[str, str, str, int]]:
+    """(kind, name or text, attributes, place after it); kind: text, open, close. Sent a place, it goes on from there."""
+    at = begun = spent = 0
+    pattern, allowed = TAG, UNENDED * len(html) + 100_000
+    while (lt := html.find("<", at)) >= 0:
+        after = html[lt + 1 : lt + 2]
+        if after in ("!", "?") or after == "/" and not html[lt + 2 : lt + 3].isalpha():
+            if after == "/" and html[lt + 2 : lt + 3] != ">":
+                end = html.find(">", lt)
+            elif html.startswith("<!--", lt):
+                end = html.find("-->", lt + 4)
+                end = end + 2 if end >= 0 else end
+            else:
+                end = html.find(">", lt)
+            yield "text", html[begun:lt], "", lt
+            at = begun = end + 1 if end >= 0 else len(html)
+            continue
+        m = pattern.match(html, lt)
+        if m is None:
+            at = lt + 1
+        elif html[m.end() : m.end() + 1] == ">":
+            if lt > begun:
+                yield "text", html[begun:lt], "", lt
+            at = begun = m.end() + 1
+            to = yield ("close" if m[1] else "open"), m[2].lower(), m[3], at
+            if to is not None:
+                at = begun = to
+        else:
+            at = lt + 1
+            spent += m.end() - lt
+            if spent > allowed:
+                pattern = PLAIN_TAG
+    yield "text", html[begun:], "", len(html)
+
+
+class Open:
+    """The open elements, and where those of each name are."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {root.name: [0]}
+        self.foreign = [""]  # the innermost of the elements that decide whether a closing slash counts
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.name, []).append(len(self.stack))
+        self.stack.append(node)
+        self.foreign.append(node.name if node.name in ("svg", "math", "foreignobject", "desc", "annotation-xml") else self.foreign[-1])
+
+    def cut(self, at: int) -> None:
+        while len(self.stack) > at:
+            self.places[self.stack.pop().name].pop()
+            self.foreign.pop()
+
+    def last(self, names) -> int:
+        """Place of the innermost element of these names; the root and none are 0."""
+        places = self.places
+        return max([places[n][-1] for n in names if places.get(n)], default=0)
+
+    def close(self, names: frozenset[str], within: frozenset[str]) -> None:
+        """Closes the innermost element of the names, of cells and rows all of them, unless one of `within` is nearer."""
+        while (at := self.last(names)) and at > self.last(within):
+            self.cut(at)
+            if not names & {"td", "th", "tr"}:
+                return
+
+    def add(self, child: Node) -> None:
+        self.stack[-1].children.append(child)
+        if child.name in ("td", "th", "tr"):
+            for node in reversed(self.stack):
+                if node.holds_cells or node.name in ("table", "caption"):
+                    break
+                node.holds_cells = True
+
+
 def build(html: str) -> Node:
     """The tree of a page, implied tags closed."""
     root = Node("html", {})
-    stack = [root]
-    at = 0
-
-    def text(s: str) -> None:
-        if s:
-            stack[-1].children.append(s)
-
-    def close(names: frozenset[str], within: frozenset[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in within:
-                return
-            if stack[i].name in names:
-                del stack[i:]
-                if not names & {"td", "th", "tr"}:
-                    return
-                return close(names, within)
-
-    while (m := TOKEN.search(html, at)) is not None:
-        text(unescape(html[at : m.start()]))
-        at = m.end()
-        if m["name"] is None:
+    now = Open(root)
+    found = tokens(html)
+    to: int | None = None
+    while True:
+        try:
+            kind, name, attrs, at = found.send(to) if to is not None else next(found)
+        except StopIteration:
+            return root
+        to = None
+        if kind == "text":
+            if name:
+                now.stack[-1].children.append(unescape(name))
             continue
-        name = m["name"].lower()
-        if m["close"]:
+        if kind == "close":
             if name == "br":
-                stack[-1].children.append(Node("br", {}))
-            elif name == "p" and not any(n.name == "p" for n in stack):
-                stack[-1].children.append(Node("p", {}))
-            else:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].name == name:
-                        del stack[i:]
-                        break
-                    if stack[i].name in SCOPES and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html", "td", "th"):
-                        break
+                now.add(Node("br", {}))
+            elif name == "p" and not now.last(("p",)):
+                now.add(Node("p", {}))
+            elif (place := now.last((name,))) and (name in BEYOND or place >= now.last(SCOPES)):
+                now.cut(place)
             continue
-        if name in ("html", "body") and any(n.name == name for n in stack):
+        if name in ("html", "body") and now.places.get(name):
             continue
         if name in BLOCK and name != "head" or name == "body":
-            close(frozenset(["head"]), frozenset(["body"]))
+            now.close(frozenset(["head"]), frozenset(["body"]))
         if name in ENDS_P:
-            close(frozenset(["p"]), SCOPES | {"button"})
+            now.close(frozenset(["p"]), SCOPES | {"button"})
         if name in CLOSES:
-            close(*CLOSES[name])
-        elif name[0] == "h" and name[1:].isdigit() and stack[-1].name[0] == "h" and stack[-1].name[1:].isdigit():
-            stack.pop()
-        node = Node(name, attributes(m["attrs"]) if m["attrs"].strip(" /\n\t") else {})
-        stack[-1].children.append(node)
-        if m["attrs"].endswith("/") and not UNQUOTED.search(m["attrs"]) and _foreign(stack):
+            now.close(*CLOSES[name])
+        elif _heading(name) and _heading(now.stack[-1].name):
+            now.cut(len(now.stack) - 1)
+        node = Node(name, attributes(attrs) if attrs.strip(" /\n\t") else {})
+        now.add(node)
+        if attrs.endswith("/") and (now.foreign[-1] in ("svg", "math") or name in ("svg", "math")) and not UNQUOTED.search(attrs):
             continue
         if name in RAW:
             end = re.compile(f"</{re.escape(name)}(?=[\\s/>])[^>]*>", re.I).search(html, at)
             body = html[at : end.start() if end else len(html)]
             node.children.append(unescape(body) if name in ("textarea", "title") else body)
-            at = end.end() if end else len(html)
-        elif name not in VOID and len(stack) < DEPTH:
-            stack.append(node)
-    text(unescape(html[at:]))
-    return root
+            to = end.end() if end else len(html)
+        elif name not in VOID:
+            now.push(node)
 
 
-def _foreign(stack: list[Node]) -> bool:
-    """Whether an element opened here is one of SVG or MathML, where a closing slash ends it."""
-    inner = next((n.name for n in reversed(stack) if n.name in ("svg", "math", "foreignobject", "desc", "annotation-xml")), "")
-    return inner in ("svg", "math")
+def _heading(name: str) -> bool:
+    return name[0] == "h" and name[1:].isdigit()
 
 
 def visible(node: Node) -> bool:
@@ -159,7 +222,7 @@ def visible(node: Node) -> bool:
     a = node.attrs
     if not a:
         return True
-    return not ("hidden" in a or a.get("aria-hidden", "").lower() == "true" or node.name == "input" or ("style" in a and INVISIBLE.search(a["style"])))
+    return not ("hidden" in a or node.name == "input" or ("style" in a and INVISIBLE.search(a["style"])))
 
 
 def width(s: str) -> int:
@@ -170,14 +233,15 @@ def width(s: str) -> int:
 
 
 class Page:
-    """Lines of laid-out text."""
+    """Lines of laid-out text. nested: cells around it; padding: what tables may still pad, shared by pages in cells."""
 
-    def __init__(self) -> None:
+    def __init__(self, nested: int = 0, padding: list[int] | None = None) -> None:
         self.lines: list[str] = []
         self.flow: list[str] = []
         self.indent = ""
         self.bullet = ""
         self.gap = False
+        self.nested, self.padding = nested, padding if padding is not None else [0]
 
     def say(self, s: str) -> None:
         self.flow.append(s)
@@ -193,7 +257,7 @@ class Page:
         if self.gap and self.lines:
             self.lines.append("")
         self.gap = False
-        head = self.indent[: len(self.indent) - len(self.bullet)] + self.bullet if self.bullet else self.indent
+        head = self.indent[: max(0, len(self.indent) - len(self.bullet))] + self.bullet if self.bullet else self.indent
         self.bullet = ""
         self.lines.append((head + line).rstrip())
 
@@ -202,57 +266,73 @@ class Page:
         self.gap = True
 
 
+#: A step of the layout: it yields the steps inside it, so that no depth of the tree is one of the interpreter's.
+Step = Iterator["Step"]
+
+
+def run(step: Step) -> None:
+    stack = [step]
+    while stack:
+        inner = next(stack[-1], None)
+        if inner is None:
+            stack.pop()
+        else:
+            stack.append(inner)
+
+
 def render(html: str | None) -> str:
     page = Page()
     if html:
-        _block(build(html), page, 0)
+        page.padding[0] = PADDING * len(html) + 10_000
+        run(_children(build(html), page))
         page.end_line()
     return "\n".join(page.lines)
 
 
-def _children(node: Node, page: Page, depth: int) -> None:
+def _children(node: Node, page: Page) -> Step:
     for child in node.children:
         if isinstance(child, str):
             page.say(child)
         elif visible(child):
-            _block(child, page, depth + 1)
+            yield _block(child, page)
 
 
-def _block(node: Node, page: Page, depth: int) -> None:
+def _block(node: Node, page: Page) -> Step:
     name = node.name
     if name not in BLOCK:
-        _inline(node, page, depth)
+        yield _inline(node, page)
         return
     if name == "table":
-        _table(node, page, depth)
+        yield _table(node, page)
         return
     apart = name in SPACED and not (name in ("ul", "ol") and page.indent)
     page.space() if apart else page.end_line()
     if name in ("pre", "listing", "xmp"):
         for line in _plain(node).strip("\n").split("\n"):
             page.put(line.rstrip())
-    elif name == "hr":
-        page.put("---")
     elif name in ("ul", "ol", "menu", "dir"):
-        _list(node, page, depth)
+        yield _list(node, page)
     elif name in ("dd", "blockquote"):
-        page.indent += "  "
-        _children(node, page, depth)
+        before = page.indent
+        page.indent = (before + "  ")[:INDENT]
+        yield _children(node, page)
         page.end_line()
-        page.indent = page.indent[:-2]
+        page.indent = before
+    elif name == "hr":
+        page.put("---")
     elif name == "details" and "open" not in node.attrs:
         for child in node.children:
             if isinstance(child, Node) and child.name == "summary":
-                _block(child, page, depth + 1)
+                yield _block(child, page)
                 break
     else:
-        _children(node, page, depth)
+        yield _children(node, page)
     page.space() if apart else page.end_line()
 
 
-def _inline(node: Node, page: Page, depth: int) -> None:
+def _inline(node: Node, page: Page) -> Step:
     if node.name == "br":
-        if page.flow and "".join(page.flow).strip():
+        if any(x.strip() for x in page.flow):
             page.end_line()
         else:
             page.flow.clear()
@@ -260,14 +340,14 @@ def _inline(node: Node, page: Page, depth: int) -> None:
         if alt := node.attrs.get("alt", "").strip():
             page.say(f" {alt} ")
     elif node.name == "svg":
-        _svg(node, page, depth)
+        yield _svg(node, page)
     elif node.name in MATH_PLACES:
         for child in node.children:
             page.say(" ")
             if isinstance(child, str):
                 page.say(child)
             elif visible(child):
-                _block(child, page, depth + 1)
+                yield _block(child, page)
         page.say(" ")
     elif node.name == "textarea":
         lines = _plain(node).split("\n")
@@ -281,41 +361,41 @@ def _inline(node: Node, page: Page, depth: int) -> None:
         label = node.attrs.get("label", "").strip()
         page.say(f" {label} ")
         if node.name == "optgroup" or not label:
-            _children(node, page, depth)
+            yield _children(node, page)
         page.say(" ")
     elif node.name == "q":
         page.say("“")
-        _children(node, page, depth)
+        yield _children(node, page)
         page.say("”")
     elif node.name not in ("wbr", "col", "colgroup"):
-        _children(node, page, depth)
+        yield _children(node, page)
 
 
 def _drawn(node: Node) -> bool:
     return node.name not in SVG_HIDDEN and visible(node) and node.attrs.get("display") != "none" and node.attrs.get("visibility") not in ("hidden", "collapse")
 
 
-def _svg(node: Node, page: Page, depth: int) -> None:
+def _svg(node: Node, page: Page) -> Step:
     """The text of a drawing; each text element is apart from the others."""
     for child in node.children:
         if isinstance(child, Node) and _drawn(child):
             if child.name in SVG_TEXT:
                 page.say(" ")
-                _svg_text(child, page, depth + 1) if child.name == "text" else _children(child, page, depth + 1)
+                yield _svg_text(child, page) if child.name == "text" else _children(child, page)
                 page.say(" ")
             else:
-                _svg(child, page, depth + 1)
+                yield _svg(child, page)
 
 
-def _svg_text(node: Node, page: Page, depth: int) -> None:
+def _svg_text(node: Node, page: Page) -> Step:
     for child in node.children:
         if isinstance(child, str):
             page.say(child)
         elif _drawn(child):
-            _svg_text(child, page, depth + 1)
+            yield _svg_text(child, page)
 
 
-def _list(node: Node, page: Page, depth: int) -> None:
+def _list(node: Node, page: Page) -> Step:
     number = int(start) if re.fullmatch(r"-?\d{1,9}", start := node.attrs.get("start", "1")) else 1
     for child in node.children:
         if isinstance(child, Node) and visible(child):
@@ -326,66 +406,78 @@ def _list(node: Node, page: Page, depth: int) -> None:
                 mark = f"{number}. " if node.name == "ol" else "- "
                 number += 1
                 before = page.indent
-                page.indent, page.bullet = before + " " * len(mark), mark
-                _children(child, page, depth + 1)
+                page.indent, page.bullet = (before + " " * len(mark))[: max(INDENT, len(mark))], mark
+                yield _children(child, page)
                 page.end_line()
                 page.indent, page.bullet = before, ""
             else:
-                _block(child, page, depth + 1)
+                yield _block(child, page)
         elif isinstance(child, str):
             page.say(child)
 
 
 def _plain(node: Node) -> str:
     parts: list[str] = []
-    for child in node.children:
+    left: list[Node | str] = node.children[::-1]
+    while left:
+        child = left.pop()
         if isinstance(child, str):
             parts.append(child)
         elif child.name == "br":
             parts.append("\n")
-        elif child.name == "svg" and visible(child):
+        elif not visible(child):
+            continue
+        elif child.name == "svg":
             inner = Page()
-            _svg(child, inner, 0)
+            run(_svg(child, inner))
             inner.end_line()
             parts.append(" ".join(inner.lines))
-        elif visible(child):
-            parts.append(_plain(child))
+        else:
+            left.extend(reversed(child.children))
     return "".join(parts).replace("\r\n", "\n").expandtabs(8)
 
 
 def _span(attrs: dict[str, str], name: str) -> int:
     value = attrs.get(name, "1").strip()
-    return max(1, min(1000, int(value))) if value.isdigit() else 1
+    return max(1, min(1000, int(value))) if value.isdecimal() and len(value) < 10 else 1
 
 
-def _holds_cells(node: Node) -> bool:
-    """Whether the element wraps rows or cells of the table around it."""
-    return node.name not in ("table", "caption") and any(isinstance(c, Node) and (c.name in ("tr", "td", "th") or _holds_cells(c)) for c in node.children)
+#: A row of a table: the column and the lines of each of its cells.
+Row = list[tuple[int, list[str]]]
 
 
-def _table(node: Node, page: Page, depth: int) -> None:
+def _table(node: Node, page: Page) -> Step:
     page.space()
-    grid: list[dict[int, list[str]]] = []
-    taken: dict[int, int] = {}  # columns that cells from above still cover, and for how many rows
+    grid: list[Row] = []
+    spans: list[list[int]] = []  # cells from above: first column, column after the last, rows that they still cover
 
-    def row(cells: list[Node]) -> None:
-        found: dict[int, list[str]] = {}
-        at = 0
+    def row(cells: list[Node]) -> Step:
+        if page.nested >= NESTED:
+            for cell in cells:
+                page.end_line()
+                yield _children(cell, page)
+            page.end_line()
+            return
+        found: Row = []
+        at, later = 0, []
         for cell in cells:
-            while taken.get(at, 0):
-                at += 1
-            inner = Page()
-            _children(cell, inner, depth + 1)
+            while (over := next((s for s in spans if s[0] <= at < s[1]), None)) is not None:
+                at = over[1]
+            inner = Page(page.nested + 1, page.padding)
+            yield _children(cell, inner)
             inner.end_line()
-            found[at] = [x for x in inner.lines if x] or [""]
-            for i in range(at, at + (across := _span(cell.attrs, "colspan"))):
-                taken[i] = max(taken.get(i, 0), _span(cell.attrs, "rowspan"))
+            found.append((at, [x for x in inner.lines if x] or [""]))
+            across, down = _span(cell.attrs, "colspan"), _span(cell.attrs, "rowspan")
+            if down > 1 and len(spans) + len(later) < SPANS:
+                later.append([at, at + across, down])
             at += across
-        for i in [i for i, n in taken.items() if n]:
-            taken[i] -= 1
+        spans.extend(later)
+        for s in spans:
+            s[2] -= 1
+        spans[:] = [s for s in spans if s[2] > 0]
         grid.append(found)
 
-    def cells(part: Node, found: list[Node]) -> list[Node]:
+    def cells(part: Node, found: list[Node]) -> Step:
         """The cells of a row, also those that other elements wrap. What else the row holds goes before the table."""
         for child in part.children:
             if isinstance(child, str):
@@ -393,41 +485,74 @@ def _table(node: Node, page: Page, depth: int) -> None:
             elif visible(child):
                 if child.name in ("td", "th"):
                     found.append(child)
-                elif _holds_cells(child):
-                    cells(child, found)
+                elif child.name not in ("table", "caption") and child.holds_cells:
+                    yield cells(child, found)
                 else:
-                    _block(child, page, depth + 1)
-        return found
+                    yield _block(child, page)
 
-    def walk(part: Node) -> None:
+    def walk(part: Node) -> Step:
         for child in part.children:
             if isinstance(child, str):
                 page.say(child)
             elif visible(child):
                 if child.name == "tr":
-                    row(cells(child, []))
+                    own: list[Node] = []
+                    yield cells(child, own)
+                    yield row(own)
                 elif child.name in ("td", "th"):
-                    row([child])
-                elif child.name in ("thead", "tbody", "tfoot") or _holds_cells(child):
-                    walk(child)
+                    yield row([child])
+                elif child.name in ("thead", "tbody", "tfoot") or child.name not in ("table", "caption") and child.holds_cells:
+                    yield walk(child)
                 elif child.name not in ("col", "colgroup"):
-                    _block(child, page, depth + 1)
+                    yield _block(child, page)
 
-    walk(node)
+    yield walk(node)
     page.end_line()
-    columns = sorted({c for r in grid for c in r})
-    if len(columns) == 1:
-        for line in (x for r in grid for lines in r.values() for x in lines):
-            page.put(line)
-    else:
-        widths = {c: max(width(x) for r in grid for x in r.get(c, [""])) for c in columns}
-        for r in grid:
-            for i in range(max((len(x) for x in r.values()), default=0)):
-                cells = [x[i] if i < len(x := r.get(c, [])) else "" for c in columns]
-                page.put(" | ".join(x + " " * (widths[c] - width(x)) for c, x in zip(columns, cells, strict=True)).rstrip())
+    for line in aligned(grid, page.padding):
+        page.put(line)
     page.space()
 
 
+def aligned(grid: list[Row], padding: list[int]) -> Iterator[str]:
+    """The lines of a table. padding: how many characters of padding are left; what it takes is subtracted."""
+    columns = sorted({c for r in grid for c, _ in r})
+    if len(columns) == 1:
+        yield from (x for r in grid for _, lines in r for x in lines)
+        return
+    rank = {c: i for i, c in enumerate(columns)}
+    wide = [0] * len(columns)
+    for r in grid:
+        for c, lines in r:
+            wide[rank[c]] = max(wide[rank[c]], max((n for x in lines if (n := width(x)) <= WIDEST), default=0))
+    begins = [0]  # of columns, with the marks between them
+    for w in wide:
+        begins.append(begins[-1] + w + 3)
+    rows = [list(_lines([(rank[c], lines) for c, lines in r])) for r in grid]
+    needed = begins[-1] + sum(begins[line[-1][0]] for lines in rows for line in lines if line)
+    if needed > padding[0]:
+        yield from (" | ".join(x for _, x in line) for lines in rows for line in lines)
+        return
+    padding[0] -= needed
+    ruler = "".join(" " * w + " | " for w in wide)
+    for lines in rows:
+        for line in lines:
+            parts, done = [], 0  # columns that are written
+            for k, x in line:
+                parts += [ruler[begins[done] : begins[k]], x, " " * (wide[k] - width(x)), " | "]
+                done = k + 1
+            yield "".join(parts[:-2])
+
+
+def _lines(cells: Row) -> Iterator[Row]:
+    """Line by line, the cells that have text on it."""
+    n = 0
+    live = cells
+    while live:
+        yield [(k, lines[n]) for k, lines in live if lines[n]]
+        n += 1
+        live = [x for x in live if len(x[1]) > n]
+
+
 def extract(df: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """key, text (all visible text, laid out), n_lines, n_chars, text_sha256 for every row of df."""
 

@@ -189,7 +189,7 @@ PAGES = [
     ("<p>One<br>two <b>bold</b>text<p>Next &amp; more", "One\ntwo boldtext\n\nNext & more"),
     ("<ul><li>a<li>b<ol start=3><li>x<li>y</ol><li>c</ul>", "- a\n- b\n  3. x\n  4. y\n- c"),
     ("<table><tr><th>Name<th>Qty<tr><td>apple<td>3</table>", "Name  | Qty\napple | 3"),
-    ("a<div hidden>no</div><div style='color:red; display:none'>no</div><p aria-hidden=true>no</p>b", "ab"),
+    ("a<div hidden>no</div><div style='color:red; display:none'>no</div><p aria-hidden=true>seen</p>b", "a\n\nseen\n\nb"),
     ("<title>t</title><style>x</style><script>if(a<b){'</p>'}</script>shown<!-- c --><template>no</template>", "shown"),
     ("<pre>\n  a\n    b</pre>", "  a\n    b"),
     ("a < b <<p>c", "a < b <\n\nc"),
@@ -233,17 +233,68 @@ def test_roles_are_recovered(spark):
     assert r["r"] / r["k"] > 0.9 and r["k"] == r["n"]
 
 
-def test_parts_give_the_path_of_the_whole(spark):
+def test_parts_give_the_path_and_the_form_of_the_whole(spark):
     r = random.Random(3)
-    rows = [(c, i, ("user", "assistant")[i % 2], " ".join("word" for _ in range(r.randrange(1, 60)))) for c in (1, 2) for i in range(90)]
-    talks = chat_hmm.transcripts(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    rows = [(c, i, ("user", "assistant")[i % 2], "\n".join(" ".join("word" for _ in range(r.randrange(0, 40))) for _ in range(r.randrange(1, 4)))) for c in (1, 2) for i in range(90)]
+    rows += [(3, None, "user", f"a line {i}\n\n") for i in range(60)] + [(3, 7, "assistant", f"another {i}") for i in range(60)]
+    talks = chat_hmm.transcripts(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"), unmarked=2)
     whole, cut = (chat_hmm.parts(talks, "conv_id", "turn", "text", "role", per) for per in (1000, 7))
     model = chat_hmm.train(whole)
-    order = lambda df: [(x.conversation, x.roles, x.n_right) for x in sorted(df.collect(), key=lambda x: (x.conversation, x.part))]
+    order = lambda df: sorted(df.collect(), key=lambda x: (x.conversation, x.part))
     a, b = order(chat_hmm.recover(whole, model)), order(chat_hmm.recover(cut, model))
-    assert len(b) == 26
+    assert len(a) == 4 and len(b) > 26 and max(x.n_lines for x in b if x.conversation == 3) < 60  # rows without numbers are split too
     for c in (1, 2):
-        assert sum(x[2] for x in a if x[0] == c) == sum(x[2] for x in b if x[0] == c)
+        assert "".join(x.rendered for x in b if x.conversation == c) == "".join(x.rendered for x in a if x.conversation == c)
+        assert "".join(x.roles for x in b if x.conversation == c) == "".join(x.roles for x in a if x.conversation == c)
+    text = "".join(x.rendered for x in b if x.conversation == 3)
+    assert text.count("<|im_start|>") == text.count("<|im_end|>") and "<|im_end|>\n<|im_end|>" not in text
+
+
+def best_path(model, lines):
+    """Viterbi, state by state."""
+    seen = model.emissions(lines)
+    best = {s: (model.start[s] + seen[0, s], [s]) for s in range(chat_hmm.STATES)}
+    for row in seen[1:]:
+        best = {s: max(((p + model.move[q, s] + row[s], [*path, s]) for q, (p, path) in best.items()), key=lambda x: x[0]) for s in range(chat_hmm.STATES)}
+    return max(best.values(), key=lambda x: x[0])
+
+
+def test_the_query_equals_a_plain_viterbi(spark, sf):
+    """Every conversation of the table: features counted, path searched and turns rendered by plain loops."""
+    talks = chat_hmm.transcripts(spark.read.parquet(f"{sf}/conversations.parquet"))
+    got = {r.conv_id: r for r in chat_hmm.format_conversations(talks).collect()}
+    out = {r.conv_id for r in talks.select("conv_id").distinct().filter(F.pmod(F.xxhash64("conv_id"), F.lit(5)) == 0).collect()}
+    said = defaultdict(set)
+    for r in talks.collect():
+        said[r.conv_id].add((r.turn, r.text, r.role))
+    counts = defaultdict(float)
+    for c in said.keys() - out:
+        before = None
+        for n, (_, text, role) in enumerate(sorted(said[c])):
+            for i, line in enumerate(text.split("\n")):
+                state = 2 * chat_hmm.ROLES.index(role) + (i > 0)
+                if not n and not i:
+                    counts["start", state] += 1
+                for f in chat_hmm.line_features(line):
+                    counts[f, state] += 1
+                if before is not None:
+                    counts[f"move:{before}", state] += 1
+                before = state
+    model = chat_hmm.Speakers(counts)
+    assert got.keys() == said.keys()
+    for c, turns in said.items():
+        lines = [x for _, text, _ in sorted(turns) for x in text.split("\n")]
+        score, path = best_path(model, lines)
+        own = model.path(lines, None)
+        seen = model.emissions(lines)
+        assert score == pytest.approx(model.start[own[0]] + seen[0, own[0]] + sum(model.move[a, b] + seen[i + 1, b] for i, (a, b) in enumerate(itertools.pairwise(own))))
+        want, open_ = "", False
+        for line, state in zip(lines, own, strict=True):
+            if state % 2 == 0:
+                want += ("<|im_end|>\n" if open_ else "") + f"<|im_start|>{chat_hmm.ROLES[state // 2]}\n"
+                line, open_ = line[chat_hmm.marker(line)[1] :], True
+            want += line.rstrip().replace("<|", "< |") + "\n"
+        assert got[c].rendered == want + "<|im_end|>\n" and got[c].n_lines == len(lines)
 
 
 def test_viterbi_is_the_best_of_all_paths():
