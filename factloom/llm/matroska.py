@@ -1,9 +1,11 @@
 """Matroska: a parser from bytes to packets, and a writer that stores bytes losslessly as 8-bit PCM audio.
 
-The parser walks EBML elements (variable-length ids and sizes, unknown sizes included) and yields a row for each frame
-of every SimpleBlock and BlockGroup, with Xiph, EBML and fixed-size lacing undone: track, timestamp in nanoseconds,
-byte range in the file, key flag. Cue points become rows too. Damaged input ends the walk at the damage: what stood
-before it is kept and `error` says where.
+The parser walks EBML elements (variable-length ids and sizes; an element of unknown size ends where one of its own or
+a higher level begins) and yields a row for each frame of every SimpleBlock and BlockGroup, with Xiph, EBML and
+fixed-size lacing undone: track, timestamp in nanoseconds, byte range in the file, key flag, and, where a track's
+content encoding strips the header off its frames, the bytes that go in front of the range. Cue points become rows too.
+Elements may be nested to any depth. Damaged input ends the walk at the damage: what stood before it is kept and
+`error` says where.
 
 Null contents are empty files: no packets. Other columns are kept out of the way: packets have the key column and
 their own; repeated rows give repeated packets; the empty table gives none.
@@ -26,10 +28,17 @@ EBML, SEGMENT, INFO, TRACKS, ENTRY, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x15
 SCALE, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, DURATION, REFERENCE = 0x2AD7B1, 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
 CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC, DEFAULT_DURATION, AUDIO, RATE, CHANNELS, BITS = 0xD7, 0x73C5, 0x83, 0x86, 0x23E383, 0xE1, 0xB5, 0x9F, 0x6264
+ENCODINGS, ENCODING, COMPRESSION, ALGORITHM, SETTINGS = 0x6D80, 0x6240, 0x5034, 0x4254, 0x4255
 #: Elements whose children the walk enters.
-MASTERS = {SEGMENT, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_TRACK_POSITIONS, INFO, TRACKS, ENTRY, AUDIO}
-#: Elements that end a cluster or segment of unknown size.
-TOP = {EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1043A770, 0x1941A469, 0x1254C367}
+MASTERS = {SEGMENT, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_TRACK_POSITIONS, INFO, TRACKS, ENTRY, AUDIO, ENCODINGS, ENCODING, COMPRESSION}
+NUMBERS = {SCALE, TIMESTAMP, CUE_TIME, CUE_TRACK, CUE_CLUSTER, TRACK_NUMBER, DEFAULT_DURATION, ALGORITHM}
+#: The levels of elements; what isn't named is deeper than any element of unknown size.
+LEVELS = {
+    EBML: 0, SEGMENT: 0, INFO: 1, TRACKS: 1, CLUSTER: 1, CUES: 1, 0x114D9B74: 1, 0x1043A770: 1, 0x1941A469: 1, 0x1254C367: 1,
+    SCALE: 2, TIMESTAMP: 2, SIMPLE_BLOCK: 2, BLOCK_GROUP: 2, ENTRY: 2, CUE_POINT: 2, 0xA7: 2, 0xAB: 2,
+    BLOCK: 3, DURATION: 3, REFERENCE: 3, TRACK_NUMBER: 3, TRACK_UID: 3, TRACK_TYPE: 3, CODEC: 3, DEFAULT_DURATION: 3, AUDIO: 3, ENCODINGS: 3, CUE_TIME: 3, CUE_TRACK_POSITIONS: 3,
+    CUE_TRACK: 4, CUE_CLUSTER: 4, RATE: 4, CHANNELS: 4, BITS: 4, ENCODING: 4, COMPRESSION: 5, ALGORITHM: 6, SETTINGS: 6,
+}
 RATE_HZ, SAMPLES_A_FRAME, FRAMES_A_BLOCK, BLOCKS_A_CLUSTER = 8000, 64, 8, 64
 
 
@@ -44,6 +53,7 @@ class Packet(NamedTuple):
     length: int
     key: bool
     lacing: str
+    stripped: bytes = b""
 
 
 class Cue(NamedTuple):
@@ -63,31 +73,6 @@ def _vint(data: memoryview, at: int, end: int, marker: bool) -> tuple[int, int]:
     return (value if marker else value & ((1 << 7 * width) - 1)), at + width
 
 
-def elements(data: memoryview, at: int, end: int) -> Iterator[tuple[int, int, int, bool]]:
-    """(id, start of the content, its end, whether its size is unknown) of the elements side by side."""
-    while at < end:
-        kind, body = _vint(data, at, end, True)
-        size, start = _vint(data, body, end, False)
-        unknown = size == (1 << 7 * (start - body)) - 1
-        stop = end if unknown else start + size
-        if stop > end:
-            raise Damaged(f"element {kind:X} at byte {at} goes beyond its parent")
-        if unknown and kind == CLUSTER:
-            stop = _unknown_end(data, start, end)
-        yield kind, start, stop, unknown
-        at = stop
-
-
-def _unknown_end(data: memoryview, at: int, end: int) -> int:
-    while at < end:
-        kind, body = _vint(data, at, end, True)
-        if kind in TOP:
-            return at
-        size, start = _vint(data, body, end, False)
-        at = start + size
-    return end
-
-
 def _uint(data: memoryview, start: int, end: int) -> int:
     return int.from_bytes(data[start:end])
 
@@ -137,53 +122,101 @@ def frames(data: memoryview, start: int, end: int) -> tuple[int, int, int, list[
     return track, relative, flags, spans, lacing
 
 
-def parse(content: bytes) -> tuple[list[Packet], list[Cue], str | None]:
-    """Packets and cues in file order, and what is wrong, if anything."""
-    data = memoryview(content)
-    packets: list[Packet] = []
-    cues: list[Cue] = []
-    state = {"scale": 1_000_000, "cluster": 0, "segment": 0}
-    durations: dict[int, int] = {}
-
-    def block(start: int, end: int, key: bool | None) -> None:
-        track, relative, flags, spans, lacing = frames(data, start, end)
-        at = (state["cluster"] + relative) * state["scale"]
-        for i, (begin, size) in enumerate(spans):
-            packets.append(Packet(track, at + i * durations.get(track, 0), begin, size, bool(flags & 128) if key is None else key, lacing))
-
-    def walk(start: int, end: int, inside: dict) -> None:
-        for kind, a, b, _ in elements(data, start, end):
-            if kind == SEGMENT:
-                state["segment"] = a
-            if kind == SIMPLE_BLOCK:
-                block(a, b, None)
-            elif kind == BLOCK_GROUP:
-                own = list(elements(data, a, b))
-                for _, x, y, _ in (e for e in own if e[0] == BLOCK):
-                    block(x, y, not any(e[0] == REFERENCE for e in own))
-            elif kind == CUE_POINT:
-                found: dict[int, int] = {}
-                walk(a, b, found)
-                cues.append(Cue(found.get(CUE_TRACK, 0), found.get(CUE_TIME, 0) * state["scale"], state["segment"] + found.get(CUE_CLUSTER, 0)))
-            elif kind == ENTRY:
-                found = {}
-                walk(a, b, found)
-                if DEFAULT_DURATION in found:
-                    durations[found.get(TRACK_NUMBER, 0)] = found[DEFAULT_DURATION]
-            elif kind in MASTERS:
-                walk(a, b, inside)
-            elif kind in (SCALE, TIMESTAMP, CUE_TIME, CUE_TRACK, CUE_CLUSTER, TRACK_NUMBER, DEFAULT_DURATION):
-                inside[kind] = _uint(data, a, b)
+class Level:
+    """An element that the walk is in: where it ends, and what its children said."""
+
+    __slots__ = ("kind", "start", "end", "unknown", "found", "blocks")
+
+    def __init__(self, kind: int, start: int, end: int, unknown: bool, found: dict[int, int]):
+        self.kind, self.start, self.end, self.unknown, self.found = kind, start, end, unknown, found
+        self.blocks: list[tuple[int, int]] = []
+
+
+class Walk:
+    """Packets and cues of a file, gathered while its elements pass."""
+
+    def __init__(self, data: memoryview):
+        self.data = data
+        self.packets: list[Packet] = []
+        self.cues: list[Cue] = []
+        self.scale, self.cluster, self.segment = 1_000_000, 0, 0
+        self.durations: dict[int, int] = {}
+        self.stripped: dict[int, bytes] = {}
+        self.header = b""
+
+    def block(self, start: int, end: int, key: bool | None) -> None:
+        track, relative, flags, spans, lacing = frames(self.data, start, end)
+        at, step = (self.cluster + relative) * self.scale, self.durations.get(track, 0)
+        key, stripped = bool(flags & 128) if key is None else key, self.stripped.get(track, b"")
+        self.packets += [Packet(track, at + i * step, begin, size, key, lacing, stripped) for i, (begin, size) in enumerate(spans)]
+
+    def leave(self, level: Level) -> None:
+        """What an element means is known at its end."""
+        found = level.found
+        if level.kind == BLOCK_GROUP:
+            for start, end in level.blocks:
+                self.block(start, end, REFERENCE not in found)
+        elif level.kind == CUE_POINT:
+            self.cues.append(Cue(found.get(CUE_TRACK, 0), found.get(CUE_TIME, 0) * self.scale, self.segment + found.get(CUE_CLUSTER, 0)))
+        elif level.kind == ENTRY:
+            track = found.get(TRACK_NUMBER, 0)
+            if DEFAULT_DURATION in found:
+                self.durations[track] = found[DEFAULT_DURATION]
+            if self.header and found.get(ALGORITHM) == 3:
+                self.stripped[track] = self.header
+
+    def run(self) -> None:
+        data = self.data
+        levels = [Level(0, 0, len(data), False, {})]
+        at = 0
+        while levels:
+            level = levels[-1]
+            if at >= level.end:
+                self.leave(levels.pop())
+                continue
+            kind, body = _vint(data, at, level.end, True)
+            if level.unknown and LEVELS.get(kind, 99) <= LEVELS.get(level.kind, 99):
+                self.leave(levels.pop())
+                continue
+            size, start = _vint(data, body, level.end, False)
+            unknown = size == (1 << 7 * (start - body)) - 1
+            stop = level.end if unknown else start + size
+            if stop > level.end:
+                raise Damaged(f"element {kind:X} at byte {at} goes beyond its parent")
+            at = stop
+            if kind in MASTERS:
+                if kind == SEGMENT:
+                    self.segment = start
+                elif kind == ENTRY:
+                    self.header = b""
+                own = {} if kind in (BLOCK_GROUP, CUE_POINT, ENTRY) else level.found
+                levels.append(Level(kind, start, stop, unknown, own))
+                at = start
+            elif kind == SIMPLE_BLOCK:
+                self.block(start, stop, None)
+            elif kind == BLOCK:
+                level.blocks.append((start, stop))
+            elif kind == REFERENCE:
+                level.found[kind] = 1
+            elif kind == SETTINGS:
+                self.header = bytes(data[start:stop])
+            elif kind in NUMBERS:
+                level.found[kind] = value = _uint(data, start, stop)
                 if kind == SCALE:
-                    state["scale"] = inside[kind]
+                    self.scale = value
                 elif kind == TIMESTAMP:
-                    state["cluster"] = inside[kind]
+                    self.cluster = value
+
 
+def parse(content: bytes) -> tuple[list[Packet], list[Cue], str | None]:
+    """Packets and cues in file order, and what is wrong, if anything."""
+    walk = Walk(memoryview(content))
+    error = None
     try:
-        walk(0, len(data), {})
+        walk.run()
     except Damaged as e:
-        return packets, cues, str(e)
-    return packets, cues, None
+        error = str(e)
+    return walk.packets, walk.cues, error
 
 
 def element(kind: int, content: bytes) -> bytes:
@@ -229,9 +262,9 @@ def mux(samples: bytes) -> bytes:
 
 
 def packets(df: DataFrame, key: str, content: str) -> DataFrame:
-    """A row for each packet and cue of df's files: key, kind, ordinal, track, timestamp_ns, start, length, key_frame, lacing, error.
+    """A row for each packet and cue of df's files: key, kind, ordinal, track, timestamp_ns, start, length, key_frame, lacing, stripped, error.
 
-    A damaged file has one more row, of kind `error`.
+    stripped: the bytes that go in front of the packet's byte range. A damaged file has one more row, of kind `error`.
     """
 
     def rows(found: Iterator[tuple]) -> Iterator[tuple]:
@@ -240,11 +273,11 @@ def packets(df: DataFrame, key: str, content: str) -> DataFrame:
             for i, p in enumerate(frames_):
                 yield k, "packet", i, *p, None
             for i, c in enumerate(cues):
-                yield k, "cue", i, *c, None, None, None, None
+                yield k, "cue", i, *c, None, None, None, None, None
             if error:
-                yield k, "error", 0, None, None, None, None, None, None, error
+                yield k, "error", 0, None, None, None, None, None, None, None, error
 
-    ddl = f"{key} bigint, kind string, ordinal bigint, track bigint, timestamp_ns bigint, start bigint, length bigint, key_frame boolean, lacing string, error string"
+    ddl = f"{key} bigint, kind string, ordinal bigint, track bigint, timestamp_ns bigint, start bigint, length bigint, key_frame boolean, lacing string, stripped binary, error string"
     return map_rows(df.select(F.col(key), F.col(content).cast("binary")), rows, ddl)
 
 
@@ -270,8 +303,17 @@ def feature(payload: bytes, found: list[Packet], cues: list[Cue]) -> str:
     return f"packets={len(found)};cues={len(cues)};ms={length};min={min(payload)};max={max(payload)};sum={sum(payload)}"
 
 
+def packet_table(found: list[Packet]) -> str:
+    """Track, milliseconds, first byte and length of every packet."""
+    return ";".join([f"{p.track}:{p.timestamp_ns // 1_000_000}:{p.start}:{p.length}" for p in found])
+
+
 def media_features(df: DataFrame, key: str = "doc_id", text: str = "text", unit: int = 64) -> DataFrame:
-    """Stores every text as media, parses the stored bytes and describes what was read back, in one pass."""
+    """Stores every text as media, parses the stored bytes and describes what was read back, in one pass.
+
+    After the feature come the packet table's own figures: tracks, packets, last timestamp, bytes inside packets, and
+    the checksum of the table's rows (packet_table).
+    """
 
     def rows(found: Iterator[tuple]) -> Iterator[tuple]:
         sha = hashlib.sha256
@@ -282,7 +324,10 @@ def media_features(df: DataFrame, key: str = "doc_id", text: str = "text", unit:
             if error:
                 raise Damaged(error)
             payload = b"".join([media[p.start : p.start + p.length] for p in read])
-            yield k, len(data), len(payload), sha(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), sha(media).hexdigest(), feature(payload, read, cues)
+            digests = len(data), len(payload), sha(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), sha(media).hexdigest(), feature(payload, read, cues)
+            tracks = ",".join(map(str, sorted({p.track for p in read})))
+            yield k, *digests, tracks, len(read), read[-1].timestamp_ns, sum([p.length for p in read]), zlib.crc32(packet_table(read).encode())
 
     ddl = f"{key} bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return map_rows(df.select(F.col(key), F.col(text)), rows, ddl)
+    more = "tracks string, n_packets bigint, last_timestamp_ns bigint, packet_bytes bigint, packets_crc32 bigint"
+    return map_rows(df.select(F.col(key), F.col(text)), rows, f"{ddl}, {more}")

@@ -248,6 +248,38 @@ def test_damage_keeps_what_stood_before():
         matroska.parse(bytes(broken))
 
 
+def test_elements_nested_to_any_depth_and_of_unknown_size():
+    unknown = b"\x01\xff\xff\xff\xff\xff\xff\xff"
+    deep = b"x"
+    for _ in range(3000):
+        deep = matroska.element(matroska.SEGMENT, deep)
+    assert matroska.parse(deep)[2] is not None
+    open_ = (b"\x18\x53\x80\x67" + unknown) * 5000
+    assert matroska.parse(open_) == ([], [], None)
+    one = lambda n: b"\xa0" + unknown + block(matroska.BLOCK, b"%d" % n, 0)  # noqa: E731  a group that the next one ends
+    data = b"\x18\x53\x80\x67" + unknown + b"\x1f\x43\xb6\x75" + unknown + matroska.element(matroska.TIMESTAMP, b"\x07") + one(1) + one(2) + b"\x1f\x43\xb6\x75" + unknown + one(3)
+    found, _, error = matroska.parse(data)
+    assert error is None and [data[p.start : p.start + p.length] for p in found] == [b"1", b"2", b"3"] and all(p.key for p in found)
+
+
+def test_stripped_headers():
+    way = matroska.element(matroska.ALGORITHM, b"\x03") + matroska.element(matroska.SETTINGS, b"HEAD")
+    encodings = matroska.element(matroska.ENCODINGS, matroska.element(matroska.ENCODING, matroska.element(matroska.COMPRESSION, way)))
+    tracks = matroska.element(matroska.TRACKS, matroska.element(matroska.ENTRY, matroska.element(matroska.TRACK_NUMBER, b"\x01") + encodings))
+    data = matroska.element(matroska.SEGMENT, tracks + matroska.element(matroska.CLUSTER, matroska.element(matroska.TIMESTAMP, b"\x00") + block(matroska.SIMPLE_BLOCK, b"body", 0x80)))
+    (p,), _, _ = matroska.parse(data)
+    assert p.stripped + data[p.start : p.start + p.length] == b"HEADbody"
+
+
+def test_packet_columns_of_the_query(documents):
+    for r in matroska.media_features(documents).limit(40).collect():
+        n = r.payload_bytes // 64
+        assert (r.n_packets, r.packet_bytes, r.tracks, r.last_timestamp_ns) == (n, r.payload_bytes, "1", (n - 1) * 8_000_000)
+    (r,) = matroska.media_features(documents.sparkSession.createDataFrame([(1, "abc")], "doc_id bigint, text string")).collect()
+    media = matroska.mux(matroska.padded(b"abc", 64))
+    assert r.packets_crc32 == zlib.crc32(f"1:0:{media.index(b'abc')}:64".encode())
+
+
 def test_cues_point_to_clusters():
     data = matroska.mux(bytes(64 * 2000))
     _, cues, _ = matroska.parse(data)
