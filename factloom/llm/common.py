@@ -22,25 +22,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's checkpoint folder, else (in tests) one of our own."""
+    """The folder that driver and executors share: the cluster's checkpoint folder; in a local session one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not (spark.sparkContext.master or "").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="factloom-checkpoints-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+#: Applications whose folder goes when they end.
+_registered: set[str] = set()
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: cuts lineage and survives lost executors."""
+    """Writes df once to the shared folder and reads it back: cuts lineage and survives lost executors.
+
+    The table stays until the application ends, or until `release`.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/factloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/factloom/{spark.sparkContext.applicationId}"
+    if folder not in _registered:
+        system, where = _file_system(spark, folder)
+        system.mkdirs(where)
+        system.deleteOnExit(where)
+        _registered.add(folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(BATCH_BYTES, None)
     spark.conf.set(BATCH_BYTES, BATCH)
     try:
         df.write.parquet(path)
     finally:
         spark.conf.unset(BATCH_BYTES) if before is None else spark.conf.set(BATCH_BYTES, before)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._factloom_path = path
+    return found
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes tables that `durable` wrote and that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_factloom_path", None):
+            system, where = _file_system(df.sparkSession, path)
+            system.delete(where, True)
 
 
 def arrow_schema(ddl: str) -> pa.Schema:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import durable
+from factloom.llm.common import durable, release
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -27,6 +27,7 @@ def connected(edges: DataFrame) -> DataFrame:
         after = durable(small.select("e.a", "e.b").filter("a <> b").distinct(), "small-star")
         # Stars are left when no node is both below and above another: then the rounds have come to rest.
         done = after.select("b").distinct().join(after.select("a"), F.col("a") == F.col("b"), "left_semi").isEmpty() and after.groupBy("a").count().filter("count > 1").isEmpty()
+        release(now, least, large, first)
         now = after
         if done:
             stars = now.select(F.col("a").alias("node"), F.col("b").alias("root"))

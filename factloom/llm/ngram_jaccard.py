@@ -6,20 +6,26 @@ of which two sets of similarity J share each with probability J.
 
 Runs of the join split records recursively: at a node, the path so far chooses a token position, and records go to the
 child of their token there. Nodes of at most `leaf` records are compared by brute force on two-bit sketches, larger
-ones are split on, to at most DEPTH levels; beyond, they are compared block by block. A record whose node was
-final at depth d has met any partner of the threshold's similarity with probability at least threshold ** d in that
-run; rounds of RUNS runs are repeated for records until the chance that all runs missed one is below 1 - recall.
+ones are split on, to at most DEPTH levels. In what is still larger, every block meets a pivot block; pairs that this
+connects need no more, and strays, records apart from the node's main group, meet all of the node. A record whose node
+was final at depth d has met any partner of the threshold's similarity, or is connected with it, with probability at
+least threshold ** d in that run; rounds of RUNS runs are repeated for records until the chance that all runs missed
+one is below 1 - recall.
 
-Pairs close on their sketches only shape candidate components. Inside each, all pairs are verified on the whole sets,
-block by block, so every link within a component is found, counted once, and exact. Output is per document: class
-(least document id of its connected component over links) and number of linked documents, copies included.
+Pairs close on their sketches only shape candidate components. Inside each, pairs are verified on the whole sets, so
+every link within a component is found, counted once, and exact. Only sets whose sizes allow the similarity are
+compared (bands of sizes, each with itself and the next), block by block, and a set is carried to its blocks as its
+difference from the component's least record, which is small among near copies. Output is per document: class (least
+document id of its connected component over links) and number of linked documents, copies included.
 
-Nothing is emitted by pair: a node or block emits at most one edge and one count for each record it holds. Broadcast
-is used for candidates' ids only while they are few (BROADCAST_ROWS); beyond, the same join is shuffled.
+Nothing is emitted by pair: a node or block emits at most one edge and one count for each record it holds. One plan
+serves all sizes: nothing is broadcast by hand, and the texts of candidates come back by a shuffled join.
 
 Null texts are empty; empty texts are in no pair and classes of their own; repeated rows are copies; other columns are
-ignored; the empty table gives no rows. Sets are told apart by 64-bit hashes. Rows of one id with different texts are
-records of their own: where several classes have the same least id, one is named by it, the others by negative hashes.
+ignored, whatever their names; the empty table gives no rows. Sets are told apart by 64-bit hashes. Null is an id like
+any other, but the last: rows without an id have links, and a class without any id is named by a negative hash. Rows of
+one id with different texts are records of their own: where several classes have the same least id, one is named by
+it, the others by negative hashes.
 """
 
 from __future__ import annotations
@@ -33,13 +39,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import durable, map_rows
+from factloom.llm.common import durable, map_rows, release
 from factloom.llm.components import connected
 
 TOKENS, DEPTH, RUNS = 64, 4, 8
-#: Blocks of a candidate component: at most so many records and about so many shingles each.
-BLOCK_RECORDS, BLOCK_SHINGLES = 512, 2_000_000
-BROADCAST_ROWS = 1_000_000
+#: Blocks of a candidate component: at most so many records, and about so many shingles, each.
+BLOCK_RECORDS, BLOCK_SHINGLES = 128, 1_000_000
 _RANDOM = np.random.default_rng(20_240_229)
 _MULTIPLY = (_RANDOM.integers(0, 1 << 32, TOKENS, np.uint64) | np.uint64(1)).astype(np.uint32)
 _ADD = _RANDOM.integers(0, 1 << 32, TOKENS, np.uint64).astype(np.uint32)
@@ -104,7 +109,7 @@ def close(low: np.ndarray, high: np.ndarray, least: int) -> list[tuple[int, int]
 
 
 def signatures(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """key, hash (of the text), record (hash of the set, null if empty), size, tokens, low, high for every row."""
+    """id, hash (of the text), record (hash of the set, null if empty), size, tokens, low, high for every row."""
 
     def rows(found: Iterator[tuple]) -> Iterator[tuple]:
         for k, t, h in found:
@@ -115,7 +120,7 @@ def signatures(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
             else:
                 yield k, h, None, 0, None, None, None
 
-    return map_rows(df.select(F.col(key), F.col(text), text_hash(text)), rows, f"{key} bigint, hash bigint, record bigint, size int, tokens array<int>, low bigint, high bigint")
+    return map_rows(df.select(F.col(key), F.col(text), text_hash(text)), rows, "id bigint, hash bigint, record bigint, size int, tokens array<int>, low bigint, high bigint")
 
 
 def text_hash(text: str) -> Column:
@@ -169,12 +174,13 @@ def candidates(records: DataFrame, threshold: float, recall: float, leaf: int) -
             shared = durable(now.join(sizes, F.col(node) == F.col("_node")).drop(node), "shared")
             small = shared.filter(F.col("_size") <= leaf).groupBy("_node").agg(F.collect_list(member).alias("members"))
             edges.append(durable(_brute(small, least), "close"))
-            if level == DEPTH - 1:
-                edges.append(durable(_grid(shared.filter(F.col("_size") > leaf), member, leaf, least), "close-grid"))
+            large = shared.filter(F.col("_size") > leaf)
+            if large.isEmpty():
                 break
-            now = shared.filter(F.col("_size") > leaf).drop("_node", "_size")
-            if now.isEmpty():
+            if level == DEPTH - 1:
+                edges += _crowded(large, leaf, least)
                 break
+            now = large.drop("_node", "_size")
             deeper.append(now.select("record", "run"))
         # What the runs may have missed, by the depth that each of a record's nodes reached.
         shallow = RUNS * math.log1p(-threshold)
@@ -197,13 +203,35 @@ def candidates(records: DataFrame, threshold: float, recall: float, leaf: int) -
     return found
 
 
-def _grid(shared: DataFrame, member: Column, leaf: int, least: int) -> DataFrame:
-    """As _brute, for nodes beyond the limit: every pair of blocks of such a node."""
+def _crowded(large: DataFrame, leaf: int, least: int) -> list[DataFrame]:
+    """As _brute, for nodes beyond the limit, up to pairs that other edges connect. Rows carried: two for each member."""
+    member = F.struct("record", "low", "high").alias("m")
     blocks = F.ceil(F.col("_size") / leaf).cast("int")
-    own = F.pmod(F.xxhash64(F.lit("grid"), "record"), blocks).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(j, own).alias("i"), F.greatest(j, own).alias("j")))
-    each = shared.select("_node", member.alias("m"), F.explode(pairs).alias("p"))
-    return _brute(each.groupBy("_node", "p").agg(F.collect_list("m").alias("members")), least)
+    own = F.pmod(F.xxhash64(F.lit("block"), "record"), blocks).cast("int")
+    held = large.select("_node", "record", "low", "high", blocks.alias("blocks"), own.alias("own"))
+    pivots = held.filter("own = 0 and blocks > 1").select("_node", F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)).alias("own"), member)
+    met = held.select("_node", "own", member).unionByName(pivots)
+    first = durable(_brute(met.groupBy("_node", "own").agg(F.collect_list("m").alias("members")), least), "close-pivots")
+    # The main group of a node is the component that most of its members are in; the others are strays.
+    roots = durable(connected(first), "close-roots")
+    placed = held.join(roots, F.col("record") == F.col("node"), "left").withColumn("root", F.coalesce("root", "record")).drop("node")
+    placed = durable(placed, "close-placed")
+    by_root = placed.groupBy("_node", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = durable(by_root.groupBy(F.col("_node").alias("_n")).agg(F.max(F.struct("n", "root"))["root"].alias("_main")), "close-main")
+    apart = placed.join(main, F.col("_node") == F.col("_n")).filter(F.col("root") != F.col("_main"))
+    strays = durable(apart.select("_node", "record", "low", "high", "blocks"), "close-strays")
+    if strays.isEmpty():
+        release(placed, main, strays)
+        return [first]
+    numbers = durable(strays.groupBy(F.col("_node").alias("_n")).agg(F.ceil(F.count(F.lit(1)) / leaf).cast("int").alias("_parts")), "close-parts")
+    same = F.col("_node") == F.col("_n")
+    every = held.join(numbers, same).select("_node", "own", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"), member)
+    part = F.pmod(F.xxhash64(F.lit("stray"), "record"), F.col("_parts")).cast("int").alias("part")
+    around = strays.join(numbers, same).select("_node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"), part, member)
+    second = _brute(every.unionByName(around).groupBy("_node", "own", "part").agg(F.collect_list("m").alias("members")), least)
+    found = [first, durable(second.filter("a <> b"), "close-strays-met")]
+    release(placed, main)
+    return found
 
 
 def intersections(sets: list[np.ndarray], others: list[np.ndarray] | None = None) -> np.ndarray:
@@ -230,8 +258,9 @@ def intersections(sets: list[np.ndarray], others: list[np.ndarray] | None = None
 def verify(members: DataFrame, threshold: float) -> DataFrame:
     """record, linked (weight of the records linked to it), root (a linked record, or itself), from candidates.
 
-    members: component, i, j (blocks of the pair), own (the record's block), record, weight, shingles binary. A record
-    has a row for each pair of blocks it takes part in.
+    members: component, i, j (blocks of the pair), own (the record's block), record, weight, size, away (how many
+    shingles the component's least record has beyond it), origin (of that record: its size), differs (binary: shingles
+    that only one of both has). A record has a row for each pair of blocks it takes part in.
     """
 
     def rows(found: Iterator[tuple]) -> Iterator[tuple]:
@@ -240,26 +269,24 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
             sides: list[list[tuple]] = [[], []]
             for x in sorted(once.values(), key=lambda x: x[4]):
                 sides[x[3] != i].append(x)
-            sets = [[np.frombuffer(x[6], np.uint64) for x in side] for side in sides]
-            sizes = [np.array([len(s) for s in side], np.float32) for side in sets]
-            weights = [np.array([x[5] for x in side], np.int64) for side in sides]
-            if i == j:
-                if len(sides[0]) < 2:
-                    continue
-                common = intersections(sets[0])
-                linked = common * (1 + threshold) >= threshold * (sizes[0][:, None] + sizes[0][None]) - 1e-3
-                np.fill_diagonal(linked, False)
-                names = [x[4] for x in sides[0]]
-                yield from _links(names, linked @ weights[0], *np.nonzero(np.triu(linked)))
-            elif sides[0] and sides[1]:
-                common = intersections(*sets)
-                linked = common * (1 + threshold) >= threshold * (sizes[0][:, None] + sizes[1][None]) - 1e-3
-                names = [x[4] for side in sides for x in side]
+            sets = [[np.frombuffer(x[9], np.uint64) for x in side] for side in sides]
+            sizes, away, weights = ([np.array([x[c] for x in side], np.int64) for side in sides] for c in (6, 7, 5))
+            names = [x[4] for side in sides for x in side]
+            one, other = 0, int(i != j)
+            if not sides[one] or not sides[other] or len(names) < 2:
+                continue
+            # Of the origin's shingles both have all but what either lacks; of others, those that both differ by.
+            common = intersections(sets[0], sets[1] if other else None) + (sides[0][0][8] - away[one][:, None] - away[other][None])
+            linked = common * (1 + threshold) >= threshold * (sizes[one][:, None] + sizes[other][None]) - 1e-3
+            if other:
                 a, b = np.nonzero(linked)
                 yield from _links(names, np.concatenate([linked @ weights[1], linked.T @ weights[0]]), a, b + len(sides[0]))
+            else:
+                np.fill_diagonal(linked, False)
+                yield from _links(names, linked @ weights[0], *np.nonzero(np.triu(linked)))
 
     ordered = members.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    return map_rows(ordered.select("component", "i", "j", "own", "record", "weight", "shingles"), rows, "record bigint, linked bigint, root bigint")
+    return map_rows(ordered.select("component", "i", "j", "own", "record", "weight", "size", "away", "origin", "differs"), rows, "record bigint, linked bigint, root bigint")
 
 
 def _links(names: list[int], linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple]:
@@ -284,18 +311,22 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, thr
     """key, class_id, n_links for every row of df."""
     rows, facts = _facts(df, key, text, n, threshold, recall, leaf)
     # An id with several texts may be the least of several classes: all but the first one get names of their own.
-    firsts = durable(facts.groupBy("class_id").agg(F.min("root").alias("_first"), F.max("root").alias("_last")).filter("_first <> _last").select(F.col("class_id").alias("_named"), "_first"), "names")
-    if (names := firsts.count()) > 0:
-        facts = facts.join(F.broadcast(firsts) if names <= BROADCAST_ROWS else firsts, F.col("class_id") == F.col("_named"), "left")
+    firsts = facts.groupBy("class_id").agg(F.min("root").alias("_first"), F.max("root").alias("_last")).filter("_first <> _last and class_id is not null")
+    firsts = durable(firsts.select(F.col("class_id").alias("_named"), "_first"), "names")
+    if not firsts.isEmpty():
+        facts = facts.join(firsts, F.col("class_id") == F.col("_named"), "left")
         facts = facts.withColumn("class_id", F.when(F.col("root") > F.col("_first"), _name("class_id", "root")).otherwise(F.col("class_id")))
-    found = rows.select(key, "record").join(facts.select(F.col("record").alias("_record"), "class_id", "n_links"), F.col("record") == F.col("_record"), "left")
-    # So do texts without words, of an id that a class is named by.
-    empty = durable(rows.filter("record is null").select(F.col(key).alias("_empty")).distinct().join(facts, F.col("_empty") == F.col("class_id"), "left_semi"), "empty")
-    class_id = F.coalesce("class_id", key)
-    if (empties := empty.count()) > 0:
-        found = found.join(F.broadcast(empty) if empties <= BROADCAST_ROWS else empty, F.col("record").isNull() & (F.col(key) == F.col("_empty")), "left")
-        class_id = F.coalesce("class_id", F.when(F.col("_empty").isNotNull(), _name("_empty")), key)
-    return found.select(key, class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    facts = facts.select(F.col("record").alias("_record"), F.coalesce("class_id", _name("root")).alias("class_id"), "n_links")
+    spoken = rows.filter("record is not null").select("id", "record").join(facts, F.col("record") == F.col("_record"), "left").select("id", "class_id", "n_links")
+    # Texts without words are classes of their own: named by their id, unless it names a class.
+    silent = rows.filter("record is null").select("id")
+    taken = durable(silent.distinct().join(facts.select("class_id"), F.col("id") == F.col("class_id"), "left_semi").select(F.col("id").alias("_taken")), "taken")
+    class_id = F.col("id")
+    if not taken.isEmpty():
+        silent = silent.join(taken, F.col("id") == F.col("_taken"), "left")
+        class_id = F.when(F.col("_taken").isNotNull(), _name("_taken")).otherwise(F.col("id"))
+    found = spoken.unionByName(silent.select("id", class_id.alias("class_id"), F.lit(0).cast("bigint").alias("n_links")))
+    return found.select(F.col("id").alias(key), "class_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
 def _name(*of: str) -> Column:
@@ -304,13 +335,16 @@ def _name(*of: str) -> Column:
 
 
 def _facts(df: DataFrame, key: str, text: str, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, leaf: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """The rows' signatures; and for each record its class: record, root, class_id (least id), best (the row that stays for it: id, record, hash), n_links."""
+    """The rows' signatures; and for each record its class: record, root, class_id (least id), best (the row that stays for it), n_links.
+
+    best: struct(none (it has no id), id, record, hash).
+    """
     rows = durable(signatures(df, key, text, n), "signatures")
-    best = F.min(F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("id"), "record", "hash"))).alias("best")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "record", "hash")).alias("best")
     records = rows.filter("record is not null").groupBy("record").agg(best, F.count(F.lit(1)).alias("weight"), F.first("size").alias("size"), F.first("tokens").alias("tokens"), F.first("low").alias("low"), F.first("high").alias("high"))
     records = durable(records, "records")
     near = connected(candidates(records.select("record", "tokens", "low", "high"), threshold, recall, leaf))
-    exact = durable(verify(_members(df, records, near, key, text, n), threshold), "verified")
+    exact = durable(verify(_members(df, records, near, key, text, n, threshold), threshold), "verified")
     classes = connected(exact.select(F.col("record").alias("a"), F.col("root").alias("b")))
     linked = exact.groupBy("record").agg(F.sum("linked").alias("linked"))
     # Least row of every class: records of classes only.
@@ -322,49 +356,85 @@ def _facts(df: DataFrame, key: str, text: str, n: int = 5, threshold: float = 0.
     return rows, durable(facts, "classes")
 
 
-def _members(df: DataFrame, records: DataFrame, near: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """Candidates with their whole sets, by pair of blocks of their component."""
-    nodes = durable(near.withColumnRenamed("node", "record").join(records.select("record", F.col("best.id").alias("least"), F.col("best.hash").alias("hash"), "weight", "size"), "record"), "candidates")
-    sizes = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_RECORDS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
-    nodes = durable(nodes.join(sizes.select("root", blocks.alias("blocks")), "root").select("root", "record", "least", "hash", "weight", "blocks"), "blocked")
-    few = nodes.count() <= BROADCAST_ROWS
-    wanted = df.select(F.col(key), F.col(text)).join(F.broadcast(nodes) if few else nodes, (F.col(key) == F.col("least")) & (text_hash(text) == F.col("hash")))
-
-    def rows(found: Iterator[tuple]) -> Iterator[tuple]:
-        for t, component, rec, weight, m in found:
+def _members(df: DataFrame, records: DataFrame, near: DataFrame, key: str, text: str, n: int, threshold: float) -> DataFrame:
+    """Candidates as differences from their component's least record, by pair of blocks of the component."""
+    # Sets of sizes more than a band apart are too unlike; the bands are a little wider than the threshold says.
+    band = F.floor(F.log("size") / (1.001 * -math.log(min(threshold, 0.999)))).cast("int")
+    nodes = near.withColumnRenamed("node", "record").join(records.select("record", F.col("best.id").alias("id"), F.col("best.hash").alias("hash"), "weight", "size"), "record")
+    nodes = durable(nodes.withColumn("band", band), "candidates")
+    counts = nodes.groupBy("root", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_RECORDS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    # A map of at most as many entries as there are bands.
+    sizes = durable(counts.groupBy(F.col("root").alias("_root")).agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("blocks")), "blocks")
+    nodes = durable(nodes.join(sizes, F.col("root") == F.col("_root")).drop("_root"), "blocked")
+    # Not by the size of the smaller side: the plan that is measured on small tables is the plan on large ones.
+    texts = df.select(F.col(key).alias("_id"), F.col(text).alias("_text"), text_hash(text).alias("_hash"))
+    wanted = texts.join(nodes.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("hash")))
+
+    def sets(found: Iterator[tuple]) -> Iterator[tuple]:
+        last: dict[int, None] = {}  # repeated rows of late: most come one after the other
+        for t, component, rec, weight, b, m in found:
+            if rec in last:
+                continue
             s = shingles(t, n)
             if len(s) and record(s) == rec:  # texts of one id with equal hashes
-                yield component, rec, weight, m, s.tobytes()
-
-    sets = map_rows(wanted.select(text, "root", "record", "weight", "blocks"), rows, "component bigint, record bigint, weight bigint, blocks int, shingles binary")
-    own = F.pmod(F.xxhash64(F.lit("block"), "record"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j")))
-    return sets.withColumn("own", own).withColumn("p", F.explode(pairs)).select("component", "p.i", "p.j", "own", "record", "weight", "shingles")
+                last[rec] = None
+                if len(last) > 1000:
+                    del last[next(iter(last))]
+                yield component, rec, weight, b, m, s.tobytes()
+
+    kinds = "component bigint, record bigint, weight bigint, band int, blocks map<int,int>"
+    whole = durable(map_rows(wanted.select("_text", "root", "record", "weight", "band", F.map_entries("blocks").alias("blocks")), sets, kinds.replace("map<int,int>", "array<struct<key:int,value:int>>") + ", shingles binary"), "sets")
+    origins = whole.filter("record = component").select(F.col("component").alias("_component"), F.col("shingles").alias("origin")).dropDuplicates(["_component"])
+
+    def apart(found: Iterator[tuple]) -> Iterator[tuple]:
+        for component, rec, weight, b, m, own, least in found:
+            a, o = np.frombuffer(own, np.uint64), np.frombuffer(least, np.uint64)
+            differs = np.setxor1d(a, o, assume_unique=True)
+            away = (len(differs) + len(o) - len(a)) // 2
+            yield component, rec, weight, b, m, len(a), away, len(o), differs.tobytes()
+
+    joined = whole.join(origins, F.col("component") == F.col("_component")).select("component", "record", "weight", "band", "blocks", "shingles", "origin")
+    far = map_rows(joined, apart, "component bigint, record bigint, weight bigint, band int, blocks array<struct<key:int,value:int>>, size bigint, away bigint, origin bigint, differs binary")
+    far = far.withColumn("blocks", F.map_from_entries("blocks"))
+    named = lambda at, x: F.shiftleft(at.cast("bigint"), 32) + x  # noqa: E731  a block of a band
+    here = F.col("band")
+    mine = named(here, F.pmod(F.xxhash64(F.lit("block"), "record"), F.element_at("blocks", here)))
+
+    def others(at: Column) -> Column:
+        found = F.transform(F.sequence(F.lit(0), F.coalesce(F.try_element_at("blocks", at), F.lit(1)) - 1), lambda x: named(at, x))
+        return F.when(F.try_element_at("blocks", at).isNotNull(), found).otherwise(F.array().cast("array<bigint>"))
+
+    far = far.withColumn("own", mine)
+    pairs = F.transform(F.concat(others(here - 1), others(here), others(here + 1)), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
+    return far.withColumn("p", F.explode(pairs)).select("component", "p.i", "p.j", "own", "record", "weight", "size", "away", "origin", "differs")
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """df's rows, all columns, of which one of each class stays: that with the least id (then the least set, then text).
 
     An id is not a document: of the rows of an id, only those go whose own text is in the class of another row. Texts
-    without words stay once for each id, where no other text of the id stays. Rows without an id stay.
+    without words stay once for each id, where no other text of the id stays (without an id: once). Else null is an id
+    like any other, but the last.
     """
     rows, facts = _facts(df, key, text, **settings)
-    id_and_text = [F.col(key).alias("_id"), F.col("hash").alias("_hash")]
     best = facts.select(F.col("record").alias("_record"), F.col("best.id").alias("_best"), F.col("best.hash").alias("_best_hash"))
-    other = (F.col(key) != F.col("_best")) | (F.col("hash") != F.col("_best_hash"))
-    gone = rows.filter("record is not null").join(best, F.col("record") == F.col("_record")).filter(other).select(*id_and_text)
-    empty = durable(rows.filter(F.col("record").isNull() & F.col(key).isNotNull()).groupBy(key, "hash").agg(F.lit(1)).select(key, "hash"), "empty")
-    first = empty.groupBy(F.col(key).alias("_key")).agg(F.min("hash").alias("_first"))
-    spoken = empty.join(best, F.col(key) == F.col("_best"), "left_semi").select(*id_and_text)
-    more = empty.join(first, F.col(key) == F.col("_key")).filter("hash > _first").select(*id_and_text)
-    gone = durable(gone.unionByName(spoken).unionByName(more).distinct(), "gone")
-    twice = durable(rows.filter(F.col(key).isNotNull()).groupBy(*id_and_text).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_id", "_hash"), "twice")
-    at = (F.col(key) == F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
-    marked = df.withColumn("_text_hash", text_hash(text))
-    kept = marked.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, at, "left_anti")
-    if (n := twice.count()) == 0:
-        return kept.drop("_text_hash")
-    twice = F.broadcast(twice) if n <= BROADCAST_ROWS else twice
-    single = kept.join(twice, at, "left_anti")
-    return single.unionByName(kept.join(twice, at, "left_semi").dropDuplicates([key, "_text_hash"])).drop("_text_hash")
+    other = ~F.col("id").eqNullSafe(F.col("_best")) | (F.col("hash") != F.col("_best_hash"))
+    spoken = rows.filter("record is not null").join(best, F.col("record") == F.col("_record"))
+    gone = spoken.filter(other).select("id", "hash")
+    empty = durable(rows.filter("record is null").groupBy("id", "hash").agg(F.lit(1)).select("id", "hash"), "empty")
+    first = empty.groupBy(F.col("id").alias("_id")).agg(F.min("hash").alias("_first"))
+    stay = facts.select(F.col("best.id").alias("_stays")).distinct()
+    silent = empty.join(stay, F.col("id") == F.col("_stays"), "left_semi").select("id", "hash")
+    more = empty.join(first, F.col("id").eqNullSafe(F.col("_id"))).filter("hash > _first").select("id", "hash")
+    gone = gone.unionByName(silent).unionByName(more).distinct().select("id", "hash", F.lit(0).alias("n"))
+    repeated = rows.groupBy("id", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    marks = gone.unionByName(repeated.select("id", "hash", F.col("n").cast("int"))).groupBy("id", "hash").agg(F.min("n").alias("_n"))
+    marks = durable(marks.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), "_n"), "marks")
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+    named = df.select(row, F.col(key).alias("_key"), text_hash(text).alias("_text_hash"))
+    marked = named.join(marks.hint("shuffle_hash"), F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
+    kept = marked.filter(F.col("_n").isNull()).select("row.*")
+    if marks.filter("_n > 0").isEmpty():
+        return kept
+    once = marked.filter("_n > 0").groupBy("_key", "_text_hash").agg(F.first("row").alias("row"))
+    return kept.unionByName(once.select("row.*"))

@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat_hmm, cotraining, html_layout, kk_packing, matroska, ngram_jaccard, nn_descent, ownership_secrets, piece_bpe, ring
+from factloom.llm import chat_hmm, cotraining, html_layout, kk_packing, matroska, ngram_jaccard, nn_descent, oracles, ownership_secrets, piece_bpe, ring
 from factloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+#: Where SQL can express a result.
+ORACLES: dict[str, str] = {"op2_ngram_jaccard": oracles.JACCARD, "op10_ownership_secrets": oracles.SECRETS}
 
 
 def query(f):

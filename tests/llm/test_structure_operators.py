@@ -65,12 +65,44 @@ def test_groups_beyond_the_leaf_lose_no_link(spark, leaf):
 
 def test_blocks_of_a_component(spark, monkeypatch):
     monkeypatch.setattr(ngram_jaccard, "BLOCK_RECORDS", 7)
-    monkeypatch.setattr(ngram_jaccard, "BROADCAST_ROWS", 0)
     texts = list(near_copies(50, 100, 3, 4))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert sorted(map(tuple, ngram_jaccard.join(docs).collect())) == brute(list(enumerate(texts)))
 
 
+def test_crowded_nodes_with_strays(spark, monkeypatch):
+    """Nodes that no level makes small: blocks meet pivots, and records apart from the main group meet all."""
+    monkeypatch.setattr(ngram_jaccard, "DEPTH", 1)
+    texts = [*near_copies(40, 150, 2, 1), *near_copies(30, 60, 3, 7), *near_copies(9, 200, 30, 3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(map(tuple, ngram_jaccard.join(docs, leaf=3).collect())) == brute(list(enumerate(texts)))
+    r = np.random.default_rng(8)
+    base = r.integers(-(2**62), 2**62, 3)
+    rows = [(node, i, int(base[i % 3]), int(base[i % 3]), 90) for node in (1, 2) for i in range(90)]  # three groups in a node of 90
+    large = spark.createDataFrame(rows, "_node int, record bigint, low bigint, high bigint, _size int")
+    edges = [tuple(e) for df in ngram_jaccard._crowded(large, 10, 64) for e in df.collect()]
+    roots = {x.node: x.root for x in components.connected(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert roots == {i: i % 3 for i in range(90)}
+
+
+def test_sizes_of_all_bands(spark):
+    """Texts that begin alike and go on for different lengths: similarities just on both sides of the threshold."""
+    words = [f"w{i}" for i in range(600)]
+    texts = [" ".join(words[:n]) for n in (5, 6, 7, 9, 12, 14, 16, 20, 24, 29, 36, 44, 54, 67, 83, 103, 128, 159, 200, 249, 310, 387, 484, 600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(map(tuple, ngram_jaccard.join(docs).collect())) == brute(list(enumerate(texts)))
+
+
+def test_documents_without_an_id_have_links(spark):
+    texts = [t for c in "ab" for base in [" ".join(f"{c}{i}" for i in range(80))] for t in (base, base + " more")]
+    docs = spark.createDataFrame([(None, texts[0], 1), (None, texts[1], 2), (4, texts[2], 3), (None, texts[3], 4), (None, None, 5), (None, "", 6)], "doc_id bigint, text string, record int")
+    rows = ngram_jaccard.join(docs).collect()
+    assert sorted(r.n_links for r in rows) == [0, 0, 1, 1, 1, 1]
+    assert sorted(r.class_id for r in rows if r.class_id is not None and r.class_id > 0) == [4, 4] and len({r.class_id for r in rows}) == 3
+    kept = ngram_jaccard.keep_one(docs).collect()
+    assert kept[0].__fields__ == ["doc_id", "text", "record"] and sorted(r.record for r in kept if r.record < 5)[-1] == 3 and len(kept) == 3
+
+
 def test_join_of_odd_documents(odd_documents, no_documents):
     rows = ngram_jaccard.join(odd_documents).collect()
     found = {r.doc_id: r for r in rows}
