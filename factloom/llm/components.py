@@ -25,8 +25,10 @@ def connected(edges: DataFrame) -> DataFrame:
         first = durable(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "least")
         small = large.join(first, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
         after = durable(small.select("e.a", "e.b").filter("a <> b").distinct(), "small-star")
-        # Stars are left when no node is both below and above another: then the rounds have come to rest.
-        done = after.select("b").distinct().join(after.select("a"), F.col("a") == F.col("b"), "left_semi").isEmpty() and after.groupBy("a").count().filter("count > 1").isEmpty()
+        # Stars are left when no node is both below and above another, or below two: then the rounds have come to rest.
+        ends = after.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.lit(1).alias("below")), F.struct(F.col("b").alias("u"), F.lit(0).alias("below")))).alias("e")).select("e.u", "e.below")
+        unrest = ends.groupBy("u").agg(F.sum("below").alias("n"), F.min("below").alias("least")).filter("n > 1 or (n > 0 and least = 0)")
+        done = unrest.isEmpty()
         release(now, least, large, first)
         now = after
         if done:

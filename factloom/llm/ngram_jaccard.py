@@ -6,10 +6,10 @@ of which two sets of similarity J share each with probability J.
 
 Runs of the join split records recursively: at a node, the path so far chooses a token position, and records go to the
 child of their token there. Nodes of at most `leaf` records are compared by brute force on two-bit sketches, larger
-ones are split on, to at most DEPTH levels. In what is still larger, every block meets a pivot block; pairs that this
-connects need no more, and strays, records apart from the node's main group, meet all of the node. A record whose node
+ones are split on, to at most DEPTH levels. In what is still larger, every record meets a pivot, the commonest sketch of
+the node; two records that it connects need no more, and strays, records unlike it, meet all of the node. A record whose node
 was final at depth d has met any partner of the threshold's similarity, or is connected with it, with probability at
-least threshold ** d in that run; rounds of RUNS runs are repeated for records until the chance that all runs missed
+least threshold ** d in that run; rounds of runs are repeated for records until the chance that all runs missed
 one is below 1 - recall.
 
 Pairs close on their sketches only shape candidate components. Inside each, pairs are verified on the whole sets, so
@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import count, groupby
 
 import numpy as np
@@ -39,10 +40,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import durable, map_rows, release
+from factloom.llm.common import durable, map_rows
 from factloom.llm.components import connected
 
-TOKENS, DEPTH, RUNS = 64, 4, 8
+TOKENS, DEPTH = 64, 3
+#: Runs of the first round, which do for nodes that are small at once, and of each round after it.
+RUNS, MORE_RUNS = 6, 8
 #: Blocks of a candidate component: at most so many records, and about so many shingles, each.
 BLOCK_RECORDS, BLOCK_SHINGLES = 128, 1_000_000
 _RANDOM = np.random.default_rng(20_240_229)
@@ -132,14 +135,14 @@ def record(found: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
 
 
-def _paths(run: int) -> Column:
+def _paths(run: Column) -> list[Column]:
     """The keys of the nodes that a record passes in a run, from the first level down."""
-    position = (run * 37 + run // TOKENS) % TOKENS
-    keys = [F.xxhash64(F.lit(run), F.lit(position), F.get("tokens", F.lit(position)))]
+    position = F.pmod(run * 37 + F.floor(run / TOKENS), F.lit(TOKENS)).cast("int")
+    keys = [F.xxhash64(run, position, F.get("tokens", position))]
     for _ in range(DEPTH - 1):
         at = F.pmod(keys[-1], F.lit(TOKENS)).cast("int")
         keys.append(F.xxhash64(keys[-1], F.get("tokens", at)))
-    return F.struct(F.lit(run).alias("run"), *(k.alias(f"k{i}") for i, k in enumerate(keys)))
+    return [k.alias(f"k{i}") for i, k in enumerate(keys)]
 
 
 def _brute(df: DataFrame, least: int) -> DataFrame:
@@ -163,17 +166,17 @@ def candidates(records: DataFrame, threshold: float, recall: float, leaf: int) -
     edges: list[DataFrame] = []
     active = records.withColumn("missed", F.lit(0.0))
     for turn in count():
-        runs = range(turn * RUNS, (turn + 1) * RUNS)
-        now = active.select("record", "low", "high", F.explode(F.array(*map(_paths, runs))).alias("p")).select("record", "low", "high", "p.*")
+        runs = range(RUNS) if not turn else range(RUNS + (turn - 1) * MORE_RUNS, RUNS + turn * MORE_RUNS)
+        now = active.withColumn("run", F.explode(F.array(*map(F.lit, runs)))).select("record", "low", "high", "run", *_paths(F.col("run")))
         deeper: list[DataFrame] = []
+        small: list[DataFrame] = []
         for level in range(DEPTH):
             node = f"k{level}"
             sizes = now.groupBy(F.col(node).alias("_node")).agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1")
             # Sizes and join are written apart: hot nodes can be split where neither side is grouped by the node.
             sizes = durable(sizes, "sizes")
             shared = durable(now.join(sizes, F.col(node) == F.col("_node")).drop(node), "shared")
-            small = shared.filter(F.col("_size") <= leaf).groupBy("_node").agg(F.collect_list(member).alias("members"))
-            edges.append(durable(_brute(small, least), "close"))
+            small.append(shared.filter(F.col("_size") <= leaf).select("_node", member.alias("m")))
             large = shared.filter(F.col("_size") > leaf)
             if large.isEmpty():
                 break
@@ -182,56 +185,46 @@ def candidates(records: DataFrame, threshold: float, recall: float, leaf: int) -
                 break
             now = large.drop("_node", "_size")
             deeper.append(now.select("record", "run"))
+        edges.append(durable(_brute(_union(small).groupBy("_node").agg(F.collect_list("m").alias("members")), least), "close"))
         # What the runs may have missed, by the depth that each of a record's nodes reached.
-        shallow = RUNS * math.log1p(-threshold)
+        shallow = len(runs) * math.log1p(-threshold)
         if not deeper:
             active = active.withColumn("missed", F.col("missed") + shallow).filter(F.col("missed") > allowed)
         else:
-            more = deeper[0]
-            for x in deeper[1:]:
-                more = more.unionByName(x)
-            reached = more.groupBy("record", "run").agg((F.count(F.lit(1)) + 1).alias("d"))
+            reached = _union(deeper).groupBy("record", "run").agg((F.count(F.lit(1)) + 1).alias("d"))
             extra = F.log1p(-F.pow(F.lit(threshold), F.col("d"))) - math.log1p(-threshold)
             spent = reached.groupBy("record").agg(F.sum(extra).alias("_deep"))
             missed = F.col("missed") + shallow + F.coalesce("_deep", F.lit(0.0))
             active = durable(active.join(spent, "record", "left").withColumn("missed", missed).drop("_deep").filter(F.col("missed") > allowed), "unsure")
         if active.isEmpty():
             break
-    found = edges[0]
-    for e in edges[1:]:
-        found = found.unionByName(e)
-    return found
+    return _union(edges)
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
 
 
 def _crowded(large: DataFrame, leaf: int, least: int) -> list[DataFrame]:
-    """As _brute, for nodes beyond the limit, up to pairs that other edges connect. Rows carried: two for each member."""
-    member = F.struct("record", "low", "high").alias("m")
-    blocks = F.ceil(F.col("_size") / leaf).cast("int")
-    own = F.pmod(F.xxhash64(F.lit("block"), "record"), blocks).cast("int")
-    held = large.select("_node", "record", "low", "high", blocks.alias("blocks"), own.alias("own"))
-    pivots = held.filter("own = 0 and blocks > 1").select("_node", F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)).alias("own"), member)
-    met = held.select("_node", "own", member).unionByName(pivots)
-    first = durable(_brute(met.groupBy("_node", "own").agg(F.collect_list("m").alias("members")), least), "close-pivots")
-    # The main group of a node is the component that most of its members are in; the others are strays.
-    roots = durable(connected(first), "close-roots")
-    placed = held.join(roots, F.col("record") == F.col("node"), "left").withColumn("root", F.coalesce("root", "record")).drop("node")
-    placed = durable(placed, "close-placed")
-    by_root = placed.groupBy("_node", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = durable(by_root.groupBy(F.col("_node").alias("_n")).agg(F.max(F.struct("n", "root"))["root"].alias("_main")), "close-main")
-    apart = placed.join(main, F.col("_node") == F.col("_n")).filter(F.col("root") != F.col("_main"))
-    strays = durable(apart.select("_node", "record", "low", "high", "blocks"), "close-strays")
-    if strays.isEmpty():
-        release(placed, main, strays)
+    """As _brute, for nodes beyond the limit, up to pairs that other edges connect. large: _node, _size, record, low, high."""
+    commonest = large.groupBy("_node", "low", "high").agg(F.count(F.lit(1)).alias("n"), F.min("record").alias("record"))
+    pivots = durable(commonest.groupBy(F.col("_node").alias("_n")).agg(F.max(F.struct("n", "record", "low", "high")).alias("pivot")), "close-pivots")
+    apart = F.bit_count(F.col("low").bitwiseXOR(F.col("pivot.low")).bitwiseOR(F.col("high").bitwiseXOR(F.col("pivot.high"))))
+    held = large.join(pivots, F.col("_node") == F.col("_n")).select("_node", "_size", "record", "low", "high", F.col("pivot.record").alias("pivot"), (apart <= TOKENS - least).alias("near"))
+    held = durable(held, "close-to-pivots")
+    first = held.filter("near and record <> pivot").select(F.col("record").alias("a"), F.col("pivot").alias("b")).distinct()
+    strays = held.filter("not near")
+    numbers = durable(strays.groupBy(F.col("_node").alias("_n")).agg(F.ceil(F.count(F.lit(1)) / leaf).cast("int").alias("_parts")), "close-strays")
+    if numbers.isEmpty():
         return [first]
-    numbers = durable(strays.groupBy(F.col("_node").alias("_n")).agg(F.ceil(F.count(F.lit(1)) / leaf).cast("int").alias("_parts")), "close-parts")
-    same = F.col("_node") == F.col("_n")
-    every = held.join(numbers, same).select("_node", "own", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"), member)
+    member, same = F.struct("record", "low", "high").alias("m"), F.col("_node") == F.col("_n")
+    blocks = F.ceil(F.col("_size") / leaf).cast("int")
+    own = F.pmod(F.xxhash64(F.lit("block"), "record"), blocks).cast("int").alias("own")
     part = F.pmod(F.xxhash64(F.lit("stray"), "record"), F.col("_parts")).cast("int").alias("part")
-    around = strays.join(numbers, same).select("_node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"), part, member)
-    second = _brute(every.unionByName(around).groupBy("_node", "own", "part").agg(F.collect_list("m").alias("members")), least)
-    found = [first, durable(second.filter("a <> b"), "close-strays-met")]
-    release(placed, main)
-    return found
+    every = held.join(numbers, same).select("_node", own, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"), member)
+    around = strays.join(numbers, same).select("_node", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("own"), part, member)
+    met = _brute(every.unionByName(around).groupBy("_node", "own", "part").agg(F.collect_list("m").alias("members")), least)
+    return [first, durable(met.filter("a <> b"), "close-strays-met")]
 
 
 def intersections(sets: list[np.ndarray], others: list[np.ndarray] | None = None) -> np.ndarray:
@@ -364,7 +357,8 @@ def _members(df: DataFrame, records: DataFrame, near: DataFrame, key: str, text:
     nodes = durable(nodes.withColumn("band", band), "candidates")
     counts = nodes.groupBy("root", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_RECORDS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     # A map of at most as many entries as there are bands.
-    sizes = durable(counts.groupBy(F.col("root").alias("_root")).agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("blocks")), "blocks")
+    sizes = counts.groupBy(F.col("root").alias("_root")).agg(F.sum("blocks").alias("parts"), F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("blocks"))
+    sizes = durable(sizes, "blocks")
     nodes = durable(nodes.join(sizes, F.col("root") == F.col("_root")).drop("_root"), "blocked")
     # Not by the size of the smaller side: the plan that is measured on small tables is the plan on large ones.
     texts = df.select(F.col(key).alias("_id"), F.col(text).alias("_text"), text_hash(text).alias("_hash"))
@@ -372,7 +366,7 @@ def _members(df: DataFrame, records: DataFrame, near: DataFrame, key: str, text:
 
     def sets(found: Iterator[tuple]) -> Iterator[tuple]:
         last: dict[int, None] = {}  # repeated rows of late: most come one after the other
-        for t, component, rec, weight, b, m in found:
+        for t, component, rec, weight, parts, b, m in found:
             if rec in last:
                 continue
             s = shingles(t, n)
@@ -380,11 +374,14 @@ def _members(df: DataFrame, records: DataFrame, near: DataFrame, key: str, text:
                 last[rec] = None
                 if len(last) > 1000:
                     del last[next(iter(last))]
-                yield component, rec, weight, b, m, s.tobytes()
+                yield component, rec, weight, parts, b, m, s.tobytes()
 
-    kinds = "component bigint, record bigint, weight bigint, band int, blocks map<int,int>"
-    whole = durable(map_rows(wanted.select("_text", "root", "record", "weight", "band", F.map_entries("blocks").alias("blocks")), sets, kinds.replace("map<int,int>", "array<struct<key:int,value:int>>") + ", shingles binary"), "sets")
-    origins = whole.filter("record = component").select(F.col("component").alias("_component"), F.col("shingles").alias("origin")).dropDuplicates(["_component"])
+    kinds = "component bigint, record bigint, weight bigint, band int, blocks array<struct<key:int,value:int>>"
+    whole = map_rows(wanted.select("_text", "root", "record", "weight", "parts", "band", F.map_entries("blocks").alias("blocks")), sets, kinds.replace("band", "parts bigint, band") + ", shingles binary")
+    whole = durable(whole, "sets")
+    # A component's members meet its least record in parts, so that no task has all of a large one.
+    origins = whole.filter("record = component").select(F.col("component").alias("_component"), F.col("shingles").alias("origin"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("_part"))
+    origins = durable(origins.dropDuplicates(["_component", "_part"]), "origins")
 
     def apart(found: Iterator[tuple]) -> Iterator[tuple]:
         for component, rec, weight, b, m, own, least in found:
@@ -393,8 +390,9 @@ def _members(df: DataFrame, records: DataFrame, near: DataFrame, key: str, text:
             away = (len(differs) + len(o) - len(a)) // 2
             yield component, rec, weight, b, m, len(a), away, len(o), differs.tobytes()
 
-    joined = whole.join(origins, F.col("component") == F.col("_component")).select("component", "record", "weight", "band", "blocks", "shingles", "origin")
-    far = map_rows(joined, apart, "component bigint, record bigint, weight bigint, band int, blocks array<struct<key:int,value:int>>, size bigint, away bigint, origin bigint, differs binary")
+    at = (F.col("component") == F.col("_component")) & (F.pmod(F.xxhash64(F.lit("part"), "record"), F.col("parts")) == F.col("_part"))
+    joined = whole.join(origins, at).select("component", "record", "weight", "band", "blocks", "shingles", "origin")
+    far = map_rows(joined, apart, f"{kinds}, size bigint, away bigint, origin bigint, differs binary")
     far = far.withColumn("blocks", F.map_from_entries("blocks"))
     named = lambda at, x: F.shiftleft(at.cast("bigint"), 32) + x  # noqa: E731  a block of a band
     here = F.col("band")
