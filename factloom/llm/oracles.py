@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from factloom.llm import ring
+
 # Secrets -----------------------------------------------------------------------------------------------------------
 
 #: Letters of either case are spelled out: this engine's (?i) would fold letters beyond ASCII too.
@@ -42,3 +44,38 @@ common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b
 links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c * 1.8 >= 0.8 * (x.n + y.n) - 1e-3),
 reach AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT b, root FROM reach JOIN links ON a = node WHERE root < b)
 SELECT d.doc_id, d.root AS class_id, coalesce(l.n, 0) AS n_links FROM (SELECT node AS doc_id, min(root) AS root FROM reach GROUP BY 1) d LEFT JOIN (SELECT a AS doc_id, count(*) AS n FROM links GROUP BY 1) l USING (doc_id)"""
+
+# Shards ------------------------------------------------------------------------------------------------------------
+
+
+def _crc_table() -> list[int]:
+    found = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        found.append(c)
+    return found
+
+
+def shards(n: int = 8, virtual: int = 64) -> str:
+    """The ring, row by row: home while there is room, in ring order; then the others, each to the next node with room."""
+    held = ring.nodes(n, virtual)
+    ends = ", ".join(f"({i}, {at}, {shard})" for i, (at, shard) in enumerate(held))
+    around = [shard for _, shard in held]
+    crc = f"list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda h: CAST('0x' || h AS BIGINT))), lambda c, b: xor(c >> 8, {_crc_table()}[(xor(c, b) & 255) + 1]))"
+    return f"""
+WITH RECURSIVE nodes(i, stands, shard) AS (VALUES {ends}),
+d AS (SELECT doc_id, strlen(t) + 1 AS size, xor({crc}, 4294967295) AS crc, CAST('0x' || substr(md5('ring/' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, {ring.WIDE // 4}) AS BIGINT) AS p FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+c AS (SELECT *, p >> {ring.WIDE - ring.bits(n, virtual)} AS cell FROM d),
+h AS (SELECT c.*, coalesce((SELECT min(i) FROM nodes WHERE stands >= cell), 0) AS home, row_number() OVER (ORDER BY cell, p, doc_id, crc, size) AS r FROM c),
+s AS (SELECT h.*, shard FROM h JOIN nodes ON i = home),
+room AS (SELECT list(n // {n} + CASE WHEN s < n % {n} THEN 1 ELSE 0 END ORDER BY s) AS room FROM (SELECT count(*) AS n FROM d), (SELECT unnest(range({n})) AS s)),
+t AS (SELECT s.*, row_number() OVER (PARTITION BY shard ORDER BY r) - 1 AS k, room[shard + 1] AS most, room FROM s, room),
+used AS (SELECT list(coalesce(least(n, most), 0) ORDER BY s) AS used FROM (SELECT unnest(range({n})) AS s) LEFT JOIN (SELECT shard, count(*) AS n, max(most) AS most FROM t GROUP BY 1) ON s = shard),
+over AS (SELECT *, row_number() OVER (ORDER BY r) AS o FROM t WHERE k >= most),
+step(o, used, shard, slot) AS (
+  SELECT 0, used, -1, CAST(-1 AS BIGINT) FROM used
+  UNION ALL SELECT o, list_transform(used, lambda u, j: CASE WHEN j = target + 1 THEN u + 1 ELSE u END), target, used[target + 1] FROM
+    (SELECT over.o, step.used, list_filter(list_concat({around}[over.home + 2 :], {around}[: over.home + 1]), lambda x: step.used[x + 1] < over.room[x + 1])[1] AS target FROM step JOIN over ON over.o = step.o + 1)),
+placed AS (SELECT doc_id, size, crc, shard, k AS slot FROM t WHERE k < most UNION ALL SELECT doc_id, size, crc, step.shard, slot FROM over JOIN step USING (o))
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, CAST(slot AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM placed"""

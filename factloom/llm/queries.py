@@ -13,7 +13,7 @@ from factloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Where SQL can express a result.
-ORACLES: dict[str, str] = {"op2_ngram_jaccard": oracles.JACCARD, "op10_ownership_secrets": oracles.SECRETS}
+ORACLES: dict[str, str] = {"op2_ngram_jaccard": oracles.JACCARD, "op3_consistent_ring": oracles.shards(), "op10_ownership_secrets": oracles.SECRETS}
 
 
 def query(f):

@@ -1,16 +1,17 @@
 """Sharding on a consistent-hash ring with virtual nodes and bounded loads.
 
-The ring has CELLS places; every shard stands at `virtual` of them. A key hashes to a place and belongs to the first
-virtual node there or clockwise. A shard's load is bounded by floor(rows / shards), plus one for the first
-rows % shards shards: what a full shard can't take continues clockwise to the next virtual node of a shard with room.
-All rows find room and the bounds add up to them, so counts are at most one apart (the law `rows`), while most keys
-stay where the plain ring puts them and most stay there when a shard is added.
-
-Only counts by place, at most CELLS numbers whatever the input, come to the driver, which plans ranges of ranks; ranks
-are taken within places, so no task sorts more than a place's rows. DataFrame functions only.
-
-Null keys hash like any value; null texts have size 1 and the checksum of nothing; repeated rows are placed one by one;
-an empty table gives no rows; other columns are ignored, or kept by `place` if their names don't clash with its own.
+Every shard stands at `virtual` places of a ring, which has many more places than nodes. A key hashes to a place and
+belongs to the first virtual node there or clockwise. A shard's load is bounded by floor(rows / shards), plus one for
+the first rows % shards shards: what a full shard can't take continues clockwise to the next virtual node of a shard
+with room. All rows find room and the bounds add up to them, so counts are at most one apart (the law `rows`), while
+most keys stay where the plain ring puts them and most stay there when a shard is added.
+
+Only counts by place come to the driver, which plans ranges of ranks; their number depends on shards and virtual nodes,
+not on the input. Ranks are taken within places. A place with more than its share of rows (one key, no key) is dealt
+into parts by row, so no task sorts more than SHARE of all rows or PART_ROWS. DataFrame functions only.
+
+Null keys are one key; null texts have size 1 and the checksum of nothing; repeated rows are placed one by one; an
+empty table gives no rows; other columns are ignored, or kept by `place`, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,72 +23,99 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Places on the ring: 2 ** BITS.
-BITS = 14
-CELLS = 1 << BITS
+from factloom.llm.common import durable
+
+#: Bits of a key's position.
+WIDE = 60
+#: A part of a place holds at most one in SHARE of all rows, or PART_ROWS.
+SHARE, PART_ROWS = 1024, 1 << 16
+
+
+def bits(shards: int, virtual: int) -> int:
+    """The ring has 2 ** bits places: sixteen for each virtual node, or more."""
+    return max(14, (16 * shards * virtual - 1).bit_length())
 
 
 def nodes(shards: int, virtual: int) -> list[tuple[int, int]]:
     """(place, shard) of all virtual nodes, in ring order; a taken place passes its node on clockwise."""
-    if shards * virtual > CELLS // 2:
-        raise ValueError("more virtual nodes than half the places")
+    cells = 1 << bits(shards, virtual)
     taken: dict[int, int] = {}
     for shard in range(shards):
         for v in range(virtual):
-            at = int.from_bytes(hashlib.blake2b(f"{shard}/{v}".encode(), digest_size=8).digest()) % CELLS
+            at = int.from_bytes(hashlib.blake2b(f"{shard}/{v}".encode(), digest_size=8).digest()) % cells
             while at in taken:
-                at = (at + 1) % CELLS
+                at = (at + 1) % cells
             taken[at] = shard
     return sorted(taken.items())
 
 
-def plan(counts: dict[int, int], shards: int, virtual: int) -> list[tuple[int, int, int, int, int]]:
-    """(place, first rank, rank after the last, shard, first slot) for the rows of every place."""
+#: A place, and the part of it.
+Place = tuple[int, int]
+
+
+def plan(counts: dict[Place, int], shards: int, virtual: int) -> list[tuple[int, int, int, int, int, int]]:
+    """(place, part, first rank, rank after the last, shard, first slot) for the rows of every part of a place."""
     ring = nodes(shards, virtual)
     places = [p for p, _ in ring]
     total = sum(counts.values())
     room = [total // shards + (s < total % shards) for s in range(shards)]
     used = [0] * shards
-    found: list[tuple[int, int, int, int, int]] = []
+    found: list[tuple[int, int, int, int, int, int]] = []
 
-    def give(place: int, first: int, n: int, shard: int) -> int:
+    def give(at: Place, first: int, n: int, shard: int) -> int:
         n = min(n, room[shard] - used[shard])
         if n:
-            found.append((place, first, first + n, shard, used[shard]))
+            found.append((*at, first, first + n, shard, used[shard]))
             used[shard] += n
         return n
 
-    over: list[tuple[int, int, int]] = []  # place, ranks done, index of its node
-    for place in sorted(counts):
-        home = bisect_left(places, place) % len(ring)
-        done = give(place, 0, counts[place], ring[home][1])
-        if done < counts[place]:
-            over.append((place, done, home))
-    for place, done, at in over:
-        while done < counts[place]:
-            at = (at + 1) % len(ring)
-            done += give(place, done, counts[place] - done, ring[at][1])
+    over: list[tuple[Place, int, int]] = []  # part of a place, ranks done, index of its node
+    for at in sorted(counts):
+        home = bisect_left(places, at[0]) % len(ring)
+        done = give(at, 0, counts[at], ring[home][1])
+        if done < counts[at]:
+            over.append((at, done, home))
+    for at, done, node in over:
+        while done < counts[at]:
+            node = (node + 1) % len(ring)
+            done += give(at, done, counts[at] - done, ring[node][1])
     return found
 
 
-def position(key: str) -> Column:
-    return F.xxhash64(F.lit("ring"), F.col(key))
+def position(key: Column) -> Column:
+    """WIDE bits of a digest that every engine has."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit("ring/"), F.coalesce(key.cast("string"), F.lit("null")))), 1, WIDE // 4), 16, 10).cast("long")
 
 
 def place(df: DataFrame, key: str, shards: int, virtual: int = 64, ties: tuple[str, ...] = ()) -> DataFrame:
     """df with the columns shard (int) and slot (long, gapless from 0 within a shard).
 
-    ties: columns that order rows of equal keys.
+    ties: columns that order rows of equal keys. Columns of df that have one of these names are replaced.
     """
-    cell = F.shiftrightunsigned(position(key), 64 - BITS).cast("int")
-    counts = {r["at"]: r["n"] for r in df.select(cell.alias("at")).groupBy("at").agg(F.count(F.lit(1)).alias("n")).collect()}
-    ranges = df.sparkSession.createDataFrame(plan(counts, shards, virtual), "_cell int, _first long, _after long, shard int, _slot long")
-    ranked = df.withColumns({"_at": cell, "_hash": position(key)})
-    ranked = ranked.withColumn("_rank", F.row_number().over(Window.partitionBy("_at").orderBy("_hash", key, *ties)) - 1)
-    # The ranges have a row for each place and at most one more for each virtual node that is full: bounded by CELLS.
-    inside = (F.col("_at") == F.col("_cell")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_after"))
+    where = position(F.col(key))
+    cell = F.shiftright(where, WIDE - bits(shards, virtual)).cast("int").alias("at")
+    found = {r["at"]: r["n"] for r in df.select(cell).groupBy("at").agg(F.count(F.lit(1)).alias("n")).collect()}
+    most = max(sum(found.values()) // SHARE, PART_ROWS)
+    crowded = {at: -(-n // most) for at, n in found.items() if n > most}
+    counts: dict[Place, int] = {(at, 0): n for at, n in found.items() if at not in crowded}
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+    rows = df.select(row, where.alias("hash"), cell, F.lit(0).alias("part"))
+    if crowded:
+        # Rows are numbered once, so that a part holds the same rows whenever it is computed.
+        rows = durable(rows.withColumn("number", F.monotonically_increasing_id()), "ring-rows")
+        parts = df.sparkSession.createDataFrame(sorted(crowded.items()), "at int, parts int")
+        part = F.coalesce(F.pmod(F.xxhash64("number"), F.col("parts")), F.lit(0)).cast("int")
+        rows = rows.join(F.broadcast(parts), "at", "left").withColumn("part", part)
+        again = rows.filter(F.col("parts").isNotNull()).groupBy("at", "part").agg(F.count(F.lit(1)).alias("n")).collect()
+        counts |= {(r["at"], r["part"]): r["n"] for r in again}
+    ranges = df.sparkSession.createDataFrame(plan(counts, shards, virtual), "cell int, piece int, first long, after long, shard int, slot long")
+    order = ("hash", f"row.{key}", *(f"row.{t}" for t in ties))
+    ranked = rows.select("row", "at", "part", (F.row_number().over(Window.partitionBy("at", "part").orderBy(*order)) - 1).alias("rank"))
+    # The ranges have a row for each part of a place and at most one more for each virtual node that is full.
+    inside = (F.col("at") == F.col("cell")) & (F.col("part") == F.col("piece")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("after"))
     placed = ranked.join(F.broadcast(ranges), inside)
-    return placed.withColumn("slot", F.col("_slot") + F.col("_rank") - F.col("_first")).drop("_at", "_hash", "_rank", "_cell", "_first", "_after", "_slot")
+    kept = (F.col("row").getField(c).alias(c) for c in df.columns if c not in ("shard", "slot"))
+    return placed.select(*kept, "shard", (F.col("slot") + F.col("rank") - F.col("first")).alias("slot"))
 
 
 def shard_texts(df: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -101,7 +101,7 @@ def walk(counts, shards, virtual):
     room = [total // shards + (s < total % shards) for s in range(shards)]
     found, late = {}, []
     for place in sorted(counts):
-        home = next((i for i, (p, _) in enumerate(nodes) if p >= place), 0)
+        home = next((i for i, (p, _) in enumerate(nodes) if p >= place[0]), 0)
         for rank in range(counts[place]):
             if room[nodes[home][1]]:
                 room[nodes[home][1]] -= 1
@@ -119,16 +119,36 @@ def walk(counts, shards, virtual):
 def test_ring_plan_equals_a_walk_and_moves_little():
     r = random.Random(3)
     for shards in (1, 3, 8):
-        counts = {r.randrange(ring.CELLS): r.randrange(1, 30) for _ in range(200)}
+        counts = {(r.randrange(1 << 14), r.randrange(2)): r.randrange(1, 30) for _ in range(200)}
         plan = ring.plan(counts, shards, 16)
-        got = {(place, k): s for place, a, b, s, _ in plan for k in range(a, b)}
+        got = {((place, part), k): s for place, part, a, b, s, _ in plan for k in range(a, b)}
         assert got == walk(counts, shards, 16)
-    even = {p: 1 for p in range(0, ring.CELLS, 16)}
-    owner = [{(p, k): s for p, a, b, s, _ in ring.plan(even, n, 64) for k in range(a, b)} for n in (8, 9)]
+    even = {(p, 0): 1 for p in range(0, 1 << 14, 16)}
+    owner = [{(p, k): s for p, _, a, b, s, _ in ring.plan(even, n, 64) for k in range(a, b)} for n in (8, 9)]
     moved = sum(owner[0][k] != owner[1][k] for k in owner[0])
     assert moved / len(owner[0]) < 0.45  # a new modulus would move eight in nine
 
 
+def test_ring_of_many_shards(spark):
+    rows = ring.place(spark.range(5000).withColumnRenamed("id", "doc_id"), "doc_id", 1000).collect()
+    counts = defaultdict(int)
+    for r in rows:
+        counts[r.shard] += 1
+    assert len(rows) == 5000 and set(counts.values()) == {5} and len(counts) == 1000
+
+
+def test_rows_of_one_key_are_dealt_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(ring, "PART_ROWS", 50)
+    rows = [(7 if i % 3 else None if i % 2 else i, f"t{i % 100}", "x") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, slot string")
+    found = ring.place(df, "doc_id", 7, ties=("text",)).collect()
+    slots = defaultdict(list)
+    for r in found:
+        slots[r.shard].append(r.slot)
+    assert sorted(map(len, slots.values())) == [428] * 3 + [429] * 4 and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert sorted((r.doc_id or -1, r.text) for r in found) == sorted((k or -1, t) for k, t, _ in rows)
+
+
 # Packing -----------------------------------------------------------------------------------------------------------
 
 
