@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,30 +42,51 @@ def _file_system(spark: SparkSession, path: str):
 _registered: set[str] = set()
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: cuts lineage and survives lost executors.
-
-    The table stays until the application ends, or until `release`.
-    """
-    spark = df.sparkSession
+def _path(spark: SparkSession, name: str) -> str:
+    """A new path in the application's part of the shared folder, which goes when the application ends."""
     folder = f"{shared_dir(spark)}/factloom/{spark.sparkContext.applicationId}"
     if folder not in _registered:
         system, where = _file_system(spark, folder)
         system.mkdirs(where)
         system.deleteOnExit(where)
         _registered.add(folder)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
     before = spark.conf.get(BATCH_BYTES, None)
     spark.conf.set(BATCH_BYTES, BATCH)
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.unset(BATCH_BYTES) if before is None else spark.conf.set(BATCH_BYTES, before)
-    found = spark.read.schema(df.schema).parquet(path)
+
+
+def durable(df: DataFrame, name: str) -> DataFrame:
+    """Writes df once to the shared folder and reads it back: cuts lineage and survives lost executors.
+
+    The table stays until the application ends, or until `release`.
+    """
+    path = _path(df.sparkSession, name)
+    with _small_batches(df.sparkSession):
+        df.write.parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
     found._factloom_path = path
     return found
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """As `durable`, in buckets of the key: joins by it don't shuffle the table again."""
+    spark = df.sparkSession
+    path = _path(spark, name)
+    table = f"factloom_{name}_{path[-32:]}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with _small_batches(spark):
+        df.write.bucketBy(parts, key).sortBy(key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def release(*tables: DataFrame) -> None:
     """Removes tables that `durable` wrote and that nothing reads any more."""
     for df in tables:

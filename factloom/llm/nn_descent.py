@@ -1,36 +1,55 @@
 """Approximate nearest neighbours by cosine: NN-descent builds a neighbour graph, greedy search walks it.
 
-Equal vectors are one node. The graph starts from blocks around pivots (a bounded sample of vectors, PIVOTS of them;
+Equal vectors are one node. The graph starts from blocks around pivots (a bounded sample of vectors, see `pivots_for`;
 every vector goes to the blocks of its nearest pivots, blocks beyond BLOCK are split at random). Then rounds of joins
-of neighbours of neighbours improve it: at every node its neighbours and reverse neighbours meet, and each learns of
-those that are closer than what it has; pairs that met before aren't tried again. Rounds end when few lists change (SETTLED; ROUNDS only guards against never).
+of neighbours of neighbours improve it: at every node its neighbours and a sample of its reverse neighbours, another one
+each round, meet, and each learns of those that are closer than what it has; pairs that met before aren't tried again.
+Lists only improve, so rounds come to rest; they end when few lists change (SETTLED).
 
 A query starts from its nearest pivots, and from its own node if it is a row of the index, and keeps a beam of the
-nearest nodes seen. Each hop joins the best nodes not yet expanded with the graph; the search ends when the whole beam
-is expanded. The beam's vectors are then scored in double precision on the original components.
+nearest nodes seen. Each hop joins the best nodes not yet expanded with the graph; a query's search ends when its whole
+beam is expanded, and the hops end with the last query's. Beam and pivots grow with the number of nodes, so that recall
+doesn't sink with it. The beam's vectors are then scored in double precision on the original components.
+
+The index has the neighbours' ids and each vector once, and is bucketed by node: a hop shuffles what the queries ask
+for, not the index. What a much-listed node is offered is merged in parts before it meets in one place.
 
 Vectors null, zero, or with null or non-finite components take no part, nor do those of another than the most common
-length (ties: the smaller). Null ids take no part. Repeated ids are rows of their own kind: they are candidates once
-for each different vector. With no more vectors than a beam holds, results are exact. Other columns are ignored.
+length (ties: the smaller). Null ids take no part. Rows that repeat id and vector are one; rows of one id with different
+vectors are each a query and a candidate of its own. With no more vectors than a beam holds, results are exact. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import chain, count
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.llm.common import durable, map_rows
+from factloom.llm.common import bucketed, durable, map_rows, release
 
 NEIGHBOURS, REVERSE = 32, 32
-PIVOTS, PIVOTS_EACH, BLOCK = 1024, 5, 400
+PIVOTS_EACH, BLOCK = 5, 400
 #: What a node hands on to each of those that meet at it.
 OFFERS = 12
-ROUNDS, SETTLED = 30, 0.01
-BEAM, EXPANDED, HOPS = 200, 24, 24
+#: Offers to a node that are merged in one place, about.
+LISTED = 512
+SETTLED = 0.01
+EXPANDED = 24
+
+
+def pivots_for(nodes: int) -> int:
+    """The size of the pivots' sample: 1024, or four times the root of the nodes' number."""
+    return max(1024, 4 * math.isqrt(nodes))
+
+
+def beam_for(nodes: int) -> int:
+    return max(200, int(13 * math.log2(nodes + 1)))
 
 
 def packed(v: np.ndarray) -> bytes:
@@ -72,22 +91,23 @@ def _top(ids: np.ndarray, near: np.ndarray, k: int) -> tuple[list[int], list[flo
 
 
 def _merge(grouped: DataFrame) -> DataFrame:
-    """node, ids, near, fresh: the best neighbours of each node. grouped: node, lists array<(old, ids, near, fresh)>."""
+    """node, ids, near, fresh: the best neighbours of each node. grouped: node, lists array<(old, ids, near)>."""
 
     def rows(found: Iterator[tuple]) -> Iterator[tuple]:
-        for node, lists in found:
-            best: dict[int, float] = {}
-            old: set[int] = set()
-            for x in lists:
-                if x["old"]:
-                    old.update(x["ids"])
-                for i, s in zip(x["ids"], x["near"], strict=True):
-                    if i != node and s > best.get(i, -2.0):
-                        best[i] = s
-            ids, near = _top(np.fromiter(best, np.int64, len(best)), np.fromiter(best.values(), np.float32, len(best)), NEIGHBOURS)
-            yield node, ids, near, [i not in old for i in ids]
-
-    return map_rows(grouped.select("node", "lists"), rows, "node bigint, ids array<bigint>, near array<float>, fresh array<boolean>")
+        for node, olds, lists, nears in found:
+            ids = np.fromiter(chain.from_iterable(lists), np.int64)
+            near = np.fromiter(chain.from_iterable(nears), np.float32)
+            # The best similarity of each id, then the best ids.
+            order = np.lexsort((-near, ids))
+            ids, near = ids[order], near[order]
+            first = np.ones(len(ids), bool)
+            first[1:] = ids[1:] != ids[:-1]
+            first &= ids != node
+            best, score = _top(ids[first], near[first], NEIGHBOURS)
+            old = {i for was, held in zip(olds, lists, strict=True) if was for i in held}
+            yield node, best, score, [i not in old for i in best]
+
+    return map_rows(grouped.select("node", "lists.old", "lists.ids", "lists.near"), rows, "node bigint, ids array<bigint>, near array<float>, fresh array<boolean>")
 
 
 def start(points: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -101,13 +121,13 @@ def start(points: DataFrame, pivots: np.ndarray) -> DataFrame:
 
     placed = durable(map_rows(points.select("node", "unit"), nearest, "pivot int, node bigint, unit binary"), "ann-blocks")
     sizes = placed.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    # At most PIVOTS rows: broadcast by that bound.
+    # As many rows as pivots, whose number is bounded: broadcast by that bound.
     blocks = placed.join(F.broadcast(sizes), "pivot").withColumn("part", F.pmod(F.xxhash64("pivot", "node"), "parts"))
 
     def local(found: Iterator[tuple]) -> Iterator[tuple]:
-        for (members,) in found:
-            ids = np.array([m["node"] for m in members])
-            x = unpacked([m["unit"] for m in members])
+        for nodes_, units in found:
+            ids = np.array(nodes_)
+            x = unpacked(units)
             sims = x @ x.T
             np.fill_diagonal(sims, -2)
             for i in range(len(ids)):
@@ -115,7 +135,7 @@ def start(points: DataFrame, pivots: np.ndarray) -> DataFrame:
                 take = np.argpartition(-sims[i], k - 1)[:k] if k else np.empty(0, int)
                 yield ids[i], ids[take].tolist(), sims[i, take].tolist()
 
-    found = map_rows(blocks.groupBy("pivot", "part").agg(F.collect_list(F.struct("node", "unit")).alias("members")).select("members"), local, "node bigint, ids array<bigint>, near array<float>")
+    found = map_rows(blocks.groupBy("pivot", "part").agg(F.collect_list(F.struct("node", "unit")).alias("members")).select("members.node", "members.unit"), local, "node bigint, ids array<bigint>, near array<float>")
     return _merge(found.groupBy("node").agg(F.collect_list(_entry(False)).alias("lists")))
 
 
@@ -123,95 +143,97 @@ def _entry(old: bool):
     return F.struct(F.lit(old).alias("old"), "ids", "near")
 
 
-def descend(graph: DataFrame, points: DataFrame) -> DataFrame:
+def descend(graph: DataFrame, points: DataFrame, turn: int) -> DataFrame:
     """One round: neighbours and reverse neighbours of every node meet."""
     edges = graph.select("node", F.explode(F.arrays_zip("ids", "fresh")).alias("e")).select("node", F.col("e.ids").alias("to"), F.col("e.fresh").alias("fresh"))
     backward = edges.select(F.col("to").alias("node"), F.col("node").alias("to"), "fresh")
-    turn = Window.partitionBy("node").orderBy(F.desc("fresh"), F.xxhash64("to", "node"))
-    sampled = backward.withColumn("_rank", F.row_number().over(turn)).filter(F.col("_rank") <= REVERSE).drop("_rank")
+    order = Window.partitionBy("node").orderBy(F.desc("fresh"), F.xxhash64(F.lit(turn), "to", "node"))
+    sampled = backward.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= REVERSE).drop("_rank")
     met = edges.unionByName(sampled).groupBy("node", "to").agg(F.max("fresh").alias("fresh"))
     worst = graph.select(F.col("node").alias("to"), F.when(F.size("near") < NEIGHBOURS, F.lit(-2.0)).otherwise(F.array_min("near")).cast("float").alias("worst"))
-    known = points.select(F.col("node").alias("to"), "unit").join(worst, "to")
-    members = met.join(known, "to").groupBy("node").agg(F.collect_list(F.struct(F.col("to"), "fresh", "unit", "worst")).alias("members"))
+    listed = edges.groupBy("to").agg(F.ceil(F.count(F.lit(1)) / LISTED).cast("int").alias("parts"))
+    known = points.select(F.col("node").alias("to"), "unit").join(worst, "to").join(listed, "to", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    members = met.join(known, "to").groupBy("node").agg(F.collect_list(F.struct("to", "fresh", "unit", "worst", "parts")).alias("m"), F.max("fresh").alias("any")).filter("any and size(m) > 1")
 
     def local(found: Iterator[tuple]) -> Iterator[tuple]:
-        for (held,) in found:
-            if len(held) < 2:
-                continue
-            ids = np.array([m["to"] for m in held])
-            fresh = np.array([m["fresh"] for m in held])
-            if not fresh.any():
-                continue
-            x = unpacked([m["unit"] for m in held])
+        for at, tos, news, units, worsts, parts in found:
+            ids, fresh = np.array(tos), np.array(news)
+            x = unpacked(units)
             sims = x @ x.T
             np.fill_diagonal(sims, -2)
             sims[np.ix_(~fresh, ~fresh)] = -2
-            better = sims > np.array([m["worst"] for m in held], np.float32)[:, None]
+            better = sims > np.array(worsts, np.float32)[:, None]
             better &= sims > -2
             for i in np.flatnonzero(better.any(1)).tolist():
                 j = np.flatnonzero(better[i])
                 if len(j) > OFFERS:
                     j = j[np.argpartition(-sims[i, j], OFFERS - 1)[:OFFERS]]
-                yield ids[i], ids[j].tolist(), sims[i, j].tolist()
+                yield tos[i], at % parts[i] if parts[i] > 1 else None, ids[j].tolist(), sims[i, j].tolist()
 
-    offers = map_rows(members.select("members"), local, "node bigint, ids array<bigint>, near array<float>")
-    both = graph.select("node", _entry(True).alias("x")).unionByName(offers.select("node", _entry(False).alias("x")))
-    return _merge(both.groupBy("node").agg(F.collect_list("x").alias("lists")))
+    offers = map_rows(members.select("node", "m.to", "m.fresh", "m.unit", "m.worst", "m.parts"), local, "node bigint, part bigint, ids array<bigint>, near array<float>")
+    offers = durable(offers, "ann-offers")
+    crowded = offers.filter("part is not null").groupBy("node", "part").agg(F.collect_list(_entry(False)).alias("lists"))
+    both = graph.select("node", _entry(True).alias("x")).unionByName(offers.filter("part is null").select("node", _entry(False).alias("x"))).unionByName(_merge(crowded).select("node", _entry(False).alias("x")))
+    found = durable(_merge(both.groupBy("node").agg(F.collect_list("x").alias("lists"))), "ann-graph")
+    release(offers)
+    return found
 
 
 def build(points: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """node, ids, units: every node's neighbours with their packed vectors."""
+    """node, ids, unit: every node's neighbours and packed vector, bucketed by node."""
     total = max(1, points.count())
     graph = durable(start(points, pivots), "ann-graph")
-    for _ in range(ROUNDS):
-        graph = durable(descend(graph, points), "ann-graph")
+    for turn in count():
+        before, graph = graph, descend(graph, points, turn)
+        release(before)
         new = graph.agg(F.sum(F.aggregate("fresh", F.lit(0), lambda n, x: n + x.cast("int")))).first()[0] or 0
         if new <= SETTLED * NEIGHBOURS * total:
             break
-    edges = graph.select("node", F.explode("ids").alias("to")).join(points.select(F.col("node").alias("to"), "unit"), "to")
-    return durable(edges.groupBy("node").agg(F.collect_list(F.struct("to", "unit")).alias("around")), "ann-index")
+    return bucketed(points.join(graph.select("node", "ids"), "node", "left").select("node", "ids", "unit"), "node", "ann_index")
 
 
-def search(index: DataFrame, queries: DataFrame, pivot_ids: list[int], pivots: np.ndarray) -> DataFrame:
-    """query, beam: array of nodes. queries: query (unique), unit, own (its node in the index, or null)."""
+def search(index: DataFrame, queries: DataFrame, pivot_ids: list[int], pivots: np.ndarray, width: int) -> DataFrame:
+    """query, beam: array of nodes. queries: query (unique), unit, own (its node in the index, or null); width: of the beam."""
     state = "query bigint, unit binary, ids array<bigint>, near array<float>, done array<boolean>, open array<bigint>"
 
-    def beam(seen: dict[int, float], expanded: set[int]) -> tuple:
-        ids, near = _top(np.fromiter(seen, np.int64, len(seen)), np.fromiter(seen.values(), np.float32, len(seen)), BEAM)
-        pending = [i for i in ids if i not in expanded][:EXPANDED]
-        return ids, near, [i in expanded or i in pending for i in ids], pending
+    def beam(ids: np.ndarray, near: np.ndarray, expanded: set[int]) -> tuple:
+        best, score = _top(ids, near, width)
+        pending = [i for i in best if i not in expanded][:EXPANDED]
+        expanded = expanded.union(pending)
+        return best, score, [i in expanded for i in best], pending
 
     def enter(found: Iterator[tuple]) -> Iterator[tuple]:
+        names = np.array(pivot_ids, np.int64)
         for query, unit, own in found:
             sims = pivots @ unpacked([unit])[0]
-            best = np.argsort(-sims, kind="stable")[:BEAM].tolist()
-            seen = {pivot_ids[p]: float(sims[p]) for p in best}
+            best = np.argsort(-sims, kind="stable")[:width]
+            ids, near = names[best], sims[best]
             if own is not None:
-                seen[own] = 1.0
-            yield query, unit, *beam(seen, set())
+                others = ids != own
+                ids, near = np.append(ids[others], own), np.append(near[others], np.float32(1.0))
+            yield query, unit, *beam(ids, near, set())
 
     def hop(found: Iterator[tuple]) -> Iterator[tuple]:
-        for query, unit, ids, near, done, around in found:
-            seen, expanded = dict(zip(ids, near, strict=True)), {i for i, d in zip(ids, done, strict=True) if d}
-            met = {m["to"]: m["unit"] for ring in around for m in ring if m["to"] not in seen}
-            if met:
-                sims = unpacked(list(met.values())) @ unpacked([unit])[0]
-                seen.update(zip(met, sims.tolist(), strict=True))
-            yield query, unit, *beam(seen, expanded)
+        for query, unit, ids, near, done, new, units in found:
+            expanded = {i for i, d in zip(ids, done, strict=True) if d}
+            seen, score = np.array(ids, np.int64), np.array(near, np.float32)
+            if new:
+                seen = np.concatenate([seen, np.array(new, np.int64)])
+                score = np.concatenate([score, unpacked(units) @ unpacked([unit])[0]])
+            yield query, unit, *beam(seen, score, expanded)
 
     now = durable(map_rows(queries.select("query", "unit", "own"), enter, state), "ann-search")
     over: list[DataFrame] = []
-    for _ in range(HOPS):
+    while True:
         over.append(now.filter(F.size("open") == 0).select("query", "ids"))
-        now = now.filter(F.size("open") > 0)
-        if now.isEmpty():
+        left = now.filter(F.size("open") > 0)
+        if left.isEmpty():
             break
-        steps = now.select("query", F.explode("open").alias("node")).join(index, "node")
-        rings = steps.groupBy(F.col("query").alias("_q")).agg(F.collect_list("around").alias("around"))
-        joined = now.join(rings, F.col("query") == F.col("_q"), "left")
-        around = F.coalesce("around", F.array().cast(dict(rings.dtypes)["around"]))
-        now = durable(map_rows(joined.select("query", "unit", "ids", "near", "done", around.alias("around")), hop, state), "ann-search")
-    over.append(now.select("query", "ids"))
+        steps = left.select("query", F.col("ids").alias("seen"), F.explode("open").alias("node")).join(index.select("node", "ids"), "node")
+        asked = steps.select("query", F.explode(F.array_except("ids", "seen")).alias("node")).distinct()
+        met = asked.join(index.select("node", "unit"), "node").groupBy(F.col("query").alias("_q")).agg(F.collect_list(F.struct("node", "unit")).alias("met"))
+        joined = left.join(met, F.col("query") == F.col("_q"), "left")
+        now = durable(map_rows(joined.select("query", "unit", "ids", "near", "done", "met.node", F.col("met.unit").alias("units")), hop, state), "ann-search")
     found = over[0]
     for x in over[1:]:
         found = found.unionByName(x)
@@ -223,35 +245,37 @@ def nearest(df: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id", vec
     rows = durable(usable(df, key, vector), "ann-rows")
     held = durable(nodes(rows, k + 1), "ann-nodes")
     points = held.select("node", "unit")
-    sample = held.orderBy(F.xxhash64(F.lit("pivot"), "node"), "node").limit(PIVOTS).select("node", "unit").collect()
+    total = held.count()
+    sample = held.orderBy(F.xxhash64(F.lit("pivot"), "node"), "node").limit(pivots_for(total)).select("node", "unit").collect()
     pivot_ids = [r["node"] for r in sample]
     pivots = unpacked([bytes(r["unit"]) for r in sample]) if sample else np.empty((0, 1), np.float32)
     # Queries with the same vector search once, as their node.
     asked = rows.filter(F.col("id") % every == 0).dropDuplicates(["id", "vector"]).join(held.select("node", "vector", "unit"), "vector")
     asked = durable(asked.select("id", "node", "unit", "vector"), "ann-queries")
     distinct = asked.groupBy("node").agg(F.first("unit").alias("unit"))
-    found = search(build(points, pivots), distinct.select(F.col("node").alias("query"), "unit", F.col("node").alias("own")), pivot_ids, pivots)
+    found = search(build(points, pivots), distinct.select(F.col("node").alias("query"), "unit", F.col("node").alias("own")), pivot_ids, pivots, beam_for(total))
     pairs = found.select(F.col("query").alias("_q"), F.explode("beam").alias("node")).join(held.select("node", "ids", "vector"), "node")
-    around = pairs.groupBy("_q").agg(F.collect_list(F.struct("ids", "vector")).alias("near"))
+    around = pairs.groupBy("_q").agg(F.collect_list(F.struct("node", "ids", "vector")).alias("near"))
 
     def ranked(found: Iterator[tuple]) -> Iterator[tuple]:
-        for query, vector_, near in found:
-            q = np.array(vector_)
-            x = np.array([n["vector"] for n in near])
-            scores = cosines(q, x)
-            best: dict[int, float] = {}
-            for n, s in zip(near, scores.tolist(), strict=True):
-                for i in n["ids"]:
-                    if i != query:
-                        best[i] = max(s, best.get(i, -2.0))
-            for rank, (i, s) in enumerate(sorted(best.items(), key=lambda e: (-e[1], e[0]))[:k], 1):
-                yield query, rank, i, s
-
-    scored = asked.join(around, F.col("node") == F.col("_q")).select("id", "vector", "near")
+        for query, own, vector_, near in found:
+            scores = cosines(np.array(vector_), np.array([n["vector"] for n in near]))
+            # Every row of a node but the query's own.
+            best = sorted((-s, i) for n, s in zip(near, scores.tolist(), strict=True) for i in n["ids"] if n["node"] != own or i != query)
+            for rank, (s, i) in enumerate(best[:k], 1):
+                yield query, rank, i, -s
+
+    scored = asked.join(around, F.col("node") == F.col("_q")).select("id", "node", "vector", "near")
     return map_rows(scored, ranked, f"query_id bigint, rank int, {key} bigint, score double")
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """v times a power of two that keeps its squares within range: exact, and cosines don't change."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max())[1])
+
+
 def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Cosine of q and each row of x, in double precision, row by row so that equal rows score equal."""
+    q = _scaled(q)
     n = np.sqrt((q * q).sum())
-    return np.array([(q * r).sum() / (n * np.sqrt((r * r).sum())) for r in x])
+    return np.array([(q * r).sum() / (n * np.sqrt((r * r).sum())) for r in map(_scaled, x)])

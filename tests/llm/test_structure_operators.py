@@ -208,6 +208,44 @@ def test_odd_vectors(spark):
     assert nn_descent.nearest(df.limit(0)).isEmpty()
 
 
+def test_rows_of_one_id_and_extreme_sizes(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1e200, 1e199]), (2, [1e-200, 3e-200]), (3, [-1.0, 0.0])]
+    found = nn_descent.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    got = sorted((r["rank"], r.vec_id, round(r.score, 9)) for r in found)
+    a, b = 1 / 1.01**0.5, 10**-0.5
+    one = [(1, 1, a), (2, 2, b), (3, 0, 0.0), (4, 3, -1.0)]
+    other = [(1, 2, 3 * b), (2, 1, 0.1 * a), (3, 0, 0.0), (4, 3, 0.0)]
+    assert got == sorted((r, i, round(s, 9)) for r, i, s in one + other)
+
+
+def test_much_listed_nodes_are_merged_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "LISTED", 4)
+    r = np.random.default_rng(3)
+    rows = [(i, r.normal(size=8).tolist()) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    monkeypatch.setattr(nn_descent, "pivots_for", lambda n: 16)
+    monkeypatch.setattr(nn_descent, "beam_for", lambda n: 60)
+    want, got = exact(rows, 50, 5), answers(nn_descent.nearest(df))
+    assert sum(len(set(want[q]) & set(got[q])) for q in want) >= 0.95 * 5 * len(want)
+
+
+def test_recall_of_fifty_thousand(spark):
+    """Neighbours that are hard to find: directions without any structure."""
+    n = 50_000
+    x = np.random.default_rng(17).normal(size=(n, 32))
+    import pandas as pd
+
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x)}), "vec_id bigint, embedding array<double>").repartition(8)
+    got = answers(nn_descent.nearest(df, every=200))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, n, 200):
+        near = unit @ unit[q]
+        near[q] = -2
+        hits += len(set(np.argpartition(-near, 5)[:5].tolist()) & set(got[q]))
+    assert len(got) == n / 200 and hits / (5 * len(got)) >= 0.9
+
+
 def test_a_very_common_vector(spark):
     r = np.random.default_rng(5)
     rows = [(i, [1.0, 2.0, 3.0] if i % 3 == 0 else r.normal(size=3).tolist()) for i in range(600)]
