@@ -9,7 +9,8 @@ documents get its probability.
 What is bounded: the vocabulary (the `words` words that tell the labels apart best) is chosen on at most `labelled`
 labelled documents, of each class those with the smallest hashes: half of them, or more where the other class has less.
 Without telling words, the other features are trained on. Everything else covers all documents: the pseudo-labels and counts
-of every round, the calibration histograms and the scores. Only counts by feature and histograms of fixed size reach
+of every round, the calibration histograms and the scores. Metadata values are features by a hash into BUCKETS, so the
+number of features is fixed, whatever the values; counts by feature and histograms of fixed size are all that reaches
 the driver. The texts are read twice (vocabulary, features) and never shuffled; rounds read the feature table.
 
 Labels are joined by key: labels of documents that aren't there are ignored, a document without a label, or with a null one, is unlabelled; several labels of one key
@@ -24,6 +25,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -34,6 +36,8 @@ from factloom.llm.common import durable, map_rows
 WORD = re.compile(r"[^\W\d_]+").findall
 #: Scores are kept within these bounds in histograms of BINS bins.
 LIMIT, BINS = 12.0, 96
+#: Features that the values of a metadata column fall into.
+BUCKETS = 4096
 FOLDS = 5
 
 
@@ -74,7 +78,7 @@ def text_features(text: str, vocabulary: frozenset[str]) -> list[str]:
 def meta_features(values: tuple, text: str) -> list[str]:
     """Features of the page around the content: its metadata, size and layout."""
     lines = text.count("\n") + 1
-    found = [f"m{i}:{v}" for i, v in enumerate(values)]
+    found = [f"m{i}:{'null' if v is None else crc32(str(v).encode('utf-8', 'replace')) % BUCKETS}" for i, v in enumerate(values)]
     return [*found, f"chars:{int(math.log2(len(text) + 1) * 2)}", f"lines:{int(math.log2(lines) * 2)}", f"line:{int(math.log2(len(text) / lines + 1))}"]
 
 

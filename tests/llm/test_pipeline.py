@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from factloom.llm.queries import QUERIES
+from pyspark.sql import functions as F
 from test_structure_operators import brute
 from test_text_operators import check_packing
 
@@ -26,5 +27,19 @@ def test_stages(spark, sf):
 
 
 def test_run_equals_the_stages(spark, sf):
-    found = corpus_pipeline.run(spark, sf)
-    assert found.count() > 0 and found.columns[:2] == ["doc_id", "start"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf).cache()
+    assert sorted(map(str, corpus_pipeline.run(spark, sf).select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect())) == sorted(map(str, docs.select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect()))
+
+
+def test_stages_on_odd_documents(spark, sf, odd_documents, no_documents):
+    """Nulls, repeats and clashing names pass every stage; an empty table stays empty."""
+    clashing = odd_documents.withColumns({c: F.lit("x") for c in ("_text", "record", "row", "hash", "found", "_row", "slot")})
+    for df in (clashing, no_documents):
+        now = df
+        for name, stage in corpus_pipeline.STAGES:
+            after = stage(spark, now, sf)
+            assert after.columns == df.columns or name == corpus_pipeline.STAGES[-1][0]
+            assert after.isEmpty() is (df is no_documents)
+            now = after

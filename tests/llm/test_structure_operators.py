@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from factloom.llm import chat_hmm, components, cotraining, html_layout, ngram_jaccard, nn_descent
 from factloom.llm.queries import good
@@ -166,6 +167,90 @@ def test_quality_of_odd_documents(spark, odd_documents, no_documents):
     assert cotraining.accept(odd_documents, labels.limit(0), good()).count() == 10
 
 
+def plain_newton(x, y):
+    """Logistic weights, constant last, by the plain normal equations of Newton's method, one row at a time."""
+    w = np.zeros(len(x[0]) + 1)
+    for _ in range(50):
+        slope, curve = 1e-2 * w, 1e-2 * np.eye(len(w))
+        for row, t in zip(x, y, strict=True):
+            v = np.array([*row, 1.0])
+            p = 1 / (1 + np.exp(-np.clip(v @ w, -40, 40)))
+            slope, curve = slope + (p - t) * v, curve + p * (1 - p) * np.outer(v, v)
+        w = w - np.linalg.solve(curve, slope)
+    return w
+
+
+def test_scores_equal_a_plain_computation(spark, sf):
+    """Words, counts, rounds, calibration and combination by loops over the rows."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = {r.doc_id: r for r in cotraining.score(docs, labels, good()).collect()}
+    rows = docs.withColumn("fold", F.abs(F.xxhash64("doc_id")) % cotraining.FOLDS).collect()
+    label = {r.doc_id: int(r.quality == 1 and r.toxic == 0) for r in labels.collect()}
+    known = {r.doc_id: label.get(r.doc_id) for r in rows}
+    size, seen = [0, 0], defaultdict(lambda: [0, 0])
+    for r in rows:
+        if known[r.doc_id] is not None and r.fold:
+            size[known[r.doc_id]] += 1
+            for w in {w.lower() for w in cotraining.WORD(r.text or "")}:
+                seen[w][known[r.doc_id]] += 1
+    telling = []
+    for w, (bad, fine) in seen.items():
+        a, b, pooled = bad / size[0], fine / size[1], (bad + fine) / sum(size)
+        z = abs(a - b) / (pooled * (1 - pooled) * (1 / size[0] + 1 / size[1]) + 1e-12) ** 0.5
+        if bad + fine >= 8 and (a >= 3 * b or b >= 3 * a) and z >= 4:
+            telling.append((-z, w))
+    words = frozenset(w for _, w in sorted(telling)[:256])
+    views = {r.doc_id: (cotraining.text_features(r.text or "", words), cotraining.meta_features((r.lang, r.source), r.text or "")) for r in rows}
+    models, platt = None, [np.array([1.0, 0.0])] * 2
+
+    def rate(view, features):
+        counts, n = models[view]
+        total = np.log((n[1] + 1) / (n[0] + 1)) + sum(np.log((counts[f][1] + 1) / (n[1] + 2)) - np.log((counts[f][0] + 1) / (n[0] + 2)) for f in features if f in counts)
+        return max(-12.0, min(12.0, total))
+
+    for _ in range(4):
+        new = [(defaultdict(lambda: [0, 0]), [0, 0]) for _ in (0, 1)]
+        for r in rows:
+            y, given = known[r.doc_id], [None, None]
+            if y is not None:
+                given = [y, y] if r.fold else given
+            elif models:
+                for v in (0, 1):
+                    s = platt[v] @ (rate(v, views[r.doc_id][v]), 1.0)
+                    if abs(s) >= np.log(49):
+                        given[1 - v] = int(s > 0)
+            for v in (0, 1):
+                if given[v] is not None:
+                    new[v][1][given[v]] += 1
+                    for f in views[r.doc_id][v]:
+                        new[v][0][f][given[v]] += 1
+        models = new
+        held = [r.doc_id for r in rows if known[r.doc_id] is not None and not r.fold]
+        middle = lambda s: (min(95, int((s + 12) / 24 * 96)) + 0.5) / 96 * 24 - 12
+        x = [[middle(rate(v, views[i][v])) for v in (0, 1)] for i in held]
+        platt = [plain_newton([[row[v]] for row in x], [known[i] for i in held]) for v in (0, 1)]
+        joint = plain_newton([[platt[v] @ (row[v], 1.0) for v in (0, 1)] for row in x], [known[i] for i in held])
+    sure = lambda s: 1 / (1 + np.exp(-np.clip(s, -40, 40)))
+    for r in rows:
+        a, b = (platt[v] @ (rate(v, views[r.doc_id][v]), 1.0) for v in (0, 1))
+        want = sure(a), sure(b), sure(joint @ (a, b, 1.0))
+        own = got[r.doc_id]
+        assert (own.text_score, own.meta_score, own.score) == pytest.approx(want, abs=2e-6)
+
+
+def test_metadata_of_many_values_has_a_bounded_number_of_features():
+    found = {cotraining.meta_features((f"host{i}", f"http://h/{i}"), "text")[k] for i in range(100_000) for k in (0, 1)}
+    assert len(found) <= 2 * cotraining.BUCKETS
+
+
+def test_columns_that_clash(spark, odd_documents):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (5, 1, 0), (6, 0, 1)], "doc_id bigint, quality int, toxic int")
+    clashing = odd_documents.withColumns({c: F.lit("x") for c in ("_text", "_y", "_fold", "text_features", "row", "key", "record", "hash")})
+    assert cotraining.score(clashing, labels, good()).count() == 10
+    assert cotraining.accept(clashing, labels, good()).columns == clashing.columns
+    assert ngram_jaccard.join(clashing).count() == 10 and ngram_jaccard.keep_one(clashing).columns == clashing.columns
+
+
 # Neighbours --------------------------------------------------------------------------------------------------------
 
 
@@ -233,9 +318,7 @@ def test_recall_of_fifty_thousand(spark):
     """Neighbours that are hard to find: directions without any structure."""
     n = 50_000
     x = np.random.default_rng(17).normal(size=(n, 32))
-    import pandas as pd
-
-    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x)}), "vec_id bigint, embedding array<double>").repartition(8)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x))})).repartition(8)
     got = answers(nn_descent.nearest(df, every=200))
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     hits = 0

@@ -12,6 +12,7 @@ import pytest
 from factloom.llm import kk_packing, matroska, ownership_secrets, piece_bpe, ring
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
 ALPHABET = " ▁ab1.,\n\té́Éß中😀\x00Ϳ�\x1c\x85\xa0'sllİΣ*%#<|>_Ⅷ²"
@@ -68,6 +69,16 @@ def test_pieces_of_odd_documents(odd_documents, no_documents):
     assert all(r.decoded == (r.text or "") for r in both.collect())
 
 
+def test_memories_of_words_are_bounded():
+    coder, words = piece_bpe.PieceBPE(PIECES), kk_packing.WordIds(WORDS)
+    for i in range(40):
+        text = "中文字" * 400 + str(i) + " " + "a1" * 300 + str(i) + ". plain"
+        assert coder.encode(text) == coder.library.encode(text, add_eos=True)
+        assert words.ids(text) == words.library([text])[0]
+    for held in (coder.words, coder.inner, words.known):
+        assert max(map(len, held)) <= 64 and len(held) < 200
+
+
 def test_a_wrong_merge_is_noticed():
     coder = piece_bpe.PieceBPE(PIECES)
     coder.scores.pop("▁the")
@@ -347,3 +358,51 @@ def test_ownership_decides(secrets):
     masked = {r.doc_id: r.text for r in ownership_secrets.mask_live(secrets).collect()}
     assert masked[4] == "[secret] [secret]" and masked[10] == f"example password=changeme1 {MIXED}x" and masked[2] is None
     assert masked[1] == 'token=token:abcdefgh [secret]" 😀 api_key = abc'
+
+
+def test_time_is_linear_in_the_matches_of_a_text(spark):
+    """32,000 strings in one text: what a step for each pair of them would take is far beyond this bound."""
+    import time
+
+    text = " ".join(hashlib.sha256(str(i).encode()).hexdigest()[:32] for i in range(32_000))
+    df = spark.createDataFrame([(1, text, "a"), (2, "é token=abcdef1 😀", "a")], "doc_id bigint, text string, source string")
+    began = time.time()
+    found = {r.doc_id: r for r in ownership_secrets.scan(df).collect()}
+    masked = {r.doc_id: r.text for r in ownership_secrets.mask_live(df).collect()}
+    assert time.time() - began < 30
+    assert found[1].n_hex == 32_000 and found[1].base_sha256 == digest(base_spans(text)) and found[2].spans == "assign:2:15"
+    assert masked[1] == " ".join(["[secret]"] * 32_000) and masked[2] == "é [secret] 😀"
+
+
+def test_clashing_names_and_odd_documents_are_masked(odd_documents, no_documents, secrets):
+    names = ("print", "_key", "_spans", "_new", "_row", "doc", "found", "owner", "repository", "kind", "start", "new", "spans")
+    clashing = secrets.withColumns({c: F.lit("x") for c in names})
+    found = ownership_secrets.mask_live(clashing).collect()
+    assert found[0].__fields__ == clashing.columns and sorted(r.text or "" for r in found) == sorted(r.text or "" for r in ownership_secrets.mask_live(secrets).collect())
+    assert ownership_secrets.scan(clashing).count() == clashing.count()
+    assert sorted(map(str, ownership_secrets.mask_live(odd_documents).collect())) == sorted(map(str, odd_documents.collect()))
+    assert ownership_secrets.mask_live(no_documents).isEmpty()
+
+
+def test_mask_equals_a_plain_replacement(secrets, documents):
+    """Live spans of every text, cut out one after the other."""
+    for df in (secrets, documents.limit(150)):
+        owners = defaultdict(set)
+        spans = {}
+        rows = df.select("doc_id", "text", "source").collect()
+        for n, r in enumerate(rows):
+            t = r.text or ""
+            base = [(a, b, ASSIGN.match(t, a)[2] if k == 0 else t[a:b]) for a, k, b in base_spans(t)]
+            mixed = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[A-Za-z0-9_+/-]+", t) if len(m[0]) >= 32 and all(re.search(p, m[0]) for p in ("[0-9]", "[a-z]", "[A-Z]"))]
+            spans[n] = sorted(base + [x for x in mixed if not any(a < x[1] and x[0] < b for a, b, _ in base)])
+            for _, _, value in spans[n]:
+                owners[value] |= {r.source} - {None}
+        want = []
+        for n, r in enumerate(rows):
+            done, at = "", 0
+            for a, b, value in spans[n]:
+                if len(owners[value]) < 3:
+                    done += (r.text[at:a] + "[secret]") if a >= at else ""
+                    at = max(at, b)
+            want.append((r.doc_id, None if r.text is None else done + r.text[at:]))
+        assert sorted(((r.doc_id, r.text) for r in ownership_secrets.mask_live(df).collect()), key=str) == sorted(want, key=str)
