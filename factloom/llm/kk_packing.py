@@ -29,6 +29,8 @@ from factloom.llm.common import map_rows
 
 #: Words whose ids a Python worker remembers; beyond it a new memory starts and the one before stays for reading.
 REMEMBERED = 500_000
+#: Letters of a word that is remembered at most: together a bound of the memory's bytes.
+LONGEST = 64
 #: ASCII marks that, at the end of a word after a letter, are a token group of their own for every pattern in use.
 MARKS = ".,*%$#&!"
 #: Letters below it keep their form under NFC and, but for U+0130, under lower-casing stay one letter.
@@ -47,6 +49,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.earlier: dict[str, bytes] = {}
+        self.long: list[str] = []  # words that are known for one text only
         vocabulary = self.tokenizer.get_vocab()
         self.ends = [i for t, i in vocabulary.items() if t.endswith("</w>")]
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -95,6 +98,8 @@ class WordIds:
                         new.add(x)
         if new:
             known.update(zip(new, self.words(list(new)), strict=True))
+            self.long += [w for w in new if len(w) > LONGEST]
+        self.long += [w for w, *_ in ends if len(w) > LONGEST]
         for w, stem, mark in ends:
             known[w] = known[stem] + known[mark]
 
@@ -108,7 +113,11 @@ class WordIds:
             return b"".join([self.known[w] for w in words])
         except KeyError:
             self._learn(words)
-            return b"".join([self.known[w] for w in words])
+            found = b"".join([self.known[w] for w in words])
+            for w in self.long:
+                self.known.pop(w, None)
+            self.long.clear()
+            return found
 
 
 @lru_cache(maxsize=2)

@@ -30,12 +30,14 @@ from factloom.llm.common import map_rows
 SPACE = "▁"
 #: Words whose ids a Python worker remembers; beyond it a new memory starts and the one before stays for reading.
 REMEMBERED = 400_000
+#: Letters of a word or part that is remembered at most: together a bound of the memory's bytes.
+LONGEST = 64
 LETTER = re.compile(r"[^\W\d_]").match
 PARTS = re.compile(r"[^\W\d_]+|[\W\d_]+").findall
 #: With more pairs of letters and others inside pieces, words aren't cut at all.
 ACROSS = 64
 #: New words are checked against the library so many at a time.
-CHECKED = 4096
+CHECKED, CHECKED_LETTERS = 4096, 1 << 20
 
 
 def _each_byte(e: UnicodeError) -> tuple[str, int]:
@@ -89,6 +91,7 @@ class PieceBPE:
         self.earlier: dict[str, str] = {}  # those before the memory was last full
         self.inner: dict[str, str] = {}  # ids by what stands inside a word
         self.unchecked: dict[str, str] = {}
+        self.waiting = 0  # letters of them
 
     def parts(self, word: str) -> list[str]:
         """Runs of letters and of others, which no piece spans; the whole word if a piece might."""
@@ -134,9 +137,11 @@ class PieceBPE:
     def _part(self, part: str) -> str:
         """Decimal ids of a part within a word."""
         if (found := self.inner.get(part)) is None:
-            if len(self.inner) >= REMEMBERED:
-                self.inner.clear()
-            found = self.inner[part] = "".join([f"{i} " for i in self.merge(part)])
+            found = "".join([f"{i} " for i in self.merge(part)])
+            if len(part) <= LONGEST:
+                if len(self.inner) >= REMEMBERED:
+                    self.inner.clear()
+                self.inner[part] = found
         return found
 
     def _word(self, word: str) -> str:
@@ -149,9 +154,10 @@ class PieceBPE:
                 found = "".join([f"{i} " for i in self.merge(SPACE + word)])
             if self.check:
                 self.unchecked[word] = found
-                if len(self.unchecked) >= CHECKED:
+                self.waiting += len(word)
+                if len(self.unchecked) >= CHECKED or self.waiting >= CHECKED_LETTERS:
                     self.flush()
-        if len(word) <= 64:
+        if len(word) <= LONGEST:
             if len(self.words) >= REMEMBERED:
                 self.earlier, self.words = self.words, {}
             self.words[word] = found
@@ -159,7 +165,7 @@ class PieceBPE:
 
     def flush(self) -> None:
         """Checks the words met since the last call against the library."""
-        words, self.unchecked = self.unchecked, {}
+        words, self.unchecked, self.waiting = self.unchecked, {}, 0
         for (word, own), ids in zip(words.items(), self.library.encode(list(words), num_threads=1), strict=True):
             if word and own != "".join([f"{i} " for i in ids]):
                 raise ValueError(f"{word!r}: the library gives {ids}, the agenda {own}")
