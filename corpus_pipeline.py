@@ -22,7 +22,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the values of their owner-specific secrets masked; n_chars follows the text."""
+    """Documents with the values of their owner-specific secrets masked; n_chars follows the text. No document goes."""
     return ownership_secrets.mask_live(docs, owner="source", repository=F.concat_ws("/", "source", "lang"), length="n_chars")
 
 
