@@ -21,6 +21,12 @@ def count_by(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.col(column))
 
 
+def as_map(counts: DataFrame, name: str) -> DataFrame:
+    """One row: a map from the first column to n. counts: a row for each of few keys."""
+    key = counts.columns[0]
+    return counts.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.coalesce(F.col(key).cast("string"), F.lit("")), "n")))).alias(name))
+
+
 def files_by_type(files: DataFrame) -> DataFrame:
     return count_by(files.select(file_type(F.col("file_path")).alias("file_type")), "file_type")
 

@@ -29,8 +29,12 @@ def tokens(c: Column) -> Column:
 def postings(df: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
     """doc_id, term, pos, for every token of a document."""
     parts = [F.transform(tokens(F.col(c)), _placed(n * COLUMN_GAP)) for n, c in enumerate(columns)]
-    each = df.select(F.col(key).alias("doc_id"), F.explode(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("t"))
-    return each.select("doc_id", "t.term", "t.pos")
+    each = df.select(*_project(df), F.col(key).alias("doc_id"), F.explode(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("t"))
+    return each.select(*_project(df), "doc_id", "t.term", "t.pos")
+
+
+def _project(df: DataFrame) -> list[str]:
+    return ["project"] if "project" in df.columns else []
 
 
 def _placed(offset: int):
@@ -39,12 +43,12 @@ def _placed(offset: int):
 
 def lengths(df: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
     """doc_id, dl: tokens over all columns."""
-    return df.select(F.col(key).alias("doc_id"), reduce(Column.__add__, (F.size(tokens(F.col(c))) for c in columns)).alias("dl"))
+    return df.select(*_project(df), F.col(key).alias("doc_id"), reduce(Column.__add__, (F.size(tokens(F.col(c))) for c in columns)).alias("dl"))
 
 
-def write_index(df: DataFrame, key: str, columns: tuple[str, ...], path: str, partitions: int = 64) -> None:
-    """Stores the index under path: postings ranged and sorted by term, and lengths."""
-    postings(df, key, columns).repartitionByRange(partitions, "term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+def write_index(df: DataFrame, key: str, columns: tuple[str, ...], path: str, partitions: int = 8) -> None:
+    """Stores the index under path: postings ranged and sorted by term and document, and lengths."""
+    postings(df, key, columns).repartitionByRange(partitions, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
     lengths(df, key, columns).write.mode("overwrite").parquet(f"{path}/lengths")
 
 
@@ -95,7 +99,7 @@ def match(index: DataFrame, lens: DataFrame, query: str) -> DataFrame:
     # One row of corpus statistics: document count, mean length and documents with each phrase.
     size = lens.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     having = found.agg(*(F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(leaves))))
-    return score(found.filter(holds(node, leaves)).join(lens, "doc_id"), size.crossJoin(having), leaves)
+    return score(found.filter(holds(node, leaves)).join(lens.select("doc_id", "dl"), "doc_id"), size.crossJoin(having), leaves)
 
 
 def match_texts(df: DataFrame, key: str, columns: tuple[str, ...], query: str) -> DataFrame:

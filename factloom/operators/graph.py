@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.limits import first
 from factloom.functions.like import contains
 from factloom.session import stored
 
@@ -19,14 +22,15 @@ def parent_edges(symbols: DataFrame) -> DataFrame:
     return classes.select(F.col("name").alias("child"), F.explode(up).alias("p")).select("child", "p.parent", "p.relation").distinct()
 
 
-def reachable(edges: DataFrame, starts: DataFrame, max_depth: int = 50) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
     """node, depth: what the edges (source, target) reach from the starts (node), at its least depth; starts at 0.
 
-    Breadth first: each step joins the last frontier with the edges and drops what was reached before, so cycles end.
+    Breadth first: each step joins the last frontier with the edges and drops what was reached before, so cycles end, and
+    so does the search, at any depth; max_depth: steps at most.
     """
     frontier = stored(starts.select("node").distinct().withColumn("depth", F.lit(0)))
     seen = frontier
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         ahead = frontier.join(edges, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct()
         frontier = stored(ahead.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
@@ -35,23 +39,23 @@ def reachable(edges: DataFrame, starts: DataFrame, max_depth: int = 50) -> DataF
     return seen
 
 
-def hierarchy_up(symbols: DataFrame, name: str, limit: int = 50) -> DataFrame:
+def hierarchy_up(symbols: DataFrame, name: str, limit: int | None = 50) -> DataFrame:
     """Ancestors of a class, nearest first: name, depth, relation of the nearest step to them."""
     edges = stored(parent_edges(symbols))
     start = symbols.filter((F.col("kind") == "CLASS") & ((F.col("name") == name) | (F.col("qualified_name") == name))).select(F.col("name").alias("node"))
     found = reachable(edges.select(F.col("child").alias("source"), F.col("parent").alias("target")), start)
     relation = edges.groupBy(F.col("parent").alias("node")).agg(F.min("relation").alias("relation"))
-    return found.filter("depth > 0").join(relation, "node").orderBy("depth", "node").limit(limit).withColumnRenamed("node", "name")
+    return first(found.filter("depth > 0").join(relation, "node").orderBy("depth", "node"), limit).withColumnRenamed("node", "name")
 
 
-def hierarchy_down(symbols: DataFrame, name: str, limit: int = 50, recursive: bool = False) -> DataFrame:
+def hierarchy_down(symbols: DataFrame, name: str, limit: int | None = 50, recursive: bool = False) -> DataFrame:
     """Classes that extend or implement the class: name, depth; only the next level unless recursive."""
     if recursive:
         edges = parent_edges(symbols).select(F.col("parent").alias("source"), F.col("child").alias("target"))
         start = symbols.sparkSession.range(1).select(F.lit(name).alias("node"))
-        return reachable(stored(edges), start).filter("depth > 0").orderBy("depth", "node").limit(limit).withColumnRenamed("node", "name")
+        return first(reachable(stored(edges), start).filter("depth > 0").orderBy("depth", "node"), limit).withColumnRenamed("node", "name")
     heirs = symbols.filter((F.col("kind") == "CLASS") & ((F.col("super_class") == name) | F.coalesce(contains(F.concat_ws(", ", "interfaces"), name), F.lit(False))))
-    return heirs.select("name", "qualified_name", F.lit(1).alias("depth"), F.when(F.col("super_class") == name, "extends").otherwise("implements").alias("relation")).orderBy("qualified_name", "name").limit(limit)
+    return first(heirs.select("name", "qualified_name", F.lit(1).alias("depth"), F.when(F.col("super_class") == name, "extends").otherwise("implements").alias("relation")).orderBy("qualified_name", "name"), limit)
 
 
 def _least(edges: DataFrame, source: str, target: str) -> DataFrame:
@@ -143,12 +147,12 @@ def cycles(edges: DataFrame, max_length: int | None = None, through: str | None
     return found.orderBy(F.size("path"), F.concat_ws(">", "path"))
 
 
-def dependents(edges: DataFrame, name: str, limit: int = 20) -> DataFrame:
-    return edges.filter(F.col("target") == name).select("source", "target").orderBy("source").limit(limit)
+def dependents(edges: DataFrame, name: str, limit: int | None = 20) -> DataFrame:
+    return first(edges.filter(F.col("target") == name).select("source", "target").orderBy("source"), limit)
 
 
-def dependencies(edges: DataFrame, name: str, limit: int = 20) -> DataFrame:
-    return edges.filter(F.col("source") == name).select("source", "target").orderBy("target").limit(limit)
+def dependencies(edges: DataFrame, name: str, limit: int | None = 20) -> DataFrame:
+    return first(edges.filter(F.col("source") == name).select("source", "target").orderBy("target"), limit)
 
 
 def modules(declared: DataFrame, present: DataFrame, root: str = "") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.limits import first
 from factloom.functions.like import any_contains, contains, fold, fold_text, starts
 from factloom.functions.text import normal_path
 
@@ -49,19 +50,19 @@ def _typed(found: DataFrame, column: str, value: str | None) -> DataFrame:
     return found if not value else found.filter(F.col(column) == value.upper())
 
 
-def search_config(entries: DataFrame, q: str, config_type: str | None = None, limit: int = 20) -> DataFrame:
+def search_config(entries: DataFrame, q: str, config_type: str | None = None, limit: int | None = 20) -> DataFrame:
     found = entries.filter(any_contains(q, "key", "value", "content"))
-    return _typed(found, "config_type", config_type).orderBy("file_path", "line", "key").limit(limit)
+    return first(_typed(found, "config_type", config_type).orderBy("file_path", "line", "key"), limit)
 
 
-def search_dependencies(deps: DataFrame, q: str = "*", dep_type: str | None = None, limit: int = 20) -> DataFrame:
+def search_dependencies(deps: DataFrame, q: str = "*", dep_type: str | None = None, limit: int | None = 20) -> DataFrame:
     found = deps if q == "*" else deps.filter(any_contains(q, "artifact_id", "group_id", "version"))
-    return _typed(found, "dep_type", dep_type).orderBy("file_path", "line", "artifact_id").limit(limit)
+    return first(_typed(found, "dep_type", dep_type).orderBy("file_path", "line", "artifact_id"), limit)
 
 
-def search_routes(routes: DataFrame, q: str = "", http_method: str | None = None, limit: int = 50) -> DataFrame:
+def search_routes(routes: DataFrame, q: str = "", http_method: str | None = None, limit: int | None = 50) -> DataFrame:
     found = routes.filter(any_contains(q, "path", "base_path"))
-    return _typed(found, "http_method", http_method).orderBy("path", "http_method", "file_path", "start_line").limit(limit)
+    return first(_typed(found, "http_method", http_method).orderBy("path", "http_method", "file_path", "start_line"), limit)
 
 
 def route_pattern(path: Column) -> Column:
@@ -83,8 +84,8 @@ def bindings_by_prefix(bindings: DataFrame, prefix: str, limit: int | None = Non
     return found if limit is None else found.limit(limit)
 
 
-def metrics_by_package(metrics: DataFrame, package: str, limit: int = 50) -> DataFrame:
-    return metrics.filter(F.col("package_name") == package).orderBy(F.desc("lines_of_code"), "file_path", "class_name").limit(limit)
+def metrics_by_package(metrics: DataFrame, package: str, limit: int | None = 50) -> DataFrame:
+    return first(metrics.filter(F.col("package_name") == package).orderBy(F.desc("lines_of_code"), "file_path", "class_name"), limit)
 
 
 def same_ignoring_case(c: Column, value: str) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.limits import first
 from factloom.functions.like import any_contains, contains, starts, wildcard
 
 KIND_ORDER = ("CLASS", "METHOD", "FIELD")
@@ -56,10 +57,10 @@ def list_chunks(chunks: DataFrame, limit: int | None) -> DataFrame:
     return found if limit is None else found.limit(limit)
 
 
-def implementations(symbols: DataFrame, name: str, limit: int = 20, exact: bool = False) -> DataFrame:
+def implementations(symbols: DataFrame, name: str, limit: int | None = 20, exact: bool = False) -> DataFrame:
     """Classes whose super class or interfaces contain the name; exact: have it, whole."""
     if exact:
         fits = F.coalesce(F.array_contains("interfaces", name), F.lit(False)) | yes(F.col("super_class") == name)
     else:
         fits = yes(contains(F.concat_ws(", ", "interfaces"), name)) | yes(contains(F.col("super_class"), name))
-    return symbols.filter((F.col("kind") == "CLASS") & fits).orderBy("qualified_name", "file_path").limit(limit)
+    return first(symbols.filter((F.col("kind") == "CLASS") & fits).orderBy("qualified_name", "file_path"), limit)

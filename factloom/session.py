@@ -32,6 +32,8 @@ def stored(df: DataFrame) -> DataFrame:
     """df cut off from its lineage by a checkpoint in the shared folder (a temporary one where none is configured)."""
     spark = df.sparkSession
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if (spark.sparkContext.master or "").split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-checkpoints-"))

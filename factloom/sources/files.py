@@ -58,12 +58,18 @@ def any_glob(path: Column, globs) -> Column:
     return found
 
 
-def scan(spark: SparkSession, root: str, project: str = "default", exclude: tuple[str, ...] = EXCLUDED, include: tuple[str, ...] = (), max_file_kb: int = 1024) -> DataFrame:
+def scan(spark: SparkSession, root: str, project: str = "default", exclude: tuple[str, ...] = EXCLUDED, include: tuple[str, ...] = (), max_file_kb: int = 1024, only: list[str] | None = None) -> DataFrame:
     """project, file_path (relative), lang, size, last_modified (ms), sha1, content of the files that have a parser.
 
-    Size and name are filtered before contents are read.
+    Size and name are filtered before contents are read. only: just these of the folder's paths, if they are there.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True)
+    if only is None:
+        found = reader.load(root)
+    else:
+        paths = [spark._jvm.org.apache.hadoop.fs.Path(root, p) for p in only]
+        there = [str(p.toString()) for p in paths if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)]
+        found = reader.load(there) if there else reader.load(root).limit(0)
     relative = F.regexp_replace(F.regexp_replace(normal_path(F.col("path")), r"^[a-z]+:/*", "/"), "^" + re.escape("/" + root.split(":")[-1].strip("/")) + "/?", "")
     kept = found.filter(F.col("length") <= max_file_kb * 1024).withColumn("file_path", relative)
     kept = kept.withColumn("lang", kind(F.col("file_path"))).filter(F.col("lang").isNotNull() & ~any_glob(F.col("file_path"), exclude))

@@ -6,13 +6,14 @@ import json
 import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.text import cognitive, cyclomatic, line_count, simple_name
-from factloom.operators import changes
+from factloom.operators import changes, fts
 from factloom.operators.joins import resolve_references
 from factloom.schemas import DDL, FILE_COLUMN, conform, schema, stable_id
 from factloom.session import stored
@@ -36,6 +37,10 @@ PARSED = {
 }
 
 
+#: The columns of a table that full-text search covers.
+FULL_TEXT = {"symbols": ("name", "qualified_name", "signature"), "chunks": ("name", "content", "package_name", "class_name")}
+
+
 def parsers() -> dict:
     from factloom.sources import builds, java, jvm, settings, shell
 
@@ -145,26 +150,51 @@ def resolve(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return tables | {t: conform(df, t) for t, df in found.items()}
 
 
+class Outrun(RuntimeError):
+    """Another writer's snapshot came first."""
+
+
 class Store:
-    """Fact tables as snapshots of Parquet folders; a pointer file names the current one.
+    """Fact tables as snapshots of Parquet folders; numbered pointer files name them, the highest number the current one.
 
-    A snapshot is complete before the pointer moves, so readers see the old or the new state and never a mixture.
+    A snapshot is complete before its pointer appears, so readers see the old or the new state; what is read inside
+    `pinned` is of one snapshot. A pointer is only ever created: of two writers that both build on snapshot N, one gets
+    to write pointer N + 1, and the other is Outrun and builds on that. The full-text index is part of a snapshot.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._pin: list[tuple[int, str | None]] = []
+
+    def _path(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
+    def latest(self) -> tuple[int, str | None]:
+        """Number and name of the current snapshot; 0 and None before the first."""
+        if self._pin:
+            return self._pin[-1]
+        system, where = self._path(f"{self.root}/pointer")
+        names = [f.getPath().getName() for f in system.listStatus(where)] if system.exists(where) else []
+        found = max((n for n in names if n.endswith(".json")), default=None)
+        if found is None:
+            return 0, None
+        stream = system.open(self._path(f"{self.root}/pointer/{found}")[1])
+        text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return int(found[:-5]), json.loads(text)["snapshot"]
 
     def current(self) -> str | None:
-        found = self._files().filter("path like '%.json'").orderBy(F.desc("modificationTime"), F.desc("path")).limit(1).collect() if self._exists() else []
-        return json.loads(bytes(found[0]["content"]))["snapshot"] if found else None
-
-    def _exists(self) -> bool:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/pointer")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return self.latest()[1]
 
-    def _files(self) -> DataFrame:
-        return self.spark.read.format("binaryFile").load(f"{self.root}/pointer")
+    @contextmanager
+    def pinned(self) -> Iterator[None]:
+        """All reads inside are of the snapshot that is current now."""
+        self._pin.append(self.latest())
+        try:
+            yield
+        finally:
+            self._pin.pop()
 
     def table(self, name: str) -> DataFrame:
         at = self.current()
@@ -172,18 +202,34 @@ class Store:
             return self.spark.createDataFrame([], schema(name))
         return self.spark.read.schema(schema(name)).parquet(f"{self.root}/{at}/{name}")
 
+    def full_text(self, name: str) -> tuple[DataFrame, DataFrame]:
+        """The index of a table's texts: postings (project, doc_id, term, pos), lengths (project, doc_id, dl)."""
+        at = self.current()
+        kinds = {"postings": "project string, doc_id bigint, term string, pos bigint", "lengths": "project string, doc_id bigint, dl int"}
+        if at is None:
+            return tuple(self.spark.createDataFrame([], k) for k in kinds.values())  # type: ignore[return-value]
+        return tuple(self.spark.read.schema(k).parquet(f"{self.root}/{at}/full_text/{name}/{part}") for part, k in kinds.items())  # type: ignore[return-value]
+
     def tables(self) -> dict[str, DataFrame]:
         return {t: self.table(t) for t in DDL}
 
-    def write(self, tables: dict[str, DataFrame]) -> str:
+    def write(self, tables: dict[str, DataFrame], after: int) -> str:
+        """A new snapshot, to follow that of number `after`."""
         at = f"snapshot-{time.time_ns()}-{uuid.uuid4().hex[:8]}"
         for name in DDL:
             conform(tables[name], name).write.parquet(f"{self.root}/{at}/{name}")
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/pointer/{at}.json")
-        stream = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path, False)
+        for name, columns in FULL_TEXT.items():
+            texts = self.spark.read.schema(schema(name)).parquet(f"{self.root}/{at}/{name}")
+            fts.write_index(texts, "id", columns, f"{self.root}/{at}/full_text/{name}")
+        # The pointer gets its name when its content is there; a name that is taken can't be had again.
+        system, where = self._path(f"{self.root}/pointer/{after + 1:012d}.json")
+        system.mkdirs(where.getParent())
+        draft = self._path(f"{self.root}/{at}/pointer")[1]
+        stream = system.create(draft, False)
         stream.write(bytearray(json.dumps({"snapshot": at}).encode()))
         stream.close()
+        if system.exists(where) or not system.rename(draft, where):
+            raise Outrun(f"snapshot {after + 1} is another writer's")
         return at
 
 
@@ -191,14 +237,24 @@ def index(store: Store, files: DataFrame, full_listing: bool = True, now_ms: int
     """Brings the store up to date with the files: what is new or changed is parsed, what vanished is removed.
 
     files: project, file_path, lang, size, last_modified, sha1, content. full_listing: files that aren't listed are gone.
+    A writer that is outrun by another one starts again from the other's snapshot.
     """
+    while True:
+        try:
+            with store.pinned():
+                return _index(store, files, full_listing, now_ms)
+        except Outrun:
+            continue
+
+
+def _index(store: Store, files: DataFrame, full_listing: bool, now_ms: int | None) -> dict[str, int]:
     old = store.tables()
-    listing = stored(files)
+    # Contents are kept of what changed only.
     # A file is known by its project too: paths of several projects may be equal.
     keyed = lambda df: df.withColumn("file_path", F.concat_ws("\u0001", "project", "file_path"))
     plain = lambda df: df.withColumn("file_path", F.substring_index("file_path", "\u0001", -1))
-    changed = stored(plain(changes.changed_files(keyed(listing), keyed(old["file_meta"]))))
-    gone = plain(changes.vanished_files(keyed(listing), keyed(old["file_meta"]))) if full_listing else old["file_meta"].limit(0)
+    changed = stored(plain(changes.changed_files(keyed(files), keyed(old["file_meta"]))))
+    gone = plain(changes.vanished_files(keyed(files.select("project", "file_path")), keyed(old["file_meta"]))) if full_listing else old["file_meta"].limit(0)
     gone = stored(gone.select("project", "file_path"))
     n_changed, n_gone = changed.count(), gone.count()
     if not n_changed and not n_gone:
@@ -213,5 +269,5 @@ def index(store: Store, files: DataFrame, full_listing: bool = True, now_ms: int
     tables = {name: left[name].unionByName(new[name]) for name in DDL if name != "index_metadata"}
     tables = resolve(tables | {"symbols": stored(tables["symbols"])})
     tables["index_metadata"] = changes.upsert(old["index_metadata"], new["index_metadata"], ("project", "key"), "updated_at")
-    store.write(tables)
+    store.write(tables, store.latest()[0])
     return {"changed": n_changed, "deleted": n_gone, "errors": new["errors"].count()}

@@ -14,6 +14,8 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from factloom.config import Config
+from factloom.session import stored
 from factloom.sources import files as sources
 from factloom.sources import ingest
 from factloom.sources.ingest import Store
@@ -102,28 +104,30 @@ def confirmed(events: DataFrame, meta: DataFrame) -> DataFrame:
     return joined.filter(real).drop("_sha1")
 
 
-def apply_batch(store: Store, root: str, project: str, events: DataFrame, exclude: tuple[str, ...] = sources.EXCLUDED) -> dict[str, int]:
+def apply_batch(store: Store, root: str, project: str, events: DataFrame, config: Config | None = None) -> dict[str, int]:
     """Indexes the files of a batch's confirmed events; deletions and changes in one snapshot."""
+    config = config or Config()
     meta = store.table("file_meta").filter(F.col("project") == project)
-    real = confirmed(wanted(debounced(events), exclude), meta)
+    real = stored(confirmed(wanted(debounced(events), config.exclude_patterns), meta))
     if real.isEmpty():
         return {"changed": 0, "deleted": 0, "errors": 0}
     # The listing after the batch: what is indexed and untouched keeps its hash, so only the batch's files are parsed.
     paths = real.filter("op <> 'DELETE'").select(F.col("path").alias("file_path"))
     gone = real.filter("op = 'DELETE'").select(F.col("path").alias("file_path"))
-    touched = sources.scan(store.spark, root, project, exclude).join(paths, "file_path", "left_semi")
+    only = [r["file_path"] for r in paths.collect()]  # of one batch of events
+    touched = sources.scan(store.spark, root, project, config.exclude_patterns, config.include_patterns, config.max_file_size_kb, only)
     others = store.table("file_meta").join(paths.unionByName(gone).withColumn("project", F.lit(project)), ["project", "file_path"], "left_anti")
     kept = others.select("project", "file_path", sources.kind(F.col("file_path")).alias("lang"), "size", "last_modified", "sha1", F.lit(None).cast("string").alias("content"))
     return ingest.index(store, kept.unionByName(touched.select(*kept.columns)), full_listing=True)
 
 
-def watch(spark: SparkSession, store: Store, root: str, project: str, checkpoint: str, every: str = "500 milliseconds", once: bool = False, progress: Callable[[dict], None] | None = None):
+def watch(spark: SparkSession, store: Store, root: str, project: str, checkpoint: str, every: str = "500 milliseconds", once: bool = False, progress: Callable[[dict], None] | None = None, config: Config | None = None):
     """Starts the stream that keeps a project's index current; once: only what has changed by now."""
     spark.dataSource.register(FileEventSource)
     events = spark.readStream.format("file_events").option("path", root).load()
 
     def batch(df: DataFrame, number: int) -> None:
-        done = apply_batch(store, root, project, df)
+        done = apply_batch(store, root, project, df, config)
         if progress:
             progress({"batch": number} | done)
 
