@@ -587,17 +587,17 @@ def hierarchy_down_all(spark: S, d: str) -> D:
     return graph.hierarchy_down(fact(spark, d, "symbols"), "ASIA", 1000, recursive=True).select("name", "depth")
 
 
-CYCLES = "RECURSIVE p(st, cur, path, d) AS (SELECT source, target, [source, target], 1 FROM bean_edges UNION ALL SELECT p.st, e.target, list_append(p.path, e.target), p.d + 1 FROM p JOIN bean_edges e ON p.cur = e.source WHERE p.cur <> p.st AND p.d < 7 AND (e.target = p.st OR NOT list_contains(p.path, e.target))) SELECT DISTINCT array_to_string(path, '>') AS cycle FROM p WHERE cur = st AND st = list_min(path)"
+CYCLES = "RECURSIVE p(st, cur, path, d) AS (SELECT source, target, [source, target], 1 FROM bean_edges UNION ALL SELECT p.st, e.target, list_append(p.path, e.target), p.d + 1 FROM p JOIN bean_edges e ON p.cur = e.source WHERE p.cur <> p.st AND (e.target = p.st OR NOT list_contains(p.path, e.target))) SELECT DISTINCT array_to_string(path, '>') AS cycle FROM p WHERE cur = st AND st = list_min(path)"
 
 
 @query("cycles_all", oracle(CYCLES, "bean_edges"))
 def cycles_all(spark: S, d: str) -> D:
-    return graph.cycles(fact(spark, d, "bean_edges"), 7).select(F.array_join("path", ">").alias("cycle"))
+    return graph.cycles(fact(spark, d, "bean_edges")).select(F.array_join("path", ">").alias("cycle"))
 
 
 @query("cycles_from", oracle(CYCLES + " AND list_contains(path, 'b2')", "bean_edges"))
 def cycles_from(spark: S, d: str) -> D:
-    return graph.cycles(fact(spark, d, "bean_edges"), 7, "b2").select(F.array_join("path", ">").alias("cycle"))
+    return graph.cycles(fact(spark, d, "bean_edges"), through="b2").select(F.array_join("path", ">").alias("cycle"))
 
 
 # Changes -----------------------------------------------------------------------------------------------------------

@@ -38,3 +38,13 @@ def stored(df: DataFrame) -> DataFrame:
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-checkpoints-"))
     return df.checkpoint()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder in the shared folder (a temporary one where none is configured), one for each session and name."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        import tempfile
+
+        shared = tempfile.gettempdir()
+    return f"{shared}/{name}-{spark.sparkContext.applicationId}"

@@ -14,7 +14,7 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from factloom.config import Config
+from factloom.config import FILES, Config, load
 from factloom.session import stored
 from factloom.sources import files as sources
 from factloom.sources import ingest
@@ -121,15 +121,35 @@ def apply_batch(store: Store, root: str, project: str, events: DataFrame, config
     return ingest.index(store, kept.unionByName(touched.select(*kept.columns)), full_listing=True)
 
 
+#: More events than this in a batch mean that something large happened: the project is listed anew.
+OVERFLOW = 10_000
+
+
+def rescan(store: Store, root: str, project: str, config: Config) -> dict[str, int]:
+    """Brings the whole project up to date; other projects stay as they are."""
+    listed = sources.scan(store.spark, root, project, config.exclude_patterns, config.include_patterns, config.max_file_size_kb)
+    others = store.table("file_meta").filter(F.col("project") != project)
+    kept = others.select("project", "file_path", sources.kind(F.col("file_path")).alias("lang"), "size", "last_modified", "sha1", F.lit(None).cast("string").alias("content"))
+    return ingest.index(store, kept.unionByName(listed.select(*kept.columns)), full_listing=True)
+
+
 def watch(spark: SparkSession, store: Store, root: str, project: str, checkpoint: str, every: str = "500 milliseconds", once: bool = False, progress: Callable[[dict], None] | None = None, config: Config | None = None):
     """Starts the stream that keeps a project's index current; once: only what has changed by now."""
     spark.dataSource.register(FileEventSource)
     events = spark.readStream.format("file_events").option("path", root).load()
 
     def batch(df: DataFrame, number: int) -> None:
-        done = apply_batch(store, root, project, df, config)
+        nonlocal config
+        began = time.time()
+        settings = df.filter(F.col("path").isin(*FILES)).count()
+        if settings:  # what counts as a file may be another now
+            config = load(root)
+        whole = settings or df.limit(OVERFLOW + 1).count() > OVERFLOW
+        if progress:
+            progress({"batch": number, "stage": "rescan" if whole else "changes"})
+        done = rescan(store, root, project, config or Config()) if whole else apply_batch(store, root, project, df, config)
         if progress:
-            progress({"batch": number} | done)
+            progress({"batch": number, "stage": "done", "seconds": round(time.time() - began, 3)} | done)
 
     writer = events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()

@@ -78,7 +78,7 @@ def test_incremental_and_stream(project, spark, tmp_path):
     (root / "New.java").write_text("class Brand { void a() {} }")
     query = watch.watch(spark, index.store, str(root), "shop", str(tmp_path / "checkpoint"), progress=done.append)
     query.processAllAvailable()
-    assert done[0]["changed"] == 1 and index.table("symbols").filter("name = 'Brand'").count() == 1
+    assert done[1]["changed"] == 1 and index.table("symbols").filter("name = 'Brand'").count() == 1
     (root / "New.java").unlink()
     for _ in range(20):
         query.processAllAvailable()
