@@ -48,6 +48,8 @@ TOKENS, DEPTH = 64, 3
 RUNS, MORE_RUNS = 6, 8
 #: Blocks of a candidate component: at most so many records, and about so many shingles, each.
 BLOCK_RECORDS, BLOCK_SHINGLES = 128, 1_000_000
+#: A record of more than one in so many rows is a hot one.
+SHARE = 1024
 _RANDOM = np.random.default_rng(20_240_229)
 _MULTIPLY = (_RANDOM.integers(0, 1 << 32, TOKENS, np.uint64) | np.uint64(1)).astype(np.uint32)
 _ADD = _RANDOM.integers(0, 1 << 32, TOKENS, np.uint64).astype(np.uint32)
@@ -309,8 +311,8 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, thr
     if not firsts.isEmpty():
         facts = facts.join(firsts, F.col("class_id") == F.col("_named"), "left")
         facts = facts.withColumn("class_id", F.when(F.col("root") > F.col("_first"), _name("class_id", "root")).otherwise(F.col("class_id")))
-    facts = facts.select(F.col("record").alias("_record"), F.coalesce("class_id", _name("root")).alias("class_id"), "n_links")
-    spoken = rows.filter("record is not null").select("id", "record").join(facts, F.col("record") == F.col("_record"), "left").select("id", "class_id", "n_links")
+    facts = facts.select("record", F.coalesce("class_id", _name("root")).alias("class_id"), "n_links", "weight")
+    spoken = _of_records(rows.filter("record is not null").select("id", "record"), facts).select("id", "class_id", "n_links")
     # Texts without words are classes of their own: named by their id, unless it names a class.
     silent = rows.filter("record is null").select("id")
     taken = durable(silent.distinct().join(facts.select("class_id"), F.col("id") == F.col("class_id"), "left_semi").select(F.col("id").alias("_taken")), "taken")
@@ -322,13 +324,25 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, thr
     return found.select(F.col("id").alias(key), "class_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
+def _of_records(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """rows with the facts of their record. A record that more than one in SHARE of the rows have doesn't meet in one task.
+
+    There are fewer than SHARE of these, whatever the input: broadcast by that bound.
+    """
+    facts = facts.withColumnRenamed("record", "_record")
+    many = F.col("weight") > rows.count() // SHARE
+    hot, same = F.broadcast(facts.filter(many)), F.col("record") == F.col("_record")
+    rest = rows.join(hot.select("_record"), same, "left_anti").join(facts.filter(~many), same)
+    return rest.unionByName(rows.join(hot, same)).drop("_record", "weight")
+
+
 def _name(*of: str) -> Column:
     """A negative number, by hash."""
     return -1 - F.xxhash64(*of).bitwiseAND(F.lit((1 << 63) - 1))
 
 
 def _facts(df: DataFrame, key: str, text: str, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, leaf: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """The rows' signatures; and for each record its class: record, root, class_id (least id), best (the row that stays for it), n_links.
+    """The rows' signatures; and for each record its class: record, root, class_id (least id), best (the row that stays for it), n_links, weight (rows).
 
     best: struct(none (it has no id), id, record, hash).
     """
@@ -345,7 +359,7 @@ def _facts(df: DataFrame, key: str, text: str, n: int = 5, threshold: float = 0.
     least = named.groupBy("root").agg(F.min("best").alias("_best"))
     named = named.join(least, "root").select(F.col("node").alias("record"), "root", "_best")
     facts = records.select("record", "best", "weight").join(named, "record", "left").join(linked, "record", "left").withColumn("best", F.coalesce("_best", "best"))
-    facts = facts.select("record", F.coalesce("root", "record").alias("root"), F.col("best.id").alias("class_id"), "best", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    facts = facts.select("record", F.coalesce("root", "record").alias("root"), F.col("best.id").alias("class_id"), "best", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "weight")
     return rows, durable(facts, "classes")
 
 
@@ -415,9 +429,9 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **settings)
     like any other, but the last.
     """
     rows, facts = _facts(df, key, text, **settings)
-    best = facts.select(F.col("record").alias("_record"), F.col("best.id").alias("_best"), F.col("best.hash").alias("_best_hash"))
+    best = facts.select("record", F.col("best.id").alias("_best"), F.col("best.hash").alias("_best_hash"), "weight")
     other = ~F.col("id").eqNullSafe(F.col("_best")) | (F.col("hash") != F.col("_best_hash"))
-    spoken = rows.filter("record is not null").join(best, F.col("record") == F.col("_record"))
+    spoken = _of_records(rows.filter("record is not null").select("id", "hash", "record"), best)
     gone = spoken.filter(other).select("id", "hash")
     empty = durable(rows.filter("record is null").groupBy("id", "hash").agg(F.lit(1)).select("id", "hash"), "empty")
     first = empty.groupBy(F.col("id").alias("_id")).agg(F.min("hash").alias("_first"))
