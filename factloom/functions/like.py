@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import string
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Stands for the escape character that patterns don't have.
-NO_ESCAPE = "\u0001"
-
-
 def fold(c: Column) -> Column:
     """Lower case for ASCII letters only."""
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
@@ -20,17 +17,25 @@ def fold_text(s: str) -> str:
     return s.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
 
 
+def _expression(pattern: str) -> str:
+    """A LIKE pattern as a regular expression; Java's flag folds ASCII letters only, and no folded copy is made."""
+    return "(?is)" + "".join({"%": ".*", "_": "."}.get(c) or re.sub(r"([^\w\s]|_)", r"\\\1", c) for c in pattern)
+
+
 def matches(c: Column, pattern: str) -> Column:
     """c LIKE pattern; `%` and `_` are wildcards."""
-    return F.like(fold(c), F.lit(fold_text(pattern)), F.lit(NO_ESCAPE))
+    head, flags = _expression(pattern)[5:], "(?is)"
+    return c.rlike(f"{flags}\\A(?:{head})\\z")
 
 
 def contains(c: Column, q: str) -> Column:
-    return matches(c, f"%{q}%")
+    """c LIKE %q%."""
+    return c.rlike(_expression(q))
 
 
 def starts(c: Column, q: str) -> Column:
-    return matches(c, f"{q}%")
+    """c LIKE q%."""
+    return c.rlike(f"(?is)\\A(?:{_expression(q)[5:]})")
 
 
 def any_contains(q: str, *columns: str) -> Column:

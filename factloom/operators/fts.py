@@ -13,17 +13,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.fts_query import Node, Op, Phrase, Unsupported, accents, parse, phrases, rewrite
+from factloom.session import stored
 from factloom.operators.ranking import FULL_TEXT_CHUNK_ORDER, KIND_ORDER, list_chunks, list_symbols, position, search_chunks, search_symbols
 
 K1, B = 1.2, 0.75
 COLUMN_GAP = 1 << 40
 
 
+WORD = r"[\p{L}\p{N}]+"
+
+
+def folded(c: Column) -> Column:
+    """Lower case, accents removed."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    return F.when(low.rlike(r"[^\x00-\x7f]"), F.translate(low, *accents())).otherwise(low)
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+
+
 def tokens(c: Column) -> Column:
     """Lower-case words of letters and digits, accents removed."""
-    low = F.lower(F.coalesce(c, F.lit("")))
-    text = F.when(low.rlike(r"[^\x00-\x7f]"), F.translate(low, *accents())).otherwise(low)
-    return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return _words(folded(c))
 
 
 def postings(df: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
@@ -103,13 +115,17 @@ def match(index: DataFrame, lens: DataFrame, query: str) -> DataFrame:
 
 
 def match_texts(df: DataFrame, key: str, columns: tuple[str, ...], query: str) -> DataFrame:
-    """As match, for texts without an index: two passes over them, one for the statistics, and no shuffle."""
+    """As match, for texts without an index: one pass over them, whose counts are kept, and no shuffle.
+
+    Texts are cut into words only where they hold the letters of a leaf's terms.
+    """
     node, leaves = understood(query)
-    words = df.select(F.col(key).alias("doc_id"), *(tokens(F.col(c)).alias(f"t{n}") for n, c in enumerate(columns)))
+    plain = df.select(F.col(key).alias("doc_id"), *(folded(F.col(c)).alias(f"t{n}") for n, c in enumerate(columns)))
     over = range(len(columns))
     total = lambda parts: reduce(Column.__add__, parts)
-    counts = [total(_count(F.col(f"t{n}"), p) for n in over).alias(f"f{i}") for i, p in enumerate(leaves)]
-    found = words.select("doc_id", total(F.size(f"t{n}") for n in over).alias("dl"), *counts)
+    holds_all = lambda t, p: reduce(Column.__and__, [t.contains(x) for x in p.terms])
+    counts = [total(F.when(holds_all(F.col(f"t{n}"), p), _count(_words(F.col(f"t{n}")), p)).otherwise(0) for n in over).alias(f"f{i}") for i, p in enumerate(leaves)]
+    found = stored(plain.select("doc_id", total(F.regexp_count(f"t{n}", F.lit(WORD)) for n in over).alias("dl"), *counts))
     stats = found.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(leaves))))
     return score(found.filter(holds(node, leaves)), stats, leaves)
 

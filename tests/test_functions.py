@@ -87,3 +87,34 @@ def test_full_text_queries():
     for bad in ("com.example*", "foo-bar*", "*Serv", "*", "a:b", "(a", "AND"):
         with pytest.raises(Unsupported):
             parse(bad)
+
+
+def test_highlights_count_utf16_units_of_the_text_itself(spark):
+    import time
+
+    from factloom.functions.text import highlights
+
+    texts = ["Token a tOKEN", "😀token😀 token", "İİ token", "none", None, "aaaa"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = {r.i: [(s.start, s.end) for s in r.h] for r in df.select("i", highlights(F.col("t"), "token").alias("h")).collect()}
+    assert found == {0: [(0, 5), (8, 13)], 1: [(2, 7), (10, 15)], 2: [(3, 8)], 3: [], 4: [], 5: []}
+    for i, spans in found.items():
+        units = (texts[i] or "").encode("utf-16-le")
+        assert all(units[2 * a : 2 * b].decode("utf-16-le").lower() == "token" for a, b in spans)
+    assert [[(s.start, s.end) for s in r.h] for r in df.filter("i = 5").select(highlights(F.col("t"), "aa").alias("h")).collect()] == [[(0, 2), (2, 4)]]
+    assert df.select(highlights(F.col("t"), "*").alias("h")).first().h == []
+    began = time.time()
+    many = spark.createDataFrame([("x token " * 60_000,)], "t string").select(F.size(highlights(F.col("t"), "token")).alias("n")).first()
+    assert many.n == 60_000 and time.time() - began < 10
+
+
+def test_like_by_regular_expression(spark):
+    from factloom.functions import like
+
+    rows = [("a.b*c",), ("A.B*C",), ("axb",), ("É",), ("é",), ("line\nbreak",), ("under_score",), ("50%",)]
+    df = spark.createDataFrame(rows, "t string")
+    hits = lambda c: {r.t for r in df.filter(c).collect()}
+    assert hits(like.contains(F.col("t"), "B*c")) == {"a.b*c", "A.B*C"}
+    assert hits(like.contains(F.col("t"), "é")) == {"é"}  # only ASCII letters are folded
+    assert hits(like.starts(F.col("t"), "a_b")) == {"a.b*c", "A.B*C", "axb"}
+    assert hits(like.matches(F.col("t"), "line%BREAK")) == {"line\nbreak"} and hits(like.matches(F.col("t"), "a%b")) == {"axb"}
