@@ -57,15 +57,20 @@ def _crc_table() -> list[int]:
     return found
 
 
+def _crc32(text: str) -> str:
+    """CRC-32 of a string's UTF-8, in SQL."""
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: CAST('0x' || h AS BIGINT))), lambda c, b: xor(c >> 8, {_crc_table()}[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
 def shards(n: int = 8, virtual: int = 64) -> str:
     """The ring, row by row: home while there is room, in ring order; then the others, each to the next node with room."""
     held = ring.nodes(n, virtual)
     ends = ", ".join(f"({i}, {at}, {shard})" for i, (at, shard) in enumerate(held))
     around = [shard for _, shard in held]
-    crc = f"list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda h: CAST('0x' || h AS BIGINT))), lambda c, b: xor(c >> 8, {_crc_table()}[(xor(c, b) & 255) + 1]))"
+    crc = _crc32("t")
     return f"""
 WITH RECURSIVE nodes(i, stands, shard) AS (VALUES {ends}),
-d AS (SELECT doc_id, strlen(t) + 1 AS size, xor({crc}, 4294967295) AS crc, CAST('0x' || substr(md5('ring/' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, {ring.WIDE // 4}) AS BIGINT) AS p FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+d AS (SELECT doc_id, strlen(t) + 1 AS size, {crc} AS crc, CAST('0x' || substr(md5('ring/' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, {ring.WIDE // 4}) AS BIGINT) AS p FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
 c AS (SELECT *, p >> {ring.WIDE - ring.bits(n, virtual)} AS cell FROM d),
 h AS (SELECT c.*, coalesce((SELECT min(i) FROM nodes WHERE stands >= cell), 0) AS home, row_number() OVER (ORDER BY cell, p, doc_id, crc, size) AS r FROM c),
 s AS (SELECT h.*, shard FROM h JOIN nodes ON i = home),
@@ -79,3 +84,19 @@ step(o, used, shard, slot) AS (
     (SELECT over.o, step.used, list_filter(list_concat({around}[over.home + 2 :], {around}[: over.home + 1]), lambda x: step.used[x + 1] < over.room[x + 1])[1] AS target FROM step JOIN over ON over.o = step.o + 1)),
 placed AS (SELECT doc_id, size, crc, shard, k AS slot FROM t WHERE k < most UNION ALL SELECT doc_id, size, crc, step.shard, slot FROM over JOIN step USING (o))
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, CAST(slot AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM placed"""
+
+# Importance resampling ---------------------------------------------------------------------------------------------
+
+#: Buckets of distinct words; gains by bucket, the sums over all documents and all target texts beside them.
+RESAMPLED = rf"""
+WITH texts AS (SELECT 0 AS side, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT 1, -row_number() OVER (), NULL, text FROM benchmark),
+w AS (SELECT side, r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM texts),
+b AS (SELECT word, {_crc32("word")} % 10000 AS bucket FROM (SELECT DISTINCT word FROM w)),
+f AS (SELECT side, r, bucket FROM w JOIN b USING (word)),
+n AS (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM f GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((CAST(t + 1 AS DOUBLE) * (all_s + 10000)) / (CAST(s + 1 AS DOUBLE) * (all_t + 10000)))) AS BIGINT) AS gain FROM n, (SELECT sum(s) AS all_s, sum(t) AS all_t FROM n)),
+m AS (SELECT r, count(*) AS n, sum(gain) AS total FROM f JOIN g USING (bucket) WHERE side = 0 GROUP BY r),
+d AS (SELECT doc_id, coalesce(n, 0) AS n_features, CAST(coalesce(floor(total / n), 0) AS BIGINT) AS weight, CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM texts LEFT JOIN m USING (r) WHERE side = 0),
+p AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM d),
+k AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS eligible FROM p)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * eligible // 100 THEN place END AS rank FROM k"""

@@ -8,7 +8,8 @@ from factloom.llm.queries import ORACLES, QUERIES
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_oracle(spark, sf, name):
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    for t in ("documents", "benchmark", "conversations"):
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     found = QUERIES[name](spark, sf)
     other = con.sql(ORACLES[name])
     names = [d[0] for d in other.description]
