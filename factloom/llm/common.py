@@ -9,11 +9,14 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Rows converted to Python objects at a time, so that a batch of long texts isn't held twice.
 ROWS = 256
+#: A key of more than one in so many rows is a hot one.
+SHARE = 1024
 #: Bytes of an Arrow batch while intermediate results are made: two tasks and their Python workers each hold a few.
 BATCH_BYTES, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20)
 
@@ -128,3 +131,16 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterator[tuple]],
 def pack(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def spread(rows: DataFrame, facts: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+    """rows with the facts of their key, inner or left. weight: a column of facts, how many rows have the key; it goes.
+
+    Rows of a key that more than one in SHARE rows have don't meet in one task: their facts are broadcast, and of such
+    keys there are fewer than SHARE. Both tables are read more than once.
+    """
+    facts = facts.withColumnRenamed(key, "_key")
+    many, same = F.col(weight) > rows.count() // SHARE, F.col(key) == F.col("_key")
+    hot = F.broadcast(facts.filter(many))
+    rest = rows.join(hot.select("_key"), same, "left_anti").join(facts.filter(~many), same, how)
+    return rest.unionByName(rows.join(hot, same)).drop("_key", weight)

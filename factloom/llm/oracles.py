@@ -100,3 +100,45 @@ d AS (SELECT doc_id, coalesce(n, 0) AS n_features, CAST(coalesce(floor(total / n
 p AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM d),
 k AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS eligible FROM p)
 SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * eligible // 100 THEN place END AS rank FROM k"""
+
+
+# Conversations -----------------------------------------------------------------------------------------------------
+
+
+def _after(state: str, cost: str, letter: str, line: str = "''") -> str:
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'o': {state}.o || {line}}}"
+
+
+def _least(*states: str) -> str:
+    return f"list_min([{', '.join(states)}])"
+
+
+def _put(state: str, role: str) -> str:
+    return _after(state, "2", "I", f"chr(10) || '{role}:'")
+
+
+def repairs() -> str:
+    """Turn by turn, the cheapest and least edits (cost, letters, output) that end in each state.
+
+    s0: nothing written, s1 a system's turn last, s2 a user's, s3 an assistant's; p2 and p3 after insertions.
+    """
+    far = "{'c': CAST(1000000000 AS BIGINT), 'a': '', 'o': ''}"
+    keep = lambda state, x: f"CASE WHEN stays AND x = '{x}' THEN {_after(state, 'late', 'K', 'line')} ELSE {far} END"
+    turn = lambda state, role: "CASE WHEN stays THEN " + _after(state, "2 + late", "R", f"chr(10) || '{role}:' || text") + f" ELSE {far} END"
+    gone = lambda state: _after(state, "3", "D")
+    user = ("s0", "s1", "p3")
+    return rf"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS d FROM conversations),
+r AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM c, (SELECT unnest(range(2)) AS k) WHERE d <> 0 AND (k = 0 OR d = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before FROM r),
+w AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM o),
+f AS (SELECT *, left(role, 1) AS x, fault NOT IN ('blank', 'duplicate') AS stays, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS late, chr(10) || role || ':' || text AS line FROM w),
+held(conv, n, s0, s1, s2, s3) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), {far.replace("1000000000", "0")}, {far}, {far}, {far} FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL SELECT conv, n, {gone("s0")}, {_least(gone("s1"), keep("s0", "s"))}, {_least(gone("p2"), *(keep(q, "u") for q in user), *(turn(q, "user") for q in user))}, {_least(gone("p3"), keep("p2", "a"), turn("p2", "assistant"))}
+  FROM (SELECT *, {_least("s3", _put("p2", "assistant"))} AS p3 FROM (SELECT conv, i AS n, s0, s1, s2, s3, text, x, stays, late, line, {_least("s2", *(_put(q, "user") for q in ("s0", "s1", "s3")))} AS p2 FROM held JOIN f ON f.conv_id IS NOT DISTINCT FROM conv AND i = n + 1))),
+done AS (SELECT conv, {_least("s0", "s3", _put("s2", "assistant"), _put(_put("s1", "user"), "assistant"))} AS s FROM held QUALIFY row_number() OVER (PARTITION BY conv ORDER BY n DESC) = 1),
+m AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (before IS NOT NULL AND left(before, 1) || x NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT conv AS conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(s.c AS BIGINT) AS cost, s.a AS audit, sha256(substr(s.o, 2)) AS repaired_sha256
+FROM done LEFT JOIN m ON m.conv_id IS NOT DISTINCT FROM conv"""

@@ -8,12 +8,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat_hmm, cotraining, html_layout, importance_radix, kk_packing, matroska, ngram_jaccard, nn_descent, oracles, ownership_secrets, piece_bpe, ring, simhash_tiles
+from factloom.llm import chat_hmm, cotraining, html_layout, importance_radix, kk_packing, matroska, ngram_jaccard, nn_descent, oracles, ownership_secrets, piece_bpe, ring, simhash_tiles, tight_arcs
 from factloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Where SQL can express a result.
-ORACLES: dict[str, str] = {"op2_ngram_jaccard": oracles.JACCARD, "op3_consistent_ring": oracles.shards(), "op10_ownership_secrets": oracles.SECRETS, "op12_importance_radix": oracles.RESAMPLED}
+ORACLES: dict[str, str] = {"op2_ngram_jaccard": oracles.JACCARD, "op3_consistent_ring": oracles.shards(), "op10_ownership_secrets": oracles.SECRETS, "op11_tight_arcs": oracles.repairs(), "op12_importance_radix": oracles.RESAMPLED}
 
 
 def query(f):
@@ -78,6 +78,11 @@ def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.nearest(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op11_tight_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tight_arcs.digests(tight_arcs.repair(tight_arcs.damage(table(spark, sf_dir, "conversations")), copies="copies"))
+
+
 @query
 def op12_importance_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_radix.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

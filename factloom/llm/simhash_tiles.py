@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import arrow_schema, durable, map_rows, release
+from factloom.llm.common import arrow_schema, durable, map_rows, release, spread
 from factloom.llm.components import connected
 
 SEED, WORDS, RADIUS, BITS = 42, 4, 4, 64
@@ -38,8 +38,6 @@ BLOCK, TILE = 4096, 256
 NUMBER = 22
 #: Hashes whose bits are counted at a time: their counts fit 16 bits.
 AT_ONCE = 4096
-#: A fingerprint or class of more than one in so many rows is a hot one; there are fewer than that.
-SHARE = 1024
 _SMALL = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -164,19 +162,6 @@ def edges(records: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataF
     return units.mapInArrow(compare, "a bigint, b bigint")
 
 
-def spread(rows: DataFrame, facts: DataFrame, key: str, weight: str) -> DataFrame:
-    """rows with the facts of their key. weight: a column of facts, how many rows have the key; it goes.
-
-    Rows of a key that more than one in SHARE rows have don't meet in one task: their facts are broadcast, and of such
-    keys there are fewer than SHARE.
-    """
-    facts = facts.withColumnRenamed(key, "_key")
-    many, same = F.col(weight) > rows.count() // SHARE, F.col(key) == F.col("_key")
-    hot = F.broadcast(facts.filter(many))
-    rest = rows.join(hot.select("_key"), same, "left_anti").join(facts.filter(~many), same)
-    return rest.unionByName(rows.join(hot, same)).drop("_key", weight)
-
-
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
