@@ -46,7 +46,7 @@ def postings(df: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
 
 
 def _project(df: DataFrame) -> list[str]:
-    return ["project"] if "project" in df.columns else []
+    return [c for c in ("project", "_bucket") if c in df.columns]
 
 
 def _placed(offset: int):
@@ -58,9 +58,12 @@ def lengths(df: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
     return df.select(*_project(df), F.col(key).alias("doc_id"), reduce(Column.__add__, (F.size(tokens(F.col(c))) for c in columns)).alias("dl"))
 
 
-def write_index(df: DataFrame, key: str, columns: tuple[str, ...], path: str, partitions: int = 8) -> None:
-    """Stores the index under path: postings ranged and sorted by term and document, and lengths."""
-    postings(df, key, columns).repartitionByRange(partitions, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+def write_index(df: DataFrame, key: str, columns: tuple[str, ...], path: str) -> None:
+    """Stores the index under path: postings in ranges of terms and documents, sorted, and lengths.
+
+    The ranges are as many as the session's shuffle partitions, small ones merged by size.
+    """
+    postings(df, key, columns).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
     lengths(df, key, columns).write.mode("overwrite").parquet(f"{path}/lengths")
 
 

@@ -43,9 +43,12 @@ def schema(table: str) -> StructType:
     return StructType.fromDDL(DDL[table])
 
 
-def conform(df: DataFrame, table: str) -> DataFrame:
-    """df with the table's columns in order; those it lacks are null (schema evolution)."""
-    return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(table)))
+def conform(df: DataFrame, table: str, *more: str) -> DataFrame:
+    """df with the table's columns in order, and more of its own; those it lacks are null (schema evolution)."""
+    there = dict(df.dtypes)
+    kind = {f.name: f.dataType.simpleString() for f in schema(table)}
+    one = lambda c: f"`{c}`" if there.get(c) == kind[c] else f"CAST({f'`{c}`' if c in there else 'NULL'} AS {kind[c]}) AS `{c}`"
+    return df.selectExpr(*map(one, kind), *(f"`{c}`" for c in more))
 
 
 def violations(df: DataFrame, table: str) -> DataFrame:

@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-import json
 import time
-import uuid
+from collections import Counter
 from collections.abc import Iterator
-from contextlib import contextmanager
+from functools import cache
+from threading import Lock
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import cognitive, cyclomatic, line_count, simple_name
-from factloom.operators import changes, fts
+from factloom.operators import changes
 from factloom.operators.joins import resolve_references
-from factloom.schemas import DDL, FILE_COLUMN, conform, schema, stable_id
+from factloom.schemas import DDL, FILE_COLUMN, conform, stable_id
 from factloom.session import stored
+from factloom.sources.store import FILES_A_BUCKET, MOST_BUCKETS, Change, Manifest, Outrun, Store, bucket, bucket_count
 
-SYMBOL = "start_line int, end_line int, kind string, name string, qualified_name string, signature string, return_type string, parent_class string, modifiers int, javadoc string, super_class string, interfaces array<string>, is_data_class boolean, is_object boolean, is_sealed boolean, is_companion boolean, is_trait boolean, is_case_class boolean"
+SYMBOL = "nth int, start_line int, end_line int, kind string, name string, qualified_name string, signature string, return_type string, parent_class string, modifiers int, javadoc string, super_class string, interfaces array<string>, is_data_class boolean, is_object boolean, is_sealed boolean, is_companion boolean, is_trait boolean, is_case_class boolean"
 #: What a parse gives for each table.
 PARSED = {
     "symbols": SYMBOL,
@@ -37,10 +38,6 @@ PARSED = {
 }
 
 
-#: The columns of a table that full-text search covers.
-FULL_TEXT = {"symbols": ("name", "qualified_name", "signature"), "chunks": ("name", "content", "package_name", "class_name")}
-
-
 def parsers() -> dict:
     from factloom.sources import builds, java, jvm, settings, shell
 
@@ -67,7 +64,7 @@ def parse_files(files: DataFrame) -> DataFrame:
                 for project, path, lang, content in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
                     try:
                         facts = by_language[lang](content or "")
-                        row = {t: getattr(facts, t) for t in PARSED} | {"errors": facts.errors}
+                        row = {t: getattr(facts, t) for t in PARSED} | {"symbols": _numbered(facts.symbols), "errors": facts.errors}
                     except Exception as e:  # a file's fault stays its own: the others are indexed
                         row = {"errors": [f"{type(e).__name__}: {e}"]}
                     out.append({"project": project, "file_path": path} | row)
@@ -76,6 +73,17 @@ def parse_files(files: DataFrame) -> DataFrame:
     return files.select("project", "file_path", "lang", "content").mapInArrow(run, ddl)
 
 
+def _numbered(symbols: list[dict]) -> list[dict]:
+    """Symbols of one name and signature are told apart by their order, not by lines, which move with every edit above."""
+    seen: Counter = Counter()
+    found = []
+    for s in symbols:
+        key = s.get("kind"), s.get("qualified_name"), s.get("signature")
+        found.append(s | {"nth": seen[key]})
+        seen[key] += 1
+    return found
+
+
 def _columns(ddl: str) -> list[str]:
     parts, depth, at = [], 0, 0
     for i, c in enumerate(ddl):
@@ -86,188 +94,275 @@ def _columns(ddl: str) -> list[str]:
     return [*parts, ddl[at:].strip()]
 
 
-def facts_of(files: DataFrame, now_ms: int | None = None) -> dict[str, DataFrame]:
-    """The fact tables of the files; names of other files' symbols are left open, see resolve."""
-    parsed = stored(parse_files(files))
-    now_ms = int(time.time() * 1000) if now_ms is None else now_ms
-    each = lambda t: parsed.select("project", "file_path", F.inline(t))
-    symbols = conform(each("symbols").withColumn("id", stable_id("project", "file_path", "kind", "qualified_name", "signature", "start_line")), "symbols")
-    owners = symbols.groupBy("project", "file_path", F.col("qualified_name").alias("owner")).agg(F.min("id").alias("owner_id"))
-    owned = lambda df: df.join(owners, ["project", "file_path", "owner"], "left")
-    tables = {"symbols": symbols}
-    references = each("references").withColumn("id", stable_id("project", "file_path", "from_line", "context"))
-    tables["code_references"] = references.withColumnRenamed("file_path", "from_file")
-    calls = each("calls").withColumnRenamed("file_path", "caller_file")
-    tables["calls"] = calls.withColumn("id", stable_id("project", "caller_file", "caller_line", "caller_method", "callee_method"))
-    by_kind = symbols.groupBy("project", "file_path", F.col("qualified_name").alias("owner"), F.col("kind").alias("owner_kind")).agg(F.min("id").alias("symbol_id"))
-    marks = each("annotations").join(by_kind, ["project", "file_path", "owner", "owner_kind"], "left")
-    tables["annotations"] = marks.withColumn("id", stable_id("project", "file_path", "owner", "name"))
-    for table, source, key in (("api_routes", "routes", ("http_method", "path", "start_line")), ("bean_sources", "bean_sources", ("bean_name", "start_line")), ("config_bindings", "bindings", ("config_key", "field_name", "start_line"))):
-        tables[table] = owned(each(source)).withColumn("symbol_id", F.col("owner_id")).withColumn("id", stable_id("project", "file_path", *key))
-    beans = owned(each("beans")).withColumn("bean_symbol_id", F.col("owner_id"))
-    tables["bean_dependencies"] = beans.withColumn("id", stable_id("project", "file_path", "owner", "depends_on_type", "injection_type", "field_name"))
-    own_class = symbols.filter("kind = 'CLASS'").groupBy("project", "file_path", F.col("name").alias("test_class_name")).agg(F.min("id").alias("test_symbol_id"))
-    tables["test_mappings"] = each("tests").join(own_class, ["project", "file_path", "test_class_name"], "left").withColumn("id", stable_id("project", "file_path", "test_class_name"))
-    chunks = each("chunks")
-    tables["chunks"] = chunks.withColumn("id", stable_id("project", "file_path", "type", "class_name", "name", "start_line"))
-    tables["config_entries"] = each("config").withColumn("id", stable_id("project", "file_path", "key", "line"))
-    tables["dependencies"] = each("dependencies").withColumn("id", stable_id("project", "file_path", "group_id", "artifact_id", "line", "scope"))
-    methods = chunks.filter("type = 'METHOD'").groupBy("project", "file_path", "class_name").agg(
-        F.count(F.lit(1)).alias("method_count"), F.sum(line_count(F.col("content"))).alias("lines_of_code"), F.sum(cyclomatic(F.col("content"))).alias("cyclomatic_complexity"), F.sum(cognitive(F.col("content"))).alias("cognitive_complexity")
-    )
-    fields = symbols.filter("kind = 'FIELD'").groupBy("project", "file_path", F.col("parent_class").alias("class_name")).agg(F.count(F.lit(1)).alias("field_count"))
-    kinds = symbols.filter("kind = 'CLASS'").select("project", "file_path", F.col("name").alias("class_name"), F.col("id").alias("symbol_id"), F.regexp_extract("qualified_name", r"^(.*)\.[^.]+$", 1).alias("package_name"))
-    metrics = kinds.join(methods, ["project", "file_path", "class_name"]).join(fields, ["project", "file_path", "class_name"], "left")
-    tables["code_metrics"] = metrics.withColumns({"field_count": F.coalesce("field_count", F.lit(0)), "complexity_estimate": F.col("cyclomatic_complexity"), "updated_at": F.lit(now_ms), "id": stable_id("project", "file_path", "class_name")})
-    counts = symbols.groupBy("project", "file_path").agg(F.count(F.lit(1)).alias("symbol_count"))
-    tables["file_meta"] = files.select("project", "file_path", "size", "last_modified", "sha1").join(counts, ["project", "file_path"], "left").withColumns({"symbol_count": F.coalesce("symbol_count", F.lit(0)), "last_indexed_at": F.lit(now_ms)})
-    tables["index_metadata"] = files.select("project").distinct().select("project", F.lit("last_indexed_at").alias("key"), F.lit(str(now_ms)).alias("value"), F.lit(now_ms).alias("updated_at"))
-    return {t: conform(df, t) for t, df in tables.items()} | {"modules": each("modules"), "errors": parsed.select("project", "file_path", F.explode("errors").alias("error"))}
-
-
-def resolve(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The tables with every name that refers to a symbol resolved against all symbols of its project.
-
-    References and their targets are looked up anew each time, whichever files changed, so increments and rebuilds
-    agree. A reference that names no symbol keeps a null symbol_id.
+class Facts:
+    """The fact tables of files, made when they are asked for; names of other files' symbols are left open, see resolve.
+
+    counts: rows of each list that a parse gives, and errors.
     """
-    named = tables["symbols"].select("project", "file_path", "id", "kind", "name", "qualified_name", "start_line")
-    tag = lambda c: F.concat_ws("\u0001", "project", c)
-    tagged = named.withColumns({"qualified_name": tag("qualified_name"), "name": tag("name")})
-    references = tables["code_references"].drop("symbol_id").withColumns({"_plain": F.col("ref_name"), "ref_name": tag("ref_name")})
-    references = resolve_references(references, tagged, keep_open=True).withColumn("ref_name", F.col("_plain"))
-    targets = named.groupBy("project", F.col("qualified_name").alias("callee_method")).agg(F.min("file_path").alias("callee_file"))
-    calls = tables["calls"].drop("callee_file").join(targets, ["project", "callee_method"], "left")
-    classes = named.filter("kind = 'CLASS'")
-    local = classes.groupBy("project", "file_path", F.col("name").alias("_name")).agg(F.min("id").alias("_local"))
-    anywhere = classes.groupBy("project", F.col("name").alias("_name")).agg(F.min_by("id", F.struct("qualified_name", "file_path")).alias("_any"))
-    beans = tables["bean_dependencies"].withColumn("_name", simple_name(F.regexp_replace("depends_on_type", "<.*", "")))
-    beans = beans.join(local, ["project", "file_path", "_name"], "left").join(anywhere, ["project", "_name"], "left")
-    beans = beans.withColumns({"depends_on_symbol_id": F.coalesce("_local", "_any"), "same_file": F.col("_local").isNotNull()})
-    sources_ = anywhere.select("project", F.col("_name").alias("source_class_name"), F.col("_any").alias("source_symbol_id"))
-    tests = tables["test_mappings"].drop("source_symbol_id").join(sources_, ["project", "source_class_name"], "left")
-    found = {"code_references": references, "calls": calls, "bean_dependencies": beans, "test_mappings": tests}
-    return tables | {t: conform(df, t) for t, df in found.items()}
 
+    def __init__(self, files: DataFrame, now_ms: int | None = None):
+        self.files, self.parsed = files, stored(parse_files(files))
+        self.now_ms = int(time.time() * 1000) if now_ms is None else now_ms
+        lists = (*PARSED, "errors")
+        row = self.parsed.selectExpr("count(1) AS files", *(f"coalesce(sum(cardinality({t})), 0) AS {t}" for t in lists)).first()
+        self.counts: dict[str, int] = row.asDict()
+
+    #: The list that a table's rows come from.
+    SOURCE = {"code_references": "references", "api_routes": "routes", "bean_dependencies": "beans", "config_bindings": "bindings", "test_mappings": "tests", "config_entries": "config", "code_metrics": "symbols", "file_meta": "files", "index_metadata": "files"}
 
-class Outrun(RuntimeError):
-    """Another writer's snapshot came first."""
+    def some(self, table: str) -> bool:
+        """Whether there may be rows of a table."""
+        return self.counts[self.SOURCE.get(table, table)] > 0
 
+    def table(self, name: str) -> DataFrame:
+        return conform(getattr(self, f"_{name}")(), name)
 
-class Store:
-    """Fact tables as snapshots of Parquet folders; numbered pointer files name them, the highest number the current one.
+    def _each(self, name: str) -> DataFrame:
+        return self.parsed.select("project", "file_path", F.inline(name))
 
-    A snapshot is complete before its pointer appears, so readers see the old or the new state; what is read inside
-    `pinned` is of one snapshot. A pointer is only ever created: of two writers that both build on snapshot N, one gets
-    to write pointer N + 1, and the other is Outrun and builds on that. The full-text index is part of a snapshot.
-    """
+    def _identified(self, df: DataFrame, *key: str) -> DataFrame:
+        return df.withColumn("id", stable_id("project", *key))
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self._pin: list[tuple[int, str | None]] = []
-
-    def _path(self, path: str):
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
-
-    def latest(self) -> tuple[int, str | None]:
-        """Number and name of the current snapshot; 0 and None before the first."""
-        if self._pin:
-            return self._pin[-1]
-        system, where = self._path(f"{self.root}/pointer")
-        names = [f.getPath().getName() for f in system.listStatus(where)] if system.exists(where) else []
-        found = max((n for n in names if n.endswith(".json")), default=None)
-        if found is None:
-            return 0, None
-        stream = system.open(self._path(f"{self.root}/pointer/{found}")[1])
-        text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        stream.close()
-        return int(found[:-5]), json.loads(text)["snapshot"]
-
-    def current(self) -> str | None:
-        return self.latest()[1]
-
-    @contextmanager
-    def pinned(self) -> Iterator[None]:
-        """All reads inside are of the snapshot that is current now."""
-        self._pin.append(self.latest())
-        try:
-            yield
-        finally:
-            self._pin.pop()
+    def _symbols(self) -> DataFrame:
+        return self._identified(self._each("symbols"), "file_path", "kind", "qualified_name", "signature", "nth")
 
-    def table(self, name: str) -> DataFrame:
-        at = self.current()
-        if at is None:
-            return self.spark.createDataFrame([], schema(name))
-        return self.spark.read.schema(schema(name)).parquet(f"{self.root}/{at}/{name}")
-
-    def full_text(self, name: str) -> tuple[DataFrame, DataFrame]:
-        """The index of a table's texts: postings (project, doc_id, term, pos), lengths (project, doc_id, dl)."""
-        at = self.current()
-        kinds = {"postings": "project string, doc_id bigint, term string, pos bigint", "lengths": "project string, doc_id bigint, dl int"}
-        if at is None:
-            return tuple(self.spark.createDataFrame([], k) for k in kinds.values())  # type: ignore[return-value]
-        return tuple(self.spark.read.schema(k).parquet(f"{self.root}/{at}/full_text/{name}/{part}") for part, k in kinds.items())  # type: ignore[return-value]
-
-    def tables(self) -> dict[str, DataFrame]:
-        return {t: self.table(t) for t in DDL}
-
-    def write(self, tables: dict[str, DataFrame], after: int) -> str:
-        """A new snapshot, to follow that of number `after`."""
-        at = f"snapshot-{time.time_ns()}-{uuid.uuid4().hex[:8]}"
-        for name in DDL:
-            conform(tables[name], name).write.parquet(f"{self.root}/{at}/{name}")
-        for name, columns in FULL_TEXT.items():
-            texts = self.spark.read.schema(schema(name)).parquet(f"{self.root}/{at}/{name}")
-            fts.write_index(texts, "id", columns, f"{self.root}/{at}/full_text/{name}")
-        # The pointer gets its name when its content is there; a name that is taken can't be had again.
-        system, where = self._path(f"{self.root}/pointer/{after + 1:012d}.json")
-        system.mkdirs(where.getParent())
-        draft = self._path(f"{self.root}/{at}/pointer")[1]
-        stream = system.create(draft, False)
-        stream.write(bytearray(json.dumps({"snapshot": at}).encode()))
-        stream.close()
-        if system.exists(where) or not system.rename(draft, where):
-            raise Outrun(f"snapshot {after + 1} is another writer's")
-        return at
-
-
-def index(store: Store, files: DataFrame, full_listing: bool = True, now_ms: int | None = None) -> dict[str, int]:
+    def _owned(self, df: DataFrame) -> DataFrame:
+        owners = self._symbols().groupBy("project", "file_path", F.col("qualified_name").alias("owner")).agg(F.min("id").alias("symbol_id"))
+        return df.join(owners, ["project", "file_path", "owner"], "left")
+
+    def _code_references(self) -> DataFrame:
+        return self._identified(self._each("references"), "file_path", "from_line", "context").withColumnRenamed("file_path", "from_file")
+
+    def _calls(self) -> DataFrame:
+        return self._identified(self._each("calls").withColumnRenamed("file_path", "caller_file"), "caller_file", "caller_line", "caller_method", "callee_method")
+
+    def _annotations(self) -> DataFrame:
+        by_kind = self._symbols().groupBy("project", "file_path", F.col("qualified_name").alias("owner"), F.col("kind").alias("owner_kind")).agg(F.min("id").alias("symbol_id"))
+        return self._identified(self._each("annotations").join(by_kind, ["project", "file_path", "owner", "owner_kind"], "left"), "file_path", "owner", "name")
+
+    def _api_routes(self) -> DataFrame:
+        return self._identified(self._owned(self._each("routes")), "file_path", "http_method", "path", "start_line")
+
+    def _bean_sources(self) -> DataFrame:
+        return self._identified(self._owned(self._each("bean_sources")), "file_path", "bean_name", "start_line")
+
+    def _config_bindings(self) -> DataFrame:
+        return self._identified(self._owned(self._each("bindings")), "file_path", "config_key", "field_name", "start_line")
+
+    def _bean_dependencies(self) -> DataFrame:
+        beans = self._owned(self._each("beans")).withColumnRenamed("symbol_id", "bean_symbol_id")
+        return self._identified(beans, "file_path", "owner", "depends_on_type", "injection_type", "field_name")
+
+    def _test_mappings(self) -> DataFrame:
+        own_class = self._symbols().filter("kind = 'CLASS'").groupBy("project", "file_path", F.col("name").alias("test_class_name")).agg(F.min("id").alias("test_symbol_id"))
+        return self._identified(self._each("tests").join(own_class, ["project", "file_path", "test_class_name"], "left"), "file_path", "test_class_name")
+
+    def _chunks(self) -> DataFrame:
+        return self._identified(self._each("chunks"), "file_path", "type", "class_name", "name", "start_line")
+
+    def _config_entries(self) -> DataFrame:
+        return self._identified(self._each("config"), "file_path", "key", "line")
+
+    def _dependencies(self) -> DataFrame:
+        return self._identified(self._each("dependencies"), "file_path", "group_id", "artifact_id", "line", "scope")
+
+    def _code_metrics(self) -> DataFrame:
+        symbols = self._symbols()
+        methods = self._each("chunks").filter("type = 'METHOD'").groupBy("project", "file_path", "class_name").agg(
+            F.count(F.lit(1)).alias("method_count"), F.sum(line_count(F.col("content"))).alias("lines_of_code"), F.sum(cyclomatic(F.col("content"))).alias("cyclomatic_complexity"), F.sum(cognitive(F.col("content"))).alias("cognitive_complexity")
+        )
+        fields = symbols.filter("kind = 'FIELD'").groupBy("project", "file_path", F.col("parent_class").alias("class_name")).agg(F.count(F.lit(1)).alias("field_count"))
+        kinds = symbols.filter("kind = 'CLASS'").select("project", "file_path", F.col("name").alias("class_name"), F.col("id").alias("symbol_id"), F.regexp_extract("qualified_name", r"^(.*)\.[^.]+$", 1).alias("package_name"))
+        metrics = kinds.join(methods, ["project", "file_path", "class_name"]).join(fields, ["project", "file_path", "class_name"], "left")
+        return metrics.withColumns({"field_count": F.coalesce("field_count", F.lit(0)), "complexity_estimate": F.col("cyclomatic_complexity"), "updated_at": F.lit(self.now_ms), "id": stable_id("project", "file_path", "class_name")})
+
+    def _file_meta(self) -> DataFrame:
+        counts = self.parsed.select("project", "file_path", F.coalesce(F.cardinality("symbols"), F.lit(0)).alias("symbol_count"))
+        return self.files.select("project", "file_path", "size", "last_modified", "sha1").join(counts, ["project", "file_path"], "left").withColumns({"symbol_count": F.coalesce("symbol_count", F.lit(0)), "last_indexed_at": F.lit(self.now_ms)})
+
+    def _index_metadata(self) -> DataFrame:
+        return self.files.select("project").distinct().select("project", F.lit("last_indexed_at").alias("key"), F.lit(str(self.now_ms)).alias("value"), F.lit(self.now_ms).alias("updated_at"))
+
+
+#: What resolve finds in a table, and the name that it goes by.
+RESOLVED: dict[str, tuple[tuple[str, ...], Column]] = {}
+
+
+def _resolved() -> dict[str, tuple[tuple[str, ...], Column]]:
+    if not RESOLVED:  # columns need a session
+        RESOLVED.update({
+            "code_references": (("symbol_id",), F.col("ref_name")),
+            "calls": (("callee_file",), F.col("callee_method")),
+            "bean_dependencies": (("depends_on_symbol_id", "same_file"), _bean_type()),
+            "test_mappings": (("source_symbol_id",), F.col("source_class_name")),
+        })
+    return RESOLVED
+
+
+def _bean_type() -> Column:
+    return simple_name(F.regexp_replace("depends_on_type", "<.*", ""))
+
+
+def resolve(table: str, df: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Rows of one of RESOLVED with every name that refers to a symbol resolved against all symbols of its project.
+
+    A reference that names no symbol keeps a null symbol_id. Columns of df that begin with _ stay.
+    """
+    own = [c for c in df.columns if c.startswith("_")]
+    named = symbols.select("project", "file_path", "id", "kind", "name", "qualified_name")
+    classes = named.filter("kind = 'CLASS'")
+    anywhere = classes.groupBy("project", F.col("name").alias("bean")).agg(F.min_by("id", F.struct("qualified_name", "file_path")).alias("any"))
+    if table == "code_references":
+        tag = lambda c: F.concat_ws("\u0001", "project", c)
+        tagged = named.withColumns({"qualified_name": tag("qualified_name"), "name": tag("name")})
+        references = df.drop("symbol_id").withColumns({"plain": F.col("ref_name"), "ref_name": tag("ref_name")})
+        found = resolve_references(references, tagged, keep_open=True).withColumn("ref_name", F.col("plain"))
+    elif table == "calls":
+        targets = named.groupBy("project", F.col("qualified_name").alias("callee_method")).agg(F.min("file_path").alias("callee_file"))
+        found = df.drop("callee_file").join(targets, ["project", "callee_method"], "left")
+    elif table == "bean_dependencies":
+        local = classes.groupBy("project", "file_path", F.col("name").alias("bean")).agg(F.min("id").alias("local"))
+        beans = df.withColumn("bean", _bean_type()).join(local, ["project", "file_path", "bean"], "left").join(anywhere, ["project", "bean"], "left")
+        found = beans.withColumns({"depends_on_symbol_id": F.coalesce("local", "any"), "same_file": F.col("local").isNotNull()})
+    else:
+        sources_ = anywhere.select("project", F.col("bean").alias("source_class_name"), F.col("any").alias("source_symbol_id"))
+        found = df.drop("source_symbol_id").join(sources_, ["project", "source_class_name"], "left")
+    return conform(found, table, *own)
+
+
+def index(store: Store, files: DataFrame, full_listing: bool = True, now_ms: int | None = None, lost: frozenset[int] = frozenset()) -> dict[str, int]:
     """Brings the store up to date with the files: what is new or changed is parsed, what vanished is removed.
 
     files: project, file_path, lang, size, last_modified, sha1, content. full_listing: files that aren't listed are gone.
-    A writer that is outrun by another one starts again from the other's snapshot.
+    lost: buckets that can't be read; their files are parsed again. A writer that is outrun by another one starts again
+    from the other's snapshot. Snapshots that nobody reads any more go.
     """
     while True:
         try:
             with store.pinned():
-                return _index(store, files, full_listing, now_ms)
+                done = _index(store, files, full_listing, now_ms, set(lost))
+            break
         except Outrun:
             continue
+    if done["changed"] or done["deleted"]:
+        store.vacuum()
+    return done
+
+
+def repair(store: Store, files: DataFrame, deep: bool = False, now_ms: int | None = None) -> dict[str, int]:
+    """Parses the files anew whose facts are in damaged parts of the store. files: a listing of all its projects."""
+    with store.pinned():
+        lost = frozenset(store.lost(deep))
+    return index(store, files, True, now_ms, lost) if lost else {"changed": 0, "deleted": 0, "errors": 0}
+
+
+def _index(store: Store, files: DataFrame, full_listing: bool, now_ms: int | None, lost: set[int]) -> dict[str, int]:
+    at = store.manifest()
+    # One pass over the listing: what is new or differs, with its content, and what is gone, without.
+    known = store.rows("file_meta", without=lost).select("project", "file_path", F.col("sha1").alias("_sha1"), F.lit(True).alias("known"))
+    listed = files.withColumn("_listed", F.lit(True))
+    both = listed.join(known, ["project", "file_path"], "full_outer" if full_listing else "left")
+    differs = stored(both.filter(F.col("_listed").isNull() | F.col("known").isNull() | ~F.col("sha1").eqNullSafe(F.col("_sha1"))))
+    gone = F.col("_listed").isNull()
+    stale = differs.select("project", "file_path", gone.alias("gone"), F.coalesce("known", F.lit(False)).alias("known"))
+    placed = _placed(stale, "file_meta", at.buckets).groupBy("gone", "known", "_bucket").agg(F.count(F.lit(1)).alias("n")).collect()  # by bucket
+    n_changed, n_gone, n_known = (sum(r["n"] for r in placed if test(r)) for test in (lambda r: not r["gone"], lambda r: r["gone"], lambda r: r["known"]))
+    if not placed and not lost:
+        return {"changed": 0, "deleted": 0, "errors": 0}
+    new = Facts(differs.filter(~gone).select(*files.columns), now_ms)
+    before = at.files if not lost else store.rows("file_meta", without=lost).count()
+    n_files = before + n_changed - (n_known - n_gone) - n_gone
+    outgrown = n_files > 4 * FILES_A_BUCKET * at.buckets and at.buckets < MOST_BUCKETS
+    if not at.number or outgrown or 2 * (n_changed + n_gone) > n_files:
+        change = _anew(store, at, stale, new, bucket_count(n_files), lost, n_files)
+    else:
+        change = _increment(store, at, stale, {r["_bucket"] for r in placed} | lost, n_known > 0 or bool(lost), new, lost, n_files)
+    store.write(change, at)
+    return {"changed": n_changed, "deleted": n_gone, "errors": new.counts["errors"]}
 
 
-def _index(store: Store, files: DataFrame, full_listing: bool, now_ms: int | None) -> dict[str, int]:
-    old = store.tables()
-    # Contents are kept of what changed only.
-    # A file is known by its project too: paths of several projects may be equal.
-    keyed = lambda df: df.withColumn("file_path", F.concat_ws("\u0001", "project", "file_path"))
-    plain = lambda df: df.withColumn("file_path", F.substring_index("file_path", "\u0001", -1))
-    changed = stored(plain(changes.changed_files(keyed(files), keyed(old["file_meta"]))))
-    gone = plain(changes.vanished_files(keyed(files.select("project", "file_path")), keyed(old["file_meta"]))) if full_listing else old["file_meta"].limit(0)
-    gone = stored(gone.select("project", "file_path"))
-    n_changed, n_gone = changed.count(), gone.count()
-    if not n_changed and not n_gone:
-        return {"changed": 0, "deleted": 0, "errors": 0}
-    stale = stored(changed.select("project", "file_path").unionByName(gone).distinct())
-    left: dict[str, DataFrame] = {}
-    for name, df in old.items():
-        column = FILE_COLUMN[name]
-        keys = stale.select("project", F.col("file_path").alias(column)) if column else None
-        left[name] = df if keys is None else df.join(keys, ["project", column], "left_anti")
-    new = facts_of(changed, now_ms)
-    tables = {name: left[name].unionByName(new[name]) for name in DDL if name != "index_metadata"}
-    tables = resolve(tables | {"symbols": stored(tables["symbols"])})
-    tables["index_metadata"] = changes.upsert(old["index_metadata"], new["index_metadata"], ("project", "key"), "updated_at")
-    store.write(tables, store.latest()[0])
-    return {"changed": n_changed, "deleted": n_gone, "errors": new["errors"].count()}
+def _left(rows: DataFrame, table: str, stale: DataFrame) -> DataFrame:
+    """A table's rows without those of stale files."""
+    named = FILE_COLUMN[table]
+    return rows.join(stale.select("project", F.col("file_path").alias(named)), ["project", named], "left_anti")
+
+
+def _placed(df: DataFrame, table: str, buckets: int) -> DataFrame:
+    return df.withColumn("_bucket", bucket(buckets, table))
+
+
+def _metadata(store: Store, new: Facts) -> DataFrame:
+    return changes.upsert(store.table("index_metadata"), new.table("index_metadata"), ("project", "key"), "updated_at")
+
+
+#: What names are resolved by.
+SYMBOL_NAMES = ("project", "file_path", "id", "kind", "name", "qualified_name")
+
+
+def _anew(store: Store, at: Manifest, stale: DataFrame, new: Facts, buckets: int, lost: set[int], n_files: int) -> Change:
+    """All of every table, in new buckets."""
+    old = lambda t: bool(at.parts.get(t))
+
+    def left(t: str) -> DataFrame:
+        return _left(store.rows(t, without=lost).drop("_bucket"), t, stale).unionByName(new.table(t)) if old(t) else new.table(t)
+
+    symbols = stored(left("symbols").select(*SYMBOL_NAMES)) if old("symbols") else new.table("symbols")
+
+    def whole(t: str) -> tuple[DataFrame, None]:
+        df = _metadata(store, new) if t == "index_metadata" else left(t)
+        return _placed(resolve(t, df, symbols) if t in _resolved() else df, t, buckets), None
+
+    return Change(buckets, n_files, {t: lambda t=t: whole(t) for t in DDL if old(t) or new.some(t)})
+
+
+def _increment(store: Store, at: Manifest, stale: DataFrame, own: set[int], known: bool, new: Facts, lost: set[int], n_files: int) -> Change:
+    """The buckets of the stale files, and those of other files whose names now mean another symbol.
+
+    known: some stale file has rows in the store.
+    """
+    before = store.rows("symbols", only=own, without=lost).select(*SYMBOL_NAMES)
+    all_ = store.rows("symbols", without=lost).select(*SYMBOL_NAMES)
+    fresh = new.table("symbols").select(*SYMBOL_NAMES)
+    symbols = (_left(all_, "symbols", stale) if known else all_).unionByName(fresh)
+    lock = Lock()
+
+    @cache
+    def moved() -> dict[str, set[int]]:
+        if lost:  # what was there before isn't known
+            return _moved(store, at, own, None, symbols)
+        if not known and not new.some("symbols"):
+            return {}
+        # Names whose symbols aren't what they were.
+        gone = before.join(stale.select("project", "file_path"), ["project", "file_path"], "left_semi") if known else before.limit(0)
+        differs = gone.unionByName(fresh).groupBy(*SYMBOL_NAMES).agg(F.count(F.lit(1)).alias("n")).filter("n % 2 = 1")
+        return _moved(store, at, own, differs.select("project", F.explode(F.array("name", "qualified_name")).alias("_name")).distinct(), symbols)
+
+    def written(t: str) -> tuple[DataFrame, set[int]]:
+        touched = set(own) if new.some(t) or (known and at.parts.get(t)) else set()
+        if t in _resolved():
+            with lock:
+                touched |= moved().get(t, set())
+        more = at.absorbed(t, touched) if touched else set()
+        rows = store.rows(t, only=touched, without=lost)
+        rows = (_left(rows, t, stale) if known else rows).unionByName(_placed(new.table(t), t, at.buckets))
+        rows = resolve(t, rows, symbols) if t in _resolved() else rows
+        return rows.unionByName(store.rows(t, only=more)) if more else rows, touched | more
+
+    metadata = {"index_metadata": lambda: (_placed(_metadata(store, new), "index_metadata", at.buckets), None)}
+    return Change(at.buckets, n_files, metadata | {t: lambda t=t: written(t) for t in DDL if t != "index_metadata" and (new.some(t) or at.parts.get(t))})
+
+
+def _moved(store: Store, at: Manifest, own: set[int], names: DataFrame | None, symbols: DataFrame) -> dict[str, set[int]]:
+    """Of each table the buckets, but for `own`, with rows that now resolve otherwise; names: only those of these names."""
+    differs = None
+    for t, (found, name) in _resolved().items():
+        if not at.parts.get(t):
+            continue
+        df = store.rows(t, without=own).withColumn("_old", F.struct(*found))
+        df = df if names is None else df.withColumn("_name", name).join(names, ["project", "_name"], "left_semi")
+        df = resolve(t, df, symbols).filter(~F.struct(*found).eqNullSafe(F.col("_old"))).select(F.lit(t).alias("part"), "_bucket")
+        differs = df if differs is None else differs.unionByName(df)
+    moved: dict[str, set[int]] = {}
+    for r in differs.distinct().collect() if differs is not None else ():  # buckets by table, whatever the rows
+        moved.setdefault(r["part"], set()).add(r["_bucket"])
+    return moved
