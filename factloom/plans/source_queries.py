@@ -9,6 +9,7 @@ from factloom.functions import text as X
 from factloom.operators import changes, graph, joins
 from factloom.plans.registry import query
 from factloom.plans.source_files import files, indexed, oracle
+from factloom.session import scratch
 from factloom.sources import files as listing
 from factloom.sources import ingest
 from factloom.sources.chunks import cut
@@ -314,12 +315,6 @@ def fts_list_all(spark: S, d: str) -> D:
     return indexed(spark, d).full_text("symbols", "*", 30, None).select("qualified_name")
 
 
-@query("fts_stored_postings", oracle("SELECT count(*) AS n FROM symbols"))
-def fts_stored_postings(spark: S, d: str) -> D:
-    _, lengths = indexed(spark, d).store.full_text("symbols")
-    return lengths.agg(F.count(F.lit(1)).alias("n"))
-
-
 # Tools -----------------------------------------------------------------------------------------------------------------
 
 KIND = "CASE kind WHEN 'CLASS' THEN 0 WHEN 'METHOD' THEN 1 WHEN 'FIELD' THEN 2 ELSE 3 END"
@@ -435,8 +430,6 @@ def tumbling_window_counts(spark: S, d: str) -> D:
 
 @query("incremental_index", oracle("SELECT 'first' AS run, (SELECT count(*) FROM sources) AS changed, CAST(0 AS BIGINT) AS deleted UNION ALL SELECT 'second', (SELECT count(*) FROM sources WHERE length(file_path) % 3 = 0 AND length(file_path) % 5 <> 0), (SELECT count(*) FROM sources WHERE length(file_path) % 5 = 0) UNION ALL SELECT 'third', CAST(0 AS BIGINT), CAST(0 AS BIGINT)"))
 def incremental_index(spark: S, d: str) -> D:
-    from factloom.session import scratch
-
     store = ingest.Store(spark, f"{scratch(spark, 'increments')}-{len(_runs)}")
     _runs.append(store.root)
     made = files(spark, d).withColumns({"size": F.length("content").cast("bigint"), "last_modified": F.lit(0).cast("bigint"), "sha1": F.sha1("content")})
@@ -449,6 +442,82 @@ def incremental_index(spark: S, d: str) -> D:
 _runs: list[str] = []
 
 
+# Files that are left after the batch, and how far an edit moves a line.
+LATER = "length({0}file_path) % 7 <> 0"
+SHIFT = "CASE WHEN {0}file_path LIKE '%.java' AND length({0}file_path) % 5 = 1 THEN 1 ELSE 0 END"
+_grown: dict[tuple[str, str], ingest.Store] = {}
+
+
+def grown(spark: S, d: str) -> ingest.Store:
+    """A store of the made files, and after it of a batch: one file in seven is gone, one Java file in five begins with an empty line."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _grown:
+        store = ingest.Store(spark, f"{scratch(spark, 'grown')}-{len(_grown)}")
+        first, later = _versions(spark, d)
+        ingest.index(store, first)
+        ingest.index(store, later)
+        _grown[key] = store
+    return _grown[key]
+
+
+def _versions(spark: S, d: str) -> tuple[D, D]:
+    made = files(spark, d).withColumns({"size": F.length("content").cast("bigint"), "last_modified": F.lit(0).cast("bigint"), "sha1": F.sha1("content")})
+    edited = F.expr(f"repeat('\\n', {SHIFT.format('')})")
+    later = made.filter(LATER.format("")).withColumn("content", F.concat(edited, "content")).withColumn("sha1", F.sha1("content"))
+    return made, later
+
+
+@query("increment_symbols", oracle(f"SELECT project, file_path, kind, qualified_name, start_line + {SHIFT.format('')} AS start_line, end_line + {SHIFT.format('')} AS end_line FROM symbols WHERE {LATER.format('')}"))
+def increment_symbols(spark: S, d: str) -> D:
+    return grown(spark, d).table("symbols").select("project", "file_path", "kind", "qualified_name", F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"))
+
+
+@query("increment_call_files", oracle(f"SELECT c.project, c.file_path AS caller_file, c.caller_line + {SHIFT.format('c.')} AS caller_line, c.callee_method, (SELECT min(s.file_path) FROM symbols s WHERE s.project = c.project AND s.qualified_name = c.callee_method AND {LATER.format('s.')}) AS callee_file FROM calls c WHERE {LATER.format('c.')}"))
+def increment_call_files(spark: S, d: str) -> D:
+    return grown(spark, d).table("calls").select("project", "caller_file", F.col("caller_line").cast("bigint").alias("caller_line"), "callee_method", "callee_file")
+
+
+_WORDS = "regexp_extract_all(lower(coalesce({}, '')), '[\\p{{L}}\\p{{N}}]+')"
+_POSTED = " UNION ALL ".join(f"SELECT project, qualified_name, {n} AS part, unnest({_WORDS.format(c)}) AS term, generate_subscripts({_WORDS.format(c)}, 1) - 1 AS place FROM symbols WHERE {LATER.format('')}" for n, c in enumerate(("name", "qualified_name", "signature")))
+
+
+@query("increment_postings", oracle(f"SELECT project, qualified_name, term, part, place FROM ({_POSTED})"))
+def increment_postings(spark: S, d: str) -> D:
+    """Every posting of the symbols' index after the batch."""
+    store = grown(spark, d)
+    postings, _ = store.full_text("symbols")
+    names = store.table("symbols").select(F.col("id").alias("doc_id"), "qualified_name")
+    return postings.join(names, "doc_id").select("project", "qualified_name", "term", F.expr("cast(shiftright(pos, 40) as int)").alias("part"), F.expr("cast(pos & ((1L << 40) - 1) as bigint)").alias("place"))
+
+
+_COUNTED = ("symbols", "calls", "annotations", "config", "dependencies", "routes", "bean_sources", "bindings", "tests")
+_TABLE_OF = {"config": "config_entries", "routes": "api_routes", "bindings": "config_bindings", "tests": "test_mappings"}
+
+
+@query("increment_equals_rebuild", oracle(" UNION ALL ".join([*(f"SELECT '{_TABLE_OF.get(t, t)}' AS part, count(*) AS n, CAST(0 AS BIGINT) AS differs FROM {t} WHERE {LATER.format('')}" for t in _COUNTED), f"SELECT 'file_meta', count(*), CAST(0 AS BIGINT) FROM sources WHERE {LATER.format('')}", *(f"SELECT '{t}', CAST(-1 AS BIGINT), CAST(0 AS BIGINT)" for t in ("code_references", "chunks", "bean_dependencies", "code_metrics", "symbols lengths", "symbols postings", "chunks lengths", "chunks postings"))])))
+def increment_equals_rebuild(spark: S, d: str) -> D:
+    """Of every table and index how many rows there are after the batch (-1: not counted), and how many differ from a rebuild's."""
+    store, fresh = grown(spark, d), ingest.Store(spark, f"{scratch(spark, 'rebuilt')}-{len(_runs)}")
+    _runs.append(fresh.root)
+    ingest.index(fresh, _versions(spark, d)[1])
+    counted = {_TABLE_OF.get(t, t) for t in _COUNTED} | {"file_meta"}
+    found = None
+    for part in ingest.PARTS:
+        if part == "index_metadata":
+            continue
+        sides = [_digests(s.rows(part).drop("_bucket", "last_indexed_at", "updated_at")).groupBy("h").agg(F.count(F.lit(1)).alias(n)) for s, n in ((store, "a"), (fresh, "b"))]
+        both = sides[0].join(sides[1], "h", "full_outer").fillna(0)
+        n = F.coalesce(F.sum("a"), F.lit(0)) if part in counted else F.lit(-1).cast("bigint")
+        name = part.removeprefix("full_text/").replace("/", " ")
+        row = both.agg(F.lit(name).alias("part"), n.alias("n"), F.coalesce(F.sum(F.abs(F.col("a") - F.col("b"))), F.lit(0)).alias("differs"))
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
+def _digests(df: D) -> D:
+    return df.select(F.xxhash64(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})).alias("h"))
+
+
 @query("module_recursion", "SELECT * FROM (VALUES ('', 0), ('a', 1), ('a/b', 2), ('a/b/c', 3)) t(path, depth)")
 def module_recursion(spark: S, d: str) -> D:
     declared = spark.createDataFrame([("", "a"), ("", "gone"), ("a", "b"), ("a/b", "c"), ("x", "y")], "directory string, module string")

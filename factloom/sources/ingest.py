@@ -17,9 +17,11 @@ from factloom.operators import changes
 from factloom.operators.joins import resolve_references
 from factloom.schemas import DDL, FILE_COLUMN, conform, stable_id
 from factloom.session import stored
-from factloom.sources.store import FILES_A_BUCKET, MOST_BUCKETS, Change, Manifest, Outrun, Store, bucket, bucket_count
+from factloom.sources.store import FILES_A_BUCKET, MOST_BUCKETS, PARTS, Change, Manifest, Outrun, Store, bucket, bucket_count
 
 SYMBOL = "nth int, start_line int, end_line int, kind string, name string, qualified_name string, signature string, return_type string, parent_class string, modifiers int, javadoc string, super_class string, interfaces array<string>, is_data_class boolean, is_object boolean, is_sealed boolean, is_companion boolean, is_trait boolean, is_case_class boolean"
+__all__ = ["PARTS", "Facts", "Outrun", "Store", "index", "parse_files", "repair", "resolve"]
+
 #: What a parse gives for each table.
 PARSED = {
     "symbols": SYMBOL,
