@@ -35,7 +35,8 @@ def discovered(root: str) -> dict[str, str]:
 def watched(index: CodeIndex, config: Config, once: bool = False) -> list:
     """Starts a stream for each project that keeps the index current; pauses and patterns are those of the settings."""
     checkpoints = f"{index.store.root}/watch"
-    return [watch.watch(index.spark, index.store, path, name, f"{checkpoints}/{name}", f"{config.watch_debounce_ms} milliseconds", once, progress=lambda p: print(json.dumps(p), flush=True), config=config) for name, path in index.projects.items()]
+    say = lambda p: print(json.dumps(p), flush=True)
+    return [watch.watch(index.spark, index.store, path, name, f"{checkpoints}/{name}", once=once, progress=say, config=config, pause_ms=config.watch_debounce_ms, interval_ms=1000 * config.watch_interval_s) for name, path in index.projects.items()]
 
 
 def serve(index: CodeIndex, lines, out) -> None:
@@ -67,6 +68,8 @@ def main(arguments: list[str] | None = None) -> int:
         print(path)
         return 0
     index, config = opened(given.root)
+    if given.command in ("index", "serve", "watch"):
+        index.repaired()
     if given.command == "watch":
         for stream in watched(index, config, once=given.argument == "once"):
             stream.awaitTermination()

@@ -217,20 +217,27 @@ class CodeIndex:
         settings = aggregates.as_map(self.table("index_metadata", project).select(F.concat_ws(".", "project", "key").alias("key"), F.col("value").alias("n")), "metadata")
         return counts.crossJoin(aggregates.last_indexed(self.table("file_meta", project), int(time.time() * 1000))).crossJoin(settings)
 
-    def files(self, name: str) -> DataFrame:
-        """The files of a project that the settings let in."""
+    def files(self, name: str, known: DataFrame | None = None) -> DataFrame:
+        """The files of a project that the settings let in; known: file_meta, what hasn't changed since isn't read."""
         c = self.config
-        return sources.scan(self.spark, self.projects[name], name, c.exclude_patterns, c.include_patterns, c.max_file_size_kb)
+        known = known if known is None else known.filter(F.col("project") == name)
+        return sources.scan(self.spark, self.projects[name], name, c.exclude_patterns, c.include_patterns, c.max_file_size_kb, known=known)
 
     def reindex(self, project: str | None = None) -> DataFrame:
         listed = None
         for name in self.projects:
             if project in (None, name):
-                found = self.files(name)
+                found = self.files(name, self.store.table("file_meta") if self.store.manifest().number else None)
                 listed = found if listed is None else listed.unionByName(found)
         done = ingest.index(self.store, listed, full_listing=project is None or len(self.projects) == 1)
         return self.spark.createDataFrame([tuple(done.values())], ", ".join(f"{k} bigint" for k in done))
 
+    def repaired(self, deep: bool = False) -> dict[str, int]:
+        """Looks for damaged files of the store and indexes again what they held."""
+        if not self.store.lost(deep):
+            return {"changed": 0, "deleted": 0, "errors": 0}
+        return ingest.repair(self.store, functools.reduce(DataFrame.unionByName, map(self.files, self.projects)), deep)
+
     def export(self, path: str, project: str | None = None) -> None:
         names = ("symbols", "code_references", "calls", "chunks", "config_entries", "dependencies")
         with self.store.pinned():

@@ -7,14 +7,16 @@ and not from what a parser says of them.
 from __future__ import annotations
 
 import re
-import shutil
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.plans.engine import CodeIndex
 from factloom.session import scratch, table
+from factloom.sources import walk
 
 PROJECT = "CASE WHEN {} % 2 = 0 THEN 'east' ELSE 'west' END AS project"
 #: Rows that templates are filled from.
@@ -298,7 +300,7 @@ def indexed(spark: SparkSession, sf_dir: str) -> CodeIndex:
     """The tools over the made files: written as two projects' folders and indexed once for a session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _indexes:
-        root = scratch(spark, "made-projects")
+        root = f"{scratch(spark, 'made-projects')}-{len(_indexes)}"
         roots = {p: f"{root}/{p}" for p in ("east", "west")}
         made = files(spark, sf_dir).withColumn("path", F.concat_ws("/", "project", "file_path"))
         write(made, root)
@@ -309,9 +311,18 @@ def indexed(spark: SparkSession, sf_dir: str) -> CodeIndex:
 
 
 def write(made: DataFrame, root: str) -> None:
-    """The made files on disk: one small file each, as a project has them."""
-    shutil.rmtree(root, ignore_errors=True)
-    for r in made.select("path", "content").toLocalIterator():
-        path = Path(root.removeprefix("file:"), r["path"])
-        path.parent.mkdir(parents=True, exist_ok=True)
-        path.write_text(r["content"])
+    """The made files (path, content) below a shared folder, written by the tasks that make them; no content: removed."""
+    top = walk.local_path(root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                where = Path(top, path)
+                if content is None:
+                    where.unlink(missing_ok=True)
+                    continue
+                where.parent.mkdir(parents=True, exist_ok=True)
+                where.write_text(content)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    made.select("path", "content").mapInArrow(run, "n bigint").agg(F.sum("n")).collect()

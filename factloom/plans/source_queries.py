@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from factloom.functions import text as X
 from factloom.operators import changes, graph, joins
 from factloom.plans.registry import query
-from factloom.plans.source_files import files, indexed, oracle
-from factloom.session import scratch
+from factloom.plans.source_files import files, indexed, oracle, write
+from factloom.session import scratch, table
 from factloom.sources import files as listing
 from factloom.sources import ingest
 from factloom.sources.chunks import cut
 from factloom.streaming import watch
+from factloom.streaming.events import EVENTS as EVENTS_SCHEMA
+from factloom.streaming.events import FileEventSource, settled
 
 S, D = SparkSession, DataFrame
 
@@ -276,8 +278,6 @@ def callee_rules(spark: S, d: str) -> D:
 
 @query("cut_chunks", "SELECT doc_id, CASE WHEN n > 20 THEN array_to_string(parts[1:19], chr(10)) || chr(10) || '// ... (truncated, total ' || CAST(n AS STRING) || ' lines)' ELSE text END AS content FROM (SELECT doc_id, text, string_split(text, chr(10)) AS parts, len(string_split(text, chr(10))) AS n FROM documents)")
 def cut_chunks(spark: S, d: str) -> D:
-    from factloom.session import table
-
     @F.udf("string")
     def shortened(text: str) -> str:  # what the parsers call, which run in Python
         return cut(text, 20)
@@ -394,7 +394,7 @@ def bean_by_name(spark: S, d: str) -> D:
 
 def events(spark: S, d: str) -> D:
     """Two events of every file, and a deletion of some; the content of one file in three is another one."""
-    made = files(spark, d).filter("project = 'east'").select(F.col("file_path").alias("path"), F.sha1("content").alias("sha1"))
+    made = files(spark, d).select(F.concat_ws("/", "project", "file_path").alias("path"), F.sha1("content").alias("sha1"))
     other = F.when(F.length("path") % 3 == 0, F.sha1(F.concat("path", F.lit("x")))).otherwise(F.col("sha1"))
     first = made.select("path", F.lit("CREATE").alias("op"), F.lit(1).cast("bigint").alias("at"), "sha1")
     second = made.select("path", F.when(F.length("path") % 5 == 0, "DELETE").otherwise("MODIFY").alias("op"), F.lit(2).cast("bigint").alias("at"), other.alias("sha1"))
@@ -402,7 +402,7 @@ def events(spark: S, d: str) -> D:
     return first.unionByName(second).unionByName(noise)
 
 
-EVENTS = "(SELECT file_path AS path, CASE WHEN length(file_path) % 5 = 0 THEN 'DELETE' ELSE 'MODIFY' END AS op, length(file_path) % 3 = 0 AS differs FROM sources WHERE project = 'east')"
+EVENTS = "(SELECT path, CASE WHEN length(path) % 5 = 0 THEN 'DELETE' ELSE 'MODIFY' END AS op, length(path) % 3 = 0 AS differs FROM (SELECT project || '/' || file_path AS path FROM sources))"
 
 
 @query("events_debounced", oracle(f"SELECT path, op FROM {EVENTS} UNION ALL SELECT 'target/x.java', 'CREATE' UNION ALL SELECT 'notes.txt', 'CREATE'"))
@@ -417,14 +417,12 @@ def events_wanted(spark: S, d: str) -> D:
 
 @query("events_confirmed", oracle(f"SELECT path, op FROM {EVENTS} WHERE op = 'DELETE' OR differs"))
 def events_confirmed(spark: S, d: str) -> D:
-    meta = indexed(spark, d).table("file_meta", "east")
+    meta = indexed(spark, d).table("file_meta").withColumn("file_path", F.concat_ws("/", "project", "file_path"))
     return watch.confirmed(watch.wanted(watch.debounced(events(spark, d))), meta).select("path", "op")
 
 
 @query("tumbling_window_counts", "SELECT CAST(epoch_ms(time_bucket(INTERVAL 10 MINUTE, ts)) AS BIGINT) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def tumbling_window_counts(spark: S, d: str) -> D:
-    from factloom.session import table
-
     return watch.tumbling_counts(table(spark, d, "events"), "ts", "10 minutes", "event_type").select(F.unix_millis("window_start").alias("window_start"), "event_type", "n")
 
 
@@ -518,6 +516,60 @@ def _digests(df: D) -> D:
     return df.select(F.xxhash64(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})).alias("h"))
 
 
+# Streams ---------------------------------------------------------------------------------------------------------------
+
+_watched: dict[tuple[str, str], tuple[str, ingest.Store]] = {}
+
+
+def watched(spark: S, d: str) -> tuple[str, ingest.Store]:
+    """The made files on disk, watched twice: as they are first and after the batch. The second batch's events, and the store."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _watched:
+        root = f"{scratch(spark, 'watched')}-{len(_watched)}"
+        store = ingest.Store(spark, f"{root}/store")
+        path = F.concat_ws("/", "project", "file_path").alias("path")
+        first, later = _versions(spark, d)
+        gone = first.filter(f"not ({LATER.format('')})").select(path, F.lit(None).cast("string").alias("content"))
+        edited = later.filter(f"{SHIFT.format('')} = 1").select(path, "content")
+        spark.dataSource.register(FileEventSource)
+        for made in (first.select(path, "content"), edited.unionByName(gone)):
+            write(made, f"{root}/files")
+            watch.watch(spark, store, f"{root}/files", "both", f"{root}/checkpoint", once=True).awaitTermination()
+            events = spark.readStream.format("file_events").option("path", f"{root}/files").option("state", f"{root}/listings").load()
+            events.writeStream.format("parquet").option("path", f"{root}/events").option("checkpointLocation", f"{root}/kept").trigger(availableNow=True).start().awaitTermination()
+        _watched[key] = f"{root}/events", store
+    return _watched[key]
+
+
+@query("watched_events", oracle(f"SELECT project || '/' || file_path AS path, CASE WHEN {LATER.format('')} THEN 'MODIFY' ELSE 'DELETE' END AS op, CASE WHEN {LATER.format('')} THEN sha1(chr(10) || content) END AS sha1 FROM sources WHERE NOT {LATER.format('')} OR {SHIFT.format('')} = 1"))
+def watched_events(spark: S, d: str) -> D:
+    events = spark.read.schema(EVENTS_SCHEMA).parquet(watched(spark, d)[0])
+    return events.join(events.agg(F.max("at").alias("at")), "at").select("path", "op", "sha1")
+
+
+@query("watched_symbols", oracle(f"SELECT project || '/' || file_path AS file_path, kind, qualified_name, start_line + {SHIFT.format('')} AS start_line FROM symbols WHERE {LATER.format('')}"))
+def watched_symbols(spark: S, d: str) -> D:
+    return watched(spark, d)[1].table("symbols").select("file_path", "kind", "qualified_name", F.col("start_line").cast("bigint").alias("start_line"))
+
+
+@query("events_settled", "SELECT path, at FROM (SELECT *, lead(at) OVER (PARTITION BY path ORDER BY at) AS later FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS path, CAST(epoch_us(ts) // 1000 AS BIGINT) AS at FROM events)) WHERE later IS NULL OR later - at > 600000")
+def events_settled(spark: S, d: str) -> D:
+    """The events table as a stream of four batches in time, a pause of ten minutes, and one event at the end that lets all others go."""
+    root = f"{scratch(spark, 'settled')}-{len(_runs)}"
+    _runs.append(root)
+    events = table(spark, d, "events").select(F.col("user_id").cast("string").alias("path"), F.lit("MODIFY").alias("op"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.lit("").alias("sha1"))
+    ends = events.agg(F.min("at").alias("low"), F.max("at").alias("high")).first()
+    step = (ends["high"] - ends["low"]) // 4 + 1
+    for n in range(4):
+        part = events.filter(F.floor((F.col("at") - ends["low"]) / step) == n)
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    spark.createDataFrame([("", "END", ends["high"] + 10**9, "")], events.schema).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    kept = settled(stream, 600_000, "1 second").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
+    kept.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("path string, op string, at bigint, sha1 string").parquet(f"{root}/out").filter("op <> 'END'").select("path", "at")
+
+
 @query("module_recursion", "SELECT * FROM (VALUES ('', 0), ('a', 1), ('a/b', 2), ('a/b/c', 3)) t(path, depth)")
 def module_recursion(spark: S, d: str) -> D:
     declared = spark.createDataFrame([("", "a"), ("", "gone"), ("a", "b"), ("a/b", "c"), ("x", "y")], "directory string, module string")
@@ -527,8 +579,6 @@ def module_recursion(spark: S, d: str) -> D:
 
 @query("highlight_spans", "SELECT doc_id, list_transform(range(1, len(gaps)), lambda i: list_sum(list_transform(gaps[:i], lambda g: length(g))) + (i - 1) * 5) AS starts FROM (SELECT doc_id, string_split(lower(text), 'token') AS gaps FROM documents WHERE lower(text) LIKE '%token%')")
 def highlight_spans(spark: S, d: str) -> D:
-    from factloom.session import table
-
     found = table(spark, d, "documents").withColumn("h", X.highlights(F.col("text"), "Token")).filter(F.size("h") > 0)
     return found.select("doc_id", F.transform("h", lambda x: x["start"].cast("bigint")).alias("starts"))
 

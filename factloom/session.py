@@ -41,9 +41,11 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A folder in the shared folder (a temporary one where none is configured), one for each session and name."""
+    """A folder in the shared folder (a temporary one where none is configured and the session is local), one for each session and name."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if (spark.sparkContext.master or "").split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         shared = tempfile.gettempdir()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.text import normal_path
+from factloom.sources import walk
 
 # Suffixes by language. Build files come first, so that build.gradle.kts isn't Kotlin.
 SUFFIXES = (
@@ -19,7 +20,7 @@ SUFFIXES = (
     ("properties", (".properties",)),
     ("env", (".env",)),
 )
-EXCLUDED = ("**/.git/**", "**/target/**", "**/build/**", "**/node_modules/**", "**/.idea/**", "**/.gradle/**")
+EXCLUDED = ("**/.git/**", "**/.factloom/**", "**/target/**", "**/build/**", "**/node_modules/**", "**/.idea/**", "**/.gradle/**")
 
 
 def kind(path: Column) -> Column:
@@ -58,21 +59,26 @@ def any_glob(path: Column, globs) -> Column:
     return found
 
 
-def scan(spark: SparkSession, root: str, project: str = "default", exclude: tuple[str, ...] = EXCLUDED, include: tuple[str, ...] = (), max_file_kb: int = 1024, only: list[str] | None = None) -> DataFrame:
+#: A file that changed so shortly before it was indexed may have changed again within the clock's steps: it is read.
+RACE_MS = 2000
+
+
+def scan(spark: SparkSession, root: str, project: str = "default", exclude: tuple[str, ...] = EXCLUDED, include: tuple[str, ...] = (), max_file_kb: int = 1024, only: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """project, file_path (relative), lang, size, last_modified (ms), sha1, content of the files that have a parser.
 
-    Size and name are filtered before contents are read. only: just these of the folder's paths, if they are there.
+    Excluded folders aren't listed, and size and name are filtered before contents are read. only: just these of the
+    folder's paths (file_path), if they are there. known: the project's file_meta; a file whose size and time of change
+    it has isn't read: it comes with the digest that is known and without content.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True)
-    if only is None:
-        found = reader.load(root)
-    else:
-        paths = [spark._jvm.org.apache.hadoop.fs.Path(root, p) for p in only]
-        there = [str(p.toString()) for p in paths if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)]
-        found = reader.load(there) if there else reader.load(root).limit(0)
-    relative = F.regexp_replace(F.regexp_replace(normal_path(F.col("path")), r"^[a-z]+:/*", "/"), "^" + re.escape("/" + root.split(":")[-1].strip("/")) + "/?", "")
-    kept = found.filter(F.col("length") <= max_file_kb * 1024).withColumn("file_path", relative)
-    kept = kept.withColumn("lang", kind(F.col("file_path"))).filter(F.col("lang").isNotNull() & ~any_glob(F.col("file_path"), exclude))
+    listed = walk.listing(spark, root, exclude) if only is None else walk.stat(only, root)
+    kept = listed.filter((F.col("size") <= max_file_kb * 1024) & kind(F.col("file_path")).isNotNull() & ~any_glob(F.col("file_path"), exclude))
     if include:
         kept = kept.filter(any_glob(F.col("file_path"), include))
-    return kept.select(F.lit(project).alias("project"), "file_path", "lang", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("last_modified"), F.sha1("content").alias("sha1"), F.decode("content", "UTF-8").alias("content"))
+    if known is None:
+        kept = kept.withColumn("sha1", F.lit(None).cast("string"))
+    else:
+        was = known.select("file_path", F.col("size").alias("_size"), F.col("last_modified").alias("_at"), F.col("sha1").alias("_sha1"), (F.col("last_modified") < F.col("last_indexed_at") - RACE_MS).alias("_settled"))
+        same = (F.col("size") == F.col("_size")) & (F.col("last_modified") == F.col("_at")) & F.col("_settled")
+        kept = kept.join(was, "file_path", "left").withColumn("sha1", F.when(same, F.col("_sha1")))
+    found = walk.contents(kept, root)
+    return found.select(F.lit(project).alias("project"), "file_path", kind(F.col("file_path")).alias("lang"), "size", "last_modified", "sha1", "content")

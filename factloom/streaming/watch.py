@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
-import os
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
-from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from factloom.config import FILES, Config, load
@@ -19,72 +15,7 @@ from factloom.session import stored
 from factloom.sources import files as sources
 from factloom.sources import ingest
 from factloom.sources.ingest import Store
-
-#: Without a session: the source's worker asks for it too.
-EVENTS = StructType().add("path", "string").add("op", "string").add("at", "long").add("sha1", "string")
-
-
-class FileEvents(SimpleDataSourceStreamReader):
-    """CREATE, MODIFY and DELETE of files below a folder since the last offset, by comparing listings.
-
-    An offset is a listing's state (path to size, time): what changed while nobody watched is seen on restart.
-    """
-
-    def __init__(self, root: str):
-        self.root = root
-
-    def initialOffset(self) -> dict:
-        return {"seen": "{}"}
-
-    def listing(self) -> dict[str, list[int]]:
-        found = {}
-        for folder, _, names in os.walk(self.root):
-            for name in names:
-                path = os.path.join(folder, name)
-                try:
-                    s = os.stat(path)
-                except OSError:
-                    continue  # gone meanwhile
-                found[os.path.relpath(path, self.root).replace(os.sep, "/")] = [s.st_size, s.st_mtime_ns]
-        return found
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        before, now = json.loads(start["seen"]), self.listing()
-        rows = [(p, "CREATE" if p not in before else "MODIFY") for p, s in now.items() if before.get(p) != s]
-        rows += [(p, "DELETE") for p in before if p not in now]
-        at = int(time.time() * 1000)
-        return iter([(p, op, at, self.sha1(p) if op != "DELETE" else None) for p, op in sorted(rows)]), {"seen": json.dumps(now, sort_keys=True)}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        before, now = json.loads(start["seen"]), json.loads(end["seen"])
-        rows = [(p, "CREATE" if p not in before else "MODIFY") for p, s in now.items() if before.get(p) != s]
-        rows += [(p, "DELETE") for p in before if p not in now]
-        return iter([(p, op, 0, self.sha1(p) if op != "DELETE" else None) for p, op in sorted(rows)])
-
-    def sha1(self, path: str) -> str | None:
-        try:
-            with open(os.path.join(self.root, path), "rb") as f:
-                return hashlib.file_digest(f, "sha1").hexdigest()
-        except OSError:
-            return None
-
-    def commit(self, end: dict) -> None:
-        pass
-
-
-class FileEventSource(DataSource):
-    """spark.readStream.format("file_events").option("path", folder)"""
-
-    @classmethod
-    def name(cls) -> str:
-        return "file_events"
-
-    def schema(self) -> StructType:
-        return EVENTS
-
-    def simpleStreamReader(self, schema: StructType) -> FileEvents:
-        return FileEvents(self.options["path"])
-
+from factloom.streaming.events import FileEventSource, settled
 
 def debounced(events: DataFrame) -> DataFrame:
     """The last event of each path in a batch."""
@@ -114,8 +45,7 @@ def apply_batch(store: Store, root: str, project: str, events: DataFrame, config
     # The listing after the batch: what is indexed and untouched keeps its hash, so only the batch's files are parsed.
     paths = real.filter("op <> 'DELETE'").select(F.col("path").alias("file_path"))
     gone = real.filter("op = 'DELETE'").select(F.col("path").alias("file_path"))
-    only = [r["file_path"] for r in paths.collect()]  # of one batch of events
-    touched = sources.scan(store.spark, root, project, config.exclude_patterns, config.include_patterns, config.max_file_size_kb, only)
+    touched = sources.scan(store.spark, root, project, config.exclude_patterns, config.include_patterns, config.max_file_size_kb, paths)
     others = store.table("file_meta").join(paths.unionByName(gone).withColumn("project", F.lit(project)), ["project", "file_path"], "left_anti")
     kept = others.select("project", "file_path", sources.kind(F.col("file_path")).alias("lang"), "size", "last_modified", "sha1", F.lit(None).cast("string").alias("content"))
     return ingest.index(store, kept.unionByName(touched.select(*kept.columns)), full_listing=True)
@@ -127,24 +57,39 @@ OVERFLOW = 10_000
 
 def rescan(store: Store, root: str, project: str, config: Config) -> dict[str, int]:
     """Brings the whole project up to date; other projects stay as they are."""
-    listed = sources.scan(store.spark, root, project, config.exclude_patterns, config.include_patterns, config.max_file_size_kb)
+    known = store.table("file_meta").filter(F.col("project") == project)
+    listed = sources.scan(store.spark, root, project, config.exclude_patterns, config.include_patterns, config.max_file_size_kb, known=known)
     others = store.table("file_meta").filter(F.col("project") != project)
     kept = others.select("project", "file_path", sources.kind(F.col("file_path")).alias("lang"), "size", "last_modified", "sha1", F.lit(None).cast("string").alias("content"))
     return ingest.index(store, kept.unionByName(listed.select(*kept.columns)), full_listing=True)
 
 
-def watch(spark: SparkSession, store: Store, root: str, project: str, checkpoint: str, every: str = "500 milliseconds", once: bool = False, progress: Callable[[dict], None] | None = None, config: Config | None = None):
-    """Starts the stream that keeps a project's index current; once: only what has changed by now."""
+def watch(
+    spark: SparkSession, store: Store, root: str, project: str, checkpoint: str, every: str = "500 milliseconds", once: bool = False, progress: Callable[[dict], None] | None = None, config: Config | None = None, pause_ms: int = 0, interval_ms: int = 0
+):
+    """Starts the stream that keeps a project's index current; once: only what has changed by now.
+
+    pause_ms: an event counts when its path has been quiet for so long, whichever batches its edits fall into (not with
+    once). interval_ms: the least time between two listings. checkpoint: a folder that driver and executors share; the
+    listings are below it.
+    """
     spark.dataSource.register(FileEventSource)
-    events = spark.readStream.format("file_events").option("path", root).load()
+    exclude = json.dumps((config or Config()).exclude_patterns)
+    source = spark.readStream.format("file_events").option("path", root).option("state", f"{checkpoint}-listings").option("exclude", exclude)
+    events = source.option("parts", spark.sparkContext.defaultParallelism).option("interval_ms", interval_ms).load()
+    events = settled(events, pause_ms, clock=True) if pause_ms and not once else events
 
     def batch(df: DataFrame, number: int) -> None:
         nonlocal config
         began = time.time()
+        df = stored(df)
+        n = df.count()
+        if not n:
+            return
         settings = df.filter(F.col("path").isin(*FILES)).count()
         if settings:  # what counts as a file may be another now
             config = load(root)
-        whole = settings or df.limit(OVERFLOW + 1).count() > OVERFLOW
+        whole = settings or n > OVERFLOW
         if progress:
             progress({"batch": number, "stage": "rescan" if whole else "changes"})
         done = rescan(store, root, project, config or Config()) if whole else apply_batch(store, root, project, df, config)

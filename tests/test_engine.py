@@ -1,5 +1,7 @@
 """Ingest, incremental updates, all tools and the stream over one small project."""
 
+import time
+
 import pytest
 from factloom.plans.engine import TOOLS, CodeIndex, rpc
 from factloom.schemas import DDL, violations
@@ -76,16 +78,20 @@ def test_incremental_and_stream(project, spark, tmp_path):
         assert rows[0] == rows[1], t
     done = []
     (root / "New.java").write_text("class Brand { void a() {} }")
-    query = watch.watch(spark, index.store, str(root), "shop", str(tmp_path / "checkpoint"), progress=done.append)
-    query.processAllAvailable()
-    assert done[1]["changed"] == 1 and index.table("symbols").filter("name = 'Brand'").count() == 1
+    query = watch.watch(spark, index.store, str(root), "shop", str(tmp_path / "checkpoint"), progress=done.append, pause_ms=200, interval_ms=300)
+    brand = lambda: index.table("symbols").filter("name = 'Brand'").count()
+    assert until(lambda: brand() == 1) and done[1]["changed"] == 1
     (root / "New.java").unlink()
-    for _ in range(20):
-        query.processAllAvailable()
-        if index.table("symbols").filter("name = 'Brand'").isEmpty():
-            break
+    assert until(lambda: brand() == 0)
     query.stop()
-    assert index.table("symbols").filter("name = 'Brand'").isEmpty()
+    assert query.exception() is None
+
+
+def until(test, seconds=90):
+    end = time.time() + seconds
+    while time.time() < end and not test():
+        time.sleep(0.5)
+    return test()
 
 
 def test_windows_as_stream_and_table(spark, sf, tmp_path):
