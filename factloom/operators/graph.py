@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import count
+from collections.abc import Iterator
+from itertools import count, cycle, islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +13,10 @@ from factloom.functions.limits import first
 from factloom.functions.like import contains
 from factloom.session import stored
 
-#: Edges up to this number are split into strongly connected components on the driver, more of them by joins.
-FEW = 100_000
+#: Steps that a search takes one by one, before its strides double.
+SINGLE_STEPS = 4
+#: Times that nodes without a way in or out are cut off before labels spread, which cut off the rest.
+TRIMS = 3
 
 
 def parent_edges(symbols: DataFrame) -> DataFrame:
@@ -25,18 +29,29 @@ def parent_edges(symbols: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
     """node, depth: what the edges (source, target) reach from the starts (node), at its least depth; starts at 0.
 
-    Breadth first: each step joins the last frontier with the edges and drops what was reached before, so cycles end, and
-    so does the search, at any depth; max_depth: steps at most.
+    Each round joins the last frontier with the edges and drops what was reached before, so cycles end, and so does the
+    search, at any depth. After a few rounds of one step the edges are joined with themselves each time, so that strides
+    double: a path of a thousand steps takes some dozen rounds. max_depth: steps at most.
     """
     frontier = stored(starts.select("node").distinct().withColumn("depth", F.lit(0)))
-    seen = frontier
-    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
-        ahead = frontier.join(edges, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct()
-        frontier = stored(ahead.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+    seen, done, stride = frontier, 0, 1
+    jumps = edges.select("source", "target", F.lit(1).alias("steps"))
+    for turn in count(1):
+        if max_depth is not None and done >= max_depth:
+            break
+        if turn > SINGLE_STEPS:
+            twice = jumps.join(jumps.select(F.col("source").alias("target"), F.col("target").alias("_end"), F.col("steps").alias("_more")), "target").select("source", F.col("_end").alias("target"), (F.col("steps") + F.col("_more")).alias("steps"))
+            jumps = stored(jumps.unionByName(twice).filter("source <> target").groupBy("source", "target").agg(F.min("steps").alias("steps")))
+            stride *= 2
+        # On a shortest way on there is a node of the last depth, and from it one jump.
+        ends = frontier.filter(F.col("depth") == done)
+        ahead = ends.join(jumps, F.col("node") == F.col("source")).groupBy(F.col("target").alias("node")).agg((F.min("steps") + done).alias("depth"))
+        frontier = stored(ahead.join(seen.select("node"), "node", "left_anti"))
         if frontier.isEmpty():
             break
         seen = stored(seen.unionByName(frontier))
-    return seen
+        done += stride
+    return seen if max_depth is None else seen.filter(F.col("depth") <= max_depth)
 
 
 def hierarchy_up(symbols: DataFrame, name: str, limit: int | None = 50) -> DataFrame:
@@ -59,92 +74,133 @@ def hierarchy_down(symbols: DataFrame, name: str, limit: int | None = 50, recurs
 
 
 def _least(edges: DataFrame, source: str, target: str) -> DataFrame:
-    """node, least: the least node from which each node of the edges is reached, itself included."""
+    """node, least: the least node from which each node of the edges is reached, itself included.
+
+    Labels spread along the edges, and each round a node also takes its label's own label, which reaches it too. Where
+    names are in random order the way that a label has come grows by a factor each round, so rounds grow with the
+    logarithm of the longest.
+    """
     now = stored(edges.select(F.explode(F.array(source, target)).alias("node")).distinct().withColumn("least", F.col("node")))
     while True:
         own = now.withColumn("before", F.col("least"))
         offers = edges.join(now, F.col(source) == F.col("node")).select(F.col(target).alias("node"), "least")
-        after = stored(own.unionByName(offers, allowMissingColumns=True).groupBy("node").agg(F.min("least").alias("least"), F.min("before").alias("before")))
+        spread = own.unionByName(offers, allowMissingColumns=True).groupBy("node").agg(F.min("least").alias("least"), F.min("before").alias("before"))
+        of_label = spread.select(F.col("node").alias("least"), F.col("least").alias("further"))
+        after = stored(spread.join(of_label, "least").select("node", F.least("least", "further").alias("least"), "before"))
         now = after.select("node", "least")
         if after.filter("least < before").isEmpty():
             return now
 
 
-def _parts(edges: list[tuple[str, str]]) -> dict[str, int]:
-    """The strongly connected component of every node: two searches, the second one backwards."""
-    ahead: dict[str, list[str]] = {}
-    back: dict[str, list[str]] = {}
-    for a, b in edges:
-        ahead.setdefault(a, []).append(b)
-        ahead.setdefault(b, [])
-        back.setdefault(b, []).append(a)
-    done: list[str] = []
-    seen: set[str] = set()
-    for start in ahead:
-        if start in seen:
-            continue
-        seen.add(start)
-        open_nodes = [(start, iter(ahead[start]))]
-        while open_nodes:
-            node, rest = open_nodes[-1]
-            if (after := next((x for x in rest if x not in seen), None)) is None:
-                done.append(node)
-                open_nodes.pop()
-            else:
-                seen.add(after)
-                open_nodes.append((after, iter(ahead[after])))
-    part: dict[str, int] = {}
-    for n, start in enumerate(reversed(done)):
-        reached = [start] if start not in part else []
-        while reached:
-            if (node := reached.pop()) not in part:
-                part[node] = n
-                reached.extend(x for x in back.get(node, ()) if x not in part)
-    return part
-
-
 def on_cycles(edges: DataFrame) -> DataFrame:
-    """The distinct edges (source, target) that are part of some cycle: those inside strongly connected components.
+    """The distinct edges (source, target) that are part of some cycle, and `part`, a node that names their strongly connected component.
 
-    The ends of such an edge have the same least node before them, and the same least node behind them; edges whose
-    ends differ go, until none does. Then one node of each part that is left reaches all of it and is reached by all.
+    Nodes that nothing leads to or from are cut off a few times. The ends of an edge of a cycle have the same least node
+    before them, and the same least node behind them; edges whose ends differ go, until none does. Then one node of each
+    part that is left reaches all of it and is reached by all.
     """
     now = stored(edges.select("source", "target").filter("source is not null and target is not null").distinct())
-    before, left = -1, now.count()
-    if left <= FEW:
-        found = [tuple(r) for r in now.collect()]
-        part = _parts(found)
-        return edges.sparkSession.createDataFrame([e for e in found if part[e[0]] == part[e[1]]], now.schema).coalesce(1)
-    while left and left != before:
-        for back, ahead in (("source", "target"), ("target", "source")):
-            least = _least(now, back, ahead)
-            ends = (least.select(F.col("node").alias(c), F.col("least").alias(f"_{c}")) for c in ("source", "target"))
-            now = stored(now.join(next(ends), "source").join(next(ends), "target").filter("_source = _target").select("source", "target"))
+    for _ in range(TRIMS):
+        ends = now.select(F.col("source").alias("target")).distinct(), now.select(F.col("target").alias("source")).distinct()
+        now = stored(now.join(ends[0], "target", "left_semi").join(ends[1], "source", "left_semi").select("source", "target"))
+    # Nodes in random order: a hash goes before each.
+    named = lambda c: F.concat(F.lpad(F.hex(F.xxhash64(c)), 16, "0"), F.col(c))
+    now = stored(now.select(named("source").alias("source"), named("target").alias("target"), F.lit("").alias("part")))
+    left, quiet, directions = now.count(), 0, cycle((("source", "target"), ("target", "source")))
+    while left and quiet < 2:  # neither direction parts any ends
+        least = _least(now, *next(directions))
+        ends = (least.select(F.col("node").alias(c), F.col("least").alias(f"_{c}")) for c in ("source", "target"))
+        now = stored(now.join(next(ends), "source").join(next(ends), "target").filter("_source = _target").select("source", "target", F.col("_source").alias("part")))
         before, left = left, now.count()
-    return now
+        quiet = quiet + 1 if left == before else 0
+    return now.select(*(F.substring(c, 17, 1 << 30).alias(c) for c in now.columns))
+
+
+def circuits(ahead: dict[str, list[str]], start: str, least: bool, max_length: int | None = None) -> Iterator[list[str]]:
+    """Simple cycles through a node of a strongly connected part, each from it and back; least: over greater nodes only.
+
+    A node from which the start can't be reached without the path's nodes is blocked until one of these is left, so
+    between two cycles at most each edge is followed once. With a bound of the length, nodes too far from the start
+    aren't entered instead.
+    """
+    inside = {v for v in ahead if v >= start} if least else set(ahead)
+    near: dict[str, list[str]] = {v: [w for w in ahead[v] if w in inside] for v in inside}
+    back: dict[str, list[str]] = {v: [] for v in inside}
+    for v, targets in near.items():
+        for w in targets:
+            back[w].append(v)
+    far, level = {start: 0}, [start]
+    while level:  # steps to the start
+        level = [far.setdefault(v, far[w] + 1) and v for w in level for v in back[w] if v not in far]
+    near = {v: [w for w in near[v] if w in far] for v in far}
+    path, on_path = [start], {start}
+    blocked: set[str] = {start}
+    waiting: dict[str, set[str]] = {}
+    closed: set[str] = set()
+    todo = [iter(near[start])]
+    while todo:
+        v = path[-1]
+        w = next(todo[-1], None)
+        if w == start and (max_length is None or len(path) <= max_length):
+            yield [*path, start]
+            closed.update(path)
+        elif w is not None:
+            if w not in on_path and (w not in blocked if max_length is None else len(path) + far[w] <= max_length):
+                path.append(w)
+                on_path.add(w)
+                blocked.add(w)
+                closed.discard(w)
+                todo.append(iter(near[w]))
+        else:
+            todo.pop()
+            path.pop()
+            on_path.discard(v)
+            if v in closed:
+                free = [v]
+                while free:
+                    if (x := free.pop()) in blocked:
+                        blocked.discard(x)
+                        free.extend(waiting.pop(x, ()))
+            else:
+                for x in near[v]:
+                    waiting.setdefault(x, set()).add(v)
 
 
 def cycles(edges: DataFrame, max_length: int | None = None, through: str | None = None) -> DataFrame:
     """path: every simple cycle of the edges (source, target), once, from its least node; max_length: of at most so many steps.
 
-    Paths only grow over nodes greater than their start, which keeps one rotation of each cycle and prunes the rest, and
-    over edges that are part of some cycle. They grow until none is open.
+    Each strongly connected component's edges are gathered, since its cycles can't be told without them; its nodes are
+    dealt out in as many chunks as there are shuffle partitions at most, each with these edges, and a task lists the
+    cycles whose least node is one of its own. through: only those of a node, which its component alone is searched for.
     """
     steps = on_cycles(edges)
-    paths = stored(steps.filter("target >= source").select(F.col("source").alias("start"), F.col("target").alias("at"), F.array("source", "target").alias("path")))
-    found = paths.filter("at = start").select("path")
-    length = 1
-    while length != max_length:
-        grown = paths.filter("at <> start").join(steps, F.col("at") == F.col("source"))
-        fresh = (F.col("target") == F.col("start")) | ((F.col("target") > F.col("start")) & ~F.array_contains("path", F.col("target")))
-        paths = stored(grown.filter(fresh).select("start", F.col("target").alias("at"), F.concat("path", F.array("target")).alias("path")))
-        if paths.isEmpty():
-            break
-        found = found.unionByName(paths.filter("at = start").select("path"))
-        length += 1
     if through is not None:
-        found = found.filter(F.array_contains("path", through))
-    return found.orderBy(F.size("path"), F.concat_ws(">", "path"))
+        steps = steps.join(steps.filter(F.col("source") == through).select("part").distinct(), "part", "left_semi")
+    ahead = steps.groupBy("part", "source").agg(F.sort_array(F.collect_list("target")).alias("targets"))
+    parts = ahead.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("source", "targets"))).alias("edges"))
+    chunks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = parts.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.least(F.size("edges"), F.lit(chunks)) - 1 if through is None else F.lit(0))))
+    schema = pa.schema([("path", pa.list_(pa.string()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[list[str]]:
+            for batch in batches:
+                for chunk, near in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    graph = {e["source"]: e["targets"] for e in near}
+                    if through is None:
+                        for start in sorted(graph)[chunk::chunks]:
+                            yield from circuits(graph, start, True, max_length)
+                    else:
+                        for path in circuits(graph, through, False, max_length):
+                            at = path.index(min(path))
+                            yield [*path[at:-1], *path[: at + 1]]
+
+        each = found()
+        while held := list(islice(each, 1024)):
+            yield pa.RecordBatch.from_arrays([pa.array(held, schema.field(0).type)], schema=schema)
+
+    paths = dealt.repartition("part", "chunk").select("chunk", "edges").mapInArrow(run, "path array<string>")
+    return paths.orderBy(F.size("path"), F.concat_ws(">", "path"))
 
 
 def dependents(edges: DataFrame, name: str, limit: int | None = 20) -> DataFrame:

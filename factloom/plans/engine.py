@@ -161,7 +161,7 @@ class CodeIndex:
         metrics, symbols = self.table("code_metrics", project), self.table("symbols", project)
         path = normal_path(F.lit(file_path or ""))
         whole = metrics.filter(F.col("class_name") == class_name) if class_name else metrics.filter(F.col("file_path") == path)
-        named = ranking.search_symbols(symbols, class_name, 100) if class_name else symbols.filter(F.col("file_path") == path)
+        named = ranking.search_symbols(symbols, class_name, None) if class_name else symbols.filter(F.col("file_path") == path)
         bodies = self.table("chunks", project).filter("type = 'METHOD'").select("project", "file_path", F.col("class_name").alias("parent_class"), "name", "start_line", "content")
         own = named.filter("kind = 'METHOD'").select("project", "file_path", "parent_class", "name", "start_line", "qualified_name").join(bodies, ["project", "file_path", "parent_class", "name", "start_line"], "left")
         none = F.lit(None).cast("int")
@@ -190,7 +190,10 @@ class CodeIndex:
     # Projects and maintenance ----------------------------------------------------------------------------------
 
     def list_projects(self) -> DataFrame:
-        return self.spark.createDataFrame(sorted(self.projects.items()), "project string, path string")
+        """The projects that are configured or stored: project, path (null if it isn't configured), files, last_indexed."""
+        given = self.spark.createDataFrame(sorted(self.projects.items()), "project string, path string")
+        stored_ = self.store.table("file_meta").groupBy("project").agg(F.count(F.lit(1)).alias("files"), F.max("last_indexed_at").alias("last_indexed"))
+        return given.join(stored_, "project", "full_outer").select("project", "path", F.coalesce("files", F.lit(0)).alias("files"), "last_indexed").orderBy("project")
 
     def list_modules(self, project: str | None = None) -> DataFrame:
         name = project or next(iter(self.projects))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -278,11 +281,11 @@ def callee_rules(spark: S, d: str) -> D:
 
 @query("cut_chunks", "SELECT doc_id, CASE WHEN n > 20 THEN array_to_string(parts[1:19], chr(10)) || chr(10) || '// ... (truncated, total ' || CAST(n AS STRING) || ' lines)' ELSE text END AS content FROM (SELECT doc_id, text, string_split(text, chr(10)) AS parts, len(string_split(text, chr(10))) AS n FROM documents)")
 def cut_chunks(spark: S, d: str) -> D:
-    @F.udf("string")
-    def shortened(text: str) -> str:  # what the parsers call, which run in Python
-        return cut(text, 20)
+    def shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # what the parsers call, which run in Python
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if t is None else cut(t, 20) for t in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "content"])
 
-    return table(spark, d, "documents").select("doc_id", shortened("text").alias("content"))
+    return table(spark, d, "documents").select("doc_id", "text").mapInArrow(shortened, "doc_id bigint, content string")
 
 
 # Full text over symbols and chunks -------------------------------------------------------------------------------------
@@ -357,7 +360,7 @@ tool("complexity_report", "SELECT 'CLASS' AS what, 'n3.Conf3' AS qualified_name,
 tool("get_code_metrics", "SELECT class_name, count(*) FILTER (type = 'METHOD') AS method_count, CAST(sum(end_line - start_line + 1) + 10 AS BIGINT) AS lines_of_code FROM chunks WHERE class_name = 'Base3' GROUP BY 1", "class_name", "method_count", "lines_of_code", class_name="Base3")
 tool("detect_dead_code", f"SELECT qualified_name, kind FROM symbols s WHERE lower(file_path) NOT LIKE '%test%' AND NOT (kind = 'METHOD' AND name = 'main') AND NOT EXISTS (SELECT 1 FROM {RESOLVED} r WHERE r.project = s.project AND r.target = s.qualified_name)", "qualified_name", "kind", limit=None)
 tool("find_related_tests", "SELECT test_class_name, source_class_name, file_path FROM tests WHERE source_class_name = 'Sup8'", "test_class_name", "source_class_name", "file_path", class_name="Sup8")
-tool("list_projects", "SELECT project FROM two", "project")
+tool("list_projects", "SELECT project, count(*) AS files FROM sources GROUP BY project", "project", "files")
 tool("health", "SELECT (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM calls) AS calls, (SELECT count(*) FROM sources) AS file_meta, (SELECT count(*) FROM config) AS config_entries, (SELECT count(*) FROM dependencies) AS dependencies", "symbols", "calls", "file_meta", "config_entries", "dependencies")
 tool("index_status", "SELECT (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM sources) AS file_meta", "symbols", "file_meta")
 tool("reindex", "SELECT CAST(0 AS BIGINT) AS changed, CAST(0 AS BIGINT) AS deleted, CAST(0 AS BIGINT) AS errors", oracle_of=False)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,15 +31,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df cut off from its lineage by a checkpoint in the shared folder (a temporary one where none is configured)."""
+    """df cut off from its lineage: written as Parquet to the shared folder (a temporary one where none is configured) and read again.
+
+    Unlike a checkpoint it keeps no estimate of its size from the plan before, which grows with every join of a loop. The
+    files go when the application ends.
+    """
     spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        if (spark.sparkContext.master or "").split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
+    path = f"{_shared(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: The folder of each application for what `stored` writes.
+_folders: dict[str, str] = {}
+
+
+def _shared(spark: SparkSession) -> str:
+    application = spark.sparkContext.applicationId
+    if application not in _folders:
+        found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        if not found:
+            if (spark.sparkContext.master or "").split("[")[0] != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-checkpoints-"))
-    return df.checkpoint()
+            found = tempfile.mkdtemp(prefix="factloom-stored-")
+        folder = f"{found}/factloom-{application}"
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(where)
+        system.deleteOnExit(where)
+        _folders[application] = folder
+    return _folders[application]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
