@@ -555,7 +555,7 @@ def watched_symbols(spark: S, d: str) -> D:
     return watched(spark, d)[1].table("symbols").select("file_path", "kind", "qualified_name", F.col("start_line").cast("bigint").alias("start_line"))
 
 
-@query("events_settled", "SELECT path, at FROM (SELECT *, lead(at) OVER (PARTITION BY path ORDER BY at) AS later FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS path, CAST(epoch_us(ts) // 1000 AS BIGINT) AS at FROM events)) WHERE later IS NULL OR later - at > 600000")
+@query("events_settled", "SELECT path, at_ms FROM (SELECT *, lead(at_ms) OVER (PARTITION BY path ORDER BY at_ms) AS later FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS path, CAST(epoch_us(ts) // 1000 AS BIGINT) AS at_ms FROM events)) WHERE later IS NULL OR later - at_ms > 600000")
 def events_settled(spark: S, d: str) -> D:
     """The events table as a stream of four batches in time, a pause of ten minutes, and one event at the end that lets all others go."""
     root = f"{scratch(spark, 'settled')}-{len(_runs)}"
@@ -570,7 +570,7 @@ def events_settled(spark: S, d: str) -> D:
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     kept = settled(stream, 600_000, "1 second").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
     kept.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("path string, op string, at bigint, sha1 string").parquet(f"{root}/out").filter("op <> 'END'").select("path", "at")
+    return spark.read.schema("path string, op string, at bigint, sha1 string").parquet(f"{root}/out").filter("op <> 'END'").select("path", F.col("at").alias("at_ms"))
 
 
 @query("module_recursion", "SELECT * FROM (VALUES ('', 0), ('a', 1), ('a/b', 2), ('a/b/c', 3)) t(path, depth)")
