@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 DDL: dict[str, str] = {
     "symbols": "id bigint, project string, file_path string, start_line int, end_line int, kind string, name string, qualified_name string, signature string, return_type string, parent_class string, modifiers int, javadoc string, super_class string, interfaces array<string>, is_data_class boolean, is_object boolean, is_sealed boolean, is_companion boolean, is_trait boolean, is_case_class boolean",
     "code_references": "id bigint, project string, symbol_id bigint, from_file string, from_line int, context string, ref_name string",
-    "calls": "id bigint, project string, caller_method string, caller_file string, caller_line int, callee_method string, callee_file string",
+    "calls": "id bigint, project string, caller_method string, caller_file string, caller_line int, callee_method string, callee_file string, named string, roots array<string>, steps array<string>",
     "chunks": "id bigint, project string, file_path string, type string, start_line int, end_line int, name string, content string, package_name string, class_name string, signature string",
     "file_meta": "project string, file_path string, size bigint, last_modified bigint, sha1 string, symbol_count int, last_indexed_at bigint",
     "config_entries": "id bigint, project string, file_path string, line int, key string, value string, config_type string, content string",
@@ -23,6 +23,8 @@ DDL: dict[str, str] = {
     "test_mappings": "id bigint, project string, test_symbol_id bigint, source_symbol_id bigint, test_class_name string, source_class_name string, mapping_type string, file_path string",
     "code_metrics": "id bigint, project string, symbol_id bigint, file_path string, class_name string, package_name string, lines_of_code int, method_count int, field_count int, complexity_estimate int, cyclomatic_complexity int, cognitive_complexity int, updated_at bigint",
     "index_metadata": "project string, key string, value string, updated_at bigint",
+    "types": "id bigint, project string, file_path string, owner string, params array<string>, supers array<string>, interface boolean, members array<struct<name: string, least: int, most: int, kind: string>>",
+    "scopes": "project string, file_path string, packages array<string>, names array<string>",
 }
 
 #: The column that names the file a row comes from.
@@ -36,7 +38,7 @@ CHECKS: dict[str, dict[str, tuple[str, ...]]] = {
     "dependencies": {"dep_type": ("POM", "GRADLE", "PACKAGE_JSON")},
     "bean_dependencies": {"injection_type": ("FIELD", "CONSTRUCTOR", "SETTER")},
 }
-REQUIRED = {"symbols": ("file_path", "kind", "name", "qualified_name"), "chunks": ("file_path", "type", "content"), "calls": ("caller_file", "callee_method")}
+REQUIRED = {"symbols": ("file_path", "kind", "name", "qualified_name"), "chunks": ("file_path", "type", "content"), "calls": ("caller_file",)}
 
 
 def schema(table: str) -> StructType:

@@ -28,6 +28,8 @@ class Facts:
     config: list[dict] = field(default_factory=list)
     dependencies: list[dict] = field(default_factory=list)
     modules: list[dict] = field(default_factory=list)
+    types: list[dict] = field(default_factory=list)
+    scopes: list[dict] = field(default_factory=list)
     errors: list[str] = field(default_factory=list)
 
 

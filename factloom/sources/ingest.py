@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.text import cognitive, cyclomatic, line_count, simple_name
-from factloom.operators import changes
+from factloom.functions.text import begins, cognitive, cyclomatic, line_count, simple_name
+from factloom.operators import call_targets, changes
 from factloom.operators.joins import resolve_references
 from factloom.schemas import DDL, FILE_COLUMN, conform, stable_id
 from factloom.session import stored
@@ -26,7 +26,7 @@ __all__ = ["PARTS", "Facts", "Outrun", "Store", "index", "parse_files", "repair"
 PARSED = {
     "symbols": SYMBOL,
     "references": "from_line int, context string, ref_name string",
-    "calls": "caller_method string, caller_line int, callee_method string",
+    "calls": "caller_method string, caller_line int, callee_method string, roots array<string>, steps array<string>",
     "annotations": "name string, attributes map<string,string>, owner string, owner_kind string",
     "routes": "http_method string, path string, base_path string, method_path string, start_line int, owner string",
     "beans": "depends_on_type string, injection_type string, field_name string, start_line int, owner string",
@@ -37,6 +37,8 @@ PARSED = {
     "config": "line int, key string, value string, config_type string, content string",
     "dependencies": "line int, group_id string, artifact_id string, version string, scope string, dep_type string, classifier string",
     "modules": "module string",
+    "types": "owner string, params array<string>, supers array<string>, interface boolean, members array<struct<name string, least int, most int, kind string>>",
+    "scopes": "packages array<string>, names array<string>",
 }
 
 
@@ -136,7 +138,13 @@ class Facts:
         return self._identified(self._each("references"), "file_path", "from_line", "context").withColumnRenamed("file_path", "from_file")
 
     def _calls(self) -> DataFrame:
-        return self._identified(self._each("calls").withColumnRenamed("file_path", "caller_file"), "caller_file", "caller_line", "caller_method", "callee_method")
+        return self._each("calls").withColumnsRenamed({"file_path": "caller_file", "callee_method": "named"})
+
+    def _types(self) -> DataFrame:
+        return self._identified(self._each("types"), "file_path", "owner")
+
+    def _scopes(self) -> DataFrame:
+        return self._each("scopes")
 
     def _annotations(self) -> DataFrame:
         by_kind = self._symbols().groupBy("project", "file_path", F.col("qualified_name").alias("owner"), F.col("kind").alias("owner_kind")).agg(F.min("id").alias("symbol_id"))
@@ -194,7 +202,7 @@ def _resolved() -> dict[str, tuple[tuple[str, ...], Column]]:
     if not RESOLVED:  # columns need a session
         RESOLVED.update({
             "code_references": (("symbol_id",), F.col("ref_name")),
-            "calls": (("callee_file",), F.col("callee_method")),
+            "calls": (("callee_method", "callee_file"), F.coalesce("callee_method", "named")),
             "bean_dependencies": (("depends_on_symbol_id", "same_file"), _bean_type()),
             "test_mappings": (("source_symbol_id",), F.col("source_class_name")),
         })
@@ -205,10 +213,12 @@ def _bean_type() -> Column:
     return simple_name(F.regexp_replace("depends_on_type", "<.*", ""))
 
 
-def resolve(table: str, df: DataFrame, symbols: DataFrame) -> DataFrame:
+def resolve(table: str, df: DataFrame, symbols: DataFrame, types: DataFrame | None = None, scopes: DataFrame | None = None) -> DataFrame:
     """Rows of one of RESOLVED with every name that refers to a symbol resolved against all symbols of its project.
 
-    A reference that names no symbol keeps a null symbol_id. Columns of df that begin with _ stay.
+    A reference that names no symbol keeps a null symbol_id. A call whose target no file of the project tells, and that
+    has no plain name either, or whose target is the platform's, keeps a null callee_method. types, scopes: of the whole
+    project, for calls. Columns of df that begin with _ stay.
     """
     own = [c for c in df.columns if c.startswith("_")]
     named = symbols.select("project", "file_path", "id", "kind", "name", "qualified_name")
@@ -221,7 +231,10 @@ def resolve(table: str, df: DataFrame, symbols: DataFrame) -> DataFrame:
         found = resolve_references(references, tagged, keep_open=True).withColumn("ref_name", F.col("plain"))
     elif table == "calls":
         targets = named.groupBy("project", F.col("qualified_name").alias("callee_method")).agg(F.min("file_path").alias("callee_file"))
-        found = df.drop("callee_file").join(targets, ["project", "callee_method"], "left")
+        solved = call_targets.solve(df.drop("callee_file", "callee_method"), types, scopes) if types is not None and scopes is not None else df.withColumns({"target": F.lit(None), "platform": F.lit(False)})
+        target = F.coalesce(F.when(~F.coalesce(begins(F.col("target"), call_targets.PLATFORM), F.lit(False)), F.col("target")), F.when(~F.col("platform"), F.col("named")))
+        found = solved.drop("callee_file").withColumn("callee_method", target).join(targets, ["project", "callee_method"], "left")
+        found = found.withColumn("id", F.when(F.col("callee_method").isNotNull(), stable_id("project", "caller_file", "caller_line", "caller_method", "callee_method")))
     elif table == "bean_dependencies":
         local = classes.groupBy("project", "file_path", F.col("name").alias("bean")).agg(F.min("id").alias("local"))
         beans = df.withColumn("bean", _bean_type()).join(local, ["project", "file_path", "bean"], "left").join(anywhere, ["project", "bean"], "left")
@@ -283,6 +296,12 @@ def _index(store: Store, files: DataFrame, full_listing: bool, now_ms: int | Non
     return {"changed": n_changed, "deleted": n_gone, "errors": new.counts["errors"]}
 
 
+def _declared(types: DataFrame, scopes: DataFrame) -> DataFrame:
+    """h: a digest of each class's declaration and of the packages that its open names are looked for in."""
+    both = types.join(scopes.select("project", "file_path", "packages"), ["project", "file_path"], "left")
+    return both.select(F.xxhash64(F.to_json(F.struct("project", "file_path", "packages", *types.drop("id", "project", "file_path", "_bucket").columns))).alias("h"))
+
+
 def _left(rows: DataFrame, table: str, stale: DataFrame) -> DataFrame:
     """A table's rows without those of stale files."""
     named = FILE_COLUMN[table]
@@ -312,7 +331,7 @@ def _anew(store: Store, at: Manifest, stale: DataFrame, new: Facts, buckets: int
 
     def whole(t: str) -> tuple[DataFrame, None]:
         df = _metadata(store, new) if t == "index_metadata" else left(t)
-        return _placed(resolve(t, df, symbols) if t in _resolved() else df, t, buckets), None
+        return _placed(resolve(t, df, symbols, *((left("types"), left("scopes")) if t == "calls" else ())) if t in _resolved() else df, t, buckets), None
 
     return Change(buckets, n_files, {t: lambda t=t: whole(t) for t in DDL if old(t) or new.some(t)})
 
@@ -326,18 +345,25 @@ def _increment(store: Store, at: Manifest, stale: DataFrame, own: set[int], know
     all_ = store.rows("symbols", without=lost).select(*SYMBOL_NAMES)
     fresh = new.table("symbols").select(*SYMBOL_NAMES)
     symbols = (_left(all_, "symbols", stale) if known else all_).unionByName(fresh)
+    declared = tuple((_left(store.rows(t, without=lost), t, stale) if known else store.rows(t, without=lost)).drop("_bucket").unionByName(new.table(t)) for t in ("types", "scopes"))
     lock = Lock()
 
+    def retyped() -> bool:
+        """Whether some class, member or type isn't declared as before: then calls of any file may have other targets."""
+        was = _declared(store.rows("types", only=own, without=lost).join(stale.select("project", "file_path"), ["project", "file_path"], "left_semi"), store.rows("scopes", only=own, without=lost))
+        now = _declared(new.table("types"), new.table("scopes"))
+        return not was.unionByName(now).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n % 2 = 1").isEmpty()
+
     @cache
     def moved() -> dict[str, set[int]]:
         if lost:  # what was there before isn't known
-            return _moved(store, at, own, None, symbols)
+            return _moved(store, at, own, None, symbols, declared)
         if not known and not new.some("symbols"):
             return {}
         # Names whose symbols aren't what they were.
         gone = before.join(stale.select("project", "file_path"), ["project", "file_path"], "left_semi") if known else before.limit(0)
         differs = gone.unionByName(fresh).groupBy(*SYMBOL_NAMES).agg(F.count(F.lit(1)).alias("n")).filter("n % 2 = 1")
-        return _moved(store, at, own, differs.select("project", F.explode(F.array("name", "qualified_name")).alias("_name")).distinct(), symbols)
+        return _moved(store, at, own, differs.select("project", F.explode(F.array("name", "qualified_name")).alias("_name")).distinct(), symbols, declared if retyped() else None)
 
     def written(t: str) -> tuple[DataFrame, set[int]]:
         touched = set(own) if new.some(t) or (known and at.parts.get(t)) else set()
@@ -347,22 +373,26 @@ def _increment(store: Store, at: Manifest, stale: DataFrame, own: set[int], know
         more = at.absorbed(t, touched) if touched else set()
         rows = store.rows(t, only=touched, without=lost)
         rows = (_left(rows, t, stale) if known else rows).unionByName(_placed(new.table(t), t, at.buckets))
-        rows = resolve(t, rows, symbols) if t in _resolved() else rows
+        rows = resolve(t, rows, symbols, *(declared if t == "calls" else ())) if t in _resolved() else rows
         return rows.unionByName(store.rows(t, only=more)) if more else rows, touched | more
 
     metadata = {"index_metadata": lambda: (_placed(_metadata(store, new), "index_metadata", at.buckets), None)}
     return Change(at.buckets, n_files, metadata | {t: lambda t=t: written(t) for t in DDL if t != "index_metadata" and (new.some(t) or at.parts.get(t))})
 
 
-def _moved(store: Store, at: Manifest, own: set[int], names: DataFrame | None, symbols: DataFrame) -> dict[str, set[int]]:
-    """Of each table the buckets, but for `own`, with rows that now resolve otherwise; names: only those of these names."""
+def _moved(store: Store, at: Manifest, own: set[int], names: DataFrame | None, symbols: DataFrame, declared: tuple[DataFrame, ...] | None) -> dict[str, set[int]]:
+    """Of each table the buckets, but for `own`, with rows that now resolve otherwise; names: only those of these names.
+
+    declared: types and scopes if they aren't what they were. A call's target depends on every type on the way to it, so
+    then all calls are looked at; else none can have moved.
+    """
     differs = None
     for t, (found, name) in _resolved().items():
-        if not at.parts.get(t):
+        if not at.parts.get(t) or t == "calls" and declared is None:
             continue
         df = store.rows(t, without=own).withColumn("_old", F.struct(*found))
-        df = df if names is None else df.withColumn("_name", name).join(names, ["project", "_name"], "left_semi")
-        df = resolve(t, df, symbols).filter(~F.struct(*found).eqNullSafe(F.col("_old"))).select(F.lit(t).alias("part"), "_bucket")
+        df = df if names is None or t == "calls" else df.withColumn("_name", name).join(names, ["project", "_name"], "left_semi")
+        df = resolve(t, df, symbols, *(declared if t == "calls" and declared else ())).filter(~F.struct(*found).eqNullSafe(F.col("_old"))).select(F.lit(t).alias("part"), "_bucket")
         differs = df if differs is None else differs.unionByName(df)
     moved: dict[str, set[int]] = {}
     for r in differs.distinct().collect() if differs is not None else ():  # buckets by table, whatever the rows

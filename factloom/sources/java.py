@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 from factloom.functions.text import MODIFIERS
-from factloom.sources.code_text import INJECTING, Code, Facts, attributes, base_path, bits, dotted, routes_of, symbol, tested, unquote
+from factloom.sources import java_calls
+from factloom.sources.code_text import INJECTING, Code, Facts, attributes, base_path, bits, dotted, routes_of, split_top, symbol, tested, unquote
 
 TOKEN = re.compile(r'[A-Za-z_$][\w$]*|\d[\w.]*|"""|"|\'|->|::|\.\.\.|[^\s\w]')
 WORD = re.compile(r"[A-Za-z_$][\w$]*$")
+#: Arguments of a method that takes any number.
+MOST = (1 << 31) - 1
 DECLARING = ("class", "interface", "enum", "record")
 #: Fixed values.
 SKIPPED_TYPES = frozenset("String Object Integer Long Boolean Double Float List Map Set".split())
@@ -40,6 +44,11 @@ class Parser:
         self.facts = Facts()
         self.package = ""
         self.imports: dict[str, str] = {}
+        own = {b for (a, _), (b, _) in zip(self.tokens, self.tokens[1:]) if a in DECLARING and WORD.match(b)}
+        self.scope = java_calls.Scope("", self.imports, {}, [], own)
+        #: The classes around the place, outermost first: qualified name, type parameters, types above.
+        self.nest: list[tuple[str, frozenset[str], list[str]]] = []
+        self.places = [at for _, at in self.tokens]
 
     # Tokens ----------------------------------------------------------------------------------------------------
 
@@ -82,15 +91,22 @@ class Parser:
                     name += self.peek()
                     self.i += 1
                 if t == "package":
-                    self.package = name
+                    self.package = self.scope.package = name
+                elif name.endswith(".*") and not static:
+                    self.scope.packages.append(name[:-2])
+                    self.facts.references.append({"from_line": self.code.line(at), "context": f"import {name}", "ref_name": name})
                 else:
                     self.facts.references.append({"from_line": self.code.line(at), "context": f"import {name}", "ref_name": name})
                     self.imports[name.rpartition(".")[2]] = name
+                    if static:
+                        owner, _, member = name.rpartition(".")
+                        self.scope.static.setdefault(member, []).append(java_calls.flat(owner))
                 self.i += 1
             else:
                 before = self.i
                 self.member(None)
                 self.i += self.i == before
+        self.facts.scopes.append({"packages": [self.package, *self.scope.packages], "names": sorted(self.scope.names)})
         return self.facts
 
     def lead(self) -> Declaration:
@@ -156,8 +172,6 @@ class Parser:
 
     def parameters(self) -> list[tuple[str, str]]:
         """(type, name) of a parameter list that begins here."""
-        from factloom.sources.code_text import split_top
-
         a, b = self.skip_pair()
         found = []
         for p in split_top(self.text_between(a, b)):
@@ -170,17 +184,21 @@ class Parser:
         self.i += 1
         name = self.peek()
         self.i += 1
+        params: list[str] = []
         if self.peek() == "<":
-            self.skip_pair()
+            params = java_calls.variables(self.text_between(*self.skip_pair()))
         components = self.parameters() if kind == "record" and self.peek() == "(" else []
         extends: list[str] = []
         implements: list[str] = []
+        above: list[str] = []
         stops = ("extends", "implements", "permits", "{")
         while self.peek() not in ("{", ""):
             word = self.peek()
             self.i += 1
             if word in stops:
+                first = self.place()
                 names = self.names_until(*stops)
+                above += split_top(self.text_between(first, self.place())) if word in ("extends", "implements") else []
                 if word == "extends":
                     extends = names
                 elif word == "implements":
@@ -193,7 +211,10 @@ class Parser:
         shown = kind if kind in ("interface", "record", "enum") else "class"
         head = f"{shown} {name}" + (f"({', '.join(f'{t} {n}' for t, n in components)})" if kind == "record" else "")
         row["signature"] = head + (f" extends {', '.join(extends)}" if extends else "") + (f" implements {', '.join(implements)}" if implements else "")
-        owner = row | {"base": base_path(lead.annotations), "configures": any(a == "Configuration" for a, _, _ in lead.annotations), "kind_word": kind, "methods": []}
+        owner = row | {"base": base_path(lead.annotations), "configures": any(a == "Configuration" for a, _, _ in lead.annotations), "kind_word": kind, "methods": [], "members": []}
+        outer = self.nest[-1][1] if self.nest else frozenset()
+        known = outer | frozenset(params)
+        supers = [self.scope.kind(a, known) for a in above]
         shown_as_symbol = kind != "enum"
         if shown_as_symbol:
             self.facts.symbols.append(row)
@@ -204,6 +225,9 @@ class Parser:
                 self.facts.tests.append({"test_class_name": name, "source_class_name": source, "mapping_type": "NAME_PATTERN"})
         for t, n in components:
             self.facts.symbols.append(symbol(kind="FIELD", name=n, qualified_name=dotted(row["qualified_name"], n), signature=f"{t} {n}", return_type=t, parent_class=name, start_line=row["start_line"], end_line=row["end_line"], modifiers=MODIFIERS["public"] | MODIFIERS["final"]))
+            owner["members"] += [{"name": n, "least": k, "most": k, "kind": self.scope.kind(t, known)} for k in (-1, 0)]
+        if shown_as_symbol:
+            self.facts.types.append({"owner": row["qualified_name"], "params": params, "supers": supers, "interface": kind == "interface", "members": owner["members"]})
         if self.peek() != "{":
             return
         self.i += 1
@@ -213,11 +237,13 @@ class Parser:
                     self.skip_pair()
                 else:
                     self.i += 1
+        self.nest.append((row["qualified_name"], known, supers))
         while self.peek() not in ("}", ""):
             before = self.i
             self.member(owner if shown_as_symbol else None)
             self.i += self.i == before
         self.i += 1
+        self.nest.pop()
         if shown_as_symbol:
             self.chunk(row, owner)
 
@@ -295,8 +321,11 @@ class Parser:
         if owner["configures"] and "Bean" in marks:
             bean = unquote(marks["Bean"].get("value", marks["Bean"].get("name", ""))) or name[:1].lower() + name[1:]
             self.facts.bean_sources.append({"return_type": kind, "bean_name": bean, "source_type": "@Bean", "start_line": row["start_line"], "owner": qualified})
+        known = self.nest[-1][1] | frozenset(java_calls.variables(generic.strip().removeprefix("<").removesuffix(">")))
+        open_ended = bool(given) and given[-1][0].endswith("...")
+        owner["members"].append({"name": name, "least": len(given) - open_ended, "most": MOST if open_ended else len(given), "kind": self.scope.kind(kind, known)})
         if body:
-            self.calls(qualified, *body)
+            self.calls(qualified, *body, given, known)
 
     def constructor(self, lead: Declaration, owner: dict) -> None:
         self.i += 1
@@ -307,7 +336,7 @@ class Parser:
             for t, n in given:
                 self.bean(owner, t, "CONSTRUCTOR", n, self.code.line(lead.at))
         if body and owner["kind_word"] == "record":
-            self.calls(dotted(owner["qualified_name"], owner["name"]), *body)
+            self.calls(dotted(owner["qualified_name"], owner["name"]), *body, given, self.nest[-1][1])
 
     def fields(self, lead: Declaration, owner: dict, kind: str, name: str) -> None:
         start = self.code.line(lead.at)
@@ -327,6 +356,7 @@ class Parser:
         self.i += self.peek() == ";"
         for n in names:
             qualified = dotted(owner["qualified_name"], n)
+            owner["members"].append({"name": n, "least": -1, "most": -1, "kind": self.scope.kind(kind, self.nest[-1][1])})
             self.facts.symbols.append(symbol(kind="FIELD", name=n, qualified_name=qualified, signature=f"{kind} {n}", return_type=kind, parent_class=owner["name"], start_line=start, end_line=end, modifiers=bits(lead.words, MODIFIERS)))
         marks = {a: g for a, g, _ in lead.annotations}
         if any(a in marks for a in INJECTING):
@@ -341,23 +371,20 @@ class Parser:
 
     # Bodies ----------------------------------------------------------------------------------------------------
 
-    def calls(self, caller: str, first: int, last: int) -> None:
-        """Calls between two places: a chain of plain names before `(`; scopes that aren't plain names are dropped."""
-        for m in re.finditer(r"((?:[A-Za-z_$][\w$]*\s*\.\s*)*)([A-Za-z_$][\w$]*)\s*\(", self.code.bare[first:last]):
-            scope, name = re.sub(r"\s", "", m[1]).rstrip("."), m[2]
-            at = first + m.start(2)
-            before = self.code.bare[first : first + m.start()].rstrip()
-            if name in KEYWORDS or re.search(r"(?:\bnew|\brecord|\bclass)$", before) or before.endswith("@"):
-                continue
-            if before.endswith(".") or before.endswith("::"):
-                continue  # called on a literal, a call's result or an element
-            if scope and name in COMMON and "." not in scope:
+    def calls(self, caller: str, first: int, last: int, given: list[tuple[str, str]], known: frozenset[str]) -> None:
+        """Calls between two places. callee_method: `scope.name` if the scope is plain names, else null; roots and steps lead to the target."""
+        a, b = bisect_left(self.places, first), bisect_left(self.places, last)
+        owners = [n for n, _, _ in reversed(self.nest)]
+        body = java_calls.Body(self.tokens[a:b], self.code.text[:last], self.scope, owners, self.nest[-1][2], given, known)
+        for at, name, scope, roots, steps in body.calls():
+            plain = "." not in scope and scope not in ("", "?", "this", "super")
+            if name in KEYWORDS or plain and name in COMMON:
                 continue
             head, _, rest = scope.partition(".")
             full = dotted(self.imports.get(head, head), rest, name) if scope else name
-            if full.startswith(PLATFORM):
+            if full.startswith(PLATFORM) or scope == "?" and not roots:
                 continue
-            self.facts.calls.append({"caller_method": caller, "caller_line": self.code.line(at), "callee_method": dotted(scope, name)})
+            self.facts.calls.append({"caller_method": caller, "caller_line": self.code.line(at), "callee_method": None if scope == "?" else dotted(scope, name), "roots": roots, "steps": steps})
 
     def types(self) -> None:
         """Uses of class names: capitalised names that aren't called, declared or parts of longer names."""

@@ -212,7 +212,9 @@ class Store:
         return self.spark.createDataFrame([], ddl) if found is None else found
 
     def table(self, name: str) -> DataFrame:
-        return self.rows(name).select(*schema(name).names)
+        """The rows of a snapshot's table; calls without a target wait for one and are left out."""
+        found = self.rows(name).select(*schema(name).names)
+        return found.filter("callee_method is not null") if name == "calls" else found
 
     def tables(self) -> dict[str, DataFrame]:
         return {t: self.table(t) for t in DDL}
