@@ -110,6 +110,60 @@ trait Tr{r} {
   def go{r}(a: Int): Int = a
 }
 """
+#: Classes of a project of their own, whose calls go over types: inherited members, chains, type arguments, overloads.
+STORE = """package lib.n{n};
+
+public abstract class Store{n}<T> {
+    protected T kept;
+
+    public T take(int a) {
+        return kept;
+    }
+
+    public T take(String... names) {
+        return kept;
+    }
+}
+"""
+ITEM = """package item;
+
+import lib.n{n}.Store{n};
+
+public record Item{n}(int price, Item{n} next) {
+    public Store{n}<Item{n}> home() {
+        return null;
+    }
+
+    public static Item{n} of{h}(int a) {
+        return null;
+    }
+}
+"""
+FLOW = """package flow.n{n};
+
+import item.*;
+import lib.n{n}.Store{n};
+
+public class Flow{k} extends Store{n}<Item{n}> {
+    private Item{n}[] row;
+
+    public int flow{k}(Item{n} given, Store{n}<Item{n}> other) {
+        take(1).next().price();
+        var best = other.take("a", "b").home();
+        best.take(2).home();
+        for (Item{n} one : row) {
+            one.price();
+        }
+        row[0].next();
+        Item{n}.of{h}(3).price();
+        kept.home().take();
+        Runnable later = () -> given.price();
+        later.run();
+        lost{k}.find(given.hashCode());
+        return given.missing().price();
+    }
+}
+"""
 SHELL = """#!/bin/bash
 RATE={r}
 run_{r}() {
@@ -166,6 +220,14 @@ FILES = (
 )
 SOURCES = " UNION ALL ".join(f"SELECT project, {filled(path)} AS file_path, '{lang}' AS lang, {filled(text)} AS content FROM {base}" for base, path, lang, text in FILES)
 
+TYPED = (("nat", "lib/Store{n}.java", STORE), ("nat", "item/Item{n}.java", ITEM), ("sup", "flow/Flow{k}.java", FLOW))
+TYPED_SOURCES = " UNION ALL ".join(f"SELECT project, {filled(path)} AS file_path, 'java' AS lang, {filled(text)} AS content FROM {base}" for base, path, text in TYPED)
+#: Line and target of the calls in FLOW; of those above it none calls.
+TARGETS = (
+    (10, "lib.n{n}.Store{n}.take"), (10, "item.Item{n}.next"), (10, "item.Item{n}.price"), (11, "lib.n{n}.Store{n}.take"), (11, "item.Item{n}.home"), (12, "lib.n{n}.Store{n}.take"), (12, "item.Item{n}.home"), (14, "item.Item{n}.price"), (16, "item.Item{n}.next"),
+    (17, "item.Item{n}.of{h}"), (17, "item.Item{n}.price"), (18, "item.Item{n}.home"), (18, "lib.n{n}.Store{n}.take"), (19, "item.Item{n}.price"), (21, "lost{k}.find"), (22, "given.missing"),
+)
+
 
 def path_of(name: str) -> str:
     return filled(next(p for _, p, _, t in FILES if t is globals()[name]))
@@ -224,10 +286,10 @@ FACTS: dict[str, str] = {
         ("nat", "CONF", {"from_line": "13", "context": filled("type Base{n}"), "ref_name": filled("Base{n}")}),
     ),
     "calls": rows(
-        ("sup", "SUP", {"caller_method": filled("n{n}.Sup{k}.load{k}"), "caller_line": "15", "callee_method": filled("helper{h}")}),
-        (TESTS_ONLY, "SUP_TEST", {"caller_method": filled("n{n}.Sup{k}Test.works"), "caller_line": "6", "callee_method": filled("load{k}")}),
-        ("nat", "BASE", {"caller_method": filled("n{n}.Base{n}.main"), "caller_line": "12", "callee_method": filled("helper{h}")}),
-        ("nat", "KOTLIN", {"caller_method": filled("n{n}.Nat{n}.run{n}"), "caller_line": "6", "callee_method": filled("go{n}")}),
+        ("sup", "SUP", {"caller_method": filled("n{n}.Sup{k}.load{k}"), "caller_line": "15", "callee_method": filled("n{n}.Base{n}.helper{h}"), "named": filled("helper{h}")}),
+        (TESTS_ONLY, "SUP_TEST", {"caller_method": filled("n{n}.Sup{k}Test.works"), "caller_line": "6", "callee_method": filled("load{k}"), "named": filled("load{k}")}),
+        ("nat", "BASE", {"caller_method": filled("n{n}.Base{n}.main"), "caller_line": "12", "callee_method": filled("n{n}.Base{n}.helper{h}"), "named": filled("helper{h}")}),
+        ("nat", "KOTLIN", {"caller_method": filled("n{n}.Nat{n}.run{n}"), "caller_line": "6", "callee_method": filled("go{n}"), "named": filled("go{n}")}),
     ),
     "annotations": rows(
         ("sup", "SUP", {"name": "'Service'", "value": "CAST(NULL AS STRING)", "owner": filled("n{n}.Sup{k}"), "owner_kind": "'CLASS'"}),
@@ -284,9 +346,9 @@ def oracle(sql: str) -> str:
     return "WITH " + ", ".join(f"{n} AS ({NAME.sub(r'\1', known[n]).strip('()') if n in BASES else known[n]})" for n in needed) + " " + sql
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def files(spark: SparkSession, sf_dir: str, sources: str = SOURCES) -> DataFrame:
     """project, file_path, lang, content of the made files."""
-    text = f"WITH {', '.join(f'{n} AS {b}' for n, b in BASES.items())} {SOURCES}"
+    text = f"WITH {', '.join(f'{n} AS {b}' for n, b in BASES.items())} {sources}"
     for t in ("supplier", "nation", "region"):
         table(spark, sf_dir, t).createOrReplaceTempView(f"made_{t}")
         text = text.replace(f"{{{t}}}", f"made_{t}")

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import text as X
+from factloom.operators import call_targets as solver
 from factloom.operators import changes, graph, joins
 from factloom.plans.registry import query
-from factloom.plans.source_files import files, indexed, oracle, write
+from factloom.plans.source_files import TARGETS, TYPED_SOURCES, filled, files, indexed, oracle, write
 from factloom.session import scratch, table
 from factloom.sources import files as listing
 from factloom.sources import ingest
@@ -45,14 +46,23 @@ for _lang, _suffix in (("java", "java"), ("kotlin", "kt"), ("scala", "scala"), (
 
 
 for _table, _truth, _names, _languages in (
-    ("references", "refs", "from_line, context, ref_name", ("java",)), ("calls", "calls", "caller_method, caller_line, callee_method", ("java", "kotlin")), ("routes", "routes", "http_method, path, base_path, method_path, start_line, owner", ("java",)),
+    ("references", "refs", "from_line, context, ref_name", ("java",)), ("calls", "(SELECT project, file_path, caller_method, caller_line, named AS callee_method FROM calls)", "caller_method, caller_line, callee_method", ("java", "kotlin")), ("routes", "routes", "http_method, path, base_path, method_path, start_line, owner", ("java",)),
     ("beans", "beans", "depends_on_type, injection_type, field_name, start_line, owner", ("java",)), ("bean_sources", "bean_sources", "return_type, bean_name, source_type, start_line, owner", ("java",)), ("bindings", "bindings", "config_key, field_name, binding_type, start_line, owner", ("java",)),
     ("tests", "tests", "test_class_name, source_class_name, mapping_type", ("java",)),
 ):
 
     @query(f"parse_{_table}", oracle(f"SELECT project, file_path, {_names} FROM {_truth}"))
     def _facts(spark: S, d: str, t: str = _table, n: str = _names, languages: tuple[str, ...] = _languages) -> D:
-        return parsed(spark, d, t, *languages).select("project", "file_path", *columns(n))
+        found = parsed(spark, d, t, *languages).select("project", "file_path", *columns(n))
+        return found.filter("callee_method is not null") if t == "calls" else found
+
+
+@query("call_targets", oracle(" UNION ALL ".join(f"SELECT project, {filled('flow/Flow{k}.java')} AS caller_file, {filled('flow.n{n}.Flow{k}.flow{k}')} AS caller_method, {line} AS caller_line, {filled(target)} AS callee_method FROM sup" for line, target in TARGETS)))
+def call_targets(spark: S, d: str) -> D:
+    """Calls through chains, inherited members, type arguments and overloads."""
+    facts = ingest.Facts(files(spark, d, TYPED_SOURCES))
+    calls = ingest.resolve("calls", facts.table("calls"), facts.table("symbols"), solver.Declared(facts.table("types"), facts.table("scopes")))
+    return calls.filter("callee_method is not null").select("project", "caller_file", "caller_method", "caller_line", "callee_method")
 
 
 for _lang, _type in (("yaml", "YAML"), ("properties", "PROPERTIES"), ("env", "ENV")):
@@ -180,7 +190,10 @@ def test_and_source_symbols(spark: S, d: str) -> D:
 #: Where a called helper is found: its own file, else the first method of that name in the project.
 CALLED = "(SELECT project, name, arg_min(file_path, (qualified_name, file_path, start_line)) AS first FROM symbols WHERE kind = 'METHOD' GROUP BY 1, 2)"
 OWN = "(SELECT DISTINCT project, name, file_path FROM symbols WHERE kind = 'METHOD')"
-CASCADE = f"SELECT c.project, c.file_path AS caller_file, caller_line, callee_method, coalesce(o.file_path, f.first, 'unknown') AS callee_file, CASE WHEN coalesce(o.file_path, f.first) IS NULL THEN 'UNKNOWN' ELSE 'RESOLVED' END AS callee_type FROM calls c LEFT JOIN {OWN} o ON o.project = c.project AND o.name = c.callee_method AND o.file_path = c.file_path LEFT JOIN {CALLED} f ON f.project = c.project AND f.name = c.callee_method"
+EXACT = "(SELECT project, qualified_name, min(file_path) AS file_path FROM symbols GROUP BY 1, 2)"
+SIMPLE = "regexp_extract(c.callee_method, '[^.]*$')"
+CALLED_FILES = f"calls c LEFT JOIN {EXACT} e ON e.project = c.project AND e.qualified_name = c.callee_method LEFT JOIN {OWN} o ON o.project = c.project AND o.name = {SIMPLE} AND o.file_path = c.file_path LEFT JOIN {CALLED} f ON f.project = c.project AND f.name = {SIMPLE}"
+CASCADE = f"SELECT c.project, c.file_path AS caller_file, caller_line, callee_method, coalesce(e.file_path, o.file_path, f.first, 'unknown') AS callee_file, CASE WHEN coalesce(e.file_path, o.file_path, f.first) IS NULL THEN 'UNKNOWN' ELSE 'RESOLVED' END AS callee_type FROM {CALLED_FILES}"
 
 
 @query("callee_cascade", oracle(CASCADE))
@@ -338,7 +351,7 @@ RANK = "CASE WHEN name = 'Conf3' THEN 0 WHEN lower(name) LIKE 'conf3%' THEN 1 WH
 tool("find_symbol", f"SELECT qualified_name, kind, file_path FROM symbols WHERE lower(name) LIKE '%conf3%' OR lower(qualified_name) LIKE '%conf3%' ORDER BY {RANK}, {KIND}, qualified_name LIMIT 4", "qualified_name", "kind", "file_path", query="Conf3", limit=4)
 tool("search_symbols", "SELECT qualified_name, file_path FROM symbols WHERE kind = 'CLASS' AND name LIKE 'Conf%' ORDER BY qualified_name LIMIT 20", "qualified_name", "file_path", query="Conf", kind="class", annotation="configuration", limit=20)
 tool("find_references", f"SELECT from_file, from_line, context FROM {RESOLVED} WHERE lower(target) LIKE '%base4%' ORDER BY from_file, from_line, context LIMIT 1000", "from_file", "from_line", "context", symbol_name="Base4", limit=1000)
-tool("get_call_graph", f"SELECT 'callers' AS direction, caller_method AS method, c.file_path AS caller_file, caller_line, coalesce(o.file_path, f.first) AS callee_file FROM calls c LEFT JOIN {OWN} o ON o.project = c.project AND o.name = c.callee_method AND o.file_path = c.file_path LEFT JOIN {CALLED} f ON f.project = c.project AND f.name = c.callee_method WHERE callee_method = 'helper1' UNION ALL SELECT 'callees', callee_method, file_path, caller_line, 'unknown' FROM calls WHERE false", "direction", "method", "caller_file", "caller_line", "callee_file", method_name="helper1", limit=100_000)
+tool("get_call_graph", f"SELECT 'callers' AS direction, caller_method AS method, c.file_path AS caller_file, caller_line, coalesce(e.file_path, o.file_path, f.first) AS callee_file FROM {CALLED_FILES} WHERE {SIMPLE} = 'helper1' UNION ALL SELECT 'callees', callee_method, file_path, caller_line, 'unknown' FROM calls WHERE false", "direction", "method", "caller_file", "caller_line", "callee_file", method_name="helper1", limit=100_000)
 tool("find_implementations", "SELECT name, qualified_name, file_path FROM symbols WHERE kind = 'CLASS' AND lower(interface) LIKE '%trade2%' ORDER BY qualified_name LIMIT 15", "name", "qualified_name", "file_path", interface_name="Trade2", limit=15)
 tool("find_overrides", "SELECT name, qualified_name, parent_class FROM symbols WHERE kind = 'METHOD' AND name = 'load7' AND parent_class IN (SELECT name FROM symbols WHERE kind = 'CLASS' AND (super_class = 'Base' OR lower(interface) LIKE '%trade%'))", "name", "qualified_name", "parent_class", method_name="load7", class_name="Trade")
 tool("find_usages", f"SELECT from_file, from_line, target AS qualified_name FROM {RESOLVED} WHERE target = 'n2.Conf2' ORDER BY from_file, from_line LIMIT 100", "from_file", "from_line", "qualified_name", field_name="n2.Conf2", limit=100)
@@ -473,7 +486,7 @@ def increment_symbols(spark: S, d: str) -> D:
     return grown(spark, d).table("symbols").select("project", "file_path", "kind", "qualified_name", F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"))
 
 
-@query("increment_call_files", oracle(f"SELECT c.project, c.file_path AS caller_file, c.caller_line + {SHIFT.format('c.')} AS caller_line, c.callee_method, (SELECT min(s.file_path) FROM symbols s WHERE s.project = c.project AND s.qualified_name = c.callee_method AND {LATER.format('s.')}) AS callee_file FROM calls c WHERE {LATER.format('c.')}"))
+@query("increment_call_files", oracle(f"SELECT c.project, c.file_path AS caller_file, c.caller_line + {SHIFT.format('c.')} AS caller_line, CASE WHEN s.file_path IS NULL THEN c.named ELSE c.callee_method END AS callee_method, s.file_path AS callee_file FROM calls c LEFT JOIN (SELECT project, qualified_name, min(file_path) AS file_path FROM symbols WHERE {LATER.format('')} GROUP BY 1, 2) s ON s.project = c.project AND s.qualified_name = c.callee_method WHERE {LATER.format('c.')}"))
 def increment_call_files(spark: S, d: str) -> D:
     return grown(spark, d).table("calls").select("project", "caller_file", F.col("caller_line").cast("bigint").alias("caller_line"), "callee_method", "callee_file")
 
@@ -495,7 +508,7 @@ _COUNTED = ("symbols", "calls", "annotations", "config", "dependencies", "routes
 _TABLE_OF = {"config": "config_entries", "routes": "api_routes", "bindings": "config_bindings", "tests": "test_mappings"}
 
 
-@query("increment_equals_rebuild", oracle(" UNION ALL ".join([*(f"SELECT '{_TABLE_OF.get(t, t)}' AS part, count(*) AS n, CAST(0 AS BIGINT) AS differs FROM {t} WHERE {LATER.format('')}" for t in _COUNTED), f"SELECT 'file_meta', count(*), CAST(0 AS BIGINT) FROM sources WHERE {LATER.format('')}", *(f"SELECT '{t}', CAST(-1 AS BIGINT), CAST(0 AS BIGINT)" for t in ("code_references", "chunks", "bean_dependencies", "code_metrics", "symbols lengths", "symbols postings", "chunks lengths", "chunks postings"))])))
+@query("increment_equals_rebuild", oracle(" UNION ALL ".join([*(f"SELECT '{_TABLE_OF.get(t, t)}' AS part, count(*) AS n, CAST(0 AS BIGINT) AS differs FROM {t} WHERE {LATER.format('')}" for t in _COUNTED), f"SELECT 'file_meta', count(*), CAST(0 AS BIGINT) FROM sources WHERE {LATER.format('')}", *(f"SELECT '{t}', CAST(-1 AS BIGINT), CAST(0 AS BIGINT)" for t in ("code_references", "chunks", "bean_dependencies", "types", "scopes", "code_metrics", "symbols lengths", "symbols postings", "chunks lengths", "chunks postings"))])))
 def increment_equals_rebuild(spark: S, d: str) -> D:
     """Of every table and index how many rows there are after the batch (-1: not counted), and how many differ from a rebuild's."""
     store, fresh = grown(spark, d), ingest.Store(spark, f"{scratch(spark, 'rebuilt')}-{len(_runs)}")

@@ -213,12 +213,12 @@ def _bean_type() -> Column:
     return simple_name(F.regexp_replace("depends_on_type", "<.*", ""))
 
 
-def resolve(table: str, df: DataFrame, symbols: DataFrame, types: DataFrame | None = None, scopes: DataFrame | None = None) -> DataFrame:
+def resolve(table: str, df: DataFrame, symbols: DataFrame, declared: call_targets.Declared | None = None) -> DataFrame:
     """Rows of one of RESOLVED with every name that refers to a symbol resolved against all symbols of its project.
 
     A reference that names no symbol keeps a null symbol_id. A call whose target no file of the project tells, and that
-    has no plain name either, or whose target is the platform's, keeps a null callee_method. types, scopes: of the whole
-    project, for calls. Columns of df that begin with _ stay.
+    has no plain name either, or whose target is the platform's, keeps a null callee_method. declared: of all
+    projects, for calls. Columns of df that begin with _ stay.
     """
     own = [c for c in df.columns if c.startswith("_")]
     named = symbols.select("project", "file_path", "id", "kind", "name", "qualified_name")
@@ -231,7 +231,7 @@ def resolve(table: str, df: DataFrame, symbols: DataFrame, types: DataFrame | No
         found = resolve_references(references, tagged, keep_open=True).withColumn("ref_name", F.col("plain"))
     elif table == "calls":
         targets = named.groupBy("project", F.col("qualified_name").alias("callee_method")).agg(F.min("file_path").alias("callee_file"))
-        solved = call_targets.solve(df.drop("callee_file", "callee_method"), types, scopes) if types is not None and scopes is not None else df.withColumns({"target": F.lit(None), "platform": F.lit(False)})
+        solved = call_targets.solve(df.drop("callee_file", "callee_method"), declared) if declared is not None else df.withColumns({"target": F.lit(None), "platform": F.lit(False)})
         target = F.coalesce(F.when(~F.coalesce(begins(F.col("target"), call_targets.PLATFORM), F.lit(False)), F.col("target")), F.when(~F.col("platform"), F.col("named")))
         found = solved.drop("callee_file").withColumn("callee_method", target).join(targets, ["project", "callee_method"], "left")
         found = found.withColumn("id", F.when(F.col("callee_method").isNotNull(), stable_id("project", "caller_file", "caller_line", "caller_method", "callee_method")))
@@ -331,7 +331,7 @@ def _anew(store: Store, at: Manifest, stale: DataFrame, new: Facts, buckets: int
 
     def whole(t: str) -> tuple[DataFrame, None]:
         df = _metadata(store, new) if t == "index_metadata" else left(t)
-        return _placed(resolve(t, df, symbols, *((left("types"), left("scopes")) if t == "calls" else ())) if t in _resolved() else df, t, buckets), None
+        return _placed(resolve(t, df, symbols, call_targets.Declared(left("types"), left("scopes")) if t == "calls" else None) if t in _resolved() else df, t, buckets), None
 
     return Change(buckets, n_files, {t: lambda t=t: whole(t) for t in DDL if old(t) or new.some(t)})
 
@@ -345,7 +345,7 @@ def _increment(store: Store, at: Manifest, stale: DataFrame, own: set[int], know
     all_ = store.rows("symbols", without=lost).select(*SYMBOL_NAMES)
     fresh = new.table("symbols").select(*SYMBOL_NAMES)
     symbols = (_left(all_, "symbols", stale) if known else all_).unionByName(fresh)
-    declared = tuple((_left(store.rows(t, without=lost), t, stale) if known else store.rows(t, without=lost)).drop("_bucket").unionByName(new.table(t)) for t in ("types", "scopes"))
+    declared = call_targets.Declared(*((_left(store.rows(t, without=lost), t, stale) if known else store.rows(t, without=lost)).drop("_bucket").unionByName(new.table(t)) for t in ("types", "scopes")))
     lock = Lock()
 
     def retyped() -> bool:
@@ -373,14 +373,14 @@ def _increment(store: Store, at: Manifest, stale: DataFrame, own: set[int], know
         more = at.absorbed(t, touched) if touched else set()
         rows = store.rows(t, only=touched, without=lost)
         rows = (_left(rows, t, stale) if known else rows).unionByName(_placed(new.table(t), t, at.buckets))
-        rows = resolve(t, rows, symbols, *(declared if t == "calls" else ())) if t in _resolved() else rows
+        rows = resolve(t, rows, symbols, declared if t == "calls" else None) if t in _resolved() else rows
         return rows.unionByName(store.rows(t, only=more)) if more else rows, touched | more
 
     metadata = {"index_metadata": lambda: (_placed(_metadata(store, new), "index_metadata", at.buckets), None)}
     return Change(at.buckets, n_files, metadata | {t: lambda t=t: written(t) for t in DDL if t != "index_metadata" and (new.some(t) or at.parts.get(t))})
 
 
-def _moved(store: Store, at: Manifest, own: set[int], names: DataFrame | None, symbols: DataFrame, declared: tuple[DataFrame, ...] | None) -> dict[str, set[int]]:
+def _moved(store: Store, at: Manifest, own: set[int], names: DataFrame | None, symbols: DataFrame, declared: call_targets.Declared | None) -> dict[str, set[int]]:
     """Of each table the buckets, but for `own`, with rows that now resolve otherwise; names: only those of these names.
 
     declared: types and scopes if they aren't what they were. A call's target depends on every type on the way to it, so
@@ -392,7 +392,7 @@ def _moved(store: Store, at: Manifest, own: set[int], names: DataFrame | None, s
             continue
         df = store.rows(t, without=own).withColumn("_old", F.struct(*found))
         df = df if names is None or t == "calls" else df.withColumn("_name", name).join(names, ["project", "_name"], "left_semi")
-        df = resolve(t, df, symbols, *(declared if t == "calls" and declared else ())).filter(~F.struct(*found).eqNullSafe(F.col("_old"))).select(F.lit(t).alias("part"), "_bucket")
+        df = resolve(t, df, symbols, declared if t == "calls" else None).filter(~F.struct(*found).eqNullSafe(F.col("_old"))).select(F.lit(t).alias("part"), "_bucket")
         differs = df if differs is None else differs.unionByName(df)
     moved: dict[str, set[int]] = {}
     for r in differs.distinct().collect() if differs is not None else ():  # buckets by table, whatever the rows
