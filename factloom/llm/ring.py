@@ -7,8 +7,10 @@ with room. All rows find room and the bounds add up to them, so counts are at mo
 most keys stay where the plain ring puts them and most stay there when a shard is added.
 
 Only counts by place come to the driver, which plans ranges of ranks; their number depends on shards and virtual nodes,
-not on the input. Ranks are taken within places. A place with more than its share of rows (one key, no key) is dealt
-into parts by row, so no task sorts more than SHARE of all rows or PART_ROWS. DataFrame functions only.
+not on the input. Ranks are taken within places, by position, key and ties. A place with more than its share of rows
+(one key, no key) is ranked in ranges of that order, so no task sorts much more than one in SHARE of all rows, or
+PART_ROWS, and every row's shard and slot are the same however places are cut and rows lie in files; only rows of equal
+key and ties may change places with each other. DataFrame functions only.
 
 Null keys are one key; null texts have size 1 and the checksum of nothing; repeated rows are placed one by one; an
 empty table gives no rows; other columns are ignored, or kept by `place`, whatever their names.
@@ -90,27 +92,27 @@ def position(key: Column) -> Column:
 def place(df: DataFrame, key: str, shards: int, virtual: int = 64, ties: tuple[str, ...] = ()) -> DataFrame:
     """df with the columns shard (int) and slot (long, gapless from 0 within a shard).
 
-    ties: columns that order rows of equal keys. Columns of df that have one of these names are replaced.
+    ties: columns that order rows of equal keys; rows equal in these too are interchangeable. Columns of df that have one of these names are replaced.
     """
     where = position(F.col(key))
     cell = F.shiftright(where, WIDE - bits(shards, virtual)).cast("int").alias("at")
     found = {r["at"]: r["n"] for r in df.select(cell).groupBy("at").agg(F.count(F.lit(1)).alias("n")).collect()}
     most = max(sum(found.values()) // SHARE, PART_ROWS)
-    crowded = {at: -(-n // most) for at, n in found.items() if n > most}
-    counts: dict[Place, int] = {(at, 0): n for at, n in found.items() if at not in crowded}
+    crowded = sorted(at for at, n in found.items() if n > most)  # fewer than SHARE
+    counts: dict[Place, int] = {(at, 0): n for at, n in found.items() if n <= most}
+    bases: dict[Place, int] = {}
     row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
-    rows = df.select(row, where.alias("hash"), cell, F.lit(0).alias("part"))
-    if crowded:
-        # Rows are numbered once, so that a part holds the same rows whenever it is computed.
-        rows = durable(rows.withColumn("number", F.monotonically_increasing_id()), "ring-rows")
-        parts = df.sparkSession.createDataFrame(sorted(crowded.items()), "at int, parts int")
-        part = F.coalesce(F.pmod(F.xxhash64("number"), F.col("parts")), F.lit(0)).cast("int")
-        rows = rows.join(F.broadcast(parts), "at", "left").withColumn("part", part)
-        again = rows.filter(F.col("parts").isNotNull()).groupBy("at", "part").agg(F.count(F.lit(1)).alias("n")).collect()
-        counts |= {(r["at"], r["part"]): r["n"] for r in again}
-    ranges = df.sparkSession.createDataFrame(plan(counts, shards, virtual), "cell int, piece int, first long, after long, shard int, slot long")
+    rows = df.select(row, where.alias("hash"), cell)
     order = ("hash", f"row.{key}", *(f"row.{t}" for t in ties))
-    ranked = rows.select("row", "at", "part", (F.row_number().over(Window.partitionBy("at", "part").orderBy(*order)) - 1).alias("rank"))
+    even = rows.filter(~F.col("at").isin(crowded)) if crowded else rows
+    ranked = even.select("row", "at", F.lit(0).alias("part"), (F.row_number().over(Window.partitionBy("at").orderBy(*order)) - 1).cast("long").alias("rank"))
+    if crowded:
+        parted = _in_ranges(rows.filter(F.col("at").isin(crowded)), order, -(-sum(found[at] for at in crowded) // most))
+        for r in parted.groupBy("at", "part").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("base")).collect():
+            counts[r["at"], r["part"]], bases[r["at"], r["part"]] = r["n"], r["base"]
+        ranked = ranked.unionByName(parted)
+    planned = ((at, part, first + base, after + base, shard, slot) for at, part, first, after, shard, slot in plan(counts, shards, virtual) for base in (bases.get((at, part), 0),))
+    ranges = df.sparkSession.createDataFrame(list(planned), "cell int, piece int, first long, after long, shard int, slot long")
     # The ranges have a row for each part of a place and at most one more for each virtual node that is full.
     inside = (F.col("at") == F.col("cell")) & (F.col("part") == F.col("piece")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("after"))
     placed = ranked.join(F.broadcast(ranges), inside)
@@ -118,6 +120,19 @@ def place(df: DataFrame, key: str, shards: int, virtual: int = 64, ties: tuple[s
     return placed.select(*kept, "shard", (F.col("slot") + F.col("rank") - F.col("first")).alias("slot"))
 
 
+def _in_ranges(rows: DataFrame, order: tuple[str, ...], parts: int) -> DataFrame:
+    """row, at, part, rank: rows of crowded places in about so many ranges of the order that places have.
+
+    Parts ascend with the order, and so do ranks within a part, without gaps in a place. So the parts of a place, one
+    after the other, are the place in order, wherever they are cut. Only rows that nothing tells apart are cut by their
+    number, which is stored first: a part holds the same rows whenever it is computed.
+    """
+    numbered = durable(rows.withColumn("number", F.monotonically_increasing_id()), "ring-rows")
+    by = ("at", *order, "number")
+    sorted_ = numbered.repartitionByRange(parts, *by).sortWithinPartitions(*by).select("row", "at", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("rank"))
+    return durable(sorted_, "ring-ranges")
+
+
 def shard_texts(df: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, size, text_crc32, law, shard, slot, grown_shard for every row of df."""
     content = F.coalesce(F.col(text), F.lit(""))

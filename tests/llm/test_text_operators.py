@@ -160,6 +160,17 @@ def test_rows_of_one_key_are_dealt_in_parts(spark, monkeypatch):
     assert sorted((r.doc_id or -1, r.text) for r in found) == sorted((k or -1, t) for k, t, _ in rows)
 
 
+def test_places_are_cut_without_a_trace(spark, monkeypatch):
+    """Shards and slots are the same however many rows a part of a place may have, and however rows lie."""
+    rows = [(7 if i % 3 else None if i % 2 else i, f"t{i % 400}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    placed = lambda n: sorted(map(str, ring.place(df.repartition(n), "doc_id", 7, ties=("text",)).collect()))
+    whole = placed(2)
+    for most in (1000, 50):
+        monkeypatch.setattr(ring, "PART_ROWS", most)
+        assert placed(3) == whole and placed(7) == whole
+
+
 # Packing -----------------------------------------------------------------------------------------------------------
 
 
