@@ -7,12 +7,14 @@ Parquet statistics. Positions of one column are apart from those of the next, so
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.fts_query import Node, Op, Phrase, Unsupported, accents, parse, phrases, rewrite
+from factloom.functions.like import wildcard
 from factloom.session import stored
 from factloom.operators.ranking import FULL_TEXT_CHUNK_ORDER, KIND_ORDER, list_chunks, list_symbols, position, search_chunks, search_symbols
 
@@ -163,10 +165,11 @@ def score(found: DataFrame, stats: DataFrame, leaves: list[Phrase]) -> DataFrame
     return scored.select("doc_id", (-total).alias("bm25"))
 
 
-def search(df: DataFrame, index: DataFrame, lens: DataFrame, q: str | None, key: str, kind: str, limit: int | None = 20) -> DataFrame:
+def search(df: DataFrame, index: DataFrame, lens: DataFrame, q: str | None, key: str, kind: str, limit: int | None = 20, matching: Callable[[str], DataFrame] | None = None) -> DataFrame:
     """Rows of df that match, best first: symbols (exact names, kind, BM25) or chunks (type, BM25).
 
-    `*` or nothing lists all; what isn't a full-text query is searched by substring.
+    `*` or nothing lists all; what isn't a full-text query is searched by substring. matching: gives rows of df that can
+    hold a pattern.
     """
     text = rewrite(q)
     symbols = kind == "symbols"
@@ -175,7 +178,8 @@ def search(df: DataFrame, index: DataFrame, lens: DataFrame, q: str | None, key:
     try:
         found = match(index, lens, text)
     except Unsupported:
-        return (search_symbols if symbols else search_chunks)(df, q or "*", limit).drop("rank")
+        some = matching(wildcard(q or "*")) if matching else df
+        return (search_symbols if symbols else search_chunks)(some, q or "*", limit).drop("rank")
     joined = df.join(found, F.col(key) == F.col("doc_id")).drop("doc_id")
     if symbols:
         rank = F.when(F.col("name") == q, 0).when(F.col("qualified_name") == q, 1).otherwise(2)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factloom.config import Config
+from factloom.functions.like import wildcard
 from factloom.functions.limits import first
 from factloom.functions.text import age, callee_type, cognitive, cyclomatic, highlights, line_count, normal_path, simple_name
 from factloom.operators import aggregates, changes, fts, graph, joins, lookup, ranking
@@ -42,19 +43,23 @@ class CodeIndex:
             df = df.filter("symbol_id is not null")
         return df if project is None else df.filter(F.col("project") == project)
 
+    def matching(self, name: str, pattern: str, project: str | None = None) -> DataFrame:
+        """Rows of a table that can be LIKE %pattern%, and maybe others, found by trigrams in a large store."""
+        df = self.store.matching(name, pattern)
+        return df if project is None else df.filter(F.col("project") == project)
+
     def full_text(self, name: str, q: str, limit: int | None, project: str | None) -> DataFrame:
         postings, lengths = (x if project is None else x.filter(F.col("project") == project) for x in self.store.full_text(name))
-        return fts.search(self.table(name, project), postings, lengths, q, "id", name, limit)
+        return fts.search(self.table(name, project), postings, lengths, q, "id", name, limit, lambda p: self.matching(name, p, project))
 
     # Symbols ---------------------------------------------------------------------------------------------------
 
     def find_symbol(self, query: str, limit: int | None = 20, project: str | None = None) -> DataFrame:
-        symbols = self.table("symbols", project)
-        found = ranking.list_symbols(symbols, limit) if query == "*" else ranking.search_symbols(symbols, query, limit)
+        found = ranking.list_symbols(self.table("symbols", project), limit) if query == "*" else ranking.search_symbols(self.matching("symbols", wildcard(query), project), query, limit)
         return lookup.filled(found, name="name", qualified_name="qualified_name", kind="kind", file_path="file_path", start_line="start_line", end_line="end_line", signature="signature")
 
     def search_symbols(self, query: str, kind: str | None = None, annotation: str | None = None, limit: int | None = 20, project: str | None = None) -> DataFrame:
-        symbols, marks = self.table("symbols", project), self.table("annotations", project)
+        symbols, marks = self.matching("symbols", wildcard(query), project), self.table("annotations", project)
         found = ranking.search_symbols(symbols, query, None)
         found = found if not kind else found.filter(lookup.same_ignoring_case(F.col("kind"), kind))
         found = found if not annotation else joins.with_annotation(found, marks, annotation)
@@ -64,11 +69,11 @@ class CodeIndex:
         return first(joined.orderBy(*order), limit).select("name", "qualified_name", "kind", "file_path", "start_line", F.coalesce("annotations", F.array().cast("array<string>")).alias("annotations"))
 
     def find_references(self, symbol_name: str | None = None, symbol_id: int | None = None, limit: int | None = 50, project: str | None = None) -> DataFrame:
-        references, symbols = self.table("code_references", project), self.table("symbols", project)
+        references = self.table("code_references", project)
         if symbol_id is not None:
             found = first(references.filter(F.col("symbol_id") == symbol_id).orderBy("from_file", "from_line"), limit)
         else:
-            found = joins.references_by_name(references, symbols, symbol_name or "", limit)
+            found = joins.references_by_name(references, self.matching("symbols", wildcard(symbol_name or ""), project), symbol_name or "", limit)
         return found.select("from_file", "from_line", "context", "symbol_id")
 
     def get_call_graph(self, method_name: str, direction: str = "both", filter: str = "all", limit: int | None = 50, project: str | None = None) -> DataFrame:
@@ -122,7 +127,7 @@ class CodeIndex:
     # Configuration, dependencies, routes ------------------------------------------------------------------------
 
     def search_config(self, query: str, config_type: str | None = None, limit: int | None = 20, project: str | None = None) -> DataFrame:
-        return lookup.search_config(self.table("config_entries", project), query, config_type, limit).select("key", "value", "config_type", "file_path", "line")
+        return lookup.search_config(self.matching("config_entries", query, project), query, config_type, limit).select("key", "value", "config_type", "file_path", "line")
 
     def find_dependencies(self, query: str = "*", dep_type: str | None = None, limit: int | None = 20, project: str | None = None) -> DataFrame:
         found = lookup.search_dependencies(self.table("dependencies", project), query, dep_type, limit)

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factloom.functions import text as X
-from factloom.operators import aggregates, changes, fts, graph, joins, lookup, ranking
+from factloom.operators import aggregates, changes, fts, graph, joins, lookup, ranking, trigrams
 from factloom.plans.adapters import PART, fact, oracle
 from factloom.plans.registry import query
-from factloom.session import table
+from factloom.session import stored, table
 
 S, D = SparkSession, DataFrame
 KIND = "CASE kind WHEN 'CLASS' THEN 0 WHEN 'METHOD' THEN 1 WHEN 'FIELD' THEN 2 ELSE 3 END"
@@ -229,6 +229,45 @@ def content_search(spark: S, d: str) -> D:
     return ranking.search_chunks(fact(spark, d, "chunks"), "token", None).select("id")
 
 
+# Substrings by trigrams ----------------------------------------------------------------------------------------------
+
+TEXTS = {"symbols": ("qualified_name", "name"), "chunks": ("content", "name", "class_name"), "config_entries": ("key", "value", "content")}
+
+
+def searched(spark: S, d: str, name: str, pattern: str) -> D:
+    """Rows of a fact table that an index of its trigrams, stored first, leaves for a pattern."""
+    df = fact(spark, d, name)
+    return trigrams.within(df, "id", stored(trigrams.postings(df, "id", TEXTS[name])), pattern)
+
+
+_GRAMS = " UNION ALL ".join(f"SELECT id, lower({c}) AS t FROM symbols" for c in TEXTS["symbols"])
+
+
+@query("trigram_postings", oracle(f"SELECT DISTINCT id AS doc_id, substr(t, i, 3) AS gram FROM (SELECT id, t, unnest(generate_series(1, length(t) - 2)) AS i FROM ({_GRAMS}))", "symbols"))
+def trigram_postings(spark: S, d: str) -> D:
+    return trigrams.postings(fact(spark, d, "symbols"), "id", TEXTS["symbols"]).select("doc_id", "gram")
+
+
+@query("trigram_symbols", oracle(ranked("goldenrod", 40), "symbols"))
+def trigram_symbols(spark: S, d: str) -> D:
+    return ranking.search_symbols(searched(spark, d, "symbols", "goldenrod"), "goldenrod", 40).select("name", "qualified_name", "kind", "rank")
+
+
+@query("trigram_symbols_wildcards", oracle(ranked("sup_li*001*_", 30), "symbols"))
+def trigram_symbols_wildcards(spark: S, d: str) -> D:
+    return ranking.search_symbols(searched(spark, d, "symbols", "sup_li%001%_"), "sup_li*001*_", 30).select("name", "qualified_name", "kind", "rank")
+
+
+@query("trigram_chunks", oracle(f"SELECT id FROM chunks WHERE {like('content', '%token%stream%')} OR {like('name', '%token%stream%')} OR {like('class_name', '%token%stream%')}", "chunks"))
+def trigram_chunks(spark: S, d: str) -> D:
+    return ranking.search_chunks(searched(spark, d, "chunks", "token%stream"), "token*stream", None).select("id")
+
+
+@query("trigram_config", oracle(f"SELECT file_path, line, key FROM config_entries WHERE {like('key', '%ick.k1%')} OR {like('value', '%ick.k1%')} OR {like('content', '%ick.k1%')}", "config_entries"))
+def trigram_config(spark: S, d: str) -> D:
+    return lookup.search_config(searched(spark, d, "config_entries", "ICK.k1"), "ICK.k1", limit=None).select("file_path", "line", "key")
+
+
 @query("implementations", oracle("SELECT name, qualified_name FROM symbols WHERE kind = 'CLASS' AND (lower(interfaces_text) LIKE '%nation_1%' OR lower(super_class) LIKE '%nation_1%') ORDER BY qualified_name, file_path LIMIT 20", "symbols"))
 def implementations(spark: S, d: str) -> D:
     return ranking.implementations(fact(spark, d, "symbols"), "NATION_1").select("name", "qualified_name")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as X
 from factloom.operators import call_targets as solver
-from factloom.operators import changes, graph, joins
+from factloom.operators import changes, graph, joins, ranking
 from factloom.plans.registry import query
 from factloom.plans.source_files import TARGETS, TYPED_SOURCES, filled, files, indexed, oracle, write
 from factloom.session import scratch, table
@@ -504,11 +504,26 @@ def increment_postings(spark: S, d: str) -> D:
     return postings.join(names, "doc_id").select("project", "qualified_name", "term", F.expr("cast(shiftright(pos, 40) as int)").alias("part"), F.expr("cast(pos & ((1L << 40) - 1) as bigint)").alias("place"))
 
 
+_SOUGHT = ("%ier0000%", "%class sup%", "%up_lier%1%")
+_HELD = " UNION ALL ".join(f"SELECT '{p}' AS pattern, project, qualified_name FROM symbols WHERE (lower(qualified_name) LIKE '{p}' OR lower(name) LIKE '{p}') AND {LATER.format('')}" for p in _SOUGHT)
+
+
+@query("increment_substrings", oracle(_HELD))
+def increment_substrings(spark: S, d: str) -> D:
+    """Symbols that hold a pattern, by the trigrams that are stored after the batch."""
+    store, found = ingest.Store(spark, grown(spark, d).root), None
+    store.scan_files = 0
+    for p in _SOUGHT:
+        df = ranking.search_symbols(store.matching("symbols", p[1:-1]), p[1:-1], None).select(F.lit(p).alias("pattern"), "project", "qualified_name")
+        found = df if found is None else found.unionByName(df)
+    return found
+
+
 _COUNTED = ("symbols", "calls", "annotations", "config", "dependencies", "routes", "bean_sources", "bindings", "tests")
 _TABLE_OF = {"config": "config_entries", "routes": "api_routes", "bindings": "config_bindings", "tests": "test_mappings"}
 
 
-@query("increment_equals_rebuild", oracle(" UNION ALL ".join([*(f"SELECT '{_TABLE_OF.get(t, t)}' AS part, count(*) AS n, CAST(0 AS BIGINT) AS differs FROM {t} WHERE {LATER.format('')}" for t in _COUNTED), f"SELECT 'file_meta', count(*), CAST(0 AS BIGINT) FROM sources WHERE {LATER.format('')}", *(f"SELECT '{t}', CAST(-1 AS BIGINT), CAST(0 AS BIGINT)" for t in ("code_references", "chunks", "bean_dependencies", "types", "scopes", "code_metrics", "symbols lengths", "symbols postings", "chunks lengths", "chunks postings"))])))
+@query("increment_equals_rebuild", oracle(" UNION ALL ".join([*(f"SELECT '{_TABLE_OF.get(t, t)}' AS part, count(*) AS n, CAST(0 AS BIGINT) AS differs FROM {t} WHERE {LATER.format('')}" for t in _COUNTED), f"SELECT 'file_meta', count(*), CAST(0 AS BIGINT) FROM sources WHERE {LATER.format('')}", *(f"SELECT '{t}', CAST(-1 AS BIGINT), CAST(0 AS BIGINT)" for t in ("code_references", "chunks", "bean_dependencies", "types", "scopes", "code_metrics", "symbols lengths", "symbols postings", "chunks lengths", "chunks postings", "symbols trigrams", "chunks trigrams", "config_entries trigrams"))])))
 def increment_equals_rebuild(spark: S, d: str) -> D:
     """Of every table and index how many rows there are after the batch (-1: not counted), and how many differ from a rebuild's."""
     store, fresh = grown(spark, d), ingest.Store(spark, f"{scratch(spark, 'rebuilt')}-{len(_runs)}")

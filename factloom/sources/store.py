@@ -7,6 +7,7 @@ segments are taken into later ones, as digits carry in a binary counter, so a ta
 
 The full-text index is stored like tables: the postings of a segment's rows, sorted by term. What a later segment holds
 of a bucket hides what an earlier one says of it, and counts and lengths are added up over segments when they are read.
+So are trigrams, by which a search for a substring finds the buckets and rows that can hold it.
 
 Of every file of a segment length, checksum and buckets are written down, so that damage is found and its extent known.
 """
@@ -24,7 +25,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import fts
+from factloom.operators import fts, trigrams
 from factloom.schemas import DDL, FILE_COLUMN, schema
 
 #: Buckets are a power of two, for about so many files each.
@@ -38,8 +39,12 @@ GRACE_MS, LEASE_MS = 3_600_000, 86_400_000
 FULL_TEXT = {"symbols": ("name", "qualified_name", "signature"), "chunks": ("name", "content", "package_name", "class_name")}
 #: The parts of an index of a table.
 INDEX = {"postings": "project string, doc_id bigint, term string, pos bigint", "lengths": "project string, doc_id bigint, dl int"}
+#: The columns of a table that are searched for substrings.
+SUBSTRINGS = {"symbols": ("qualified_name", "name"), "chunks": ("content", "name", "class_name"), "config_entries": ("key", "value", "content")}
+#: Tables of fewer files than this are read whole: an index's own jobs take longer.
+SCAN_FILES = 4096
 #: All that segments hold, with its columns.
-PARTS = DDL | {f"full_text/{t}/{part}": ddl for t in FULL_TEXT for part, ddl in INDEX.items()}
+PARTS = DDL | {f"full_text/{t}/{part}": ddl for t in FULL_TEXT for part, ddl in INDEX.items()} | {f"full_text/{t}/trigrams": "project string, doc_id bigint, gram string" for t in SUBSTRINGS}
 
 
 class Outrun(RuntimeError):
@@ -88,6 +93,11 @@ class Manifest:
     def segments(self) -> set[str]:
         return {h.segment for held in self.parts.values() for h in held}
 
+    def covers(self, index: str, part: str) -> bool:
+        """Whether an index has all buckets of a part: that of a store which was written without one hasn't."""
+        owned = lambda p: {b for h in self.parts.get(p, []) for b in h.owned(self.buckets)}
+        return owned(index) >= owned(part)
+
     def absorbed(self, part: str, written: set[int]) -> set[int]:
         """Buckets of the youngest segments that are no larger than what is written after them: they go into it."""
         found: set[int] = set()
@@ -135,6 +145,8 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._pin: list[Manifest] = []
+        #: The least number of files at which substrings are searched by trigrams.
+        self.scan_files = SCAN_FILES
 
     # Files -----------------------------------------------------------------------------------------------------
 
@@ -223,6 +235,20 @@ class Store:
         """The index of a table's texts: postings (project, doc_id, term, pos), lengths (project, doc_id, dl)."""
         return tuple(self.rows(f"full_text/{name}/{part}").drop("_bucket") for part in INDEX)  # type: ignore[return-value]
 
+    def matching(self, name: str, pattern: str) -> DataFrame:
+        """The rows of a table of SUBSTRINGS that can be LIKE %pattern% in one of its columns, and maybe others.
+
+        Only the buckets of rows with the pattern's trigrams are read; their numbers come to the driver. A pattern without
+        a trigram, a small store and one without an index are read whole.
+        """
+        at, part, wanted = self.manifest(), f"full_text/{name}/trigrams", trigrams.grams(pattern)
+        if not wanted or at.files < self.scan_files or not at.covers(part, name):
+            return self.table(name)
+        found = trigrams.candidates(self.rows(part), wanted)
+        buckets = {r["_bucket"] for r in found.select("_bucket").distinct().collect()}  # at most MOST_BUCKETS
+        rows = self.rows(name, only=buckets)
+        return rows.join(found.select(F.col("doc_id").alias("id")), "id", "left_semi").select(*schema(name).names)
+
     # Writing ---------------------------------------------------------------------------------------------------
 
     def write(self, change: Change, after: Manifest) -> Manifest:
@@ -238,8 +264,11 @@ class Store:
                 return
             rows.select(*schema(name).names, "_bucket").repartition("_bucket").sortWithinPartitions("_bucket").write.parquet(path)
             written[name] = own
+            texts = self.spark.read.schema(f"{DDL[name]}, _bucket int").parquet(path)
+            if name in SUBSTRINGS:
+                trigrams.write_index(texts, "id", SUBSTRINGS[name], f"{at}/full_text/{name}/trigrams")
+                written[f"full_text/{name}/trigrams"] = own
             if name in FULL_TEXT:
-                texts = self.spark.read.schema(f"{DDL[name]}, _bucket int").parquet(path)
                 fts.write_index(texts, "id", FULL_TEXT[name], f"{at}/full_text/{name}")
                 written.update({f"full_text/{name}/{part}": own for part in INDEX})
 
