@@ -1,7 +1,7 @@
 """Substring search by trigrams: an index says which rows can hold a pattern, and only they are checked against it.
 
-The index has a row for each distinct run of three letters (ASCII letters in lower case) of a document's columns. It is
-stored sorted by trigram in small row groups, so that a query reads those of its trigrams; of many trigrams the rarest
+The index has a row for each distinct run of three letters (ASCII letters in lower case) of a document's columns; a
+document is what the key says, one row or all rows of a file. It is stored sorted by trigram in small row groups, so that a query reads those of its trigrams; of many trigrams the rarest
 are intersected. What is left is a superset of the rows that match: `like` decides, so answers equal those of a scan.
 """
 
@@ -33,15 +33,15 @@ def grams(pattern: str) -> list[str]:
 
 
 def postings(df: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
-    """doc_id, gram (and project, _bucket where df has them) for every distinct trigram of a document's columns."""
+    """doc_id, gram (and project, _bucket where df has them) for every distinct trigram of a row's columns."""
     own = [c for c in ("project", "_bucket") if c in df.columns]
     runs = [F.regexp_extract_all(fold(F.coalesce(F.col(c), F.lit(""))), F.lit(_RUNS), F.lit(1)) for c in columns]
     return df.select(*own, F.col(key).alias("doc_id"), F.explode(F.array_distinct(F.concat(*runs))).alias("gram"))
 
 
 def write_index(df: DataFrame, key: str, columns: tuple[str, ...], path: str) -> None:
-    """Stores the postings under path, in ranges of trigrams and documents, sorted."""
-    ranges = postings(df, key, columns).repartitionByRange("gram", "doc_id").sortWithinPartitions("gram", "doc_id")
+    """Stores the distinct postings under path, in ranges of trigrams and documents, sorted."""
+    ranges = postings(df, key, columns).distinct().repartitionByRange("gram", "doc_id").sortWithinPartitions("gram", "doc_id")
     ranges.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(path)
 
 

@@ -248,9 +248,9 @@ def trigram_postings(spark: S, d: str) -> D:
     return trigrams.postings(fact(spark, d, "symbols"), "id", TEXTS["symbols"]).select("doc_id", "gram")
 
 
-@query("trigram_symbols", oracle(ranked("goldenrod", 40), "symbols"))
+@query("trigram_symbols", oracle(ranked("mall*widge", 40), "symbols"))
 def trigram_symbols(spark: S, d: str) -> D:
-    return ranking.search_symbols(searched(spark, d, "symbols", "goldenrod"), "goldenrod", 40).select("name", "qualified_name", "kind", "rank")
+    return ranking.search_symbols(searched(spark, d, "symbols", "mall%widge"), "mall*widge", 40).select("name", "qualified_name", "kind", "rank")
 
 
 @query("trigram_symbols_wildcards", oracle(ranked("sup_li*001*_", 30), "symbols"))
@@ -258,9 +258,9 @@ def trigram_symbols_wildcards(spark: S, d: str) -> D:
     return ranking.search_symbols(searched(spark, d, "symbols", "sup_li%001%_"), "sup_li*001*_", 30).select("name", "qualified_name", "kind", "rank")
 
 
-@query("trigram_chunks", oracle(f"SELECT id FROM chunks WHERE {like('content', '%token%stream%')} OR {like('name', '%token%stream%')} OR {like('class_name', '%token%stream%')}", "chunks"))
+@query("trigram_chunks", oracle(f"SELECT id FROM chunks WHERE {like('content', '%eren%tion %')} OR {like('name', '%eren%tion %')} OR {like('class_name', '%eren%tion %')}", "chunks"))
 def trigram_chunks(spark: S, d: str) -> D:
-    return ranking.search_chunks(searched(spark, d, "chunks", "token%stream"), "token*stream", None).select("id")
+    return ranking.search_chunks(searched(spark, d, "chunks", "eren%tion "), "eren*tion ", None).select("id")
 
 
 @query("trigram_config", oracle(f"SELECT file_path, line, key FROM config_entries WHERE {like('key', '%ick.k1%')} OR {like('value', '%ick.k1%')} OR {like('content', '%ick.k1%')}", "config_entries"))

@@ -264,10 +264,11 @@ def reference_names(spark: S, d: str) -> D:
     return parsed(spark, d, "references", "java").select("context", X.reference_name(F.col("context")).alias("ref_name"))
 
 
-@query("http_verbs", "SELECT name, CASE name WHEN 'GetMapping' THEN 'GET' WHEN 'PostMapping' THEN 'POST' WHEN 'PutMapping' THEN 'PUT' WHEN 'DeleteMapping' THEN 'DELETE' WHEN 'PatchMapping' THEN 'PATCH' WHEN 'RequestMapping' THEN 'GET' END AS verb FROM (SELECT unnest(['GetMapping', 'PostMapping', 'PutMapping', 'DeleteMapping', 'PatchMapping', 'RequestMapping', 'Bean']) AS name)")
+@query("http_verbs", oracle("SELECT project, owner, name, CASE name WHEN 'GetMapping' THEN 'GET' WHEN 'PostMapping' THEN 'POST' WHEN 'PutMapping' THEN 'PUT' WHEN 'DeleteMapping' THEN 'DELETE' WHEN 'PatchMapping' THEN 'PATCH' WHEN 'RequestMapping' THEN 'GET' END AS verb FROM annotations"))
 def http_verbs(spark: S, d: str) -> D:
-    names = spark.range(1).select(F.explode(F.array(*map(F.lit, (*X.HTTP_ANNOTATIONS, "Bean")))).alias("name"))
-    return names.select("name", X.http_verb(F.col("name")).alias("verb"))
+    index = indexed(spark, d)
+    owners = index.table("symbols").select(F.col("id").alias("symbol_id"), F.col("qualified_name").alias("owner"))
+    return index.table("annotations").join(owners, "symbol_id").select("project", "owner", "name", X.http_verb(F.col("name")).alias("verb"))
 
 
 @query("clean_strings", oracle("SELECT project, owner, trim(replace(replace(coalesce(value, ''), '\"', ''), '''', '')) AS value FROM annotations"))
@@ -286,10 +287,14 @@ def line_counts(spark: S, d: str) -> D:
     return files(spark, d).select("project", "file_path", X.line_count(F.col("content")).cast("bigint").alias("lines"))
 
 
-@query("callee_rules", "SELECT name, kind FROM (VALUES ('', 'UNKNOWN'), ('java.util.List.of', 'JDK'), ('jdk.x.y', 'JDK'), ('kotlin.io.println', 'KOTLIN_SCALA_STD'), ('org.slf4j.Logger.info', 'LOGGING'), ('x -> y', 'LAMBDA'), ('xs.map', 'STREAM'), ('Optional.empty', 'OPTIONAL'), ('o.orElse', 'OPTIONAL'), ('Map.of', 'STATIC_METHOD'), ('\"a\".trim', 'STRING_LITERAL'), ('5.toString', 'NUMBER_LITERAL'), ('a(b).c', 'CHAIN_CALL'), ('r.kind()', 'RECORD_ACCESSOR'), ('Util.go', 'STATIC_METHOD'), ('v.go', 'VARIABLE_METHOD'), ('go', 'UNKNOWN')) t(name, kind)")
+#: A callee of each kind, about a thing of the tables.
+_CALLEES = (("", "UNKNOWN"), ("java.util.{}.of", "JDK"), ("jdk.x.{}", "JDK"), ("kotlin.io.{}", "KOTLIN_SCALA_STD"), ("org.slf4j.{}.info", "LOGGING"), ("{} -> y", "LAMBDA"), ("{}.map", "STREAM"), ("Optional.{}", "OPTIONAL"), ("{}.orElse", "OPTIONAL"), ("Map.of", "STATIC_METHOD"), ('"{}".trim', "STRING_LITERAL"), ("5.{}", "NUMBER_LITERAL"), ("{}(b).c", "CHAIN_CALL"), ("{}.kind()", "RECORD_ACCESSOR"), ("U{}.go", "STATIC_METHOD"), ("v{}.go", "VARIABLE_METHOD"), ("{}", "UNKNOWN"))
+_CALLEE = "CASE p_partkey % 17 " + " ".join(f"WHEN {i} THEN replace('{name}', '{{}}', 'p' || CAST(p_partkey AS STRING))" for i, (name, _) in enumerate(_CALLEES)) + " END"
+
+
+@query("callee_rules", f"SELECT p_partkey, {_CALLEE} AS name, CASE p_partkey % 17 " + " ".join(f"WHEN {i} THEN '{kind}'" for i, (_, kind) in enumerate(_CALLEES)) + " END AS kind FROM part")
 def callee_rules(spark: S, d: str) -> D:
-    names = ("", "java.util.List.of", "jdk.x.y", "kotlin.io.println", "org.slf4j.Logger.info", "x -> y", "xs.map", "Optional.empty", "o.orElse", "Map.of", '"a".trim', "5.toString", "a(b).c", "r.kind()", "Util.go", "v.go", "go")
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, names))).alias("name")).select("name", X.callee_type(F.col("name")).alias("kind"))
+    return table(spark, d, "part").selectExpr("p_partkey", f"{_CALLEE} AS name").select("p_partkey", "name", X.callee_type(F.col("name")).alias("kind"))
 
 
 @query("cut_chunks", "SELECT doc_id, CASE WHEN n > 20 THEN array_to_string(parts[1:19], chr(10)) || chr(10) || '// ... (truncated, total ' || CAST(n AS STRING) || ' lines)' ELSE text END AS content FROM (SELECT doc_id, text, string_split(text, chr(10)) AS parts, len(string_split(text, chr(10))) AS n FROM documents)")
@@ -601,11 +606,22 @@ def events_settled(spark: S, d: str) -> D:
     return spark.read.schema("path string, op string, at bigint, sha1 string").parquet(f"{root}/out").filter("op <> 'END'").select("path", F.col("at").alias("at_ms"))
 
 
-@query("module_recursion", "SELECT * FROM (VALUES ('', 0), ('a', 1), ('a/b', 2), ('a/b/c', 3)) t(path, depth)")
+#: A tree of folders: regions, their nations and those nations' suppliers; some folders aren't there, with all below them.
+_FOLDERS = """
+SELECT '' AS directory, 'r' || r_regionkey AS module, r_regionkey % 5 <> 3 AS present FROM {region}
+UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey, n_nationkey % 7 <> 0 FROM {nation}
+UNION ALL SELECT 'r' || n_regionkey || '/n' || n_nationkey, 's' || s_suppkey, s_suppkey % 3 <> 0 FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey"""
+_MODULES = """
+SELECT '' AS path, 0 AS depth UNION ALL SELECT 'r' || r_regionkey, 1 FROM region WHERE r_regionkey % 5 <> 3
+UNION ALL SELECT 'r' || n_regionkey || '/n' || n_nationkey, 2 FROM nation WHERE n_regionkey % 5 <> 3 AND n_nationkey % 7 <> 0
+UNION ALL SELECT 'r' || n_regionkey || '/n' || n_nationkey || '/s' || s_suppkey, 3 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey % 5 <> 3 AND n_nationkey % 7 <> 0 AND s_suppkey % 3 <> 0"""
+
+
+@query("module_recursion", _MODULES)
 def module_recursion(spark: S, d: str) -> D:
-    declared = spark.createDataFrame([("", "a"), ("", "gone"), ("a", "b"), ("a/b", "c"), ("x", "y")], "directory string, module string")
-    present = spark.createDataFrame([("",), ("a",), ("a/b",), ("a/b/c",), ("x",), ("x/y",)], "directory string")
-    return graph.modules(declared, present)
+    folders = spark.sql(_FOLDERS, **{t: table(spark, d, t) for t in ("region", "nation", "supplier")})
+    present = folders.filter("present").select(F.when(F.col("directory") == "", F.col("module")).otherwise(F.concat_ws("/", "directory", "module")).alias("directory"))
+    return graph.modules(folders.select("directory", "module"), present)
 
 
 @query("highlight_spans", "SELECT doc_id, list_transform(range(1, len(gaps)), lambda i: list_sum(list_transform(gaps[:i], lambda g: length(g))) + (i - 1) * 5) AS starts FROM (SELECT doc_id, string_split(lower(text), 'token') AS gaps FROM documents WHERE lower(text) LIKE '%token%')")

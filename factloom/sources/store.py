@@ -7,7 +7,7 @@ segments are taken into later ones, as digits carry in a binary counter, so a ta
 
 The full-text index is stored like tables: the postings of a segment's rows, sorted by term. What a later segment holds
 of a bucket hides what an earlier one says of it, and counts and lengths are added up over segments when they are read.
-So are trigrams, by which a search for a substring finds the buckets and rows that can hold it.
+So are the trigrams of files, by which a search for a substring finds the files and buckets that can hold it.
 
 Of every file of a segment length, checksum and buckets are written down, so that damage is found and its extent known.
 """
@@ -132,6 +132,11 @@ def bucket(buckets: int, table: str) -> Column:
     return F.pmod(F.xxhash64("project", named) if named else F.xxhash64("project"), F.lit(buckets)).cast("int")
 
 
+def file_key(table: str) -> Column:
+    """The file of a table's row as a number."""
+    return F.xxhash64("project", FILE_COLUMN[table])
+
+
 def together(work: list[Callable[[], None]]) -> None:
     """Runs jobs side by side; the first error is raised when all have ended."""
     with ThreadPoolExecutor(AT_ONCE) as pool:
@@ -238,7 +243,8 @@ class Store:
     def matching(self, name: str, pattern: str) -> DataFrame:
         """The rows of a table of SUBSTRINGS that can be LIKE %pattern% in one of its columns, and maybe others.
 
-        Only the buckets of rows with the pattern's trigrams are read; their numbers come to the driver. A pattern without
+        They are those of the files with the pattern's trigrams; only these files' buckets are read, and the buckets'
+        numbers come to the driver. A pattern without
         a trigram, a small store and one without an index are read whole.
         """
         at, part, wanted = self.manifest(), f"full_text/{name}/trigrams", trigrams.grams(pattern)
@@ -246,8 +252,8 @@ class Store:
             return self.table(name)
         found = trigrams.candidates(self.rows(part), wanted)
         buckets = {r["_bucket"] for r in found.select("_bucket").distinct().collect()}  # at most MOST_BUCKETS
-        rows = self.rows(name, only=buckets)
-        return rows.join(found.select(F.col("doc_id").alias("id")), "id", "left_semi").select(*schema(name).names)
+        rows = self.rows(name, only=buckets).withColumn("_file", file_key(name))
+        return rows.join(found.select(F.col("doc_id").alias("_file")), "_file", "left_semi").select(*schema(name).names)
 
     # Writing ---------------------------------------------------------------------------------------------------
 
@@ -266,7 +272,7 @@ class Store:
             written[name] = own
             texts = self.spark.read.schema(f"{DDL[name]}, _bucket int").parquet(path)
             if name in SUBSTRINGS:
-                trigrams.write_index(texts, "id", SUBSTRINGS[name], f"{at}/full_text/{name}/trigrams")
+                trigrams.write_index(texts.withColumn("_file", file_key(name)), "_file", SUBSTRINGS[name], f"{at}/full_text/{name}/trigrams")
                 written[f"full_text/{name}/trigrams"] = own
             if name in FULL_TEXT:
                 fts.write_index(texts, "id", FULL_TEXT[name], f"{at}/full_text/{name}")
