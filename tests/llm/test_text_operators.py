@@ -137,7 +137,7 @@ def test_ring_plan_equals_a_walk_and_moves_little():
     even = {(p, 0): 1 for p in range(0, 1 << 14, 16)}
     owner = [{(p, k): s for p, _, a, b, s, _ in ring.plan(even, n, 64) for k in range(a, b)} for n in (8, 9)]
     moved = sum(owner[0][k] != owner[1][k] for k in owner[0])
-    assert moved / len(owner[0]) < 0.45  # a new modulus would move eight in nine
+    assert moved / len(owner[0]) < 0.2  # a new modulus would move eight in nine; one in nine must move
 
 
 def test_ring_of_many_shards(spark):
