@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factloom.config import FILES, Config, load
-from factloom.session import stored
+from factloom.session import shuffled, stored
 from factloom.sources import files as sources
 from factloom.sources import ingest
 from factloom.sources.ingest import Store
@@ -30,7 +30,7 @@ def wanted(events: DataFrame, exclude: tuple[str, ...] = sources.EXCLUDED) -> Da
 def confirmed(events: DataFrame, meta: DataFrame) -> DataFrame:
     """Events that change something: content that differs from what is indexed, deletions of what is."""
     known = meta.select(F.col("file_path").alias("path"), F.col("sha1").alias("_sha1"))
-    joined = events.join(known, "path", "left")
+    joined = events.join(shuffled(known), "path", "left")
     real = F.when(F.col("op") == "DELETE", F.col("_sha1").isNotNull()).otherwise(~F.col("sha1").eqNullSafe(F.col("_sha1")))
     return joined.filter(real).drop("_sha1")
 
@@ -46,7 +46,7 @@ def apply_batch(store: Store, root: str, project: str, events: DataFrame, config
     paths = real.filter("op <> 'DELETE'").select(F.col("path").alias("file_path"))
     gone = real.filter("op = 'DELETE'").select(F.col("path").alias("file_path"))
     touched = sources.scan(store.spark, root, project, config.exclude_patterns, config.include_patterns, config.max_file_size_kb, paths)
-    others = store.table("file_meta").join(paths.unionByName(gone).withColumn("project", F.lit(project)), ["project", "file_path"], "left_anti")
+    others = store.table("file_meta").join(shuffled(paths.unionByName(gone).withColumn("project", F.lit(project))), ["project", "file_path"], "left_anti")
     kept = others.select("project", "file_path", sources.kind(F.col("file_path")).alias("lang"), "size", "last_modified", "sha1", F.lit(None).cast("string").alias("content"))
     return ingest.index(store, kept.unionByName(touched.select(*kept.columns)), full_listing=True)
 
