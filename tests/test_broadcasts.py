@@ -64,3 +64,14 @@ def test_full_text(spark, sf):
     # One row of statistics goes to the tasks, and nothing else.
     found = fts.search(index.table("symbols"), postings, lens, "Base3", "id", "symbols", None)
     assert broadcasts(found) <= 2
+
+
+def test_dead_code_sees_each_referred_symbol_once(spark):
+    from factloom.operators import joins
+
+    symbols = spark.createDataFrame([(i, f"s{i}", "a.java", 1, "FIELD", f"s{i}", 1) for i in range(4)], "id bigint, qualified_name string, file_path string, start_line int, kind string, name string, modifiers int")
+    references = spark.range(0, 10_000, 1, 4).select((F.col("id") % 2).alias("symbol_id"))
+    found = joins.dead_code(symbols, references)
+    assert broadcasts(found) == 0 and {r.id for r in found.collect()} == {2, 3}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan.split("LeftAnti")[1]
