@@ -80,3 +80,14 @@ def test_components(edges):
     few = edges.filter("source not like 'b%'")
     assert {tuple(r) for r in graph.on_cycles(few).select("source", "target").collect()} == {("c1", "c2"), ("c2", "c1"), ("d", "d")}
     assert graph.on_cycles(edges).select("part").distinct().count() == 3
+
+
+def test_a_search_around_a_node_leaves_other_components_alone(spark, monkeypatch):
+    """Of two hundred rings only the node's own is written out again."""
+    written = []
+    stored = graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df: written.append(stored(df)) or written[-1])
+    rings = spark.range(1000).selectExpr("concat('r', id) AS source", "concat('r', id - id % 5 + (id + 1) % 5) AS target")
+    assert [r.path for r in graph.cycles(rings, through="r7").collect()] == [["r5", "r6", "r7", "r8", "r9", "r5"]]
+    assert sorted(df.count() for df in written)[-2] < 50
+    assert graph.cycles(rings, through="none").isEmpty()
