@@ -148,15 +148,16 @@ class LastAfterPause(StatefulProcessor):
         self.held = handle.getValueState("held", "op string, at bigint, sha1 string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(rows).sort_values(["at", "op"])
-        held = self.held.get() if self.held.exists() else None
+        # A key has few events: plain lists, and as few calls to the state as do, since each is answered by the JVM.
+        events = sorted((e for df in rows for e in zip(df["op"], df["at"], df["sha1"], strict=True)), key=lambda e: (e[1], e[0]))
+        held = before = self.held.get()
         done = []
-        for op, at, sha1 in zip(events["op"], events["at"], events["sha1"], strict=True):
+        for op, at, sha1 in events:
             if held is not None and at - held[1] > self.pause_ms:  # quiet in between
                 done.append((key[0], *held))
             if held is None or (at, op) >= (held[1], held[0]):
                 held = op, int(at), sha1
-        for t in list(self.handle.listTimers()):
+        for t in list(self.handle.listTimers()) if before is not None else ():  # a path has a timer while it is held
             self.handle.deleteTimer(t)
         self.held.update(held)
         # One more than the pause, so that an event at its very end still counts.
@@ -164,12 +165,14 @@ class LastAfterPause(StatefulProcessor):
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.pause_ms + 1)
         else:
             self.handle.registerTimer(max(held[1] + self.pause_ms + 1, timerValues.getCurrentWatermarkInMs() + 1))
-        yield _events(done)
+        if done:
+            yield _events(done)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = self.held.get() if self.held.exists() else None
-        self.held.clear()
-        yield _events([] if held is None else [(key[0], *held)])
+        held = self.held.get()
+        if held is not None:
+            self.held.clear()
+            yield _events([(key[0], *held)])
 
     def close(self) -> None:
         pass

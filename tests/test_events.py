@@ -5,6 +5,7 @@ import os
 import time
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from factloom.sources import files, walk
 from factloom.streaming import events
@@ -100,3 +101,46 @@ def test_edits_over_several_batches_are_one_event(spark, tmp_path):
     events.settled(source, 500, "10 seconds").writeStream.format("memory").queryName("settled").trigger(availableNow=True).start().awaitTermination()
     found = {tuple(r) for r in spark.table("settled").collect()}
     assert found == {("a", "MODIFY", 1400, "2"), ("a", "MODIFY", 5000, "3"), ("b", "CREATE", 1100, "t"), ("c", "DELETE", 2100, None), ("d", "DELETE", 1200, None), ("e", "CREATE", 5000, "v"), ("e", "MODIFY", 9000, "w")}
+
+
+def test_a_key_of_few_events_makes_no_table():
+    """Nothing is given for a path that is still held, and its first event asks the state once."""
+    calls = []
+
+    class State:
+        value = None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    class Handle:
+        def listTimers(self):
+            calls.append("timers")
+            return iter([1])
+
+        def deleteTimer(self, t):
+            pass
+
+        def registerTimer(self, t):
+            self.at = t
+
+    class Time:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    held = events.LastAfterPause(500, False)
+    held.handle, held.held = Handle(), State()
+    rows = pd.DataFrame({"op": ["MODIFY", "DELETE", "CREATE"], "at": [200, 200, 100], "sha1": [None, None, "a"]})
+    assert list(held.handleInputRows(("p",), iter([rows]), Time())) == [] and calls == ["get"]
+    assert held.held.value == ("MODIFY", 200, None) and held.handle.at == 701
+    later = pd.DataFrame({"op": ["MODIFY"], "at": [900], "sha1": ["b"]})
+    assert [tuple(r) for df in held.handleInputRows(("p",), iter([later]), Time()) for r in df.itertuples(index=False)] == [("p", "MODIFY", 200, None)]
+    assert [tuple(r) for df in held.handleExpiredTimer(("p",), Time(), None) for r in df.itertuples(index=False)] == [("p", "MODIFY", 900, "b")]
+    assert list(held.handleExpiredTimer(("p",), Time(), None)) == []
