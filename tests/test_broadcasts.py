@@ -75,3 +75,12 @@ def test_dead_code_sees_each_referred_symbol_once(spark):
     assert broadcasts(found) == 0 and {r.id for r in found.collect()} == {2, 3}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan.split("LeftAnti")[1]
+
+
+def test_first_classes_of_all_files(spark, sf):
+    from factloom.operators import joins
+
+    index = indexed(spark, sf)
+    assert broadcasts(joins.route_controllers(index.table("api_routes"), index.table("symbols"))) == 0
+    assert broadcasts(joins.bean_owners(index.table("bean_dependencies"), index.table("symbols"))) == 0
+    assert broadcasts(index.find_route("GET", "/s1")) == 0
