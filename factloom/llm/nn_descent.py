@@ -12,7 +12,9 @@ beam is expanded, and the hops end with the last query's. Beam and pivots grow w
 doesn't sink with it. The beam's vectors are then scored in double precision on the original components.
 
 The index has the neighbours' ids and each vector once, and is bucketed by node: a hop shuffles what the queries ask
-for, not the index. What a much-listed node is offered is merged in parts before it meets in one place.
+for, not the index. What a much-listed node is offered is merged in parts before it meets in one place. Rows are dealt
+out once for all that is asked of them in one place, so a round has six shuffles and a hop four, and what is grouped
+is merged and written by as many tasks as its rows are worth: the driver's memory goes with the number of tasks.
 
 Vectors null, zero, or with null or non-finite components take no part, nor do those of another than the most common
 length (ties: the smaller). Null ids take no part. Rows that repeat id and vector are one; rows of one id with different
@@ -40,7 +42,10 @@ OFFERS = 12
 #: Offers to a node that are merged in one place, about.
 LISTED = 512
 SETTLED = 0.01
-EXPANDED = 24
+#: Nodes of a beam that a hop expands. Hops are jobs, which the driver keeps account of: few large ones.
+EXPANDED = 64
+#: Nodes, or queries, that a task merges, about.
+ROWS_A_TASK = 512
 
 
 def pivots_for(nodes: int) -> int:
@@ -85,16 +90,22 @@ def nodes(rows: DataFrame, keep: int) -> DataFrame:
     return found.select(F.xxhash64("first", "vector").alias("node"), "ids", "vector", "unit")
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df, of about so many rows, in no more tasks than they are worth (and those that can run, twice), without a shuffle."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / ROWS_A_TASK)))
+
+
 def _top(ids: np.ndarray, near: np.ndarray, k: int) -> tuple[list[int], list[float]]:
     order = np.lexsort((ids, -near))[:k]
     return ids[order].tolist(), near[order].tolist()
 
 
 def _merge(grouped: DataFrame) -> DataFrame:
-    """node, ids, near, fresh: the best neighbours of each node. grouped: node, lists array<(old, ids, near)>."""
+    """node, ids, near, fresh: the best neighbours of each node. grouped: node, lists array<(old, ids, near)>; unit stays if it is there."""
+    own = [c for c in ("unit",) if c in grouped.columns]
 
     def rows(found: Iterator[tuple]) -> Iterator[tuple]:
-        for node, olds, lists, nears in found:
+        for node, olds, lists, nears, *unit in found:
             ids = np.fromiter(chain.from_iterable(lists), np.int64)
             near = np.fromiter(chain.from_iterable(nears), np.float32)
             # The best similarity of each id, then the best ids.
@@ -105,13 +116,13 @@ def _merge(grouped: DataFrame) -> DataFrame:
             first &= ids != node
             best, score = _top(ids[first], near[first], NEIGHBOURS)
             old = {i for was, held in zip(olds, lists, strict=True) if was for i in held}
-            yield node, best, score, [i not in old for i in best]
+            yield node, best, score, [i not in old for i in best], *unit
 
-    return map_rows(grouped.select("node", "lists.old", "lists.ids", "lists.near"), rows, "node bigint, ids array<bigint>, near array<float>, fresh array<boolean>")
+    return map_rows(grouped.select("node", "lists.old", "lists.ids", "lists.near", *own), rows, "node bigint, ids array<bigint>, near array<float>, fresh array<boolean>" + ", unit binary" * len(own))
 
 
-def start(points: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """The first graph, from blocks around pivots. points: node, unit."""
+def start(points: DataFrame, pivots: np.ndarray, total: int) -> DataFrame:
+    """The first graph (node, ids, near, fresh, unit), from blocks around pivots. points: node, unit."""
 
     def nearest(found: Iterator[tuple]) -> Iterator[tuple]:
         for node, unit in found:
@@ -136,23 +147,27 @@ def start(points: DataFrame, pivots: np.ndarray) -> DataFrame:
                 yield ids[i], ids[take].tolist(), sims[i, take].tolist()
 
     found = map_rows(blocks.groupBy("pivot", "part").agg(F.collect_list(F.struct("node", "unit")).alias("members")).select("members.node", "members.unit"), local, "node bigint, ids array<bigint>, near array<float>")
-    return _merge(found.groupBy("node").agg(F.collect_list(_entry(False)).alias("lists")))
+    # Every node is in some block.
+    return _merge(few(found.groupBy("node").agg(F.collect_list(_entry(False)).alias("lists")), total)).join(points.select("node", "unit"), "node")
 
 
 def _entry(old: bool):
     return F.struct(F.lit(old).alias("old"), "ids", "near")
 
 
-def descend(graph: DataFrame, points: DataFrame, turn: int) -> DataFrame:
+def descend(graph: DataFrame, turn: int, total: int) -> DataFrame:
     """One round: neighbours and reverse neighbours of every node meet."""
     edges = graph.select("node", F.explode(F.arrays_zip("ids", "fresh")).alias("e")).select("node", F.col("e.ids").alias("to"), F.col("e.fresh").alias("fresh"))
     backward = edges.select(F.col("to").alias("node"), F.col("node").alias("to"), "fresh")
     order = Window.partitionBy("node").orderBy(F.desc("fresh"), F.xxhash64(F.lit(turn), "to", "node"))
     sampled = backward.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= REVERSE).drop("_rank")
-    met = edges.unionByName(sampled).groupBy("node", "to").agg(F.max("fresh").alias("fresh"))
-    worst = graph.select(F.col("node").alias("to"), F.when(F.size("near") < NEIGHBOURS, F.lit(-2.0)).otherwise(F.array_min("near")).cast("float").alias("worst"))
-    listed = edges.groupBy("to").agg(F.ceil(F.count(F.lit(1)) / LISTED).cast("int").alias("parts"))
-    known = points.select(F.col("node").alias("to"), "unit").join(worst, "to").join(listed, "to", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    # All that a node is asked for meets it in one place, where all edges to it are, and are counted.
+    asked = edges.withColumn("forward", F.lit(1)).unionByName(sampled.withColumn("forward", F.lit(0))).repartition("to")
+    met = asked.groupBy("node", "to").agg(F.max("fresh").alias("fresh"), F.max("forward").alias("forward"))
+    listed = F.sum("forward").over(Window.partitionBy("to"))
+    met = met.withColumn("parts", F.greatest(F.lit(1), F.ceil(listed / LISTED)).cast("int")).drop("forward")
+    worst = F.when(F.size("near") < NEIGHBOURS, F.lit(-2.0)).otherwise(F.array_min("near")).cast("float")
+    known = graph.select(F.col("node").alias("to"), "unit", worst.alias("worst"))
     members = met.join(known, "to").groupBy("node").agg(F.collect_list(F.struct("to", "fresh", "unit", "worst", "parts")).alias("m"), F.max("fresh").alias("any")).filter("any and size(m) > 1")
 
     def local(found: Iterator[tuple]) -> Iterator[tuple]:
@@ -170,11 +185,13 @@ def descend(graph: DataFrame, points: DataFrame, turn: int) -> DataFrame:
                     j = j[np.argpartition(-sims[i, j], OFFERS - 1)[:OFFERS]]
                 yield tos[i], at % parts[i] if parts[i] > 1 else None, ids[j].tolist(), sims[i, j].tolist()
 
-    offers = map_rows(members.select("node", "m.to", "m.fresh", "m.unit", "m.worst", "m.parts"), local, "node bigint, part bigint, ids array<bigint>, near array<float>")
+    offers = map_rows(few(members, total).select("node", "m.to", "m.fresh", "m.unit", "m.worst", "m.parts"), local, "node bigint, part bigint, ids array<bigint>, near array<float>")
     offers = durable(offers, "ann-offers")
     crowded = offers.filter("part is not null").groupBy("node", "part").agg(F.collect_list(_entry(False)).alias("lists"))
-    both = graph.select("node", _entry(True).alias("x")).unionByName(offers.filter("part is null").select("node", _entry(False).alias("x"))).unionByName(_merge(crowded).select("node", _entry(False).alias("x")))
-    found = durable(_merge(both.groupBy("node").agg(F.collect_list("x").alias("lists"))), "ann-graph")
+    offered = offers.filter("part is null").select("node", _entry(False).alias("x")).unionByName(_merge(few(crowded, total)).select("node", _entry(False).alias("x")))
+    both = graph.select("node", _entry(True).alias("x"), "unit").unionByName(offered, allowMissingColumns=True)
+    # A node has one row with its vector.
+    found = durable(_merge(few(both.groupBy("node").agg(F.collect_list("x").alias("lists"), F.first("unit", ignorenulls=True).alias("unit")), total)), "ann-graph")
     release(offers)
     return found
 
@@ -182,14 +199,14 @@ def descend(graph: DataFrame, points: DataFrame, turn: int) -> DataFrame:
 def build(points: DataFrame, pivots: np.ndarray) -> DataFrame:
     """node, ids, unit: every node's neighbours and packed vector, bucketed by node."""
     total = max(1, points.count())
-    graph = durable(start(points, pivots), "ann-graph")
+    graph = durable(start(points, pivots, total), "ann-graph")
     for turn in count():
-        before, graph = graph, descend(graph, points, turn)
+        before, graph = graph, descend(graph, turn, total)
         release(before)
         new = graph.agg(F.sum(F.aggregate("fresh", F.lit(0), lambda n, x: n + x.cast("int")))).first()[0] or 0
         if new <= SETTLED * NEIGHBOURS * total:
             break
-    return bucketed(points.join(graph.select("node", "ids"), "node", "left").select("node", "ids", "unit"), "node", "ann_index")
+    return bucketed(graph.select("node", "ids", "unit"), "node", "ann_index")
 
 
 def search(index: DataFrame, queries: DataFrame, pivot_ids: list[int], pivots: np.ndarray, width: int) -> DataFrame:
@@ -222,7 +239,8 @@ def search(index: DataFrame, queries: DataFrame, pivot_ids: list[int], pivots: n
                 score = np.concatenate([score, unpacked(units) @ unpacked([unit])[0]])
             yield query, unit, *beam(seen, score, expanded)
 
-    now = durable(map_rows(queries.select("query", "unit", "own"), enter, state), "ann-search")
+    total = queries.count()
+    now = durable(map_rows(few(queries.select("query", "unit", "own"), total), enter, state), "ann-search")
     over: list[DataFrame] = []
     while True:
         over.append(now.filter(F.size("open") == 0).select("query", "ids"))
@@ -230,9 +248,9 @@ def search(index: DataFrame, queries: DataFrame, pivot_ids: list[int], pivots: n
         if left.isEmpty():
             break
         steps = left.select("query", F.col("ids").alias("seen"), F.explode("open").alias("node")).join(index.select("node", "ids"), "node")
-        asked = steps.select("query", F.explode(F.array_except("ids", "seen")).alias("node")).distinct()
+        asked = steps.select("query", F.explode(F.array_except("ids", "seen")).alias("node")).repartition("node").distinct()
         met = asked.join(index.select("node", "unit"), "node").groupBy(F.col("query").alias("_q")).agg(F.collect_list(F.struct("node", "unit")).alias("met"))
-        joined = left.join(met, F.col("query") == F.col("_q"), "left")
+        joined = few(left.join(met, F.col("query") == F.col("_q"), "left"), total)
         now = durable(map_rows(joined.select("query", "unit", "ids", "near", "done", "met.node", F.col("met.unit").alias("units")), hop, state), "ann-search")
     found = over[0]
     for x in over[1:]:

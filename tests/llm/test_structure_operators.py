@@ -314,6 +314,28 @@ def test_much_listed_nodes_are_merged_in_parts(spark, monkeypatch):
     assert sum(len(set(want[q]) & set(got[q])) for q in want) >= 0.95 * 5 * len(want)
 
 
+def test_few_shuffles_and_few_tasks_for_few_vectors(spark):
+    """The driver keeps account of every task: a small table in many partitions isn't worth many."""
+    r = np.random.default_rng(11)
+    df = spark.createDataFrame([(i, r.normal(size=8).tolist()) for i in range(1200)], "vec_id bigint, embedding array<double>")
+    context, parts = spark.sparkContext._jsc.sc(), spark.conf.get("spark.sql.shuffle.partitions")
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        points = nn_descent.durable(nn_descent.nodes(nn_descent.usable(df, "vec_id", "embedding"), 6), "points").select("node", "unit")
+        pivots = nn_descent.unpacked([bytes(x.unit) for x in points.limit(16).collect()])
+        graph = nn_descent.durable(nn_descent.start(points, pivots, 1200), "start")
+        before = context.newShuffleId()
+        found = nn_descent.descend(graph, 0, 1200)
+        assert context.newShuffleId() - before - 1 <= 6
+        assert len(found.inputFiles()) <= 2 * spark.sparkContext.defaultParallelism
+        assert found.count() == 1200 and found.filter("unit is null").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+
+
 def test_recall_of_fifty_thousand(spark):
     """Neighbours that are hard to find: directions without any structure."""
     n = 50_000
