@@ -12,9 +12,11 @@ beam is expanded, and the hops end with the last query's. Beam and pivots grow w
 doesn't sink with it. The beam's vectors are then scored in double precision on the original components.
 
 The index has the neighbours' ids and each vector once, and is bucketed by node: a hop shuffles what the queries ask
-for, not the index. What a much-listed node is offered is merged in parts before it meets in one place. Rows are dealt
-out once for all that is asked of them in one place, so a round has six shuffles and a hop four, and what is grouped
-is merged and written by as many tasks as its rows are worth: the driver's memory goes with the number of tasks.
+for, not the index. Joins with what is unfolded from lists, or gathered in them, are by shuffle: Spark takes it for far
+smaller than it is, and would gather it on the driver. What a much-listed node is offered is merged in parts before it
+meets in one place. Rows are dealt out once for all that is asked of them in one place, so a round has six shuffles and
+a hop four, and what is grouped is merged and written by as many tasks as its rows are worth: the driver's memory goes
+with the number of tasks.
 
 Vectors null, zero, or with null or non-finite components take no part, nor do those of another than the most common
 length (ties: the smaller). Null ids take no part. Rows that repeat id and vector are one; rows of one id with different
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 from itertools import chain, count
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -57,6 +59,22 @@ def beam_for(nodes: int) -> int:
     return max(200, int(13 * math.log2(nodes + 1)))
 
 
+def chosen(points: DataFrame, total: int) -> list[Row]:
+    """The pivots (node, unit) of `total` points: those of the least hashes, as many as `pivots_for` says.
+
+    Only points below a bound of the hash are sent to the driver, hardly more than are taken. Without it every task sends as
+    many as are taken, and the driver gets that number once for each task.
+    """
+    order, size = F.xxhash64(F.lit("pivot"), "node"), pivots_for(total)
+    likely = size + 8 * math.isqrt(size)
+    while True:
+        below = points if likely >= total else points.filter(order < (likely << 64) // total - (1 << 63))
+        found = below.orderBy(order, "node").limit(size).select("node", "unit").collect()
+        if len(found) == size or likely >= total:
+            return found
+        likely *= 2
+
+
 def packed(v: np.ndarray) -> bytes:
     return v.astype("<f2").tobytes()
 
@@ -148,7 +166,7 @@ def start(points: DataFrame, pivots: np.ndarray, total: int) -> DataFrame:
 
     found = map_rows(blocks.groupBy("pivot", "part").agg(F.collect_list(F.struct("node", "unit")).alias("members")).select("members.node", "members.unit"), local, "node bigint, ids array<bigint>, near array<float>")
     # Every node is in some block.
-    return _merge(few(found.groupBy("node").agg(F.collect_list(_entry(False)).alias("lists")), total)).join(points.select("node", "unit"), "node")
+    return _merge(few(found.groupBy("node").agg(F.collect_list(_entry(False)).alias("lists")), total)).join(points.select("node", "unit").hint("merge"), "node")
 
 
 def _entry(old: bool):
@@ -168,7 +186,7 @@ def descend(graph: DataFrame, turn: int, total: int) -> DataFrame:
     met = met.withColumn("parts", F.greatest(F.lit(1), F.ceil(listed / LISTED)).cast("int")).drop("forward")
     worst = F.when(F.size("near") < NEIGHBOURS, F.lit(-2.0)).otherwise(F.array_min("near")).cast("float")
     known = graph.select(F.col("node").alias("to"), "unit", worst.alias("worst"))
-    members = met.join(known, "to").groupBy("node").agg(F.collect_list(F.struct("to", "fresh", "unit", "worst", "parts")).alias("m"), F.max("fresh").alias("any")).filter("any and size(m) > 1")
+    members = met.join(known.hint("merge"), "to").groupBy("node").agg(F.collect_list(F.struct("to", "fresh", "unit", "worst", "parts")).alias("m"), F.max("fresh").alias("any")).filter("any and size(m) > 1")
 
     def local(found: Iterator[tuple]) -> Iterator[tuple]:
         for at, tos, news, units, worsts, parts in found:
@@ -247,10 +265,10 @@ def search(index: DataFrame, queries: DataFrame, pivot_ids: list[int], pivots: n
         left = now.filter(F.size("open") > 0)
         if left.isEmpty():
             break
-        steps = left.select("query", F.col("ids").alias("seen"), F.explode("open").alias("node")).join(index.select("node", "ids"), "node")
+        steps = left.select("query", F.col("ids").alias("seen"), F.explode("open").alias("node")).join(index.select("node", "ids").hint("merge"), "node")
         asked = steps.select("query", F.explode(F.array_except("ids", "seen")).alias("node")).repartition("node").distinct()
-        met = asked.join(index.select("node", "unit"), "node").groupBy(F.col("query").alias("_q")).agg(F.collect_list(F.struct("node", "unit")).alias("met"))
-        joined = few(left.join(met, F.col("query") == F.col("_q"), "left"), total)
+        met = asked.join(index.select("node", "unit").hint("merge"), "node").groupBy(F.col("query").alias("_q")).agg(F.collect_list(F.struct("node", "unit")).alias("met"))
+        joined = few(left.join(met.hint("merge"), F.col("query") == F.col("_q"), "left"), total)
         now = durable(map_rows(joined.select("query", "unit", "ids", "near", "done", "met.node", F.col("met.unit").alias("units")), hop, state), "ann-search")
     found = over[0]
     for x in over[1:]:
@@ -264,7 +282,7 @@ def nearest(df: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id", vec
     held = durable(nodes(rows, k + 1), "ann-nodes")
     points = held.select("node", "unit")
     total = held.count()
-    sample = held.orderBy(F.xxhash64(F.lit("pivot"), "node"), "node").limit(pivots_for(total)).select("node", "unit").collect()
+    sample = chosen(points, total)
     pivot_ids = [r["node"] for r in sample]
     pivots = unpacked([bytes(r["unit"]) for r in sample]) if sample else np.empty((0, 1), np.float32)
     # Queries with the same vector search once, as their node.
@@ -272,7 +290,7 @@ def nearest(df: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id", vec
     asked = durable(asked.select("id", "node", "unit", "vector"), "ann-queries")
     distinct = asked.groupBy("node").agg(F.first("unit").alias("unit"))
     found = search(build(points, pivots), distinct.select(F.col("node").alias("query"), "unit", F.col("node").alias("own")), pivot_ids, pivots, beam_for(total))
-    pairs = found.select(F.col("query").alias("_q"), F.explode("beam").alias("node")).join(held.select("node", "ids", "vector"), "node")
+    pairs = found.select(F.col("query").alias("_q"), F.explode("beam").alias("node")).join(held.select("node", "ids", "vector").hint("merge"), "node")
     around = pairs.groupBy("_q").agg(F.collect_list(F.struct("node", "ids", "vector")).alias("near"))
 
     def ranked(found: Iterator[tuple]) -> Iterator[tuple]:
@@ -283,7 +301,7 @@ def nearest(df: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id", vec
             for rank, (s, i) in enumerate(best[:k], 1):
                 yield query, rank, i, -s
 
-    scored = asked.join(around, F.col("node") == F.col("_q")).select("id", "node", "vector", "near")
+    scored = asked.join(around.hint("merge"), F.col("node") == F.col("_q")).select("id", "node", "vector", "near")
     return map_rows(scored, ranked, f"query_id bigint, rank int, {key} bigint, score double")
 
 

@@ -336,6 +336,70 @@ def test_few_shuffles_and_few_tasks_for_few_vectors(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
 
 
+def test_pivots_come_to_the_driver_once(spark, monkeypatch):
+    """Not as many as are taken from each task: tasks grow with the table."""
+    df = spark.range(24_000).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: F.cos(F.col("id") * i) + 2).alias("embedding"))
+    seen = {}
+
+    def build(points, pivots):
+        seen["points"], seen["pivots"] = points, pivots
+        raise StopIteration
+
+    monkeypatch.setattr(nn_descent, "build", build)
+    conf = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.openCostInBytes": "4m"}
+    before, limit = {k: spark.conf.get(k) for k in conf}, "spark.driver.maxResultSize"
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    spark.sparkContext._jsc.sc().conf().set(limit, "1m")
+    try:
+        with pytest.raises(StopIteration):
+            nn_descent.nearest(df)
+    finally:
+        spark.sparkContext._jsc.sc().conf().remove(limit)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    least = sorted(seen["points"].select(F.xxhash64(F.lit("pivot"), "node").alias("h"), "node", "unit").collect())[:1024]
+    assert np.array_equal(seen["pivots"], nn_descent.unpacked([bytes(r.unit) for r in least]))
+
+
+@pytest.mark.parametrize("total", [3, 1024, 1025, 5000])
+def test_pivots_are_the_least_hashes(spark, monkeypatch, total):
+    points = spark.range(total).select(F.xxhash64("id").alias("node"), F.unhex(F.lit("00")).alias("unit"))
+    want = [r.node for r in points.orderBy(F.xxhash64(F.lit("pivot"), "node"), "node").limit(1024).collect()]
+    assert [r["node"] for r in nn_descent.chosen(points, total)] == want
+    monkeypatch.setattr(nn_descent.math, "isqrt", lambda n: 0)  # a bound that is often too low is raised
+    monkeypatch.setattr(nn_descent, "pivots_for", lambda n: 1024)
+    assert [r["node"] for r in nn_descent.chosen(points, total)] == want
+
+
+def test_a_bucket_is_one_file(spark):
+    df = spark.range(0, 1000, 1, 12).select(F.xxhash64("id").alias("node"))
+    found = nn_descent.bucketed(df, "node", "one_file")
+    assert len(found.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    joined = found.hint("merge").join(df.repartition("node"), "node")
+    assert joined.count() == 1000 and joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1
+
+
+def test_unfolded_and_gathered_lists_are_not_broadcast(spark, monkeypatch):
+    """64 nodes of a query, each with the query's beam, are estimated as one row of it."""
+    r, plans = np.random.default_rng(13), []
+    df = spark.createDataFrame([(i, r.normal(size=8).tolist()) for i in range(1500)], "vec_id bigint, embedding array<double>")
+    durable = nn_descent.durable
+
+    def noted(df, name):
+        found = durable(df, name)
+        if name in ("ann-graph", "ann-search"):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(nn_descent, "durable", noted)
+    found = nn_descent.nearest(df)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert sum("Generate explode(open" in p for p in plans) >= 2
+    # Of these only the blocks' sizes, as many as pivots, are broadcast.
+    assert ["BroadcastExchange" in p for p in plans] == [True] + [False] * (len(plans) - 1)
+
+
 def test_recall_of_fifty_thousand(spark):
     """Neighbours that are hard to find: directions without any structure."""
     n = 50_000
